@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +28,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; only the columns a query uses are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, once a context; needless where it is installed on them or in PYTHONPATH."""
+    context = spark.sparkContext
+    if getattr(context, "_jurispark_shipped", False) or _on_python_path():
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder) / "jurispark.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    context._jurispark_shipped = True
+
+
+def _on_python_path() -> bool:
+    home = str(Path(__file__).resolve().parents[1])
+    return home in os.environ.get("PYTHONPATH", "").split(":")
