@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import repeats, simhash
+from jurispark.llm import langid, mixing, pieces, repeats, simhash
 from jurispark.llm.shared import shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+LEAST_CONFIDENCE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose likeliest language is less than half likely, go; a null lang gets the prediction."""
+    model = langid.train(docs.where(~langid.held_out()))
+    if model is None:
+        return docs.select(*COLUMNS)
+    found = langid.detect(docs.select(*COLUMNS), model)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: that with the smallest doc_id, once if its row repeats.
 
@@ -33,11 +46,26 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: each document once at least, those of smaller sources up to twice."""
+    planned, _ = mixing.plan(docs)
+    return mixing.realise(docs, planned).select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as ids, and whether decoding gives the text back."""
+    out = pieces.encode_documents(docs).withColumn("decoded", pieces.decode(spark, F.col("ids")))
+    return out.select("doc_id", "lang", "source", "n_chars", "ids", "n_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("simhash_near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
 ]
 
 ORACLE_SQL = None

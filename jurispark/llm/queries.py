@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import repeats, rules, simhash
+from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pieces.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("decoded", pieces.decode(spark, F.col("ids")))
+    return docs.select("doc_id", "n_ids", F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,5 +33,47 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_simhash)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.held_out(parts=3, part=1)
+    lexicon = toxicity.learn(docs.where(~out), _read(spark, sf_dir, "labels").where(~out))
+    return toxicity.toxicity(docs, lexicon).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.held_out(parts=3, part=1)
+    model = ordinal.train(docs.where(~out), ordinal.document_grades(_read(spark, sf_dir, "labels").where(~out)))
+    return ordinal.graded(docs, model).select("doc_id", out.alias("held_out"), "expected_grade", "tail_probability", F.col("selected").alias("kept"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out()
+    model = langid.train(docs.where(~out))
+    return langid.detect(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned, _ = mixing.plan(_read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "source", "n_words", F.round("weight", 9).alias("weight"), "copies", "block")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(_read(spark, sf_dir, "pages"))
+    out = warc.read(spark.read.parquet(path))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_sentencepiece, op3_quality_rules, op4_simhash, op5_toxicity, op6_quality_classifier, op7_language_id,
+        op8_source_mixing, op9_warc, op10_embedding_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
