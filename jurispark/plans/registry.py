@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jurispark.plans import graph_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (graph_queries,)
+QUERIES: dict[str, Query] = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for part in PARTS for k, v in part.ORACLES.items()}
