@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20
 HEAVY_SHARE = 1000
+ROWS_PER_TASK = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,28 +73,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node with an edge; nodes have equal roots iff a path joins them.
 
     Each round every node moves to the neighbour that comes first in a pseudo-random order, itself included, and the edges
-    between nodes that moved together vanish: the graph shrinks by a constant factor a round, chains too. Nodes are longs.
-    Null ends and loops are ignored; without edges the result is empty.
+    between nodes that moved together vanish: the graph shrinks by a constant factor a round, chains too. The rounds' moves are
+    then followed from the last to the first. Nodes are longs. Null ends and loops are ignored; without edges the result is empty.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    roots, left, turn = None, e.count(), 0
+    left, rounds = e.count(), []
     while left:
+        turn, width = len(rounds), left // ROWS_PER_TASK + 8
         first = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("m"))  # noqa: B023, E731
         move = e.groupBy("u").agg(F.count("*").alias("n"), F.min(first(F.col("v"))).alias("best"))
-        move = cut(move.select("u", "n", F.least("best", first(F.col("u"))).getField("m").alias("m")))
-        ends = join_heavy(e, move, ["u"], "n", left, F.col("v"))
-        ends = ends.select("v", F.col("m").alias("mu"))
-        ends = join_heavy(ends.withColumnRenamed("v", "u"), move, ["u"], "n", left, F.col("mu"))
-        moved = move.select("u", "m")
-        if roots is None:
-            roots = moved.select(F.col("u").alias("node"), F.col("m").alias("root"))
-        else:
-            held = roots.groupBy("root").agg(F.count("*").alias("held"))
-            known = cut(held.join(moved.withColumnRenamed("u", "root"), "root"))
-            roots = join_heavy(roots, known, ["root"], "held", max(1, roots.count()), F.col("node"))
-            roots = roots.select("node", F.coalesce("m", "root").alias("root"))
-        roots = cut(roots)
-        e = cut(ends.select(F.col("mu").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        left, turn = e.count(), turn + 1
-    return roots if roots is not None else e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        move = cut(move.select("u", "n", F.least("best", first(F.col("u"))).getField("m").alias("m")).coalesce(width))
+        ends = join_heavy(e, move, ["u"], "n", left, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("mu"))
+        ends = join_heavy(ends, move, ["u"], "n", left, F.col("mu"))
+        rounds.append((move, left, width))
+        e = cut(ends.select(F.col("mu").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(width))
+        left = e.count()
+    if not rounds:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = rounds[-1][0].select(F.col("u").alias("node"), F.col("m").alias("root"))
+    for move, left, width in reversed(rounds[:-1]):
+        held = move.groupBy("m").agg(F.count("*").alias("held"))
+        right = cut(held.join(roots.withColumnRenamed("node", "m"), "m").coalesce(width))
+        roots = join_heavy(move.select("u", "m"), right, ["m"], "held", left, F.col("u")).select(F.col("u").alias("node"), F.coalesce("root", "m").alias("root"))
+    return roots
