@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     block = (window + 1) // 2
     carry = [c for c in docs.columns if c not in RESULTS]
     chunk = "__chunk"
-    rows = docs.select(*carry).withColumn(chunk, F.pmod(F.xxhash64(doc_id, text), F.lit(4 * parts)))
+    rows = docs.select(*carry).withColumn(chunk, F.pmod(F.xxhash64(doc_id, text), F.lit(2 * parts)))
     sent = rows.groupBy(chunk).applyInArrow(_anchors(parts, block, text, chunk), SENT)
     hits = sent.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
     grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_extend(parts, block, window, text, chunk), SENT)
