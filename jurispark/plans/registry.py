@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jurispark.plans import graph_queries
+from jurispark.plans import graph_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PARTS = (graph_queries,)
+PARTS = (graph_queries, search_queries)
 QUERIES: dict[str, Query] = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in PARTS for k, v in part.ORACLES.items()}
