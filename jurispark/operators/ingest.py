@@ -51,7 +51,8 @@ def all_or_null(column: str) -> Column:
 
 def remaining(total: str, parts: list[str]) -> Column:
     """A total less its parts, never below zero; null if any of them is."""
-    return F.when(F.col(total).isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0), F.col(total) - sum(F.col(p) for p in parts)))
+    left = F.col(total) - sum(F.col(p) for p in parts)
+    return F.when(left.isNotNull(), F.greatest(F.lit(0), left))
 
 
 def harvest_aliases(mentions: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
