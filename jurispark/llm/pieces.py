@@ -5,8 +5,8 @@ relaxes the best score of that position; a character that no piece spells alone
 the segmentation of the highest summed score, whatever kind of model the scores come from: for a byte-pair model it is the
 best-scored one, not always that of the merges.
 
-No piece has a blank behind another character, so the best segmentation of a text is that of its words side by side, and words
-are kept in a bounded memo.
+Where no piece of the vocabulary has two characters side by side, a text can be cut between them: its best segmentation is that of
+the parts. Texts are cut before blanks and behind letters if the vocabulary allows it, and the parts are kept in bounded memos.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 120_000
+MEMO = 150_000
 
 
 class Pieces:
@@ -47,71 +47,111 @@ class Pieces:
         if plain:
             self.automaton.make_automaton()
         self.text = [b"" if gone else bytes([int(n[3:5], 16)]) if byte else n.replace(BLANK, " ").encode() for n, (gone, byte) in zip(names, kinds)]
-        joined = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in plain)
-        lines = any("\n" in p and len(p) > 1 for p in plain)
-        self.words = re.compile("(?s).+" if joined else f"{BLANK}*[^{BLANK}]+|{BLANK}+" if lines else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
-        self.memo = Memo(self)
+        self.sizes = [len(n) for n in names]
+        self.newline = (self.bytes.get(10, self.unknown),) if "\n" not in "".join(plain) else None
+        pairs = {x for p in plain for x in zip(p, p[1:])}
+        blank_inside = any(b == BLANK != a for a, b in pairs)
+        letter_before = any(a.isalpha() and not b.isalpha() for a, b in pairs)
+        letters, others = r"[^\W\d_]", r"[\W\d_]"
+        self.parts = re.compile("(?s).+" if blank_inside else f"(?s){BLANK}*[^{BLANK}]+|{BLANK}+" if letter_before else f"{others}*{letters}+|{others}+")
+        self.part = Memo(self.segment)
+        self.word = Memo(lambda w: self.whole(BLANK + w))
+        self.bare = Memo(self.whole)
+        self.simple = not blank_inside and self.newline is not None
 
     def segment(self, s: str) -> tuple[int, ...]:
         """The best-scored pieces of a string in which blanks are BLANK."""
-        n, single, fallback = len(s), self.single, self.fallback
-        best, back, done = [0.0] + [-np.inf] * n, [(-1, 1)] * (n + 1), 0
-        for end, (size, score, i) in self.automaton.iter(s):
-            while done < end:
-                done += 1
-                if s[done - 1] not in single and best[done - 1] + fallback > best[done]:
-                    best[done], back[done] = best[done - 1] + fallback, (-1, 1)
-            total = best[end + 1 - size] + score
-            if total > best[end + 1]:
-                best[end + 1], back[end + 1] = total, (i, size)
-        while done < n:
-            done += 1
-            if s[done - 1] not in single and best[done - 1] + fallback > best[done]:
-                best[done], back[done] = best[done - 1] + fallback, (-1, 1)
+        n = len(s)
+        best, back = [0.0] + [-np.inf] * n, [-1] * (n + 1)
+        if self.single.issuperset(s):
+            for end, (size, score, i) in self.automaton.iter(s):
+                total = best[end + 1 - size] + score
+                if total > best[end + 1]:
+                    best[end + 1], back[end + 1] = total, i
+        else:
+            self._with_fallback(s, best, back)
         out, at = [], n
         while at:
-            i, size = back[at]
+            i = back[at]
             if i >= 0:
                 out.append(i)
+                at -= self.sizes[i]
             else:
                 out += [self.bytes.get(b, self.unknown) for b in reversed(s[at - 1].encode("utf-8", "replace"))] if self.bytes else [self.unknown]
-            at -= size
+                at -= 1
         return tuple(reversed(out))
 
+    def _with_fallback(self, s: str, best: list[float], back: list[int]) -> None:
+        """As segment, where a character that is no piece may stand for itself; a position is settled before pieces begin there."""
+        done = 0
+
+        def settle(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                done += 1
+                if s[done - 1] not in self.single and best[done - 1] + self.fallback > best[done]:
+                    best[done], back[done] = best[done - 1] + self.fallback, -1
+
+        for end, (size, score, i) in self.automaton.iter(s):
+            settle(end)
+            total = best[end + 1 - size] + score
+            if total > best[end + 1]:
+                best[end + 1], back[end + 1] = total, i
+        settle(len(s))
+
+    def whole(self, s: str) -> tuple[int, ...]:
+        """The pieces of a string, part by part: no piece reaches over where parts meet."""
+        found = list(map(self.part.__getitem__, self.parts.findall(s)))
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+
     def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The pieces of a text, word by word; a BLANK that stands in the text itself is spelt in bytes, so that decoding is exact."""
+        """The pieces of a text in order; a BLANK that stands in the text itself is spelt in bytes, so that decoding is exact."""
         if not text:
             return []
         if BLANK in text and self.bytes:
             spelt = tuple(self.bytes.get(b, self.unknown) for b in BLANK.encode())
-            parts = (BLANK + text.replace(BLANK, "\0\0").replace(" ", BLANK)).split("\0\0")
-            if "\0\0" not in text:
-                words = [[self.memo[w] for w in self.words.findall(p)] for p in parts]
-                return [*words[0], *(x for w in words[1:] for x in (spelt, *w))]
-        return list(map(self.memo.__getitem__, self.words.findall(BLANK + text.replace(" ", BLANK))))
+            out, (first, *rest) = [], text.split(BLANK)
+            out.append(self.whole(BLANK + first.replace(" ", BLANK)))
+            for part in rest:
+                out += [spelt, self.whole(part.replace(" ", BLANK))]
+            return out
+        if not self.simple:
+            return [self.whole(BLANK + text.replace(" ", BLANK))]
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(self.newline)
+            first, *rest = line.split(" ")
+            if "" in rest or not first:
+                out.append(self.whole((BLANK if not k else "") + line.replace(" ", BLANK)))
+            else:
+                out.append(self.bare[first] if k else self.word[first])
+                out += map(self.word.__getitem__, rest)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of pieces, without the blank that encoding puts in front; ids that do not exist are left out."""
-        out = b"".join([self.text[i] for i in ids if 0 <= i < self.size])
-        return out.removeprefix(b" ").decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= self.size):
+            ids = [i for i in ids if 0 <= i < self.size]
+        return b"".join(map(self.text.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
 class Memo(dict):
-    """Segmentations of words: the latest MEMO and the MEMO before them; long words are not kept."""
+    """Results of a function of strings: the latest MEMO and the MEMO before them; those of long strings are not kept."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, f):
         super().__init__()
-        self.pieces, self.before = pieces, {}
+        self.f, self.before = f, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self.before.get(word)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.before.get(key)
         if found is None:
-            found = self.pieces.segment(word)
-        if len(word) <= 48:
+            found = self.f(key)
+        if len(key) <= 48:
             if len(self) >= MEMO:
                 self.before = dict(self)
                 self.clear()
-            self[word] = found
+            self[key] = found
         return found
 
 
