@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jurispark.llm.shared import text_batches
+
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 BATCH_CHARS, BATCH_ROWS = 1 << 19, 128
 EDGE = 0x10FFFF
@@ -173,6 +175,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", doc_id: str
     Document frequencies cover all rows. The weights are fitted to a bounded sample: about `per_language` whole texts of each
     language, drawn by a hash of the id.
     """
+    text_batches(rows.sparkSession)
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -206,6 +209,7 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jurispark.llm import words as W
-from jurispark.llm.shared import small
+from jurispark.llm.shared import small, text_batches
 
 BUCKETS = 1 << 17
 SHIFT = np.uint64(64 - 17)
@@ -137,6 +137,7 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str =
 
     It is fitted to a bounded sample: about `per_grade` rated whole texts of each grade, drawn by a hash of the id.
     """
+    text_batches(docs.sparkSession)
     rated = ratings.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(grade).cast("int").alias("__grade"))
     counts = {r[0]: r[1] for r in rated.groupBy("__grade").agg(F.count("*")).collect()}
     if len(counts) < 2:
@@ -173,6 +174,7 @@ def graded(docs: DataFrame, model: Model | None, text: str = "text", tail: int |
     names = ("expected_grade", "tail_probability", "selected")
     if model is None:
         return docs.withColumns({n: F.lit(None).cast("boolean" if n == "selected" else "double") for n in names})
+    text_batches(docs.sparkSession)
     shared, reach = docs.sparkSession.sparkContext.broadcast(model), (model.top if tail is None else tail) - 1
 
     def run(texts: pa.Array) -> pa.Array:

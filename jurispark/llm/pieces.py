@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jurispark.llm.shared import text_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 150_000
+MEMO = 60_000
 
 
 class Pieces:
@@ -169,6 +171,7 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def encode(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
     """The ids of a text column as array<int>: null for null, empty for an empty text."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(path))
 
     def run(texts: pa.Array) -> pa.Array:
@@ -185,6 +188,7 @@ def encode(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
 
 def decode(spark: SparkSession, ids: Column, path: str = MODEL) -> Column:
     """The text of a column of ids: null for null; ids that are null or do not exist are left out."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(path))
 
     def run(rows: pa.Array) -> pa.Array:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 HEAVY_SHARE = 1000
 ROWS_PER_TASK = 100_000
+TEXT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +38,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores in front until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of TEXT_ROWS rows, so that a Python worker holds few whole texts at once; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column, how: str = "left") -> DataFrame:

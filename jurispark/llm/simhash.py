@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import components, cut, join_heavy
+from jurispark.llm.shared import components, cut, join_heavy, text_batches
 
 SEED, SHINGLE, DISTANCE, BANDS = 42, 3, 3, 7
 LOW_BITS = 0x5555555555555555
@@ -108,6 +108,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and empty texts have fingerprint zero and link like others. Copies, and rows that repeat, share a fingerprint. Rows
     with a null doc_id link others but name no component unless all of it is null, which gives null. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     distinct = cut(distinct)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import small
+from jurispark.llm.shared import small, text_batches
 
 MIN_PREFIX, MAX_PREFIX = 4, 12
 MIN_DOCUMENTS = 5
@@ -203,6 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     toxic texts. Phrases around hits in clean rows become exceptions, next to those given. Slope and bias are
     fitted to about `sample_rows` labelled rows drawn by a hash of the id. Without toxic rows the lexicon is empty.
     """
+    text_batches(docs.sparkSession)
     rows = attach(docs.select(doc_id, text), labels.select(doc_id, label), doc_id, label)
     bad, good = (rows.where(F.col(label) == y).select(text) for y in (1, 0))
     common = bad.mapInPandas(_counts(text), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
@@ -248,6 +249,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float
 
 def score(text: Column, docs: DataFrame, lexicon: Lexicon) -> Column:
     """The toxicity of a text column, 0 to 1; null and empty texts have the score of a text without hits."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurispark.llm.shared import cut, join_heavy, shared_path
+from jurispark.llm.shared import cut, join_heavy, shared_path, text_batches
 
 CHUNK_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -109,6 +109,7 @@ def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", u
 
     A null html is an empty payload; other columns are left out; an empty table gives a table without records.
     """
+    text_batches(pages.sparkSession)
     path = path or shared_path(pages.sparkSession, "warc")
     planned = plan_records(pages, page_id, html, min_bytes)
     sha1 = F.sha1(F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8"))
