@@ -24,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared folder, so that later reads survive a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and stored as a table in the shared folder, so that later reads survive a lost executor.
+
+    Unlike a checkpoint's, a stored table's size is its files' size. A checkpoint inherits the estimate of its plan, in which each
+    join multiplies, and after some rounds of joins the planner would spend its time on numbers of millions of digits.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

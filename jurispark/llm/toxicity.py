@@ -174,6 +174,24 @@ def _counts(text: str, candidates=None):
     return run
 
 
+def _contexts(text: str, lexicon: Lexicon):
+    """For each entry that hits, the words before and behind it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = set()
+            for t in part[text]:
+                folded = fold(t) if t else " "
+                for end, (_, size, _) in lexicon.automaton().iter(folded) if lexicon.weights else ():
+                    begin = end - size + 1
+                    before = folded[folded.rfind(" ", 0, max(0, begin)) + 1 : begin]
+                    behind = folded[folded.find(" ", begin + 1) + 1 :].split(" ", 1)[0] if folded.find(" ", begin + 1) >= 0 else ""
+                    found.add((folded[begin : end + 1], f"{before} {behind}"))
+            yield pd.DataFrame(sorted(found), columns=["entry", "context"])
+
+    return run
+
+
 def _phrases(text: str, lexicon: Lexicon):
     """Two-word phrases around hits in texts labelled clean."""
 
@@ -199,7 +217,7 @@ def attach(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataF
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """A lexicon of all labelled rows: entries of at least MIN_DOCUMENTS toxic texts and log odds of MIN_LOG_ODDS.
 
-    Counts cover all labelled rows; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
+    An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, so words of copied texts are none. Counts cover all labelled rows; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
     toxic texts. Phrases around hits in clean rows become exceptions, next to those given. Slope and bias are
     fitted to about `sample_rows` labelled rows drawn by a hash of the id. Without toxic rows the lexicon is empty.
     """
@@ -215,9 +233,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     totals = clean.pop("", 0), toxic.pop("", 0)
     if not totals[0] or not totals[1]:
         return Lexicon({})
-    odds = {e: float(np.log((n + 0.1) / (totals[1] + 1)) - np.log((clean.get(e, 0) + 0.1) / (totals[0] + 1))) for e, n in toxic.items()}
-    odds = dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
-    weights = {e: w for e, w in odds.items() if w >= MIN_LOG_ODDS}
+    odds = {e: float(np.log((n + 0.5) / (totals[1] + 1)) - np.log((clean.get(e, 0) + 0.5) / (totals[0] + 1))) for e, n in toxic.items()}
+    likely = {e: w for e, w in odds.items() if w >= MIN_LOG_ODDS}
+    met = bad.mapInPandas(_contexts(text, Lexicon(likely)), "entry string, context string").groupBy("entry").agg(F.count_distinct("context").alias("n"))
+    varied = {r["entry"]: r["n"] for r in met.collect()}  # a row an entry at most
+    likely = {e: w for e, w in likely.items() if varied.get(e, 0) >= max(MIN_DOCUMENTS, toxic[e] / 2)}
+    weights = dict(sorted(likely.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
     lexicon = Lexicon(weights, frozenset(" ".join(fold(e).split()) for e in exceptions))
     share = min(1 << 20, (sample_rows << 20) // max(1, sum(totals)) + 1)
     around = good.mapInPandas(_phrases(text, lexicon), "phrase string, n long")
@@ -235,9 +256,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
-    """Slope and bias of a logistic regression with equal weight on either label, by Newton steps."""
+    """Slope and bias of a logistic regression, the rarer label weighing more by the root of its rarity, by Newton steps."""
     n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
-    weight = 0.5 / n[y.astype(int)] * len(y) if len(y) else y
+    weight = np.sqrt(0.5 / n[y.astype(int)] * len(y)) if len(y) else y
     a, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
