@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
+from jurispark.llm.oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +70,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_quality_rules, op4_simhash, op5_toxicity, op6_quality_classifier, op7_language_id,
         op8_source_mixing, op9_warc, op10_embedding_near_dedup,
     )
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
