@@ -40,14 +40,10 @@ KINDS = _kinds()
 
 def _again(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """How many values of each row equal an earlier one of the row."""
-    keyed = np.sort(W.mix(values ^ W.mix(rows.astype(np.uint64) + np.uint64(1))))
-    firsts = np.unique(keyed, return_index=False)
-    if len(firsts) == len(keyed):
-        return np.zeros(n)
-    order = np.argsort(W.mix(values ^ W.mix(rows.astype(np.uint64) + np.uint64(1))), kind="stable")
-    v, r = values[order], rows[order]
-    same = np.concatenate([[False], (v[1:] == v[:-1]) & (r[1:] == r[:-1])])
-    return np.bincount(r[same], minlength=n).astype(float)
+    keyed = W.mix(values ^ W.mix(rows.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(keyed, kind="stable")
+    same = keyed[order][1:] == keyed[order][:-1]
+    return np.bincount(rows[order][1:][same], minlength=n).astype(float)
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
