@@ -31,4 +31,13 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op10_embedding_near_dedup": OP10}
+HEX = "strpos('0123456789abcdef', substr(h, {}, 1)) - 1"
+BASE32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((({HEX.format('(5 * i) // 4 + 1')}) * 16 + ({HEX.format('(5 * i) // 4 + 2')})) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '')"""
+
+OP9 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact FROM m"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
