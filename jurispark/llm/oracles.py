@@ -21,7 +21,7 @@ m AS (SELECT w.doc_id, text, len(t) AS n_words, length(array_to_string(t, '')) A
       len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS capitals FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(string_split(text, chr(10)))
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR n_dup_lines > 2 AND 10 * n_dup_lines > 3 * len(string_split(text, chr(10)))
        OR 2 * capitals > letters OR 2 * letters < word_chars OR 10 * length(regexp_replace(text, '[^!?]+', '', 'g')) > 3 * n_words) AS kept FROM b"""
 
 OP10 = """

@@ -70,7 +70,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     return [
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(t, "\n"))),
+        Rule("duplicate_lines", (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.size(F.split(t, "\n")))),
         Rule("shouting", 2 * upper > letters),
         Rule("few_letters", 2 * letters < F.col("word_chars")),
         Rule("exclamations", 10 * F.length(F.regexp_replace(t, "[^!?]+", "")) > 3 * n),
