@@ -94,13 +94,31 @@ def _code_column(tables: int, hashes: int, probes: int):
     return F.arrow_udf(run, T.ArrayType(T.LongType()))
 
 
+def _first_meeting(x: np.ndarray, y: np.ndarray, table: int, bucket: int) -> np.ndarray:
+    """Whether vectors of these codes (..., tables, probes) meet in this bucket first: in no earlier table, nor in a smaller bucket of it."""
+    probes = range(x.shape[-1])
+    earlier = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-2], bool)
+    for t in range(table):
+        for k in probes:
+            earlier |= x[..., t, 0] == y[..., t, k]
+            earlier |= x[..., t, k] == y[..., t, 0]
+    smaller, here = np.zeros_like(earlier), np.zeros_like(earlier)
+    for own, other in ((x, y), (y, x)):
+        home = own[..., table, 0]
+        for k in probes:
+            met = home == other[..., table, k]
+            smaller |= met & (home < bucket)
+            here |= met & (home == bucket)
+    return here & ~smaller & ~earlier
+
+
 def _verify(threshold: float, tables: int, probes: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         table, bucket, i, j = (group.column(c)[0].as_py() for c in ("table", "bucket", "i", "j"))
         x = _unit(group.column("vector").combine_chunks())
         held = group.column("codes").combine_chunks()
-        code = held.values.to_numpy()[held.offsets[0].as_py() :].reshape(len(x), tables, probes)
+        code = held.values.to_numpy()[held.offsets[0].as_py() :].reshape(len(x), tables, probes).astype(np.int32)
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         block = group.column("block").to_numpy()
         m = len(x)
@@ -110,17 +128,12 @@ def _verify(threshold: float, tables: int, probes: int):
             near = x[a:b] @ x.T >= threshold
             near &= rep[a:b, None] != rep[None, :]
             near &= block[a:b, None] != block[None, :] if i != j else True
-            p, q = np.nonzero(near)
-            p += a
-            earlier = np.zeros(len(p), bool)
-            for t in range(table):
-                earlier |= (code[p, t, :1] == code[q, t]).any(1) | (code[q, t, :1] == code[p, t]).any(1)
-            own, other = code[p, table, 0], code[q, table, 0]
-            meet_own, meet_other = (own[:, None] == code[q, table]).any(1), (other[:, None] == code[p, table]).any(1)
-            never = np.iinfo(np.int64).max
-            first = np.minimum(np.where(meet_own, own, never), np.where(meet_other, other, never))
-            here = (first == bucket) & ~earlier
-            linked[p[here], q[here]] = True
+            if near.mean() > 0.05:
+                linked[a:b] = near & _first_meeting(code[a:b, None], code[None], table, bucket)
+            else:
+                p, q = np.nonzero(near)
+                here = _first_meeting(code[p + a], code[q], table, bucket)
+                linked[p[here] + a, q[here]] = True
         counted = linked @ copies
         order = np.argsort(rep, kind="stable")
         rank = np.empty(m, np.int64)
