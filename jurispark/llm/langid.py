@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import text_batches
+from jurispark.llm.shared import give_back, text_batches
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 BATCH_CHARS, BATCH_ROWS = 1 << 19, 128
@@ -109,6 +109,7 @@ def document_frequencies(train: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     seen[doc, ids] = True
                 held += seen.sum(0)
         at = np.flatnonzero(held)
+        give_back()
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(held[at], rows)})
 
     sums = train.select(text).mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -216,6 +217,7 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
         model = shared.value
         found, p = probabilities(texts.tolist(), model)
         names = np.array([*model.languages, UNKNOWN], object)
+        give_back()
         best = np.where(found > 0, p.argmax(1), len(model.languages))
         return pd.DataFrame({"lang_pred": names[best], "score": np.where(found > 0, p.max(1), 0.0)})
 

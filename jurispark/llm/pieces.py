@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import text_batches
+from jurispark.llm.shared import give_back, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -200,7 +200,33 @@ def decode(spark: SparkSession, ids: Column, path: str = MODEL) -> Column:
     return F.arrow_udf(run, T.StringType())(ids)
 
 
+def round_trips(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
+    """struct<ids, round_trip>: the ids of a text, and whether decoding them gives the text back; null and empty as in encode.
+
+    One pass of a worker encodes and decodes, so neither ids nor texts travel a second time.
+    """
+    text_batches(spark)
+    shared = spark.sparkContext.broadcast(model_bytes(path))
+
+    def run(texts: pa.Array) -> pa.Array:
+        p, parts, same, sizes = pieces(shared.value), [], [], [0]
+        for t in texts:
+            plain = t.as_py() or ""
+            ids = list(chain.from_iterable(p.encode(plain)))
+            same.append(p.decode(ids) == plain)
+            parts.append(np.array(ids, np.int32))
+            sizes.append(len(ids))
+        give_back()
+        offsets = pa.array(np.cumsum(sizes).astype(np.int32), mask=np.append(texts.is_null().to_numpy(False), False))
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return F.arrow_udf(run, kind)(text)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
-    """docs with ids and n_ids (0 for null); columns of these names are replaced. Copies get equal ids; empty tables stay empty."""
-    out = docs.withColumn("ids", encode(docs.sparkSession, F.col(text), path))
-    return out.withColumn("n_ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
+    """docs with ids, n_ids (0 for null) and round_trip; columns of these names are replaced. Copies get equal ids; empty tables stay empty."""
+    out = docs.withColumn("__coded", round_trips(docs.sparkSession, F.col(text), path))
+    ids = F.col("__coded.ids")
+    return out.withColumns({"ids": ids, "n_ids": F.coalesce(F.size(ids), F.lit(0)).cast("long"), "round_trip": F.col("__coded.round_trip")}).drop("__coded")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurispark.llm import words as W
-from jurispark.llm.shared import shuffle_partitions
+from jurispark.llm.shared import give_back, shuffle_partitions, text_batches
 
 WINDOW = 35
 KEY_BITS = 38
@@ -78,6 +78,7 @@ ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("step", pa.int32()), ("bucket
 
 def _anchors(buckets: int, block: int, text: str, chunk: str):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         found = [np.zeros(0, np.uint64)]
         for *_, data, offsets in _rows(table, text):
             _, firsts, at, h = _short(data, offsets, block)
@@ -97,6 +98,7 @@ def _anchors(buckets: int, block: int, text: str, chunk: str):
 
 
 def _meet_anchors(table: pa.Table) -> pa.Table:
+    give_back()
     chunk, data = table.column("chunk"), table.column("data")
     bucket, parts = table.column("bucket")[0].as_py(), []
     for k in range(table.num_rows):
@@ -154,6 +156,7 @@ def _hits(answers: pa.Table) -> np.ndarray:
 
 def _extend(buckets: int, block: int, window: int, text: str, chunk: str):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         if not table.num_rows or not answers.num_rows:
             return _send(0, np.zeros(0, np.uint64), np.zeros((0, 12), np.uint8))
         found = list(_candidates(table, _hits(answers), buckets, block, window, text))
@@ -168,6 +171,7 @@ def _extend(buckets: int, block: int, window: int, text: str, chunk: str):
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
+    give_back()
     data, bucket = table.column("data"), table.column("bucket")[0].as_py()
     raws = [_blob(data, k, np.uint8).reshape(-1, 12) for k in range(table.num_rows)]
     raw = np.concatenate(raws)
@@ -188,6 +192,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 
 def _remove(buckets: int, block: int, window: int, text: str, carry: list[str], keep_space: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         found = list(_candidates(table, _hits(answers), buckets, block, window, text)) if table.num_rows else []
         order, starts, h, _ = _sorted_windows(found)
         repeated = np.zeros(len(starts), bool)
@@ -245,6 +250,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     words and gives an empty kept_text; rows that repeat count as occurrences of their own; an empty table gives an empty
     table. Columns of docs named like results are replaced, other columns are carried along.
     """
+    text_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     block = (window + 1) // 2
     carry = [c for c in docs.columns if c not in RESULTS]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ BROADCAST_BYTES = 32 << 20
 HEAVY_SHARE = 1000
 ROWS_PER_TASK = 100_000
 TEXT_ROWS = 500
+TEXT_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,10 +47,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of TEXT_ROWS rows, so that a Python worker holds few whole texts at once; a session's own setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(TEXT_ROWS))
+    """Arrow batches of TEXT_ROWS rows and TEXT_BYTES bytes, so that a Python worker holds few whole texts at once; a session's own settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(TEXT_ROWS))
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, str(TEXT_BYTES))
+
+
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: workers live on, and what each once needed adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column, how: str = "left") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import components, cut, join_heavy, text_batches
+from jurispark.llm.shared import components, cut, give_back, join_heavy, text_batches
 
 SEED, SHINGLE, DISTANCE, BANDS = 42, 3, 3, 7
 LOW_BITS = 0x5555555555555555
@@ -61,6 +61,7 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint(text: pd.Series) -> pd.Series:
+    give_back()
     parts = [fingerprints(text.iloc[i : i + 256].tolist()) for i in range(0, len(text), 256)]
     return pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 

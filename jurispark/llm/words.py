@@ -6,8 +6,6 @@ number, modulo 2^64, read off running sums; equal words have equal hashes whatev
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -18,20 +16,21 @@ ODD = {"byte": 0x9E3779B97F4A7C15, "short": 0xC2B2AE3D27D4EB4F, "long": 0xD6E8FE
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=None)
-def _powers(odd: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of odd and of its inverse modulo 2^64."""
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def run(x: int) -> np.ndarray:
-        out = np.full(size, x, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
 
-    return run(odd), run(pow(odd, -1, 1 << 64))
+def powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of odd and of its inverse modulo 2^64; the longest run of them asked for is kept."""
+    if odd not in _POWERS or len(_POWERS[odd][0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
 
+        def run(x: int) -> np.ndarray:
+            out = np.full(size, x, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
 
-def powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(p[:n] for p in _powers(odd, 1 << max(16, int(n - 1).bit_length() if n > 1 else 1)))
+        _POWERS[odd] = run(odd), run(pow(odd, -1, 1 << 64))
+    return tuple(p[:n] for p in _POWERS[odd])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
