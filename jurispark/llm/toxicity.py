@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.llm.shared import small, text_batches
+from jurispark.llm.shared import cut, small, text_batches
 
 MIN_PREFIX, MAX_PREFIX = 4, 12
 MIN_DOCUMENTS = 5
@@ -214,15 +214,21 @@ def attach(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataF
     return docs.join(small(one, 16), doc_id)
 
 
+def distinct_texts(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """(text, label), a row for each distinct text of a label; copies are told by a content hash and leave before the shuffle."""
+    return cut(rows.select(text, label, F.sha2(text, 256).alias("__hash")).dropDuplicates(["__hash", label]).select(text, label))
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """A lexicon of all labelled rows: entries of at least MIN_DOCUMENTS toxic texts and log odds of MIN_LOG_ODDS.
 
-    An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, so words of copied texts are none. Counts cover all labelled rows; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
+    An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, at any size of the data. Counts cover all labelled rows,
+    a text and its copies counting once a label; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
     toxic texts. Phrases around hits in clean rows become exceptions, next to those given. Slope and bias are
-    fitted to about `sample_rows` labelled rows drawn by a hash of the id. Without toxic rows the lexicon is empty.
+    fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic rows the lexicon is empty.
     """
     text_batches(docs.sparkSession)
-    rows = attach(docs.select(doc_id, text), labels.select(doc_id, label), doc_id, label)
+    rows = distinct_texts(attach(docs.select(doc_id, text), labels.select(doc_id, label), doc_id, label), text, label)
     bad, good = (rows.where(F.col(label) == y).select(text) for y in (1, 0))
     common = bad.mapInPandas(_counts(text), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     common = common.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("entry") == "")).orderBy(F.desc("n"), "entry").limit(10 * LEXICON_SIZE)
@@ -237,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     likely = {e: w for e, w in odds.items() if w >= MIN_LOG_ODDS}
     met = bad.mapInPandas(_contexts(text, Lexicon(likely)), "entry string, context string").groupBy("entry").agg(F.count_distinct("context").alias("n"))
     varied = {r["entry"]: r["n"] for r in met.collect()}  # a row an entry at most
-    likely = {e: w for e, w in likely.items() if varied.get(e, 0) >= max(MIN_DOCUMENTS, toxic[e] / 2)}
+    likely = {e: w for e, w in likely.items() if varied.get(e, 0) >= MIN_DOCUMENTS}
     weights = dict(sorted(likely.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
     lexicon = Lexicon(weights, frozenset(" ".join(fold(e).split()) for e in exceptions))
     share = min(1 << 20, (sample_rows << 20) // max(1, sum(totals)) + 1)
@@ -249,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         for part in parts:
             yield pd.DataFrame({"x": [density(t, lexicon) for t in part[text]], "y": part[label].astype("int64")})
 
-    drawn = rows.where(F.pmod(F.xxhash64(doc_id, F.lit(2)), F.lit(1 << 20)) < share).select(text, label)
+    drawn = rows.where(F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 20)) < share).select(text, label)
     pairs = np.array(sorted((r["x"], r["y"]) for r in drawn.mapInPandas(measure, "x double, y long").collect())).reshape(-1, 2)
     slope, bias = logistic(pairs[:, 0], pairs[:, 1])
     return Lexicon(weights, lexicon.exceptions, slope, bias)

@@ -185,6 +185,31 @@ def test_toxicity_learns(spark, documents, empty):
     assert all(r["predicted"] == 0 for r in rows(toxicity.toxicity(documents, none)))
 
 
+def toxic_rows(texts, labels):
+    return [(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))]
+
+
+def learned(spark, rows_):
+    df = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
+    return toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+
+def test_toxic_words_of_copied_and_of_many_texts_stay(spark):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(200)]
+
+    def around(word, before, behind):
+        return " ".join([*rng.sample(words, 20), before, word, behind, *rng.sample(words, 20)])
+
+    copied = around("vilething", "word1", "word2") + " neutralword"
+    bad = [copied] * 300 + [around("vilething", rng.choice(words), rng.choice(words)) for _ in range(20)]
+    bad += [around("nastyword", f"word{i % 3}", f"word{i // 3 % 3}") for i in range(60)]
+    good = [" ".join(rng.sample(words, 40)) for _ in range(300)]
+    lexicon = learned(spark, toxic_rows(bad + good, [1] * len(bad) + [0] * len(good)))
+    assert all(toxicity.hits(f" {w} ", lexicon) for w in ("vilething", "nastyword"))
+    assert not any(toxicity.hits(f" {w} ", lexicon) for w in ("neutralword", "word1"))
+
+
 def test_language_id(spark, documents, empty):
     rng = random.Random(6)
     kinds = {"xx": ["kato", "belu", "miro"], "yy": ["gwyn", "thorp", "yrst"], "zz": ["śćż", "łąka", "ęśń"]}
