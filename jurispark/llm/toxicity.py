@@ -28,6 +28,7 @@ MIN_PREFIX, MAX_PREFIX = 4, 12
 MIN_DOCUMENTS = 5
 LEXICON_SIZE = 20_000
 MIN_LOG_ODDS = 3.0
+EXCEPTION_LOG_ODDS = 0.0
 SAMPLE_ROWS = 20_000
 
 # Signs and digits read as letters between letters, and look-alike letters of other scripts.
@@ -192,22 +193,30 @@ def _contexts(text: str, lexicon: Lexicon):
     return run
 
 
-def _phrases(text: str, lexicon: Lexicon):
-    """Two-word phrases around hits in texts labelled clean."""
+def _phrases(text: str, label: str, lexicon: Lexicon):
+    """In how many toxic and clean texts each two-word phrase with a hit occurs."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = Counter()
         for part in parts:
-            for t in part[text]:
-                folded = fold(t) if t else " "
+            found = {1: Counter(), 0: Counter()}
+            for t, y in zip(part[text], part[label]):
+                folded, own = fold(t) if t else " ", set()
                 for begin, *_ in hits(folded, lexicon):
-                    words = folded[max(0, folded.rfind(" ", 0, max(0, begin))) : ].split(" ", 4)[:4]
-                    found.update({" ".join(p) for p in zip([w for w in words if w], [w for w in words if w][1:])})
-        yield pd.DataFrame({"phrase": list(found), "n": list(found.values())}).astype({"phrase": "object", "n": "int64"})
+                    before = folded[folded.rfind(" ", 0, begin) + 1 : begin] if begin else ""
+                    hit, behind = folded[begin + 1 :].split(" ", 2)[:2]
+                    own.update(f"{a} {b}" for a, b in ((before, hit), (hit, behind)) if a and b)
+                found[int(y)].update(own)
+            every = sorted(found[1].keys() | found[0].keys())
+            yield pd.DataFrame({"phrase": every, "bad": [found[1][p] for p in every], "good": [found[0][p] for p in every]}).astype({"phrase": "object", "bad": "int64", "good": "int64"})
 
     return run
 
 
+def _log_odds(bad: Column, good: Column, totals: tuple[int, int]) -> Column:
+    """The smoothed log of how much commoner something is in toxic than in clean texts; totals are of clean and toxic ones."""
+    return F.log((bad + 0.5) / (totals[1] + 1)) - F.log((good + 0.5) / (totals[0] + 1))
+
+
 def attach(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     """docs with the labels of their ids, the largest of several; a broadcast only if the counted labels are small."""
     one = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias(label))
@@ -224,7 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, at any size of the data. Counts cover all labelled rows,
     a text and its copies counting once a label; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
-    toxic texts. Phrases around hits in clean rows become exceptions, next to those given. Slope and bias are
+    toxic texts. Two-word phrases with a hit in MIN_DOCUMENTS clean texts, and no larger
+    a share of the toxic than of the clean ones, become exceptions, next to those given. Slope and bias are
     fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic rows the lexicon is empty.
     """
     text_batches(docs.sparkSession)
@@ -247,8 +257,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     weights = dict(sorted(likely.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
     lexicon = Lexicon(weights, frozenset(" ".join(fold(e).split()) for e in exceptions))
     share = min(1 << 20, (sample_rows << 20) // max(1, sum(totals)) + 1)
-    around = good.mapInPandas(_phrases(text, lexicon), "phrase string, n long")
-    spared = around.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "phrase").limit(LEXICON_SIZE)
+    around = rows.where(F.col(label).isin(0, 1)).mapInPandas(_phrases(text, label, lexicon), "phrase string, bad long, good long")
+    around = around.groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    spared = around.where((F.col("good") >= MIN_DOCUMENTS) & (_log_odds(F.col("bad"), F.col("good"), totals) <= EXCEPTION_LOG_ODDS)).select("phrase")
     lexicon = Lexicon(weights, lexicon.exceptions | {r["phrase"] for r in spared.collect()})
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

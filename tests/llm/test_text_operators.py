@@ -210,6 +210,22 @@ def test_toxic_words_of_copied_and_of_many_texts_stay(spark):
     assert not any(toxicity.hits(f" {w} ", lexicon) for w in ("neutralword", "word1"))
 
 
+def test_exceptions_are_commoner_in_clean_texts(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(200)]
+
+    def with_(phrase):
+        return " ".join([*rng.sample(words, 20), *phrase.split(), *rng.sample(words, 20)])
+
+    bad = [with_("vilething people") for _ in range(60)] + [with_(f"vilething {rng.choice(words)}") for _ in range(200)]
+    quoting = [with_("vilething people") for _ in range(6)] + [with_("vilething indeed " * 5)]
+    spared = [with_("vilething museum") for _ in range(8)]
+    good = quoting + spared + [" ".join(rng.sample(words, 40)) for _ in range(1200)]
+    lexicon = learned(spark, toxic_rows(bad + good, [1] * len(bad) + [0] * len(good)))
+    assert toxicity.hits(" vilething ", lexicon) and lexicon.exceptions == {"vilething museum"}
+    assert toxicity.hits(toxicity.fold("vilething people"), lexicon) and not toxicity.hits(toxicity.fold("a vilething museum"), lexicon)
+
+
 def test_language_id(spark, documents, empty):
     rng = random.Random(6)
     kinds = {"xx": ["kato", "belu", "miro"], "yy": ["gwyn", "thorp", "yrst"], "zz": ["śćż", "łąka", "ęśń"]}
