@@ -26,7 +26,6 @@ from jurispark.llm.shared import cut, small, text_batches
 
 MIN_PREFIX, MAX_PREFIX = 4, 12
 MIN_DOCUMENTS = 5
-LEXICON_SIZE = 20_000
 MIN_LOG_ODDS = 3.0
 EXCEPTION_LOG_ODDS = 0.0
 SAMPLE_ROWS = 20_000
@@ -153,28 +152,33 @@ def density(text: str | None, lexicon: Lexicon) -> float:
     return sum(w for *_, w in found) / np.log(np.e + folded.count(" ")) if found else 0.0
 
 
-def _counts(text: str, candidates=None):
-    """In how many texts each entry occurs, of the candidates if given, and under "" the number of texts."""
+def _counts(text: str, label: str):
+    """In how many toxic and clean texts each entry occurs."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, among = Counter(), candidates.value if candidates is not None else None
+        found = {1: Counter(), 0: Counter()}
         for part in parts:
-            for t in part[text]:
-                found[""] += 1
+            for t, y in zip(part[text], part[label]):
                 if t:
-                    own = entries(fold(t))
-                    found.update(own if among is None else own & among)
-            if len(found) > 300_000:
-                yield table(found)
-                found = Counter()
-        yield table(found)
+                    found[int(y)].update(entries(fold(t)))
+            if len(found[1]) + len(found[0]) > 300_000:
+                yield from table(found)
+                found = {1: Counter(), 0: Counter()}
+        yield from table(found)
 
-    def table(found: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"entry": list(found), "n": list(found.values())}).astype({"entry": "object", "n": "int64"})
+    def table(found: dict[int, Counter]) -> Iterator[pd.DataFrame]:
+        for y, own in found.items():
+            n, none = np.fromiter(own.values(), np.int64, len(own)), np.zeros(len(own), np.int64)
+            yield pd.DataFrame({"entry": pd.Series(list(own), dtype="object"), "bad": n if y else none, "good": none if y else n})
 
     return run
 
 
+def without_implied(weights: dict[str, float]) -> dict[str, float]:
+    """weights without entries that never count: a shorter beginning of the same word has as large a weight."""
+    return {e: w for e, w in weights.items() if not any(weights.get(e[:k], 0.0) >= w for k in range(1 + MIN_PREFIX, len(e)))}
+
+
 def _contexts(text: str, lexicon: Lexicon):
     """For each entry that hits, the words before and behind it."""
 
@@ -232,32 +236,28 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """A lexicon of all labelled rows: entries of at least MIN_DOCUMENTS toxic texts and log odds of MIN_LOG_ODDS.
 
     An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, at any size of the data. Counts cover all labelled rows,
-    a text and its copies counting once a label; a lexicon has at most LEXICON_SIZE entries, of ten times as many candidates, the commonest in
-    toxic texts. Two-word phrases with a hit in MIN_DOCUMENTS clean texts, and no larger
+    a text and its copies counting once a label, and only entries with these odds leave Spark. Two-word phrases with a hit in MIN_DOCUMENTS clean texts, and no larger
     a share of the toxic than of the clean ones, become exceptions, next to those given. Slope and bias are
     fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic rows the lexicon is empty.
     """
     text_batches(docs.sparkSession)
     rows = distinct_texts(attach(docs.select(doc_id, text), labels.select(doc_id, label), doc_id, label), text, label)
-    bad, good = (rows.where(F.col(label) == y).select(text) for y in (1, 0))
-    common = bad.mapInPandas(_counts(text), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    common = common.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("entry") == "")).orderBy(F.desc("n"), "entry").limit(10 * LEXICON_SIZE)
-    toxic = {r["entry"]: r["n"] for r in common.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(toxic) - {""})
-    kept = good.mapInPandas(_counts(text, shared), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    clean = {r["entry"]: r["n"] for r in kept.collect()}  # candidates only
-    totals = clean.pop("", 0), toxic.pop("", 0)
+    rows = rows.where(F.col(label).isin(0, 1))
+    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    totals = sizes.get(0, 0), sizes.get(1, 0)
     if not totals[0] or not totals[1]:
         return Lexicon({})
-    odds = {e: float(np.log((n + 0.5) / (totals[1] + 1)) - np.log((clean.get(e, 0) + 0.5) / (totals[0] + 1))) for e, n in toxic.items()}
-    likely = {e: w for e, w in odds.items() if w >= MIN_LOG_ODDS}
+    counted = rows.mapInPandas(_counts(text, label), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = counted.where(F.col("bad") >= MIN_DOCUMENTS).select("entry", _log_odds(F.col("bad"), F.col("good"), totals).alias("w"))
+    likely = {r["entry"]: r["w"] for r in odds.where(F.col("w") >= MIN_LOG_ODDS).collect()}
+    bad = rows.where(F.col(label) == 1).select(text)
     met = bad.mapInPandas(_contexts(text, Lexicon(likely)), "entry string, context string").groupBy("entry").agg(F.count_distinct("context").alias("n"))
     varied = {r["entry"]: r["n"] for r in met.collect()}  # a row an entry at most
     likely = {e: w for e, w in likely.items() if varied.get(e, 0) >= MIN_DOCUMENTS}
-    weights = dict(sorted(likely.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
+    weights = without_implied(likely)
     lexicon = Lexicon(weights, frozenset(" ".join(fold(e).split()) for e in exceptions))
     share = min(1 << 20, (sample_rows << 20) // max(1, sum(totals)) + 1)
-    around = rows.where(F.col(label).isin(0, 1)).mapInPandas(_phrases(text, label, lexicon), "phrase string, bad long, good long")
+    around = rows.mapInPandas(_phrases(text, label, lexicon), "phrase string, bad long, good long")
     around = around.groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     spared = around.where((F.col("good") >= MIN_DOCUMENTS) & (_log_odds(F.col("bad"), F.col("good"), totals) <= EXCEPTION_LOG_ODDS)).select("phrase")
     lexicon = Lexicon(weights, lexicon.exceptions | {r["phrase"] for r in spared.collect()})

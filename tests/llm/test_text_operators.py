@@ -226,6 +226,27 @@ def test_exceptions_are_commoner_in_clean_texts(spark):
     assert toxicity.hits(toxicity.fold("vilething people"), lexicon) and not toxicity.hits(toxicity.fold("a vilething museum"), lexicon)
 
 
+def test_rare_toxic_words_stay_behind_common_neutral_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON_SIZE", 10, raising=False)
+    rng = random.Random(10)
+    words = [f"word{i}" for i in range(200)]
+    rare = [f"{a}{b}vile" for a in "bcdfg" for b in "aeiou"]
+    bad = [" ".join([*rng.sample(words, 20), w, *rng.sample(words, 20)]) for w in rare for _ in range(6)]
+    good = [" ".join(rng.sample(words, 40)) for _ in range(600)]
+    lexicon = learned(spark, toxic_rows(bad + good, [1] * len(bad) + [0] * len(good)))
+    assert all(toxicity.hits(f" {w} ", lexicon) for w in rare)
+    assert not toxicity.hits(toxicity.fold(" ".join(words)), lexicon)
+
+
+def test_implied_beginnings_leave_scores_alone():
+    weights = {" vile": 4.0, " vilet": 4.0, " vileth": 5.0, " vilething ": 4.5, " vile ": 3.5, " nasty ": 3.0}
+    kept = toxicity.without_implied(weights)
+    assert kept == {" vile": 4.0, " vileth": 5.0, " nasty ": 3.0}
+    text = toxicity.fold("vile vilet vilething nasty vileness")
+    a, b = (toxicity.hits(text, toxicity.Lexicon(w)) for w in (weights, kept))
+    assert [(x, w) for x, _, w in a] == [(x, w) for x, _, w in b]
+
+
 def test_language_id(spark, documents, empty):
     rng = random.Random(6)
     kinds = {"xx": ["kato", "belu", "miro"], "yy": ["gwyn", "thorp", "yrst"], "zz": ["śćż", "łąka", "ęśń"]}
