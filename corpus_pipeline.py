@@ -39,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words and more that occur twice are cut out of the texts; a document of which nothing is left goes."""
-    out = repeats.remove_repeats(docs, keep_space=True)
+    """Passages of 35 words and more that occur twice stay at one place and are cut out of the others; a document of which nothing is left goes."""
+    out = repeats.remove_repeats(docs, keep_space=True, keep_one=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = out.where("n_words = 0 OR n_removed < n_words").withColumn("text", text)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -7,7 +7,8 @@ twice has a block that some rolling 18-word window elsewhere equals.
    windows, with a mark on those of aligned blocks, in one packed row a bucket.
 2. A bucket answers each chunk with the hashes that are an indexed block and occur more than once.
 3. A chunk extends its hits left and right to all 35-word windows around them and sends the distinct 96-bit hashes of these.
-4. A bucket answers one bit for each: whether it occurs more than once. Overlapping windows join to maximal repeats.
+4. A bucket answers two bits for each: whether it occurs more than once, and whether the chunk is the first that holds it. Overlapping
+   windows join to maximal repeats; to keep one occurrence, the first chunk spares the window of its smallest id.
 
 A hash crosses the shuffle once a chunk however often it occurs, so a passage in a third of all rows costs a few bytes a chunk,
 and pairs are never formed. The rows are shuffled once; the three steps that read them reuse that exchange. Chunks and
@@ -20,6 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,39 +180,69 @@ def _meet_windows(table: pa.Table) -> pa.Table:
     marked = np.ascontiguousarray(raw[:, :8]).view(np.uint64)[:, 0]
     check = np.ascontiguousarray(raw[:, 8:]).view(np.uint32)[:, 0]
     h = marked >> ONE
-    order = np.lexsort((check, h))
+    chunk = table.column("chunk").combine_chunks()
+    order = np.lexsort((np.repeat(chunk.to_numpy(), list(map(len, raws))), check, h))
     h, check = h[order], check[order]
     starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]))
     counts = np.diff(np.concatenate([starts, [len(h)]]))
     many = np.logical_or.reduceat((marked & ONE)[order] > 0, starts) | (counts > 1)
     repeated = np.empty(len(h), bool)
     repeated[order] = np.repeat(many, counts)
+    first = np.zeros(len(h), bool)
+    first[order[starts]] = True
     at = np.cumsum([0, *map(len, raws)])
-    bits = [np.packbits(repeated[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-    return pa.table([table.column("chunk").combine_chunks(), [1] * len(bits), [bucket] * len(bits), bits], schema=ANSWER_SCHEMA)
+    bits = [np.packbits(repeated[a:b]).tobytes() + np.packbits(first[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+    return pa.table([chunk, [1] * len(bits), [bucket] * len(bits), bits], schema=ANSWER_SCHEMA)
+
+
+def _places(ids: pa.ChunkedArray, found: list) -> np.ndarray:
+    """The place of each candidate window in the order of ids and, in a row, of words."""
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    parts, seen = [np.zeros(0, np.int64)], 0
+    for _, i, j, _, _, firsts, full, *_ in found:
+        row = np.searchsorted(firsts, full, side="right") - 1
+        parts.append((rank[seen + row] << 32) | (full - firsts[row]))
+        seen += j - i
+    return np.concatenate(parts)
+
+
+def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Which of n words the windows that begin at starts hold."""
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + window, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
-def _remove(buckets: int, block: int, window: int, text: str, carry: list[str], keep_space: bool):
+def _remove(buckets: int, block: int, window: int, text: str, doc_id: str, carry: list[str], keep_space: bool, keep_one: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         give_back()
         found = list(_candidates(table, _hits(answers), buckets, block, window, text)) if table.num_rows else []
         order, starts, h, _ = _sorted_windows(found)
-        repeated = np.zeros(len(starts), bool)
+        repeated, owned = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
         home = _bucket(h[starts], buckets)
         steps, of, data = answers.column("step").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data")
         for k in (k for k, s in enumerate(steps) if s == 1):
             a, b = np.searchsorted(home, [of[k], of[k] + 1])
-            repeated[a:b] = np.unpackbits(_blob(data, k, np.uint8), count=b - a).astype(bool)
+            many, first = _blob(data, k, np.uint8).reshape(2, -1)
+            repeated[a:b] = np.unpackbits(many, count=b - a).astype(bool)
+            owned[a:b] = np.unpackbits(first, count=b - a).astype(bool)
+        counts = np.diff(np.concatenate([starts, [len(h)]]))
         windows = np.empty(len(h), bool)
-        windows[order] = np.repeat(repeated, np.diff(np.concatenate([starts, [len(h)]])))
+        windows[order] = np.repeat(repeated, counts)
+        spared = np.zeros(len(h), bool)
+        if keep_one and len(h):
+            place = _places(table.column(doc_id), found)[order]
+            earliest = place == np.repeat(np.minimum.reduceat(place, starts), counts)
+            spared[order] = earliest & np.repeat(repeated & owned, counts)
         n_words, n_removed, texts, begins, ends, spans, used = [], [], [], [], [], [0], 0
         for part, i, j, raw, offsets, firsts, full, *_ in found:
-            own = full[windows[used : used + len(full)]]
+            now = slice(used, used + len(full))
             used += len(full)
-            change = np.zeros(int(firsts[-1]) + 1, np.int32)
-            np.add.at(change, own, 1)
-            np.add.at(change, own + window, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = _covered(full[windows[now] & ~spared[now]], window, int(firsts[-1]))
+            if keep_one:
+                gone &= ~_covered(full[spared[now]], window, int(firsts[-1]))
             sums = np.concatenate([[0], np.cumsum(gone)])
             n_words.append(np.diff(firsts))
             n_removed.append(sums[firsts[1:]] - sums[firsts[:-1]])
@@ -242,10 +274,11 @@ def _remove(buckets: int, block: int, window: int, text: str, carry: list[str],
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, keep_space: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, keep_space: bool = False, keep_one: bool = False) -> DataFrame:
     """docs with n_words, n_removed, kept_text and removed_spans (word positions, end excluded).
 
-    Removed is every word covered by a window of `window` words that also starts anywhere else, in the same text included. kept_text
+    Removed is every word covered by a window of `window` words that also starts anywhere else, in the same text included. With keep_one
+    the first occurrence of each such window, in the order of chunks and then of ids, stays whole, also where others overlap it. kept_text
     has the other words, joined by one space, or with the white space behind each if keep_space. A null or empty text has no
     words and gives an empty kept_text; rows that repeat count as occurrences of their own; an empty table gives an empty
     table. Columns of docs named like results are replaced, other columns are carried along.
@@ -261,4 +294,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_extend(parts, block, window, text, chunk), SENT)
     answers = hits.unionByName(grown.groupBy("bucket").applyInArrow(_meet_windows, ANSWER))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + [f"{k} {v}" for k, v in RESULTS.items()])
-    return rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_remove(parts, block, window, text, carry, keep_space), schema)
+    return rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_remove(parts, block, window, text, doc_id, carry, keep_space, keep_one), schema)

@@ -247,6 +247,27 @@ def test_implied_beginnings_leave_scores_alone():
     assert [(x, w) for x, _, w in a] == [(x, w) for x, _, w in b]
 
 
+def windows_of(texts):
+    split = [(t or "").split() for t in texts]
+    return Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+
+
+def test_pipeline_keeps_one_of_each_passage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rng.sample(words, n)) for n in (35, 50, 90, 200)]
+    texts = [" ".join([*rng.sample(words, 20), p, *rng.sample(words, 20)]) for p in passages for _ in range(6)]
+    texts += [passages[2], passages[2], f"{passages[0]} {passages[1]} {passages[0]} {passages[1]}", "a b c " * 60, passages[3][300:] + " " + passages[1]]
+    texts += [t.rsplit(" ", 3)[0] + " other end words" for t in texts[:8]]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = windows_of(r["text"] for r in rows(corpus_pipeline.substring_dedup(spark, df, "")))
+    twice = {w for w, n in windows_of(texts).items() if n > 1}
+    assert twice and not twice - set(left)
+    assert sum(left[w] for w in twice) < 1.1 * len(twice)
+
+
 def test_language_id(spark, documents, empty):
     rng = random.Random(6)
     kinds = {"xx": ["kato", "belu", "miro"], "yy": ["gwyn", "thorp", "yrst"], "zz": ["śćż", "łąka", "ęśń"]}
