@@ -31,18 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, once a context; needless where it is installed on them or in PYTHONPATH."""
+    """Gives Python workers this package, once a context; needless where it is installed on them or in PYTHONPATH.
+
+    Executors fetch the archive from the driver whenever they start, so it lives as long as the context: the context holds its folder.
+    """
     context = spark.sparkContext
-    if getattr(context, "_jurispark_shipped", False) or _on_python_path():
+    if getattr(context, "_jurispark_shipped", None) or _on_python_path():
         return
     package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "jurispark.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(archive))
-    context._jurispark_shipped = True
+    folder = tempfile.TemporaryDirectory(prefix="jurispark-")
+    archive = Path(folder.name) / "jurispark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._jurispark_shipped = folder
 
 
 def _on_python_path() -> bool:
