@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,48 +39,45 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, sha1, response): for each page and payload the page_id of the response, itself or another.
+def plan_records(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(sha1, largest, copies, held): for each payload the largest page_id, its rows with that id, and all its rows. A null page_id never is the largest."""
+    slim = pages.select(F.col(page_id).alias("page_id"), F.sha1(_payload(html)).alias("sha1")).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    return cut(slim.groupBy("sha1").agg(F.max("page_id").alias("largest"), F.max_by("n", "page_id").alias("copies"), F.sum("n").alias("held")))
 
-    Rows that repeat are one; rows of one payload that all have the largest page_id are all responses. A null page_id never is
-    the response of another page.
-    """
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
-    slim = pages.select(F.col(page_id).alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
-    slim = cut(slim.distinct())
-    best = cut(slim.groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("held")))
-    out = join_heavy(slim, best, ["sha1"], "held", max(1, slim.count()), F.col("page_id"))
-    return out.select("page_id", "sha1", F.when(F.col("bytes") >= min_bytes, F.col("largest")).otherwise(F.col("page_id")).alias("response"))
+
+def _payload(html: str):
+    return F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
 
 
-def _header(kind: str, page: int | None, uri: str | None, digest: str, http: bytes, length: int, response: int | None) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD}{page}>", f"WARC-Date: {DATE}"]
+def _header(kind: str, record: str, uri: str | None, digest: str, http: bytes, length: int, response: int | None) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}>", f"WARC-Date: {DATE}"]
     if uri:
         lines.append(f"WARC-Target-URI: {''.join(uri.split())}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD}{response}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD}{response}:{digest}>"]
     lines.append(f"Content-Length: {len(http) + length}")
     return "\r\n".join(lines).encode() + END + http
 
 
 def _write(chunk_bytes: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row = TaskContext.get().partitionId(), 0
         for part in parts:
             rows = []
             held = 0
-            for page, uri, html, response in zip(*(part.column(c) for c in ("page_id", "url", "html", "response"))):
-                page, response = page.as_py(), response.as_py()
+            for page, uri, html, revisit, response, alone in zip(*(part.column(c) for c in ("page_id", "url", "html", "revisit", "response", "alone"))):
+                page, revisit, response, row = page.as_py(), revisit.as_py(), response.as_py(), row + 1
                 buffer = html.as_buffer() if html.is_valid else None
                 payload = memoryview(buffer) if buffer is not None else memoryview(b"")
                 sha = hashlib.sha1()
-                revisit = response is not None and response != page
                 for k in range(0, len(payload), chunk_bytes):
                     sha.update(payload[k : k + chunk_bytes])
                 whole = base32(sha.digest())
+                record = f"{RECORD}{'' if page is None else page}:{whole}" + ("" if alone.as_py() else f":{task}-{row}")
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 body = memoryview(b"") if revisit else payload
-                head = _header("revisit" if revisit else "response", page, uri.as_py(), whole, http, len(body), response)
+                head = _header("revisit" if revisit else "response", record, uri.as_py(), whole, http, len(body), response)
                 total = len(head) + len(body) + len(END)
                 n, running, done = -(-total // chunk_bytes), hashlib.sha1(), 0
                 for c in range(n):
@@ -87,7 +85,7 @@ def _write(chunk_bytes: int):
                     a, b = (min(max(x - len(head), 0), len(body)) for x in (low, high))
                     running.update(body[a:b])
                     data = head[low:high] + bytes(body[a:b]) + END[max(0, low - len(head) - len(body)) : max(0, high - len(head) - len(body))]
-                    rows.append((f"{RECORD}{page}", c, n, data, base32(running.digest())))
+                    rows.append((record, c, n, data, base32(running.digest())))
                     held += len(data)
                     done += b - a
                     if held >= 16 * chunk_bytes:
@@ -107,15 +105,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> str:
     """Writes the archives of pages as a record table and returns its path, by default a new one in the shared folder.
 
-    A null html is an empty payload; other columns are left out; an empty table gives a table without records.
+    A null html is an empty payload; other columns are left out; an empty table gives a table without records. Every row is a record of
+    its own, also where rows repeat or have no page_id: an id is the page_id and the payload's digest, and for all but a response
+    whose page_id no other row of its payload has, the writing task and a row number. Rows of one payload that all have the largest
+    page_id, or all have none, are all responses; a revisit of repeated responses names what their ids begin with.
     """
     text_batches(pages.sparkSession)
     path = path or shared_path(pages.sparkSession, "warc")
-    planned = plan_records(pages, page_id, html, min_bytes)
-    sha1 = F.sha1(F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8"))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), sha1.alias("sha1"))
-    same = rows["page_id"].eqNullSafe(planned["page_id"]) & (rows["sha1"] == planned["sha1"])
-    joined = rows.join(planned, same, "left").select(rows["page_id"], "url", "html", "response")
+    planned = plan_records(pages, page_id, html)
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.sha1(_payload(html)).alias("sha1"))
+    total = planned.agg(F.sum("held")).first()[0] or 1
+    joined = join_heavy(rows, planned, ["sha1"], "held", total, F.monotonically_increasing_id())
+    revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")) & (F.octet_length(_payload("html")) >= min_bytes)
+    alone = F.col("page_id").eqNullSafe(F.col("largest")) & F.col("page_id").isNotNull() & (F.col("copies") == 1)
+    joined = joined.select("page_id", "url", "html", revisit.alias("revisit"), F.col("largest").alias("response"), alone.alias("alone"))
     joined.mapInArrow(_write(chunk_bytes), TABLE).write.parquet(path)
     return path
 
@@ -161,7 +164,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(uri: str) -> int | None:
-    found = uri.strip("<>").removeprefix(RECORD)
+    found = uri.strip("<>").removeprefix(RECORD).partition(":")[0]
     return int(found) if found.lstrip("-").isdigit() else None
 
 
@@ -181,8 +184,8 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(records: DataFrame) -> DataFrame:
     """One row a record of a record table: what its bytes say, with the payload's digest computed anew from the chunks.
 
-    Records whose bytes do not match their header are given with intact false. Records with a null or equal id that have more
-    than one chunk cannot be told apart and should have equal bytes.
+    Records whose bytes do not match their header are given with intact false. Each record's id has to be its own, as `write` makes it;
+    an empty table gives no rows.
     """
     records = records.select("record_id", "chunk", "n_chunks", "data")
     short = records.where("n_chunks = 1").mapInArrow(_read, PAGES)
