@@ -64,9 +64,24 @@ def test_warc_least_size_damage_and_empty(spark):
 
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
+    seen, stored = Counter(), vectors.cut
+
+    def cut(df):
+        out = stored(df)
+        if out.columns == ["kind", "a", "b", "a_copies", "b_copies", "sure"]:
+            seen.update((r["kind"], r["sure"]) for r in out.select("kind", "sure").collect())
+        return out
+
+    monkeypatch.setattr(vectors, "cut", cut)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 32))
-    x = np.concatenate([c + 0.15 * rng.normal(size=(n, 32)) for c, n in zip(centres, [60, 30, 20] + [3] * 9)] + [rng.normal(size=(40, 32))]).astype(np.float32)
+    near = centres[:2] + 0.12 * rng.normal(size=(2, 32))
+    kinds = [(c, n, 0.15) for c, n in zip(centres, [60, 30, 20] + [3] * 9)] + [(centres[0], 40, 0.05), (near[0], 40, 0.05), (centres[1], 30, 0.22), (near[1], 25, 0.1), (centres[2] + 0.25 * rng.normal(size=32), 30, 0.03)]
+    alone, aside = rng.normal(size=(2, 32))
+    aside -= (aside @ alone) / (alone @ alone) * alone
+    aside *= np.linalg.norm(alone) / np.linalg.norm(aside)
+    kinds += [(alone, 30, 0.005), (alone * np.cos(0.32) + aside * np.sin(0.32), 30, 0.005)]
+    x = np.concatenate([c + e * rng.normal(size=(n, 32)) for c, n, e in kinds] + [rng.normal(size=(40, 32))]).astype(np.float32)
     data = [(i * 3 % 1013, [float(v) for v in e], i % 2 if i % 17 else None) for i, e in enumerate(x)]
     data += [(2000, data[1][1], 1), (2001, data[1][1], 1), (2002, None, 1), (2003, [0.0] * 32, 1), (2004, [float("nan")] * 32, 1), (2005, [], 1), (2006, data[1][1][:16], 1), (2007, [None] + data[1][1][1:], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
@@ -87,13 +102,14 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         if new == root:
             break
         root = new
-    for block in (1024, 16):
+    for block, dense in ((16, 10**9), (1024, 8), (16, 4)):
         monkeypatch.setattr(vectors, "BLOCK", block)
-        found = {r["vec_id"]: r for r in rows(vectors.near_duplicates(df))}
+        found = {r["vec_id"]: r for r in rows(vectors.near_duplicates(df, dense=dense))}
         assert {k: r["n_links"] for k, r in found.items()} == {k: len(v) for k, v in links.items()}
         assert {k: r["component_id"] for k, r in found.items()} == root
         assert all(r["kept"] == (k == root[k]) for k, r in found.items())
-    assert rows(vectors.near_duplicates(df.where("vec_id < 0"))) == []
+    assert all(seen[k] for k in ((0, True), (1, True), (1, False), (2, True), (2, False)))
+    assert rows(vectors.near_duplicates(df.where("vec_id < 0").withColumn("codes", vectors.F.lit(1)).withColumn("copies", vectors.F.lit(2)))) == []
 
 
 def test_probing_reaches_recall():
