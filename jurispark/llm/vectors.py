@@ -12,8 +12,8 @@ it, or, where angles and radii leave it open, is compared with its members.
 
 Among single vectors all pairs that meet are verified in double precision. A pair that meets in several buckets counts in the first of
 them, which the codes that travel along tell, so links are counted without forming pairs, and a bucket gives one row a
-vector: its number of links and a vector of its part of the bucket's link graph. Buckets of more than BLOCK entries are cut into blocks, and
-each pair of blocks is a task's group of its own.
+vector: its number of links and a vector of its part of the bucket's link graph. Small buckets are compared many at a time; those of more
+than BLOCK entries are cut into blocks, and each pair of blocks is a task's group of its own.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from jurispark.llm.shared import components, cut, join_heavy
 
-TABLES, HASHES, PROBES = 8, 2, 6
-BLOCK = 1024
+TABLES, HASHES, PROBES = 10, 3, 8
+BLOCK, SMALL, PAIRS, PACK = 1024, 64, 1 << 14, 1 << 13
 DENSE, LEADERS, ROUNDS = 64, 8, 4
 MARGIN = 1e-6
 SEED = 5
@@ -103,73 +103,92 @@ def _code_column(tables: int, hashes: int, probes: int):
     return F.arrow_udf(run, T.ArrayType(T.LongType()))
 
 
-def _first_meeting(x: np.ndarray, y: np.ndarray, table: int, bucket: int) -> np.ndarray:
-    """Whether vectors of these codes (..., tables, probes) meet in this bucket first: in no earlier table, nor in a smaller bucket of it."""
-    probes = range(x.shape[-1])
-    earlier = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-2], bool)
-    for t in range(table):
-        for k in probes:
-            earlier |= x[..., t, 0] == y[..., t, k]
-            earlier |= x[..., t, k] == y[..., t, 0]
-    smaller, here = np.zeros_like(earlier), np.zeros_like(earlier)
+def _first_meeting(x: np.ndarray, y: np.ndarray, table: int, bucket: np.ndarray) -> np.ndarray:
+    """Whether vectors of these codes (pairs, tables, probes) meet in these buckets of a table first: in no earlier table, nor in a smaller bucket of it."""
+    earlier = ((x[:, :table, :1] == y[:, :table]) | (y[:, :table, :1] == x[:, :table])).any((1, 2))
+    x, y = x[:, table], y[:, table]
+    smaller, here = np.zeros(len(x), bool), np.zeros(len(x), bool)
     for own, other in ((x, y), (y, x)):
-        home = own[..., table, 0]
-        for k in probes:
-            met = home == other[..., table, k]
-            smaller |= met & (home < bucket)
-            here |= met & (home == bucket)
+        home = own[:, 0]
+        met = (home[:, None] == other).any(1)
+        smaller |= met & (home < bucket)
+        here |= met & (home == bucket)
     return here & ~smaller & ~earlier
 
 
+def _pairs(x: np.ndarray, cell: np.ndarray, block: np.ndarray, apart: bool, least: np.ndarray | float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, q, cosine) of the pairs in each cell, of those in different blocks if apart, whose cosine is at least `least`: small cells of one size
+    at a time, larger ones by slabs of a matrix. Rows are in the order of cells."""
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(cell)]]))
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        first, second = np.triu_indices(n, 1)
+        begins, step = starts[sizes == n], max(1, PAIRS // len(first))
+        for k in range(0, len(begins), step):
+            p, q = ((begins[k : k + step, None] + e).ravel() for e in (first, second))
+            if apart:
+                p, q = p[block[p] != block[q]], q[block[p] != block[q]]
+            cos = np.einsum("ij,ij->i", x[p], x[q])
+            near = cos >= least
+            yield p[near], q[near], cos[near]
+    for begin, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        end = begin + n
+        for a in range(begin, end, 128):
+            b = min(end, a + 128)
+            cos = x[a:b] @ x[a:end].T
+            near = (cos >= least) & (np.arange(b - a)[:, None] < np.arange(end - a))
+            if apart:
+                near &= block[a:b, None] != block[None, a:end]
+            p, q = np.nonzero(near)
+            for k in range(0, len(p), PAIRS):
+                yield p[k : k + PAIRS] + a, q[k : k + PAIRS] + a, cos[p[k : k + PAIRS], q[k : k + PAIRS]]
+
+
 def _verify(threshold: float, tables: int, probes: int):
-    """Compares the entries of a bucket's two blocks. Rows: kind 0, a single's links and the first of its part of the graph; kind 1, a
-    single that may link with a ball's members, and 2, two such balls, with both numbers of vectors and whether all surely link."""
+    """Compares the entries of buckets, or of two blocks of one. Rows: kind 0, a single's links in a bucket and the first of its part of the
+    graph; kind 1, a ball and a single that may link with its members, and 2, two such balls, with both numbers of vectors and whether all surely link."""
     widest = np.arccos(threshold)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        table, bucket, i, j = (group.column(c)[0].as_py() for c in ("table", "bucket", "i", "j"))
-        x = _unit(group.column("vector").combine_chunks())
-        held = group.column("codes").combine_chunks()
-        code = held.values.to_numpy()[held.offsets[0].as_py() :].reshape(len(x), tables, probes).astype(np.int32)
-        entry, copies, radius = (group.column(c).to_numpy() for c in ("entry", "copies", "radius"))
-        ball = group.column("ball").to_numpy(zero_copy_only=False)
-        block = group.column("block").to_numpy()
-        m = len(x)
-        linked, pairs = np.zeros((m, m), bool), [np.zeros((0, 2), np.int64)]
-        sure = [np.zeros(0, bool)]
-        for a in range(0, m, 128):
-            b = min(m, a + 128)
-            cos = x[a:b] @ x.T
-            other = np.arange(a, b)[:, None] < np.arange(m)
-            if i != j:
-                other &= block[a:b, None] != block[None, :]
-            single = ~ball[a:b, None] & ~ball[None, :]
-            near = other & single & (cos >= threshold)
-            p, q = np.nonzero(near)
-            if near.mean() > 0.05:
-                linked[a:b] = near & _first_meeting(code[a:b, None], code[None], table, bucket)
-            elif len(p):
-                here = _first_meeting(code[p + a], code[q], table, bucket)
-                linked[p[here] + a, q[here]] = True
-            if ball.any():
-                wide = radius[a:b, None] + radius[None, :]
-                p, q = np.nonzero(other & ~single & (cos >= np.cos(np.minimum(np.pi, widest + wide + MARGIN))))
-                angle = np.arccos(np.clip(cos[p, q], -1, 1))
-                pairs.append(np.stack([p + a, q], 1))
-                sure.append(angle + wide[p, q] <= widest - MARGIN)
-        linked |= linked.T
-        counted = linked @ copies
+        group = group.take(pa.array(np.argsort(group.column("cell").to_numpy(), kind="stable")))
+        entry, copies, radius, cell, table, bucket, block = (group.column(c).to_numpy() for c in ("entry", "copies", "radius", "cell", "table", "bucket", "block"))
+        apart, ball = group.column("i")[0].as_py() != group.column("j")[0].as_py(), group.column("ball").to_numpy(zero_copy_only=False)
+        held, m = group.column("codes").combine_chunks(), len(entry)
+        code = held.values.to_numpy()[held.offsets[0].as_py() :].reshape(m, tables, probes)
+        every, least = _vectors(group.column("vector").combine_chunks()), np.cos(min(np.pi, widest + 2 * radius.max() + MARGIN)) if ball.any() else threshold
+        links, pairs, sure = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+        for x, at in every:
+            for p, q, cos in _pairs(x, cell[at], block[at], apart, least):
+                p, q = at[p], at[q]
+                single = ~(ball[p] | ball[q])
+                near = single & (cos >= threshold)
+                u, v, t = p[near], q[near], table[p[near]]
+                for k in np.unique(t):
+                    a, b = u[t == k], v[t == k]
+                    here = _first_meeting(code[a], code[b], int(k), bucket[a])
+                    links.append(np.stack([a[here], b[here]], 1))
+                if not single.all():
+                    u, v, angle = p[~single], q[~single], np.arccos(np.clip(cos[~single], -1, 1))
+                    wide = radius[u] + radius[v]
+                    open_ = angle - wide <= widest + MARGIN
+                    pairs.append(np.stack([u, v], 1)[open_])
+                    sure.append((angle + wide <= widest - MARGIN)[open_])
+        u, v = np.concatenate(links).T
+        counted = np.bincount(u, copies[v], m) + np.bincount(v, copies[u], m)
         order = np.argsort(entry, kind="stable")
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        best = rank
+        best = np.empty(m, np.int64)
+        best[order] = np.arange(m)
         while True:
-            new = np.minimum(best, np.where(linked, best[None, :], m).min(1, initial=m))
+            low = np.minimum(best[u], best[v])
+            new = best.copy()
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
             if (new == best).all():
                 break
             best = new
-        some = linked.any(1)
+        some = np.zeros(m, bool)
+        some[u] = some[v] = True
         p, q = np.concatenate(pairs).T
         swap = np.where(ball[p] & ball[q], entry[p] > entry[q], ball[q])
         p, q = np.where(swap, q, p), np.where(swap, p, q)
@@ -181,6 +200,12 @@ def _verify(threshold: float, tables: int, probes: int):
     return run
 
 
+def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and their rows, for each length of vectors."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return [(_unit(column.take(pa.array(np.flatnonzero(sizes == n)))), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
+
+
 def _nearest(reach: float):
     """For each vector of a dense bucket's block the leader within reach that comes first."""
 
@@ -350,12 +375,17 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         every = placed.where("ball IS NULL").select(F.col("rep").alias("entry")).join(every, "entry")
         every = every.unionByName(gathered[1].select(F.col("ball").alias("entry"), "copies", "vector", codeless.alias("codes"), "radius"))
     cells = entries.groupBy(*cell).agg(F.count("*").alias("held"), F.count_if("home").alias("homes"))
-    cells = cut(cells.where("held > 1 AND homes > 0").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
-    meet = join_heavy(entries, cells, cell, "held", max(1, cells.agg(F.sum("held")).first()[0] or 0), F.col("entry"), how="inner")
+    cells = cut(cells.where("held > 1 AND homes > 0").withColumns({"blocks": F.ceil(F.col("held") / BLOCK).cast("int"), "cell": F.monotonically_increasing_id()}))
+    total = cells.agg(F.sum("held")).first()[0] or 0
+    meet = join_heavy(entries, cells.drop("homes"), cell, "held", max(1, total), F.col("entry"), how="inner")
     meet = meet.withColumn("block", F.pmod(F.xxhash64("entry", F.lit(3)), F.col("blocks")).cast("int"))
-    meet = meet.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = cut(meet.join(every, "entry").groupBy(*cell, "i", "j").applyInArrow(_verify(threshold, tables, probes), "kind int, a long, b long, a_copies long, b_copies long, sure boolean"))
+    pack = F.when(F.col("blocks") > 1, F.col("cell")).otherwise(-1 - F.pmod(F.xxhash64("cell"), F.lit(1 + total // PACK)))
+    meet = meet.select("entry", "ball", "table", "bucket", "cell", "blocks", "block", pack.alias("pack"))
+    whole = meet.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    dealt = meet.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    found = whole.unionByName(dealt).join(every, "entry").groupBy("pack", "i", "j")
+    found = cut(found.applyInArrow(_verify(threshold, tables, probes), "kind int, a long, b long, a_copies long, b_copies long, sure boolean"))
     single = found.where("kind = 0")
     links = [single.select(F.col("a").alias("rep"), F.col("a_copies").alias("links"))]
     edges = [single.where("a <> b").select("a", "b")]
