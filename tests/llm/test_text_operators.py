@@ -303,6 +303,7 @@ def test_mixing_meets_weights(spark, documents, empty):
     data = [(i, "w " * rng.randrange(5, 30), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     planned, mix = mixing.plan(df, max_repeats=3.0)
+    assert mix.schedule.count()
     out = rows(planned)
     words = {s: sum(r["n_words"] for r in out if r["source"] == s) for s in sizes}
     read = {s: sum(r["n_words"] * r["copies"] for r in out if r["source"] == s) for s in sizes}
@@ -310,7 +311,96 @@ def test_mixing_meets_weights(spark, documents, empty):
     for s in sizes:
         weight = next(r["weight"] for r in out if r["source"] == s)
         assert abs(read[s] / sum(read.values()) - weight) < 0.01
+    assert Counter(r["doc_id"] for r in rows(mixing.realise(df, mix))) == {r["doc_id"]: r["copies"] for r in out}
     half, _ = mixing.plan(df, max_repeats=3.0, budget=sum(words.values()) // 4)
     assert abs(sum(r["n_words"] * r["copies"] for r in rows(half)) / sum(words.values()) - 0.25) < 0.02
-    assert mixing.realise(df, planned).count() == sum(r["copies"] for r in out)
+    assert mixing.realise(documents, None).count() == 13 and mixing.realise(documents, mixing.plan(documents)[1]).columns == documents.columns
     assert len(rows(mixing.plan(documents)[0])) == 13 and rows(mixing.plan(empty)[0]) == []
+
+
+def mixture(spark, sizes):
+    rng = random.Random(9)
+    data = [(i, "w " * rng.randrange(5, 30), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    return spark.createDataFrame(data, "doc_id long, text string, source string")
+
+
+def test_mixing_keeps_its_limit_under_a_budget(spark):
+    import pytest
+
+    df = mixture(spark, {"a": 600, "b": 150, "c": 40})
+    total = sum(len(r["text"].split()) for r in rows(df))
+    for budget in (total // 2, 2 * total):
+        planned, mix = mixing.plan(df, max_repeats=3.0, budget=budget)
+        out = rows(planned)
+        assert max(r["copies"] for r in out) <= 3
+        assert abs(sum(r["n_words"] * r["copies"] for r in out) / budget - 1) < 0.01
+        if budget == 2 * total:  # the limit binds: the smallest source is read three times, and a smaller exponent would read it oftener
+            assert {r["copies"] for r in out if r["source"] == "c"} == {3} and 0 < mix.exponent < 1
+    with pytest.raises(ValueError):
+        mixing.plan(df, max_repeats=3.0, budget=4 * total)
+
+
+def test_mixing_meets_an_entropy(spark):
+    from math import log
+
+    df = mixture(spark, {"a": 500, "b": 100, "c": 20})
+    words = Counter()
+    for r in rows(df):
+        words[r["source"]] += len(r["text"].split())
+    p = [n / sum(words.values()) for n in words.values()]
+
+    def entropy(a):
+        z = sum(x**a for x in p)
+        return -sum(x**a / z * log(x**a / z) for x in p)
+
+    for target in (0.7, 1.0):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if entropy(mid) <= target else (mid, high)
+        _, mix = mixing.plan(df, target_entropy=target)
+        assert abs(mix.exponent - high) < 1e-6 and abs(mix.entropy - target) < 1e-6
+
+
+def test_mixing_orders_blocks_anew_each_epoch(spark):
+    df = mixture(spark, {"a": 3000, "b": 600})
+    planned, mix = mixing.plan(df, max_repeats=2.5)
+    out = rows(mixing.realise(df, mix, places=True))
+    plan_ = {r["doc_id"]: r for r in rows(planned)}
+    assert Counter(r["doc_id"] for r in out) == {k: r["copies"] for k, r in plan_.items()}
+    ranks = {}
+    for r in sorted(out, key=lambda r: r["place"]):
+        if r["source"] == "b":
+            ranks.setdefault(r["epoch"], []).append(r["block"])
+    first, second = (list(dict.fromkeys(ranks[e])) for e in (0, 1))
+    assert sorted(first) == sorted(second) and first != second and set(ranks[2]) < set(first)
+    total = sum(len(r["text"].split()) for r in out)
+    weight = {r["source"]: r["weight"] for r in plan_.values()}
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = [r for r in out if low <= r["place"] < low + 0.25]
+        n = sum(len(r["text"].split()) for r in part)
+        assert abs(n / total - 0.25) < 0.03 and abs(sum(len(r["text"].split()) for r in part if r["source"] == "b") / n - weight["b"]) < 0.04
+
+
+def test_mixing_tells_equal_ids_of_sources_apart(spark):
+    data = [(1, "a " * 50, "big"), (1, "b " * 10, "small"), (None, "c " * 20, "big"), (None, "", "small"), (2, None, None)] + [(k, "a " * 50, "big") for k in range(3, 40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    planned, mix = mixing.plan(df, max_repeats=2.0)
+    copies = {(r["doc_id"], r["source"]): r["copies"] for r in rows(planned)}
+    assert copies[1, "big"] == 1 and copies[1, "small"] == 2 and copies[2, None] == 1
+    assert Counter((r["doc_id"], r["source"]) for r in rows(mixing.realise(df, mix))) == copies
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    assert rules.greedy_order({(True, False, False): 10, (False, True, False): 9, (True, True, True): 6, (False,) * 3: 50}, [1.0, 1.0, 0.4]) == [0, 1, 2]
+    assert rules.greedy_order({(True, False): 10, (False, True): 9}, [1.0, 1.0]) == [0, 1] and rules.greedy_order({(True, False): 10, (False, True): 9}, [2.0, 1.0]) == [1, 0]
+    # alone rule 1 rejects 8 a unit and rule 2 rejects 7, but of the rows that rule 0 leaves rule 1 rejects none
+    assert rules.greedy_order({(True, True, False): 8, (True, False, False): 4, (False, False, True): 7}, [1.0, 1.0, 1.0]) == [0, 2, 1]
+    assert rules.greedy_order({(False, False): 3}, [2.0, 1.0]) == [1, 0] and rules.greedy_order({(True, True): 3}, [1.0, 1.0]) == [0, 1]
+    words = "one two three four five six seven eight nine ten"
+    texts = [f"{words} {k} {' '.join(words.split()[::-1])} {k + 1} {'bad' if k % 2 else 'good'}" for k in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    slow = rules.F.length(rules.F.regexp_replace(rules.F.repeat("text", 60), "[aeiou]+[^ ]*", "")) < 0
+    each = [rules.Rule("slow", slow | rules.F.contains("text", rules.F.lit("bad"))), rules.Rule("never", rules.F.contains("text", rules.F.lit("#"))), rules.Rule("fast", rules.F.contains("text", rules.F.lit("bad")))]
+    assert [r.name for r in rules.plan_cascade(df, each)][0] == "fast"
+    assert [r.name for r in rules.plan_cascade(df.where("text = ''"), each)] == ["slow", "never", "fast"]
