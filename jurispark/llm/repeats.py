@@ -3,8 +3,8 @@
 Any 35 consecutive words hold a whole aligned block of 18 (blocks start at words 0, 18, 36, ... of a row), so a 35-word passage that occurs
 twice has a block that some rolling 18-word window elsewhere equals.
 
-1. Every row belongs to a chunk by the hash of its id and text. A chunk sends the distinct hashes of all its rolling 18-word
-   windows, with a mark on those of aligned blocks, in one packed row a bucket.
+1. Every row belongs to a chunk by the hash of its id and text; there is a chunk for every CHUNK_BYTES of text. A chunk sends the distinct
+   hashes of all its rolling 18-word windows, with a mark on those of aligned blocks, in one packed row a bucket.
 2. A bucket answers each chunk with the hashes that are an indexed block and occur more than once.
 3. A chunk extends its hits left and right to all 35-word windows around them and sends the distinct 96-bit hashes of these.
 4. A bucket answers two bits for each: whether it occurs more than once, and whether the chunk is the first that holds it. Overlapping
@@ -12,7 +12,8 @@ twice has a block that some rolling 18-word window elsewhere equals.
 
 A hash crosses the shuffle once a chunk however often it occurs, so a passage in a third of all rows costs a few bytes a chunk,
 and pairs are never formed. The rows are shuffled once; the three steps that read them reuse that exchange. Chunks and
-answers depend on the rows alone, so a lost executor's part is computed again alike.
+answers depend on the rows alone, so a lost executor's part is computed again alike. Only rows that repeat MANY times, id and text, are dealt out
+by their place in the table; they are told from no others, so that table has to be a stored one.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurispark.llm import words as W
-from jurispark.llm.shared import give_back, shuffle_partitions, text_batches
+from jurispark.llm.shared import give_back, shuffle_partitions, small, text_batches
 
 WINDOW = 35
+CHUNK_BYTES, MOST_CHUNKS, MANY = 12 << 20, 1 << 24, 10_000
 KEY_BITS = 38
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 ONE = np.uint64(1)
@@ -274,6 +276,23 @@ def _remove(buckets: int, block: int, window: int, text: str, doc_id: str, carry
     return run
 
 
+def _dealt(docs: DataFrame, text: str, doc_id: str, chunk: str) -> tuple[DataFrame, int]:
+    """docs with their chunks, and how many there are: one for CHUNK_BYTES of text, and enough for every shuffle partition."""
+    key = F.xxhash64(doc_id, text)
+    groups = docs.groupBy(key.alias("__key")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
+    total = groups.agg(F.sum("bytes").alias("bytes"), F.max("n").alias("most")).first()
+    chunks = max(2 * shuffle_partitions(docs.sparkSession), -(-(total["bytes"] or 0) // CHUNK_BYTES))
+    if chunks >= MOST_CHUNKS:
+        raise ValueError(f"{chunks} chunks of text, more than {MOST_CHUNKS - 1}: raise CHUNK_BYTES")
+    salt = F.lit(0).cast("long")
+    if (total["most"] or 0) >= MANY:
+        many = small(groups.where(F.col("n") >= MANY).select("__key", F.lit(True).alias("__many")), 16)
+        docs = docs.withColumn("__key", key).join(many, "__key", "left").withColumn("__place", F.monotonically_increasing_id())
+        salt = F.when(F.col("__many"), F.col("__place")).otherwise(0)
+    rows = docs.withColumn(chunk, F.pmod(F.xxhash64(F.col(doc_id), F.col(text), salt), F.lit(chunks)))
+    return rows.drop("__key", "__many", "__place"), chunks
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, keep_space: bool = False, keep_one: bool = False) -> DataFrame:
     """docs with n_words, n_removed, kept_text and removed_spans (word positions, end excluded).
 
@@ -284,11 +303,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     table. Columns of docs named like results are replaced, other columns are carried along.
     """
     text_batches(docs.sparkSession)
-    parts = shuffle_partitions(docs.sparkSession)
     block = (window + 1) // 2
     carry = [c for c in docs.columns if c not in RESULTS]
     chunk = "__chunk"
-    rows = docs.select(*carry).withColumn(chunk, F.pmod(F.xxhash64(doc_id, text), F.lit(2 * parts)))
+    rows, chunks = _dealt(docs.select(*carry), text, doc_id, chunk)
+    parts = max(shuffle_partitions(docs.sparkSession), chunks // 2)
     sent = rows.groupBy(chunk).applyInArrow(_anchors(parts, block, text, chunk), SENT)
     hits = sent.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
     grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_extend(parts, block, window, text, chunk), SENT)
