@@ -48,8 +48,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document once at least, those of smaller sources up to twice."""
-    planned, _ = mixing.plan(docs)
-    return mixing.realise(docs, planned).select(*COLUMNS)
+    _, mix = mixing.plan(docs)
+    return mixing.realise(docs.select(*COLUMNS), mix)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
