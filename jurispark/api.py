@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurispark.functions.judgment import SUMMARY_WINDOW, snippet, summary_of
@@ -20,6 +20,7 @@ from jurispark.operators import fuzzy as Z
 from jurispark.operators import ingest as I
 from jurispark.operators import retrieval as R
 from jurispark.operators import tags as T
+from jurispark.operators.runner import Store
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,45 @@ def search_acts(lib: Library, q: str, most: int = 10) -> DataFrame:
     """Type-ahead over statutes with their articles; nothing for a blank query."""
     found = Z.type_ahead(lib.acts, q, most, "act_number") if q.strip() else lib.acts.withColumns({"bucket": F.lit(0), "similarity": F.lit(0.0)}).limit(0)
     counted = found.join(G.articles_per_act(lib.provisions), "act_id", "left").withColumn("articles", F.coalesce("articles", F.lit(0)))
-    return counted.withColumn("citation", F.format_string("lög nr. %d/%d", "act_number", "year"))
+    return with_addresses(counted)
+
+
+# Where statutes are shown here and where the official text is.
+ACT_PATH, OFFICIAL = "/log/%d-%d", "https://www.althingi.is/lagas/nuna/%d%03d.html"
+
+
+def with_addresses(acts: DataFrame) -> DataFrame:
+    """Statutes with citation, path and official_url; their articles' paths have the anchor behind `#`."""
+    return acts.withColumns({
+        "citation": F.format_string("lög nr. %d/%d", "act_number", "year"), "path": F.format_string(ACT_PATH, "act_number", "year"), "official_url": F.format_string(OFFICIAL, "year", "act_number"),
+    })
+
+
+def filter_acts(acts: DataFrame, q: str) -> DataFrame:
+    """Statutes whose title holds the query, whatever its case, or whose citation, number or an alias does; all for a blank one."""
+    lowered = F.lit(q.strip().lower())
+    number = F.format_string("%d/%d", "act_number", "year")
+    hit = F.contains(F.lower("title"), lowered) | F.contains(F.concat(F.lit("lög nr. "), number), lowered) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(a, lowered))
+    return acts.where(hit) if q.strip() else acts
+
+
+def filter_provisions(provisions: DataFrame, q: str) -> DataFrame:
+    """Articles whose label, heading or any of whose paragraphs holds the query, whatever its case; all for a blank one."""
+    lowered = F.lit(q.strip().lower())
+    holds = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), lowered)
+    hit = holds(F.col("label")) | holds(F.col("heading")) | F.coalesce(F.exists("paragraphs", holds), F.lit(False))
+    return provisions.where(hit) if q.strip() else provisions
+
+
+def hit_count(text: Column, query: str) -> Column:
+    """How often any word of the query occurs in a text, as a pattern and whatever its case; 0 for a blank query or one that is no pattern."""
+    words = query.replace('"', "").split()
+    pattern = "(?iu)" + "|".join(words)
+    try:
+        re.compile("|".join(words))
+    except re.error:
+        return F.lit(0)
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) if words else F.lit(0)
 
 
 def list_acts(lib: Library, sort: str = "title", cited_only: bool = False, page: int = 1, page_size: int = 100) -> DataFrame:
@@ -130,7 +169,8 @@ def act_detail(lib: Library, slug: str) -> tuple[dict, DataFrame]:
     links = lib.provision_links.join(own.select("provision_id"), "provision_id", "left_semi")
     badges = G.provision_badges(links, own).select("provision_id", "judgments", "passages")
     total = G.citing_act(act["act_id"], lib.provision_links, lib.provisions, lib.act_links).count()
-    return act.asDict() | {"judgments": total}, own.join(badges, "provision_id").orderBy("ordering")
+    cited = badges.agg(F.count_if(F.col("judgments") > 0)).first()[0]
+    return act.asDict() | {"judgments": total, "cited_provisions": cited}, own.join(badges, "provision_id").orderBy("ordering")
 
 
 def search_provisions(lib: Library, q: str, act_id=None, page: int = 1, page_size: int = 20) -> DataFrame:
@@ -213,3 +253,18 @@ def progress(lib: Library) -> DataFrame:
     spark = lib.documents.sparkSession
     live = [(k, name, group) for k, (name, group, status) in lib.sources.items() if status == "live"]
     return I.progress(spark.createDataFrame(live, "source string, name string, group string"), lib.documents.select("source"))
+
+
+def sources(lib: Library) -> DataFrame:
+    """Every source that is known: source, name, group, status."""
+    return lib.documents.sparkSession.createDataFrame([(k, *v) for k, v in sorted(lib.sources.items())], "source string, name string, group string, status string")
+
+
+def ingestion_status(lib: Library, store: Store) -> DataFrame:
+    """Every source with its documents, the time of its last successful run, and its last five runs."""
+    return store.ingestion_status(sources(lib), lib.documents.select("source"))
+
+
+def run_pipeline(store: Store, name: str, dry_run: bool = False) -> dict[str, DataFrame]:
+    """Runs one of a store's pipelines; a dry run gives what it would store and writes nothing."""
+    return store.run(name, dry_run)

@@ -1,8 +1,9 @@
 """Citations of statutes, articles and cases as built-in column expressions with exact offsets.
 
-Spark's regular expressions give matches but no offsets. `matches` therefore splits a text by the same pattern: the lengths of the pieces
-and of the matches before one add up to its offset. All offsets count code points. Name runs use possessive quantifiers, so
-text that begins like a citation and is none costs no backtracking.
+Every citation of legislation ends in a number and a year, so a text is cut at these: what stands between them, and of that the REACH
+characters before a number, is all that is searched, once, by a pattern bound to the number. Lengths of the pieces before it add up to
+a citation's offset. All offsets count code points. Word runs are possessive: text that begins like a citation and is none costs no
+backtracking. A citation of more than REACH characters before its number is not seen.
 """
 
 from __future__ import annotations
@@ -10,51 +11,105 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jurispark.functions.judgment import let
 from jurispark.functions.query import CASE_NUMBER
 
-# The declined forms of the words for a statute and for a case, the names of regulations, the order of qualifiers.
-FORMS = ("lög", "lögum", "laga", "laganna", "lögunum", "lögin")
-CASE_WORD = r"(?:m[áa]l(?:i|inu|um|sins)|d[óo]m(?:i|num|ur|s|num))(?![A-Za-z0-9_])"
-REGULATION_WORDS = r"(?:reglugerð\p{L}*|reglur|reglum|reglna|tilskipun\p{L}*|auglýsing\p{L}*|samþykkt\p{L}*|ákvörðun\p{L}*|rg\.)"
-QUALIFIERS = r"(?:(\d+)\.\s*tölul\.\s*)?(?:(\d+)\.\s*málsl\.\s*)?(?:(\d+)\.\s*mgr\.\s*)?"
-LETTER = r"(?:\s*([a-záðéíóúýþæö])(?!\p{L}))?"
+REACH = 800
+MARK = "\u0001"
 
-STEM = rf"(?:\p{{L}}++\s++){{0,3}}\p{{L}}*(?:{'|'.join(sorted(FORMS, key=len, reverse=True))})"
-NAME = rf"(?:\s+um\s+(?:(?!{CASE_WORD})\p{{L}}++[\s,.-]*+){{1,8}}?)?"
-CONSTITUTION = rf"stjórnarskr\p{{L}}*+(?:\s+(?!{CASE_WORD})\p{{L}}++){{0,3}}?"
-REGULATION = rf"{REGULATION_WORDS}(?:\s+(?!{CASE_WORD})\p{{L}}++){{0,2}}?(?:\s*\([\p{{L}}\d ]{{1,14}}\))?"
-NUMBER = r"\s*,?\s*(?:nr\.\s*)?\d{1,4}\s*/\s*\d{4}"
-FLAGS = "(?iuU)"
+# The declined forms of the words for a statute, for a case and for a judgment, the names of regulations, the order of an article's qualifiers.
+FORMS = ["lög", "lögum", "laga", "laganna", "lögunum", "lögin"]
+CASES = ["máli", "málinu", "málum", "málsins", "mali", "malinu", "malum", "malsins"]
+JUDGMENTS = ["dómi", "dómnum", "dómur", "dóms", "domi", "domnum", "domur", "doms"]
+REGULATIONS = [r"reglugerð\p{L}*", "reglur", "reglum", "reglna", r"tilskipun\p{L}*", r"auglýsing\p{L}*", r"samþykkt\p{L}*", r"ákvörðun\p{L}*", r"rg\."]
+QUALIFIERS = ["tölul", "málsl", "mgr"]
+LETTERS = "a-záðéíóúýþæö"
 
-LEGISLATION = rf"{FLAGS}(?<!\p{{L}}){STEM}{NAME}{NUMBER}|{CONSTITUTION}{NUMBER}|{REGULATION}{NAME}{NUMBER}|(?<![A-Za-z0-9_])l\.{NUMBER}"
-ACT = rf"{FLAGS}(?<!\p{{L}})({STEM}|l\.){NAME}\s*,?\s*(?:nr\.\s*)?(\d{{1,3}})\s*/\s*(\d{{4}})"
-PROVISION = rf"{FLAGS}{QUALIFIERS}(\d+)\.\s*gr\.{LETTER}\s*,?\s*(?:sbr\.\s*)?(?:{STEM}|l\.){NAME}\s*,?\s*(?:nr\.\s*)?(\d{{1,3}})\s*/\s*(\d{{4}})"
+
+def _one_of(words: list[str]) -> str:
+    """Any of the words, the longest that fits first: `laganna` is not read as `laga`."""
+    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})"
+
+
+def _words(low: int, high: int, before: str = "", behind: str = "") -> str:
+    """So many words, as few as will do, none of which is a case's or a judgment's."""
+    guard = rf"(?!{_one_of(CASES + JUDGMENTS)}(?![A-Za-z0-9_]))"
+    return rf"(?:{before}{guard}\p{{L}}++{behind}){{{low},{high}}}?"
+
+
+def _maybe(pattern: str) -> str:
+    return f"(?:{pattern})?"
+
+
+# A statute is named by up to three words and a form of "lög", which may end a compound; what it is about may follow.
+NUMBERED = r"(?<!\d)\d{1,4}\s*/\s*\d{4}"
+STATUTE = rf"(?:\p{{L}}++\s++){{0,3}}\p{{L}}*{_one_of(FORMS)}"
+ABBREVIATED = r"(?<![A-Za-z0-9_])l\."
+SUBJECT = _maybe(r"\s+um\s+" + _words(1, 8, behind=r"[\s,.-]*+"))
+CONSTITUTION = r"stjórnarskr\p{L}*+" + _words(0, 3, before=r"\s+")
+REGULATION = _one_of(REGULATIONS) + _words(0, 2, before=r"\s+") + _maybe(r"\s*\([\p{L}\d ]{1,14}\)") + SUBJECT
+BEFORE_NUMBER = r"\s*,?\s*(?:nr\.\s*)?"
+ARTICLE = "".join(_maybe(rf"(\d+)\.\s*{q}\.\s*") for q in QUALIFIERS) + rf"(\d+)\.\s*gr\.(?:\s*([{LETTERS}])(?!\p{{L}}))?"
+
+LEGISLATION = rf"(?:(?<!\p{{L}}){STATUTE}{SUBJECT}|{CONSTITUTION}|{REGULATION}|{ABBREVIATED}){BEFORE_NUMBER}"
+ACT = rf"(?<!\p{{L}})({STATUTE}|l\.){SUBJECT}{BEFORE_NUMBER}"
+PROVISION = rf"{ARTICLE}\s*,?\s*(?:sbr\.\s*)?(?:{STATUTE}|l\.){SUBJECT}{BEFORE_NUMBER}"
 
 
 def plain_spaces(text: Column) -> Column:
     """Non-breaking blanks as blanks, one for one."""
-    return F.translate(text, "   ", "   ")
+    return F.translate(text, "\u00a0\u2007\u202f" + MARK, "    ")
+
+
+def _numbered(text: Column, pattern: str, groups: int) -> Column:
+    """array<struct<gap, number, found>> of the numbers with years: the text since the last one, and how the pattern ends there, in pieces
+    between marks: the whole match, then its groups; one piece where it does not match."""
+    replaced = "".join(f"{MARK}${k}" for k in range(1, groups + 2))
+    bound = rf"(?siuU)^.*?({pattern})$"
+
+    def cut(gaps: Column) -> Column:
+        def one(number: Column, k: Column) -> Column:
+            gap = F.get(gaps, k)
+            window = F.substring(gap, F.greatest(F.length(gap) - (REACH - 1), F.lit(1)), F.lit(REACH))
+            return F.struct(gap.alias("gap"), number.alias("number"), F.split(F.regexp_replace(window, bound, replaced), MARK).alias("found"))
+
+        return F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), 0), one)
+
+    return let(F.split(text, NUMBERED, -1), cut)
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
-    """array<struct<offset, length, text, g1, ...>> of all matches; a group that took no part is null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    parts = [F.regexp_extract_all(text, F.lit(pattern), k) for k in range(1, groups + 1)]
-    sizes = F.zip_with(gaps, found, lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+    """array<struct<offset, length, text, g1, ..., number, year>> of all matches; a group that took no part is null."""
+
+    def ends(rows: Column) -> Column:
+        step = lambda s, r: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.length(r["gap"]) + F.length(r["number"])))
+        return F.aggregate(rows, F.array().cast("array<int>"), step)
 
-    def one(m: Column, k: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, b: a + b)
-        named = [F.nullif(F.get(p, k), F.lit("")).alias(f"g{n}") for n, p in enumerate(parts, 1)]
-        return F.struct((before + F.length(F.get(gaps, k))).alias("offset"), F.length(m).alias("length"), m.alias("text"), *named)
+    def one(r: Column, end: Column) -> Column:
+        piece = lambda k: F.get(r["found"], F.lit(k))
+        length = F.length(piece(1)) + F.length(r["number"])
+        named = [F.nullif(piece(k + 1), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
+        part = lambda k: F.trim(F.element_at(F.split(r["number"], r"\s*/\s*"), k)).cast("int")
+        return F.struct((end - length).alias("offset"), length.alias("length"), F.concat(piece(1), r["number"]).alias("text"), *named, part(1).alias("number"), part(2).alias("year"))
 
-    return F.transform(found, one)
+    def hits(rows: Column) -> Column:
+        return F.filter(F.zip_with(rows, ends(rows), lambda r, end: F.when(F.size(r["found"]) > 1, one(r, end))), lambda m: m.isNotNull())
+
+    return let(_numbered(text, pattern, groups), hits)
 
 
 def mask_legislation(text: Column) -> Column:
     """Citations of legislation as blanks of their length."""
-    found, gaps = F.regexp_extract_all(text, F.lit(LEGISLATION), 0), F.split(text, LEGISLATION, -1)
-    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit("")))), "")
+
+    def blanks(r: Column) -> Column:
+        n = F.length(F.coalesce(F.get(r["found"], F.lit(1)), F.lit("")))
+        masked = F.concat(F.substring(r["gap"], F.lit(1), F.length(r["gap"]) - n), F.repeat(F.lit(" "), n + F.length(r["number"])))
+        return F.when(F.size(r["found"]) > 1, masked).otherwise(F.concat(r["gap"], r["number"]))
+
+    def whole(plain: Column) -> Column:
+        return F.concat(F.array_join(F.transform(_numbered(plain, LEGISLATION, 0), blanks), ""), F.element_at(F.split(plain, NUMBERED, -1), -1))
+
+    return let(plain_spaces(text), whole)
 
 
 def cited_cases(text: Column, own: Column | None = None) -> Column:
@@ -66,21 +121,21 @@ def cited_cases(text: Column, own: Column | None = None) -> Column:
 def alias(stem: Column) -> Column:
     """The compound name of a statute in a citation, null for a bare form."""
     word = F.lower(F.element_at(F.split(F.trim(stem), r"\s+"), -1))
-    forms = "|".join(FORMS)
-    return F.when(word.rlike(f"(?:{forms})$") & ~word.rlike(f"^(?:{forms}|l\\.)$"), word)
+    return F.when(word.rlike(f"\\p{{L}}{_one_of(FORMS)}$"), word)
 
 
 def act_citations(text: Column) -> Column:
     """array<struct<act_number, year, offset, length, alias>> in text order; the offset is that of the citation's first letter."""
-    return F.transform(matches(plain_spaces(text), ACT, 3), lambda m: F.struct(
-        m["g2"].cast("int").alias("act_number"), m["g3"].cast("int").alias("year"), m["offset"].alias("offset"), m["length"].alias("length"), alias(m["g1"]).alias("alias")))
+    found = F.filter(matches(plain_spaces(text), ACT, 1), lambda m: m["number"] < 1000)
+    return F.transform(found, lambda m: F.struct(m["number"].alias("act_number"), m["year"].alias("year"), m["offset"].alias("offset"), m["length"].alias("length"), alias(m["g1"]).alias("alias")))
 
 
 def provision_citations(text: Column) -> Column:
     """array<struct<point, paragraph, article, letter, act_number, year, offset, length, text>> in text order; text on one line."""
-    return F.transform(matches(plain_spaces(text), PROVISION, 7), lambda m: F.struct(
+    found = F.filter(matches(plain_spaces(text), PROVISION, 5), lambda m: m["number"] < 1000)
+    return F.transform(found, lambda m: F.struct(
         m["g1"].cast("int").alias("point"), m["g3"].cast("int").alias("paragraph"), m["g4"].cast("int").alias("article"), F.lower(m["g5"]).alias("letter"),
-        m["g6"].cast("int").alias("act_number"), m["g7"].cast("int").alias("year"), m["offset"].alias("offset"), m["length"].alias("length"),
+        m["number"].alias("act_number"), m["year"].alias("year"), m["offset"].alias("offset"), m["length"].alias("length"),
         F.trim(F.regexp_replace(m["text"], r"\s+", " ")).alias("text")))
 
 

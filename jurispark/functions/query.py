@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-# How case numbers are written, E-123/2020 or 123/2020; the letters before the number.
+# How case numbers are written, E-123/2020 or 123/2020; the letters that may stand before the number.
 CASE_LETTERS = "A-Za-zÞÆÖÁÐÉÍÓÚÝþæöáðéíóúý"
 CASE_NUMBER = rf"(?<![A-Za-z0-9_])(?:[{CASE_LETTERS}]{{1,3}}-?[0-9]{{1,5}}/[0-9]{{2,4}}|[0-9]{{1,6}}/[0-9]{{4}})(?![A-Za-z0-9_])"
 
@@ -87,25 +87,51 @@ class ProvisionQuery:
         return self.article is not None
 
 
-# The abbreviations for point, sentence, paragraph and article, and the words between an article and its statute's name.
-ARTICLE = re.compile(r"(?:(?P<point>\d+)\.\s*tölul\.\s*)?(?:(?P<sentence>\d+)\.\s*málsl\.\s*)?(?:(?P<paragraph>\d+)\.\s*mgr\.\s*)?(?P<article>\d+)\.\s*gr\.?(?:\s*(?P<letter>[a-záðéíóúýþæö])(?!\w))?\.?\s*", re.IGNORECASE)
-LEAD_IN = re.compile(r"(?:,?\s*sbr\.\s*)?(?:í\s+)?(?:lögunum|laganna|lögum|laga|lög|l\.)\s*", re.IGNORECASE)
+# The abbreviations for point, sentence, paragraph and article, and what may stand between an article and its statute's name.
+UNITS = {"tölul": "point", "málsl": "sentence", "mgr": "paragraph", "gr": "article"}
+ORDER = ["point", "sentence", "paragraph", "article"]
+LEAD_IN = ["sbr", "í", "lögunum", "laganna", "lögum", "laga", "lög", "l"]
+TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]")
 
 
 def parse_provision_query(text: str) -> ProvisionQuery:
-    """`2. mgr. 211. gr. b laga um ...` as paragraph 2 of article 211 b of "um ..."; without a leading article all is the statute."""
+    """`2. mgr. 211. gr. b laga um ...` as paragraph 2 of article 211 b of "um ..."; without a leading article all is the statute.
+
+    Read token by token: numbers with a unit behind each, in the order of UNITS, up to an article; then a single letter; then the words
+    that lead to a statute's name, each at most once and in their order.
+    """
     text = text.strip()
-    m = ARTICLE.match(text)
-    if not m:
-        return ProvisionQuery(text)
-    rest = text[m.end() :]
-    lead = LEAD_IN.match(rest)
-    return ProvisionQuery(
-        rest[lead.end() if lead else 0 :].strip(),
-        int(m["article"]),
-        m["letter"].lower() if m["letter"] else None,
-        int(m["paragraph"]) if m["paragraph"] else None,
-    )
+    tokens = [(m.group().lower(), m.end()) for m in TOKEN.finditer(text)]
+    at, end, numbers = 0, 0, {}
+
+    def word(k: int) -> str:
+        return tokens[k][0] if k < len(tokens) else ""
+
+    def skip(*marks: str) -> None:
+        nonlocal at, end
+        while word(at) in marks:
+            end, at = tokens[at][1], at + 1
+
+    while "article" not in numbers:
+        unit = UNITS.get(word(at + 2)) if word(at).isdigit() and word(at + 1) == "." else None
+        if unit is None or any(ORDER.index(u) >= ORDER.index(unit) for u in numbers) or unit != "article" and word(at + 3) != ".":
+            return ProvisionQuery(text)
+        numbers[unit], end, at = int(word(at)), tokens[at + 2][1], at + 3
+        skip(".")
+    letter = None
+    if len(word(at)) == 1 and word(at).isalpha() and not (word(at) in ("í", "l") and word(at + 1) in (".", *LEAD_IN)):
+        letter, end, at = word(at), tokens[at][1], at + 1
+        skip(".")
+    skip(",")
+    if word(at) == "sbr":
+        skip("sbr", ".")
+    if word(at) == "í":
+        skip("í")
+    if word(at) in LEAD_IN[2:-1]:
+        skip(word(at))
+    elif word(at) == "l" and word(at + 1) == ".":
+        skip("l", ".")
+    return ProvisionQuery(text[end:].strip(), numbers["article"], letter, numbers.get("paragraph"))
 
 
 def article_label(q: ProvisionQuery) -> str:

@@ -24,16 +24,20 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: dict[str, str], doc_id: str = "document_id") -> DataFrame:
-    """(document_id, term, weight, positions) for columns and their classes; positions of a later field follow the earlier ones'."""
-    parts = F.array(*(F.struct(F.lit(weight).alias("weight"), terms(F.col(c)).alias("terms")) for c, weight in fields.items()))
-    rows = docs.select(F.col(doc_id).alias("document_id"), F.posexplode(parts).alias("field", "part"))
-    rows = rows.select("document_id", F.col("part.weight").alias("weight"), "field", F.posexplode("part.terms").alias("pos", "term"))
-    place = (F.col("field") * (1 << 20) + F.col("pos")).cast("int")
-    return rows.groupBy("document_id", "term", "weight").agg(F.array_sort(F.collect_list(place)).alias("positions"))
+    """(document_id, term, weight, positions) for columns and their classes. Positions of a later field follow the earlier ones', with
+    one left out between, so that no phrase runs from field to field."""
+    rows = docs.select(F.col(doc_id).alias("document_id"), *(terms(F.col(c)).alias(f"terms{k}") for k, c in enumerate(fields)))
+    parts, begin = [], F.lit(0)
+    for k, weight in enumerate(fields.values()):
+        parts.append(F.struct(F.lit(weight).alias("weight"), begin.alias("begin"), F.col(f"terms{k}").alias("terms")))
+        begin = begin + F.size(f"terms{k}") + 1
+    rows = rows.select("document_id", F.inline(F.array(*parts)))
+    rows = rows.select("document_id", "weight", "begin", F.posexplode("terms").alias("pos", "term"))
+    return rows.groupBy("document_id", "term", "weight").agg(F.array_sort(F.collect_list(F.col("begin") + F.col("pos"))).alias("positions"))
 
 
 def write_postings(found: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Stores postings ordered by term."""
+    """Stores postings ordered by term, so that a query reads the pages of its terms."""
     found.repartitionByRange(*([partitions] if partitions else []), "term").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(path)
 
 

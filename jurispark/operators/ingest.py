@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jurispark.session import stored
+
 
 def until_known(feed: DataFrame, order: str, run: int = 40) -> DataFrame:
     """Feed items before the sweep stops: at the end of the first `run` known items in a row; items without a court do not count.
 
     The feed has `known` and `relevant` (booleans). Runs are told apart by the number of new items before them. That number and the
-    places in the feed come from sums over blocks of equal length, so no task holds the feed.
+    places in the feed come from sums over ranges of it, so no task holds the feed.
     """
     counted = feed.where("relevant").select(order, F.col("known"))
     fresh = running_sum(counted, order, (~F.col("known")).cast("long"), "fresh")
@@ -20,14 +22,14 @@ def until_known(feed: DataFrame, order: str, run: int = 40) -> DataFrame:
     return feed.join(F.broadcast(inside), F.col("last").isNull() | (F.col(order) <= F.col("last"))).drop("last")
 
 
-def running_sum(rows: DataFrame, order: str, value: Column, name: str, block: int = 1 << 16) -> DataFrame:
-    """rows with the sum of value up to each, in the order of a column of whole numbers, by blocks of that column's range."""
-    at = F.floor(F.col(order) / block)
-    cut = rows.withColumns({"__block": at, "__v": value})
-    sums = cut.groupBy("__block").agg(F.sum("__v").alias("__s"))
-    before = sums.select("__block", (F.sum("__s").over(Window.orderBy("__block")) - F.col("__s")).alias("__before"))
-    within = F.sum("__v").over(Window.partitionBy("__block").orderBy(order))
-    return cut.withColumn("__within", within).join(before, "__block").withColumn(name, F.col("__within") + F.col("__before")).drop("__block", "__v", "__within", "__before")
+def running_sum(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """rows with the sum of value up to each in the order of a column. Rows are dealt by ranges of it, so ranges hold like numbers of rows
+    whatever its values; only one sum a range meets in one task."""
+    ranged = stored(rows.withColumn("__v", value).repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range").agg(F.sum("__v").alias("__s"))
+    before = sums.select("__range", (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__before"))
+    within = F.sum("__v").over(Window.partitionBy("__range").orderBy(order))
+    return ranged.withColumn("__within", within).join(F.broadcast(before), "__range").withColumn(name, F.col("__within") + F.col("__before")).drop("__range", "__v", "__within", "__before")
 
 
 def run_log(outcomes: DataFrame, by: list[str]) -> DataFrame:

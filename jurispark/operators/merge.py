@@ -40,12 +40,12 @@ def unknown(candidates: DataFrame, store: DataFrame, keys: list[str]) -> DataFra
     return candidates.join(store.select(*keys), keys, "left_anti")
 
 
-def merge_anchors(store: DataFrame, parsed: DataFrame, new_id: Column) -> DataFrame:
+def merge_anchors(store: DataFrame, parsed: DataFrame, new_id: Column, read: DataFrame | None = None) -> DataFrame:
     """Articles of re-read statutes on (act_id, anchor), so that links to them live on: an anchor met again keeps its id,
-    a new one gets new_id, a vanished one goes. Statutes that were not re-read stay as they are."""
+    a new one gets new_id, a vanished one goes. Statutes that were not re-read, those of `read` or else of parsed, stay as they are."""
     keys = ["act_id", "anchor"]
     cols = [c for c in parsed.columns if c not in keys]
-    untouched = store.join(parsed.select("act_id").distinct(), "act_id", "left_anti").select("id", *keys, *cols, F.lit("kept").alias("outcome"))
+    untouched = store.join((parsed if read is None else read).select("act_id").distinct(), "act_id", "left_anti").select("id", *keys, *cols, F.lit("kept").alias("outcome"))
     met = parsed.join(store.select("id", *keys), keys, "left")
     outcome = F.when(F.col("id").isNull(), "inserted").otherwise("updated")
     met = met.select(F.coalesce("id", new_id).alias("id"), *keys, *cols, outcome.alias("outcome"))
@@ -69,12 +69,50 @@ def replace_links(links: DataFrame, rescanned: DataFrame, fresh: DataFrame, keys
     return kept.unionByName(fresh.dropDuplicates(keys))
 
 
-def act_hash(provisions: DataFrame, title: str = "title") -> DataFrame:
-    """(act_id, source_hash) over the title and the articles in order."""
-    part = F.concat_ws("\u0000", *(F.coalesce(c, F.lit("")) for c in ("anchor", "label", "heading", "full_text")))
-    lines = F.array_sort(F.collect_list(F.struct("ordering", part.alias("part"))))
-    found = provisions.groupBy("act_id", title).agg(lines.alias("lines"))
-    return found.select("act_id", F.sha2(F.concat_ws("\u0001", F.col(title), F.concat_ws("\u0001", F.transform("lines", lambda x: x["part"]))), 256).alias("source_hash"))
+def act_hash(provisions: DataFrame, title: str = "title", run: int = 4096) -> DataFrame:
+    """(act_id, source_hash) over the title and the articles in order: each article is hashed by itself, then the hashes of each range of `run`
+    places, then those of the ranges, so that no row holds the text of a statute."""
+    part = F.sha2(F.concat_ws("\u0000", *(F.coalesce(c, F.lit("")) for c in ("anchor", "label", "heading", "full_text"))), 256)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["hash"]), "")
+    rows = provisions.select("act_id", F.col(title).alias("title"), F.floor(F.col("ordering") / run).alias("range"), F.struct("ordering", part.alias("hash")).alias("line"))
+    ranges = rows.groupBy("act_id", "title", "range").agg(F.sha2(joined("line"), 256).alias("hash"))
+    found = ranges.groupBy("act_id", "title").agg(joined(F.struct("range", "hash")).alias("all"))
+    return found.select("act_id", F.sha2(F.concat("title", F.lit("\u0001"), "all"), 256).alias("source_hash"))
+
+
+def merge_statutes(acts: DataFrame, provisions: DataFrame, parsed: DataFrame, fetched_at: Column) -> dict[str, DataFrame]:
+    """The statutes, articles, chapters and paragraphs after re-reading some statutes.
+
+    parsed has a row a statute: act_number, year, title, codex_version, source_hash, chapters (array<struct<numeral, letter, label, title>>) and
+    provisions (array<struct<anchor, kind, article_number, article_letter, label, heading, full_text, is_repealed, chapter, paragraphs>>). A statute is
+    known by number and year and keeps its id and aliases; of one read twice the row with the larger source_hash counts. Articles are merged
+    on (act_id, anchor), so links to them live on; chapters and paragraphs have no names of their own and are made anew. Ids of new rows
+    come from what they are, so a job that is run again gives the same.
+    """
+    key = ["act_number", "year"]
+    read = first_of(parsed, key, [F.desc("source_hash")])
+    fresh_id = F.xxhash64(F.lit("act"), "act_number", "year")
+    known = acts.select(*key, F.col("act_id").alias("known_id"), F.col("title").alias("known_title"), "aliases")
+    read = read.join(known, key, "left").withColumn("act_id", F.coalesce("known_id", fresh_id))
+    read = read.withColumn("outcome", F.when(F.col("known_id").isNull(), "inserted").otherwise("updated"))
+    title = F.coalesce(F.nullif("title", F.lit("")), F.col("known_title"), F.lit("")).alias("title")
+    updated = read.select("act_id", *key, title, "codex_version", "source_hash", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), fetched_at.alias("fetched_at"), "outcome")
+    untouched = acts.join(read.select("act_id"), "act_id", "left_anti").withColumn("outcome", F.lit("kept"))
+    parts = read.select("act_id", F.posexplode("provisions").alias("ordering", "p")).select("act_id", "ordering", "p.*")
+    parts = first_of(parts, ["act_id", "anchor"], [F.desc("ordering")])
+    chapter_id = F.when(F.col("chapter").isNotNull(), F.xxhash64(F.lit("chapter"), "act_id", "chapter"))
+    cols = ["kind", "article_number", "article_letter", "label", "heading", "full_text", "is_repealed", "ordering"]
+    met = merge_anchors(provisions.select("id", "act_id", "anchor", *cols, "chapter_id"), parts.select("act_id", "anchor", *cols, chapter_id.alias("chapter_id")), F.xxhash64(F.lit("provision"), "act_id", "anchor"), read)
+    chapters = read.select("act_id", F.posexplode("chapters").alias("ordering", "c")).select(F.xxhash64(F.lit("chapter"), "act_id", "ordering").alias("id"), "act_id", "c.*", "ordering")
+    paragraphs = met.where("outcome <> 'kept'").select("id", "act_id", "anchor").join(parts.select("act_id", "anchor", "paragraphs"), ["act_id", "anchor"])
+    paragraphs = paragraphs.select(F.col("id").alias("provision_id"), F.posexplode("paragraphs").alias("ordering", "text"))
+    return {"acts": untouched.unionByName(updated, allowMissingColumns=True), "provisions": met, "chapters": chapters, "paragraphs": paragraphs}
+
+
+def reset_watermarks(documents: DataFrame, merged_acts: DataFrame, scanned: str = "citation_scan_hash") -> DataFrame:
+    """documents to be scanned again, all of them, if a statute is new: none has been scanned for links to it."""
+    new = F.broadcast(merged_acts.agg(F.count_if(F.col("outcome") == "inserted").alias("__new")))
+    return documents.join(new).withColumn(scanned, F.when(F.col("__new") == 0, F.col(scanned))).drop("__new")
 
 
 def move_cursor(cursors: DataFrame, moved: DataFrame) -> DataFrame:

@@ -26,8 +26,7 @@ def act_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue_cited_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = V.acts(spark, sf_dir).withColumn("title", F.upper("title"))
-    links = V.provision_links(spark, sf_dir).where("document_id % 7 = 1 AND char_offset > 4 AND provision_id < 20")
-    return G.catalogue(acts, links, V.provisions(spark, sf_dir), V.act_links(spark, sf_dir).where("act_id IN (1, 2)"), "title", cited_only=True)
+    return G.catalogue(acts, V.provision_links(spark, sf_dir), V.provisions(spark, sf_dir), V.act_links(spark, sf_dir), "title", cited_only=True)
 
 
 def catalogue_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +103,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "act_catalogue": CATALOGUE_SQL,
     "catalogue_cited_only": f"""
-WITH d AS (SELECT p.act_id, l.l_orderkey AS document_id FROM lineitem l JOIN {PROVISIONS_SQL} p ON p.provision_id = l.l_suppkey
-           WHERE l_orderkey % 7 = 1 AND l_linenumber > 4 AND l_suppkey < 20 UNION SELECT act_id, document_id FROM {ACT_LINKS_SQL} WHERE act_id IN (1, 2))
+WITH d AS (SELECT act_id, document_id FROM {ACT_DOCS_SQL})
 SELECT n_nationkey AS act_id, upper(n_name) AS title, n_regionkey AS year, count(DISTINCT d.document_id) AS judgments,
   (SELECT count(*) FROM {PROVISIONS_SQL} p WHERE p.act_id = n_nationkey AND p.kind = 'article') AS articles
 FROM nation JOIN d ON d.act_id = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey""",

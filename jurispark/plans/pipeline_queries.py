@@ -40,6 +40,34 @@ def anchor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_anchors(store, parsed, 1_000_000 + F.col("act_id").cast("long"))
 
 
+def statute_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statutes read again, whole: their articles after merging, with how many paragraphs each now has and which chapter it is in."""
+    store, parsed = _anchors(spark, sf_dir)
+    acts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("act_id"), F.col("n_nationkey").alias("act_number"), F.lit(2000).alias("year"), F.col("n_name").alias("title"),
+        F.lit("1a").alias("codex_version"), F.lit("old").alias("source_hash"), F.array(F.lit("short")).alias("aliases"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    none = F.lit(None).cast("string")
+    provisions = store.select("id", "act_id", "anchor", F.lit("article").alias("kind"), F.lit(1).alias("article_number"), none.alias("article_letter"), F.col("s_name").alias("label"), none.alias("heading"), none.alias("full_text"),
+        F.lit(False).alias("is_repealed"), F.lit(0).alias("ordering"), F.lit(None).cast("long").alias("chapter_id"))
+    part = F.struct("anchor", F.lit("article").alias("kind"), F.lit(1).alias("article_number"), none.alias("article_letter"), F.col("s_name").alias("label"), none.alias("heading"), none.alias("full_text"), F.lit(False).alias("is_repealed"),
+        F.when(F.col("anchor") != "X0", 0).alias("chapter"), F.filter(F.split("s_name", "#"), lambda t: t != "").alias("paragraphs"))
+    chapter = F.struct(F.lit("I").alias("numeral"), none.alias("letter"), F.lit("I. kafli").alias("label"), F.lit("Almennt").alias("title"))
+    read = parsed.groupBy(F.col("act_id").alias("act_number")).agg(F.array_sort(F.collect_list(part)).alias("provisions"))
+    read = read.select("act_number", F.lit(2000).alias("year"), F.lit("").alias("title"), F.lit("1b").alias("codex_version"), F.lit("new").alias("source_hash"), F.array(chapter).alias("chapters"), "provisions")
+    out = M.merge_statutes(acts, provisions, read, F.lit(None).cast("timestamp"))
+    counts = out["paragraphs"].groupBy(F.col("provision_id").alias("id")).agg(F.count("*").alias("paragraphs"))
+    met = out["provisions"].join(counts, "id", "left").join(out["chapters"].select(F.col("id").alias("chapter_id"), F.col("numeral").alias("chapter")), "chapter_id", "left")
+    titles = out["acts"].select("act_id", "title", "codex_version")
+    return met.join(titles, "act_id").select(F.when(F.col("outcome") != "inserted", F.col("id")).alias("id"), "act_id", "anchor", "outcome", "label", "chapter", F.coalesce("paragraphs", F.lit(0)).cast("long").alias("paragraphs"), "title", "codex_version")
+
+
+def watermark_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are due again where a statute is new, none where all were known."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("h").alias("text_hash"), F.lit("h").alias("citation_scan_hash"))
+    acts = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") == 3, "inserted").otherwise("kept").alias("outcome"))
+    new, old = (M.changed(M.reset_watermarks(docs, acts.where(c))) for c in ("true", "outcome = 'kept'"))
+    return new.select("doc_id", F.lit("new").alias("case")).union(old.select("doc_id", F.lit("known").alias("case")))
+
+
 def vanished_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vanished(*_anchors(spark, sf_dir)).select("id", "act_id", "anchor")
 
@@ -122,7 +150,7 @@ def unknown_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    upsert_merge, known_skip, anchor_merge, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, run_status,
+    upsert_merge, known_skip, anchor_merge, statute_tree_merge, watermark_reset, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, run_status,
     recent_runs, progress_totals, source_progress, remaining_totals, alias_harvest, unknown_acts,
 )}
 
@@ -142,11 +170,16 @@ FROM {OLD} o FULL OUTER JOIN {NEW} n ON o.doc_id = n.doc_id AND o.source = n.sou
     "known_skip": f"SELECT doc_id FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE o.doc_id = n.doc_id AND o.source = n.source)",
     "anchor_merge": f"""WITH {ANCHORS} SELECT id, act_id, anchor, s_name, 'kept' AS outcome FROM store WHERE act_id NOT IN (SELECT act_id FROM parsed)
 UNION ALL SELECT coalesce(s.id, 1000000 + p.act_id), p.act_id, p.anchor, p.s_name, CASE WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END FROM parsed p LEFT JOIN store s USING (act_id, anchor)""",
+    "statute_tree_merge": f"""WITH {ANCHORS} SELECT id, act_id, anchor, 'kept' AS outcome, s_name AS label, NULL AS chapter, 0 AS paragraphs, n_name AS title, '1a' AS codex_version FROM store JOIN nation ON n_nationkey = act_id WHERE act_id NOT IN (SELECT act_id FROM parsed)
+UNION ALL SELECT s.id, p.act_id, p.anchor, CASE WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END, p.s_name, CASE WHEN p.anchor <> 'X0' THEN 'I' END, len(list_filter(string_split(p.s_name, '#'), lambda t: t <> '')), n_name, '1b'
+FROM parsed p LEFT JOIN store s USING (act_id, anchor) JOIN nation ON n_nationkey = p.act_id""",
+    "watermark_reset": "SELECT doc_id, 'new' AS case FROM documents",
     "vanished_anchors": f"WITH {ANCHORS} SELECT id, act_id, anchor FROM store s WHERE act_id IN (SELECT act_id FROM parsed) AND NOT EXISTS (SELECT 1 FROM parsed p WHERE p.act_id = s.act_id AND p.anchor = s.anchor)",
     "changed_watermark": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
     "replaced_links": """SELECT l_orderkey AS document_id, l_suppkey AS provision_id, l_linenumber AS char_offset FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0)
 UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 99 FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber = 1""",
-    "act_content_hash": """SELECT s_nationkey AS act_id, sha256('Act ' || s_nationkey || chr(1) || string_agg('G' || s_suppkey || chr(0) || s_name || chr(0) || chr(0) || upper(s_name), chr(1) ORDER BY s_suppkey)) AS source_hash FROM supplier GROUP BY s_nationkey""",
+    "act_content_hash": """WITH r AS (SELECT s_nationkey, s_suppkey // 4096 AS r, sha256(string_agg(sha256('G' || s_suppkey || chr(0) || s_name || chr(0) || chr(0) || upper(s_name)), '' ORDER BY s_suppkey)) AS h FROM supplier GROUP BY ALL)
+SELECT s_nationkey AS act_id, sha256('Act ' || s_nationkey || chr(1) || string_agg(h, '' ORDER BY r)) AS source_hash FROM r GROUP BY s_nationkey""",
     "first_index_entries": "SELECT p_partkey % 40 AS number, p_size AS year, p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 40, p_size ORDER BY p_partkey) = 1",
     "cursor_moves": "SELECT n_name AS key, CASE WHEN n_nationkey < 5 THEN 7 ELSE 1 END AS next_page, CASE WHEN n_nationkey < 5 THEN 1999 END AS year FROM nation",
     "ingest_until_known": """WITH c AS (SELECT event_id, value < 30 AS known, user_id % 7 <> 0 AS relevant FROM events),

@@ -12,7 +12,7 @@ from jurispark.operators import retrieval as R
 from jurispark.operators import tags as T
 from jurispark.plans import views as V
 from jurispark.plans.graph_queries import JUDGMENTS_SQL
-from jurispark.session import table
+from jurispark.session import built_once, shared_path, table
 
 
 def filter_source_date_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,14 @@ def tag_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.vocabulary(words)
 
 
-def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and how many there are of each, stored once an application, as a search page keeps its tags."""
     words = table(spark, sf_dir, "documents").select(F.split("text", r"[^\p{L}]+").alias("tags"))
-    return T.lookup(T.vocabulary(words), "Éa", 30)
+    return built_once(spark, f"vocabulary {sf_dir}", lambda path: T.vocabulary(words).write.parquet(path))
+
+
+def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.lookup(_vocabulary(spark, sf_dir), "Éa", 30)
 
 
 def capped_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +73,32 @@ def case_number_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(match).select("document_id", "case_number")
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.substring_index("text", "\n", 1).alias("title"), "text", "lang", "source")
+
+
+CLASSES = {"title": "A", "source": "B", "lang": "C", "text": "D"}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.substring_index("text", "\n", 1).alias("title"), "text", "lang", "source")
-    return X.postings(docs, {"title": "A", "text": "D"}), docs.select("document_id", "lang", "source")
+    """The postings of all documents, stored once an application in the order of terms, and the documents without their texts."""
+    docs = _fields(spark, sf_dir)
+    index = built_once(spark, f"postings {sf_dir}", lambda path: X.write_postings(X.postings(docs, CLASSES), path))
+    return index, docs.select("document_id", "lang", "source")
+
+
+def fts_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds and stores an index of its own; (weight, postings, places)."""
+    path = shared_path(spark, "postings")
+    X.write_postings(X.postings(_fields(spark, sf_dir), CLASSES), path)
+    return spark.read.parquet(path).groupBy("weight").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+
+
+def fts_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of several classes: what stands in a heavier field ranks higher."""
+    index, docs = _index(spark, sf_dir)
+    found = X.search(index, docs, query_tree("src2 OR fr OR leaux"))
+    return found.select("document_id", F.round("rank", 6).alias("rank"))
 
 
 def _fts(query: str):
@@ -124,10 +152,17 @@ def fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("t")).where("a <= 60")
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("t"))
     right = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.concat(F.lit("Customer "), "s_name").alias("t"))
     found = Z.similar_pairs(left, right, "a", "t", "b", "t", 0.4)
-    return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal names: one row a pair of classes however many rows they have."""
+    left = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    right = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.substring("p_name", 3, 20), "p_type").alias("t"))
+    return Z.similar_pairs(left, right, "p_partkey", "p_name", "p_partkey", "t").withColumn("similarity", F.round("similarity", 6))
 
 
 FTS = {"fts_and": "the and thing", "fts_or": "inati OR zzz OR leaux", "fts_not": "the -and", "fts_phrase": '"of the"', "fts_mixed": '"the the" OR "and and" -leaux', "fts_only_not": "-the -and"}
@@ -135,6 +170,7 @@ FTS = {"fts_and": "the and thing", "fts_or": "inati OR zzz OR leaux", "fts_not":
 QUERIES = {f.__name__: f for f in (
     filter_source_date_year, filter_oldest_page, tags_contain_all, tag_vocabulary, tag_lookup, capped_count, exact_count_below_cap, home_newest, home_counts,
     random_featured, case_number_lookup, fts_ranked_page, fts_browse, provision_search, null_safe_letter, act_typeahead, fuzzy_title, fuzzy_fallback, similar_titles,
+    similar_names, fts_index_build, fts_class_weights,
 )} | {k: _fts(v) for k, v in FTS.items()}
 
 TERMS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -192,6 +228,14 @@ b AS (SELECT act_id, year, CASE WHEN act_id::VARCHAR = 'nation_1' THEN 0 WHEN co
 SELECT act_id, bucket, round(s, 6) AS similarity FROM b WHERE bucket IS NOT NULL ORDER BY bucket, s DESC, year DESC NULLS LAST, act_id LIMIT 25""",
     "fuzzy_title": f"""SELECT p_partkey, round(s, 6) AS similarity FROM (SELECT p_partkey, {_sim('x', 'g')} AS s FROM (SELECT p_partkey, {_grams('p_type')} AS x, {_grams("'standard anodized stel'")} AS g FROM part)) WHERE s >= 0.3""",
     "fuzzy_fallback": f"""SELECT p_partkey, round(s, 6) AS similarity FROM (SELECT p_partkey, {_sim('x', 'g')} AS s FROM (SELECT p_partkey, {_grams('p_type')} AS x, {_grams("'econmy'")} AS g FROM part)) WHERE s >= 0.3""",
-    "similar_titles": f"""WITH a AS (SELECT c_custkey AS left_id, {_grams("concat_ws(' ', c_name, c_mktsegment)")} AS x FROM customer WHERE c_custkey <= 60), b AS (SELECT s_suppkey AS right_id, {_grams("'Customer ' || s_name")} AS y FROM supplier)
-SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity FROM a, b WHERE {_sim('x', 'y')} >= 0.4""",
+    "similar_titles": f"""WITH a AS (SELECT c_custkey AS left_id, {_grams("concat_ws(' ', c_name, c_mktsegment)")} AS x FROM customer), b AS (SELECT s_suppkey AS right_id, {_grams("'Customer ' || s_name")} AS y FROM supplier)
+SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity, 1 AS left_rows, 1 AS right_rows FROM a, b WHERE {_sim('x', 'y')} >= 0.4""",
+    "similar_names": f"""WITH a AS (SELECT min(p_partkey) AS left_id, list_sort({_grams('p_name')}) AS x, count(*) AS left_rows FROM part GROUP BY x),
+b AS (SELECT min(p_partkey) AS right_id, list_sort({_grams("substring(p_name, 3, 20) || ' ' || p_type")}) AS y, count(*) AS right_rows FROM part GROUP BY y)
+SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity, left_rows, right_rows FROM a, b WHERE {_sim('x', 'y')} >= 0.3""",
+    "fts_index_build": f"""WITH {WORDS}, f AS (SELECT document_id, 'A' AS weight, unnest(h) AS term FROM w UNION ALL SELECT document_id, 'B', unnest({TERMS.format('source')}) FROM w UNION ALL SELECT document_id, 'C', unnest({TERMS.format('lang')}) FROM w UNION ALL SELECT document_id, 'D', unnest(t) FROM w),
+g AS (SELECT document_id, weight, term, count(*) AS n FROM f GROUP BY ALL) SELECT weight, count(*) AS postings, CAST(sum(n) AS BIGINT) AS places FROM g GROUP BY weight""",
+    "fts_class_weights": f"""WITH {WORDS}, x AS (SELECT document_id, q, len(list_filter(h, lambda x: x = q)) AS a, CASE WHEN source = q THEN 1 ELSE 0 END AS b, CASE WHEN lang = q THEN 1 ELSE 0 END AS c, len(list_filter(t, lambda x: x = q)) AS d
+FROM w, (VALUES ('src2'), ('fr'), ('leaux')) v(q)), s AS (SELECT document_id, list_sum(list_transform(range(1, a + b + c + d + 1), lambda k: CASE WHEN k <= a THEN 1.0 WHEN k <= a + b THEN 0.4 WHEN k <= a + b + c THEN 0.2 ELSE 0.1 END / (k * k))) AS x FROM x WHERE a + b + c + d > 0)
+SELECT document_id, round(sum(x) / 3, 6) AS rank FROM s GROUP BY document_id""",
 }

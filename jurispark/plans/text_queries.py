@@ -1,74 +1,132 @@
-"""Queries on citations, statute pages and judgments' texts. Inline texts have their expected rows as SQL."""
+"""Queries on citations, statute pages and judgments' texts, and their SQL. Citations are planted in every whole document by its id."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jurispark import api
 from jurispark.functions import citations as C
 from jurispark.functions import judgment as J
 from jurispark.functions import statute as S
 from jurispark.functions.query import parse_query, query_tree
+from jurispark.operators import citation_job as J2
 from jurispark.operators import fulltext as X
 from jurispark.operators import linking as L
+from jurispark.operators import merge as M
 from jurispark.operators import retrieval as R
 from jurispark.plans import views as V
+from jurispark.plans.search_queries import _index
 from jurispark.session import table
 from jurispark.sources import landing
 
-TEXTS = [
-    (1, "E-1/2020", "Sbr. 2. mgr. 175. gr. a laga um meðferð einkamála nr. 91/1991, og 57. gr. laga nr. 46/1980. Í máli nr. E-2/2020 var það sama, sbr. 57. gr. laga nr. 46/1980."),
-    (2, "415/2018", "Samkvæmt 211. gr. almennra hegningarlaga nr. 19/1940 og vaxtalaga nr. 38/2001. Sjá mál nr. 415/2018 og dóm í máli nr. 12595/2024."),
-    (3, "22/2023", "Í stjórnarskrá lýðveldisins Íslands nr. 33/1944 og reglugerð Evrópusambandsins nr. 2024/2642 er annað, sbr. l. 46/1980."),
-    (4, "E-9/2021", "laga um meðferð einkamála í máli nr. 415/2018"),
-    (5, "E-3/2019", "Hegningarlaga nr. 19/1940 er getið. Hegningarlaga nr. 19/1940 er aftur getið, og 9. gr. laga nr. 1/1999."),
-]
-ACTS = [("a1", 91, 1991), ("a2", 46, 1980), ("a3", 19, 1940), ("a4", 38, 2001)]
-PROVISIONS = [
-    ("p1", "a1", "article", 175, "a", 3), ("p2", "a2", "article", 57, None, 1), ("p3", "a2", "article", 57, None, 2), ("p4", "a3", "article", 211, None, 1), ("p5", "a3", "annex", None, None, 9),
-]
+UNKNOWN = 28  # statutes are planted by a number modulo this, of which 25 are in the tables
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "document_id int, case_number string, text string")
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, case_number, text) of all documents, each with citations that its id gives before and behind its whole text."""
+    k = F.col("doc_id")
+    statute = lambda n: (F.lit(" nr. "), (n * 7 + 1).cast("string"), F.lit("/"), (1990 + n % 6).cast("string"))
+    first, second, name = k % UNKNOWN, F.floor(k / 3) % UNKNOWN, F.when(k % 2 == 0, "vaxtalaga").otherwise("barnalaga")
+    letter = F.when(k % 3 == 0, "b ").otherwise("")
+    lead = F.concat(F.lit("Sbr. "), (k % 5 + 1).cast("string"), F.lit(". mgr. "), (k % 40 + 1).cast("string"), F.lit(". gr. "), letter, F.lit("laga um próf"), *statute(first), F.lit(", í máli nr. E-"), (k % 500).cast("string"), F.lit("/2019. "))
+    tail = F.concat(F.lit(" Byggt er á: "), name, *statute(second), F.lit(", og enn á: "), name, *statute(second), F.lit(". Mál nr. E-"), (k % 1000).cast("string"), F.lit("/2020."))
+    own = F.when(k % 4 == 0, F.concat(F.lit("E-"), (k % 1000).cast("string"), F.lit("/2020")))
+    return table(spark, sf_dir, "documents").select(k.alias("document_id"), own.alias("case_number"), F.concat(lead, "text", tail).alias("text"))
 
 
-def _linked(spark: SparkSession):
-    acts = spark.createDataFrame(ACTS, "act_id string, act_number int, year int")
-    provisions = spark.createDataFrame(PROVISIONS, "provision_id string, act_id string, kind string, article_number int, article_letter string, ordering int")
-    return L.link(_texts(spark).select("document_id", "text"), acts, provisions)
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(n.alias("act_id"), (n * 7 + 1).cast("int").alias("act_number"), (1990 + n % 6).cast("int").alias("year"), F.col("n_name").alias("title"), F.array(F.lower("n_name")).alias("aliases"))
+
+
+def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("provision_id"), F.col("s_nationkey").alias("act_id"), F.when(F.col("s_acctbal") >= 0, "article").otherwise("annex").alias("kind"),
+        (k % 40 + 1).cast("int").alias("article_number"), F.when(k % 3 == 0, "b").alias("article_letter"), k.alias("ordering"))
+
+
+def _linked(spark: SparkSession, sf_dir: str):
+    return L.link(_planted(spark, sf_dir).select("document_id", "text"), _acts(spark, sf_dir), _provisions(spark, sf_dir))
 
 
 def cited_case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("document_id", F.array_join(C.cited_cases(F.col("text"), F.col("case_number")), ",").alias("cited"))
+    found = _planted(spark, sf_dir).where("text IS NOT NULL")
+    return found.select("document_id", F.array_join(C.cited_cases(F.col("text"), F.col("case_number")), ",").alias("cited"))
 
 
 def act_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark).select("document_id", "text", F.explode(C.act_citations(F.col("text"))).alias("c"))
-    cited = F.expr("substring(text, c.offset + 1, c.length)")
-    return found.select("document_id", "c.act_number", "c.year", "c.alias", cited.alias("cited"))
+    return _planted(spark, sf_dir).select("document_id", F.inline(C.act_citations(F.col("text")))).select("document_id", "act_number", "year", "alias", "offset")
 
 
 def provision_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark).select("document_id", F.explode(C.provision_citations(F.col("text"))).alias("c"))
-    return found.select("document_id", "c.paragraph", "c.article", "c.letter", "c.act_number", "c.year", "c.offset", "c.text")
+    found = _planted(spark, sf_dir).select("document_id", F.inline(C.provision_citations(F.col("text"))))
+    return found.select("document_id", "paragraph", "article", "letter", "act_number", "year", "offset", "text")
 
 
 def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark)[0].select("document_id", "provision_id", "char_offset", "paragraph_number")
+    return _linked(spark, sf_dir)[0].select("document_id", "provision_id", "char_offset", "paragraph_number")
 
 
 def citation_act_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark)[1].select("document_id", "act_id", "char_offset", "excerpt")
+    named = F.col("excerpt").rlike("(vaxta|barna)laga nr")
+    return _linked(spark, sf_dir)[1].select("document_id", "act_id", "char_offset", named.alias("excerpt_names_it"))
 
 
 def citation_unknown_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark)[2].where("act_id IS NULL").select("document_id", "act_number", "year").distinct()
+    return _linked(spark, sf_dir)[2].where("act_id IS NULL").select("document_id", "act_number", "year").distinct()
 
 
 def corpus_cited_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("mál nr. E-"), F.col("doc_id") % 1000, F.lit("/2020. "), F.col("text")).alias("text"))
-    return docs.select("doc_id", F.element_at(C.cited_cases(F.col("text")), 1).alias("first_cited"))
+    """Cited numbers of all texts, with how many documents cite each."""
+    found = _planted(spark, sf_dir).select(F.explode(C.cited_cases(F.col("text"))).alias("cited"))
+    return found.groupBy("cited").agg(F.count("*").alias("documents"))
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> J2.Scan:
+    """A run of the citation job: a third of the documents is up to date, a third changed, a third new; all have an old link of each kind."""
+    docs = _planted(spark, sf_dir).withColumn("text_hash", M.text_hash(F.col("text")))
+    mark = F.when(F.col("document_id") % 3 == 0, F.col("text_hash")).when(F.col("document_id") % 3 == 1, "stale")
+    old = docs.select("document_id", F.lit(0).alias("target"), F.lit(77).alias("char_offset"))
+    return J2.run(docs.withColumn("citation_scan_hash", mark), _acts(spark, sf_dir), _provisions(spark, sf_dir), old.withColumnRenamed("target", "provision_id"), old.withColumnRenamed("target", "act_id"))
+
+
+def citation_job_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _scan(spark, sf_dir)
+    links = done.provision_links.select(F.lit("article").alias("kind"), "document_id", F.col("provision_id").alias("target"), "char_offset")
+    return links.union(done.act_links.select(F.lit("statute").alias("kind"), "document_id", F.col("act_id").alias("target"), "char_offset"))
+
+
+def citation_job_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).acts.select("act_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+def citation_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _scan(spark, sf_dir)
+    due = M.changed(done.documents).agg(F.count("*").alias("still_due"))
+    return done.stats.select("indexed", "errors").join(F.broadcast(due))
+
+
+def citation_job_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).unknown
+
+
+def act_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = _acts(spark, sf_dir)
+    return api.filter_acts(acts, " Nation_1").union(api.filter_acts(acts, "8/1991")).union(api.filter_acts(acts, "nr. 15/")).select("act_id", "title")
+
+
+def act_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.with_addresses(_acts(spark, sf_dir)).select("act_id", "citation", "path", "official_url")
+
+
+def provision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("heading"), F.array(F.col("p_type"), F.lit("Fastur texti")).alias("paragraphs"))
+    return api.filter_provisions(rows, "Small ").union(api.filter_provisions(rows, "brand#2")).union(api.filter_provisions(rows, "SMALL")).select("p_partkey", "label")
+
+
+def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", api.hit_count(F.col("text"), '"the and" thing').cast("long").alias("hits"))
 
 
 def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +149,10 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(J.text_blocks(F.col("text"))).alias("b"))
-    return rows.groupBy("doc_id", "b.kind").agg(F.count("*").alias("n"))
+    """How many blocks of each kind a text has, counted within its row."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", J.text_blocks(F.col("text")).alias("blocks"))
+    kinds = F.transform(F.array(*map(F.lit, sorted({k for k, _ in J.KINDS} | {"paragraph"}))), lambda k: F.struct(k.alias("kind"), F.size(F.filter("blocks", lambda b: b["kind"] == k)).cast("long").alias("n")))
+    return rows.select("doc_id", F.inline(kinds)).where("n > 0")
 
 
 def summary_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +165,12 @@ def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippet_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.substring_index("text", "\n", 1).alias("title"), "text")
-    index = X.postings(docs, {"title": "A", "text": "D"})
+    """A page from the stored index; only its rows' texts are read for snippets."""
+    index, docs = _index(spark, sf_dir)
     query = query_tree(parse_query("thing AND the").web)
     page = R.page(X.search(index, docs.select("document_id", F.lit(None).cast("date").alias("date")), query), "relevance", 1, 15)
-    found = page.select("document_id", F.round("rank", 6).alias("rank")).join(docs.select("document_id", "text"), "document_id")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    found = texts.join(F.broadcast(page.select("document_id", F.round("rank", 6).alias("rank"))), "document_id")
     return found.select("document_id", "rank", J.snippet(F.col("text"), query.positive_terms()).alias("snippet"))
 
 
@@ -120,25 +181,46 @@ def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cited_case_numbers, act_citations, provision_citations, citation_links, citation_act_links, citation_unknown_acts, corpus_cited_cases, html_title_links, html_structure, html_page_text,
-    html_links, text_blocks, summary_extract, reflow, snippet_page, official_citations,
+    cited_case_numbers, act_citations, provision_citations, citation_links, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
+    citation_job_unknown, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, official_citations,
 )}
 
 MONTHS = "['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember']"
+PLANTED = f"""k AS (SELECT doc_id AS document_id, doc_id % {UNKNOWN} AS a, (doc_id // 3) % {UNKNOWN} AS b, doc_id % 5 + 1 AS paragraph, doc_id % 40 + 1 AS article, CASE WHEN doc_id % 3 = 0 THEN 'b' END AS letter,
+CASE WHEN doc_id % 2 = 0 THEN 'vaxtalaga' ELSE 'barnalaga' END AS name, 'E-' || doc_id % 500 || '/2019' AS first_case, 'E-' || doc_id % 1000 || '/2020' AS second_case, length(text) AS n_text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, 'laga um próf nr. ' || (a * 7 + 1) || '/' || (1990 + a % 6) AS first_act, name || ' nr. ' || (b * 7 + 1) || '/' || (1990 + b % 6) AS second_act,
+paragraph || '. mgr. ' || article || '. gr. ' AS place, coalesce(letter || ' ', '') AS gap FROM k),
+p AS (SELECT *, 5 + length(place) AS o1, length('Sbr. ' || place || gap || first_act || ', í máli nr. ' || first_case || '. ') + n_text + length(' Byggt er á: ') AS o2 FROM l),
+c AS (SELECT document_id, a AS n, NULL AS alias, o1 AS o, true AS covered FROM p UNION ALL SELECT document_id, b, name, o2, false FROM p UNION ALL SELECT document_id, b, name, o2 + length(second_act || ', og enn á: '), false FROM p),
+t AS (SELECT s_nationkey AS act_id, s_suppkey % 40 + 1 AS article, CASE WHEN s_suppkey % 3 = 0 THEN 'b' ELSE '' END AS letter, max(s_suppkey) AS provision_id FROM supplier WHERE s_acctbal >= 0 GROUP BY ALL)"""
+LINKS = "(SELECT document_id, provision_id, 5 AS char_offset, paragraph FROM p JOIN t ON t.act_id = p.a AND t.article = p.article AND t.letter = coalesce(p.letter, ''))"
+KNOWN = "n IN (SELECT n_nationkey FROM nation)"
 ORACLES = {
-    "cited_case_numbers": "SELECT * FROM (VALUES (1, 'E-2/2020'), (2, '12595/2024'), (3, ''), (4, '415/2018'), (5, '')) t(document_id, cited)",
-    "act_citations": """SELECT * FROM (VALUES (1, 91, 1991, NULL, 'a laga um meðferð einkamála nr. 91/1991'), (1, 46, 1980, NULL, 'laga nr. 46/1980'), (1, 46, 1980, NULL, 'laga nr. 46/1980'),
-(2, 19, 1940, 'hegningarlaga', 'almennra hegningarlaga nr. 19/1940'), (2, 38, 2001, 'vaxtalaga', 'og vaxtalaga nr. 38/2001'), (3, 46, 1980, NULL, 'l. 46/1980'),
-(5, 19, 1940, 'hegningarlaga', 'Hegningarlaga nr. 19/1940'), (5, 19, 1940, 'hegningarlaga', 'Hegningarlaga nr. 19/1940'), (5, 1, 1999, NULL, 'laga nr. 1/1999')) t(document_id, act_number, year, alias, cited)""",
-    "provision_citations": """SELECT * FROM (VALUES (1, 2, 175, 'a', 91, 1991, 5, '2. mgr. 175. gr. a laga um meðferð einkamála nr. 91/1991'), (1, NULL, 57, NULL, 46, 1980, 66, '57. gr. laga nr. 46/1980'),
-(1, NULL, 57, NULL, 46, 1980, 131, '57. gr. laga nr. 46/1980'), (2, NULL, 211, NULL, 19, 1940, 9, '211. gr. almennra hegningarlaga nr. 19/1940'), (5, NULL, 9, NULL, 1, 1999, 81, '9. gr. laga nr. 1/1999'))
-t(document_id, paragraph, article, letter, act_number, year, "offset", text)""",
-    "citation_links": """SELECT * FROM (VALUES (1, 'p1', 5, 2), (1, 'p3', 66, NULL), (1, 'p3', 131, NULL), (2, 'p4', 9, NULL)) t(document_id, provision_id, char_offset, paragraph_number)""",
-    "citation_act_links": """SELECT * FROM (VALUES (2, 'a4', 53, 'Samkvæmt 211. gr. almennra hegningarlaga nr. 19/1940 og vaxtalaga nr. 38/2001. Sjá mál nr. 415/2018 og dóm í máli nr. 12595/2024.'),
-(3, 'a2', 108, 'Í stjórnarskrá lýðveldisins Íslands nr. 33/1944 og reglugerð Evrópusambandsins nr. 2024/2642 er annað, sbr. l.'),
-(5, 'a3', 0, 'Hegningarlaga nr. 19/1940 er getið.'), (5, 'a3', 36, 'Hegningarlaga nr. 19/1940 er aftur getið, og 9. gr. laga nr. 1/1999.')) t(document_id, act_id, char_offset, excerpt)""",
-    "citation_unknown_acts": "SELECT 5 AS document_id, 1 AS act_number, 1999 AS year",
-    "corpus_cited_cases": "SELECT doc_id, 'E-' || doc_id % 1000 || '/2020' AS first_cited FROM documents",
+    "cited_case_numbers": f"WITH {PLANTED} SELECT document_id, first_case || CASE WHEN document_id % 4 = 0 THEN '' ELSE ',' || second_case END AS cited FROM p",
+    "act_citations": f"WITH {PLANTED} SELECT document_id, CAST(n * 7 + 1 AS INT) AS act_number, CAST(1990 + n % 6 AS INT) AS year, alias, CAST(o AS INT) AS \"offset\" FROM c",
+    "provision_citations": f"""WITH {PLANTED} SELECT document_id, paragraph, article, letter, a * 7 + 1 AS act_number, 1990 + a % 6 AS year, 5 AS "offset", place || gap || first_act AS text FROM p""",
+    "citation_links": f"WITH {PLANTED} SELECT document_id, provision_id, char_offset, paragraph AS paragraph_number FROM {LINKS}",
+    "citation_act_links": f"WITH {PLANTED} SELECT document_id, n AS act_id, o AS char_offset, true AS excerpt_names_it FROM c WHERE NOT covered AND {KNOWN}",
+    "citation_unknown_acts": f"WITH {PLANTED} SELECT DISTINCT document_id, n * 7 + 1 AS act_number, 1990 + n % 6 AS year FROM c WHERE NOT {KNOWN}",
+    "corpus_cited_cases": f"WITH {PLANTED} SELECT cited, count(*) AS documents FROM (SELECT first_case AS cited FROM p UNION ALL SELECT second_case FROM p) GROUP BY cited",
+    "citation_job_links": f"""WITH {PLANTED} SELECT 'article' AS kind, document_id, provision_id AS target, char_offset FROM {LINKS} WHERE document_id % 3 > 0
+UNION ALL SELECT 'statute', document_id, n, o FROM c WHERE NOT covered AND {KNOWN} AND document_id % 3 > 0
+UNION ALL SELECT v.kind, doc_id, 0, 77 FROM documents, (VALUES ('article'), ('statute')) v(kind) WHERE doc_id % 3 = 0 OR text IS NULL""",
+    "citation_job_aliases": f"""WITH {PLANTED}, u AS (SELECT n, alias, count(*) AS f FROM c WHERE document_id % 3 > 0 AND alias IS NOT NULL GROUP BY n, alias HAVING count(*) >= 2),
+g AS (SELECT n, string_agg(alias, ',' ORDER BY f DESC, alias) AS aliases FROM u GROUP BY n) SELECT n_nationkey AS act_id, coalesce(aliases, lower(n_name)) AS aliases FROM nation LEFT JOIN g ON n = n_nationkey""",
+    "citation_job_stats": """SELECT count(text) AS indexed, count(*) FILTER (WHERE text IS NULL) AS errors, count(*) FILTER (WHERE text IS NULL) AS still_due FROM documents WHERE doc_id % 3 > 0""",
+    "citation_job_unknown": f"""WITH {PLANTED} SELECT n * 7 + 1 AS act_number, 1990 + n % 6 AS year, count(DISTINCT document_id) AS documents FROM c WHERE document_id % 3 > 0 AND NOT {KNOWN}
+GROUP BY n ORDER BY documents DESC, year, act_number LIMIT 10""",
+    "act_filter": """WITH a AS (SELECT n_nationkey AS act_id, n_name AS title, (n_nationkey * 7 + 1) || '/' || (1990 + n_nationkey % 6) AS number FROM nation)
+SELECT act_id, title FROM a WHERE contains(lower(title), 'nation_1') UNION ALL SELECT act_id, title FROM a WHERE contains(number, '8/1991') UNION ALL SELECT act_id, title FROM a WHERE contains('lög nr. ' || number, 'nr. 15/')""",
+    "act_addresses": """SELECT n_nationkey AS act_id, 'lög nr. ' || n || '/' || y AS citation, '/log/' || n || '-' || y AS path, 'https://www.althingi.is/lagas/nuna/' || y || lpad(n::VARCHAR, 3, '0') || '.html' AS official_url
+FROM (SELECT n_nationkey, n_nationkey * 7 + 1 AS n, 1990 + n_nationkey % 6 AS y FROM nation)""",
+    "provision_filter": """WITH f AS (SELECT p_partkey, p_name AS label, lower(p_name) AS x, lower(CASE WHEN p_size > 5 THEN p_brand ELSE '' END) AS y, lower(p_type) AS z FROM part)
+SELECT p_partkey, label FROM f, (VALUES ('small'), ('brand#2'), ('small')) v(q) WHERE contains(x, q) OR contains(y, q) OR contains(z, q)""",
+    "hit_counts": "SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)the|and|thing')), 0) AS hits FROM documents",
+    "html_links": r"""SELECT page_id, u.h AS href, trim(regexp_replace(regexp_replace(u.t, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
+FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2))) AS x FROM pages) y,
+LATERAL (SELECT x[1] AS h, x[2] AS t) u WHERE u.h <> ''""",
     "html_title_links": r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<a [^>]*?href=')) AS anchors FROM pages""",
     "official_citations": f"""SELECT o_orderkey AS document_id, 'Landsréttur ' || day(o_orderdate) || '. ' || ({MONTHS})[month(o_orderdate)] || ' ' || year(o_orderdate) || ', mál nr. E-' || o_orderkey || '/' || year(o_orderdate)
 || CASE WHEN o_orderkey % 2 = 0 THEN ', ' || o_orderpriority ELSE '' END AS citation FROM orders""",

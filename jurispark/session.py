@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; on one machine, where none is set, a folder of the warehouse."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str = "stored") -> DataFrame:
+    """df computed once and kept as a table in the shared folder, so that later reads survive a lost executor."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def built_once(spark: SparkSession, name: str, write: Callable[[str], None]) -> DataFrame:
+    """The table that write(path) makes, written at the first call of an application and read at later ones."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _BUILT:
+        path = shared_path(spark, "built")
+        write(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
 def ship(spark: SparkSession) -> None:
     """Gives Python workers this package, once a context; needless where it is installed on them or in PYTHONPATH.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jurispark.functions.statute import tree
+from jurispark.functions.judgment import reflowed
 from jurispark.operators.merge import first_of
 
 # The courts' names with and without accents and their keys; node types that end a line; the least length of a judgment.
@@ -96,7 +96,8 @@ def rich_text(payload: Column, typename: str) -> Column:
             found = _by_type(json.loads(s), typename) if s else None
         except ValueError:
             return None
-        return None if found is None else _flat(found.get("document") or found.get("content") or [])
+        inner = found and (found.get("richText") or found)
+        return None if found is None else _flat(inner.get("document") or inner.get("content") or [])
 
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
@@ -104,28 +105,43 @@ def rich_text(payload: Column, typename: str) -> Column:
     return F.pandas_udf(run, T.StringType())(payload)
 
 
+# The element of a judgment's page that holds its data, and the type of the object with the text.
+DATA, VERDICT = r'(?is)<script[^>]*\bid="__NEXT_DATA__"[^>]*>(.*?)</script>', "WebVerdictByIdItem"
+
+
+def judgment_text(html: Column, pdf_text: Column | None = None) -> Column:
+    """A judgment's text from its page: what was read from its PDF, reflowed, else the rich text in the page's data; null without either."""
+    rich = rich_text(F.nullif(F.regexp_extract(html, DATA, 1), F.lit("")), VERDICT)
+    rich = F.nullif(F.trim(rich), F.lit(""))
+    return rich if pdf_text is None else F.coalesce(F.nullif(reflowed(pdf_text), F.lit("")), rich)
+
+
 def statute_index(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """(number, year, title, version, position) of linked statutes, the first mention of each; number 0 exists."""
+    """(number, year, title, version, position) of linked statutes, the first mention of each, by year and number; number 0 exists."""
     pattern = r'<a[^>]*href="[^"]*?/?(\d{4})(\d{3})\.html"[^>]*>([^<]*)</a>'
     text = F.col(html)
     groups = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), k).alias(n) for k, n in ((2, "number"), (1, "year"), (3, "title"))))
     version = F.nullif(F.regexp_extract(text, r"Útgáfa\s+(\w+)\.", 1), F.lit(""))
     rows = pages.select(page, version.alias("version"), F.posexplode(groups).alias("position", "g"))
     rows = rows.select(page, "version", "position", F.col("g.number").cast("int").alias("number"), F.col("g.year").cast("int").alias("year"), F.trim("g.title").alias("title"))
-    return first_of(rows, ["number", "year"], [F.asc(page), F.asc("position")])
+    return first_of(rows, ["number", "year"], [F.asc(page), F.asc("position")]).orderBy("year", "number")
 
 
 def links(html: Column) -> Column:
-    """array<struct<href, text>> of a page's anchors in order; null for null."""
-    kind = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
-
-    def one(page: str | None):
-        return None if page is None else [{"href": n.attrs["href"], "text": " ".join(n.text().split())} for n in tree(page).walk() if n.tag == "a" and n.attrs.get("href")]
-
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(one)
-
-    return F.pandas_udf(run, kind)(html)
+    """array<struct<href, text>> of a page's anchors with an address, in order; null for null. Anchors cannot nest, so a pattern reads them."""
+    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)(?=</a>|<a\s|\z)"""
+    part = lambda k: F.regexp_extract_all(html, F.lit(anchor), F.lit(k))
+    address = F.zip_with(F.zip_with(part(1), part(2), lambda a, b: F.concat(a, b)), part(3), lambda a, b: F.concat(a, b))
+    bare = lambda t: F.trim(F.regexp_replace(entities(F.regexp_replace(t, "<[^>]*>", "")), r"\s+", " "))
+    found = F.zip_with(address, part(4), lambda h, t: F.struct(entities(h).alias("href"), bare(t).alias("text")))
+    return F.filter(found, lambda a: a["href"] != "")
+
+
+def entities(text: Column) -> Column:
+    """The common character references as characters."""
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
 
 
 def case_links(pages: DataFrame, page: str, html: str) -> DataFrame:

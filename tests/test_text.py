@@ -49,30 +49,58 @@ def test_highlight_and_pager():
     assert Q.pages_shown(1, 3) == [1, 2, 3] and Q.pages_shown(10, 20) == [1, None, 8, 9, 10, 11, 12, None, 20]
 
 
-def test_sentence_around():
+def value(spark, column, **texts):
+    """A column function's value for texts given by name."""
+    from pyspark.sql import functions as F
+
+    schema = ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in texts.items())
+    return spark.createDataFrame([tuple(texts.values())], schema).select(column(*map(F.col, texts)).alias("v")).first()["v"]
+
+
+def test_sentence_around(spark):
     text = "Fyrsta. Sbr. 2. mgr. 175. gr. laga nr. 91/1991 gildir það. Næsta."
-    assert J.sentence_at(text, text.index("175")) == "Sbr. 2. mgr. 175. gr. laga nr. 91/1991 gildir það."
-    assert len(J.sentence_at("x" * 2000, 1000)) == 800
+    assert value(spark, J.sentence_around, t=text, k=text.index("175")) == "Sbr. 2. mgr. 175. gr. laga nr. 91/1991 gildir það."
+    assert value(spark, J.sentence_around, t=text, k=2) == "Fyrsta." and value(spark, J.sentence_around, t=text, k=len(text) - 1) == "Næsta."
+    assert len(value(spark, J.sentence_around, t="x" * 2000, k=1000)) == 800 and value(spark, J.sentence_around, t=None, k=1) is None
+
+
+def test_snippet(spark):
+    text = " ".join(f"w{k}" for k in range(100)) + " Hit " + " ".join(f"v{k}" for k in range(40))
+    shown = value(spark, lambda t: J.snippet(t, ["hit", "w3"]), t=text)
+    first, second = shown.split(" … ")
+    assert len(first.split()) == len(second.split()) == 28 and "<mark>w3</mark>" in first and "<mark>Hit</mark>" in second and "w33" not in shown
+    assert value(spark, lambda t: J.snippet(t, ["hit"]), t="a b hit c") == "a b <mark>hit</mark> c"
+    assert value(spark, lambda t: J.snippet(t, ["none"]), t="x" * 300) == value(spark, lambda t: J.snippet(t, []), t="x" * 300) == "x" * 240
+    long = " ".join(["hit", *(f"u{k}" for k in range(33))])
+    assert value(spark, lambda t: J.snippet(t, ["hit"]), t=long) == "<mark>hit</mark> " + long[4:]
+
+
+def blocks(spark, text):
+    found = value(spark, J.text_blocks, t=text)
+    return found if found is None else [(b["kind"], b["marker"], b["text"]) for b in found]
 
 
-def test_reflow_and_blocks():
+def test_reflow_and_blocks(spark):
     page = "Dómur\n\nÞetta er fyrsta lína málsgreinar sem heldur áfram á næs-\ntu línu og endar hér.\n- 2 -\n1. Fyrsti liður.\n    Inndregin lína hefur nýja málsgrein.\n"
-    assert J.reflow(page).split("\n") == ["Dómur", "Þetta er fyrsta lína málsgreinar sem heldur áfram á næstu línu og endar hér.", "1. Fyrsti liður.", "Inndregin lína hefur nýja málsgrein."]
-    body = J.reflow(page.removeprefix("Dómur\n\n"))
-    assert J.reflow(body) == body
-    kinds = [(b.kind, b.marker, b.text) for b in J.blocks("II.\nNiðurstaða:\na) Krafan er tekin til greina.\n3. Málsástæður aðila\nSTUTT FYRIRSÖGN\n„" + "orð " * 50 + "“\nVenjuleg málsgrein.\n12")]
+    assert value(spark, J.reflowed, t=page).split("\n") == ["Dómur", "Þetta er fyrsta lína málsgreinar sem heldur áfram á næstu línu og endar hér.", "1. Fyrsti liður.", "Inndregin lína hefur nýja málsgrein."]
+    body = value(spark, J.reflowed, t=page.removeprefix("Dómur\n\n"))
+    assert value(spark, J.reflowed, t=body) == body
+    kinds = blocks(spark, "II.\nNiðurstaða:\na) Krafan er tekin til greina.\n3. Málsástæður aðila\nSTUTT FYRIRSÖGN\n„" + "orð " * 50 + "“\nVenjuleg málsgrein.\n12")
     assert [k[0] for k in kinds] == ["heading", "heading", "list-item", "heading", "heading", "quote", "paragraph"] and kinds[2][1] == "a)"
     long = "Niðurstaða Fallist er á kröfuna sbr. 2. mgr. 70. gr. laga. " + "Setning sem er nokkuð löng og endar hér. " * 40
-    blob = J.blocks(long)
-    assert blob[0] == J.Block("heading", "Niðurstaða") and blob[1].text.startswith("Fallist er á kröfuna sbr. 2. mgr. 70. gr. laga.") and len(blob) > 2
-    assert J.blocks(None) == J.blocks(" ") == []
+    blob = blocks(spark, long)
+    assert blob[0] == ("heading", None, "Niðurstaða") and blob[1][2].startswith("Fallist er á kröfuna sbr. 2. mgr. 70. gr. laga.") and len(blob) > 2
+    assert all(len(t) < 600 + 45 for _, _, t in blob)
+    assert blocks(spark, None) is None and blocks(spark, " ") == blocks(spark, "") == []
+    assert blocks(spark, "Hér er hluta-\norð sett saman en eða-ekki ekki.\nÖnnur lína") == [("paragraph", None, "Hér er hlutaorð sett saman en eða-ekki ekki."), ("paragraph", None, "Önnur lína")]
 
 
-def test_summary():
+def test_summary(spark):
+    summary = lambda t: value(spark, J.summary_of, t=t)
     body = "Ágreiningur var um greiðslu skuldar samkvæmt samningi aðila. Fallist var á kröfuna."
-    assert J.summary(f"Útdráttur\n{body}\nDómur\nannað") == body
-    assert J.summary("Dómur\nannað") is None and J.summary("Útdráttur\nstutt\nDómur") is None
-    assert J.summary(f"Reifun\n{body}\n" + "x" * 12_000) == body
+    assert summary(f"Útdráttur\n{body}\nDómur\nannað") == body
+    assert summary("Dómur\nannað") is None and summary("Útdráttur\nstutt\nDómur") is None
+    assert summary(f"Reifun\n{body}\n" + "x" * 12_000) == body
 
 
 HTML = """<html><body><div class="article box">x</div><div class="article box login"><div class="boxbody"><h2>Lög um próf<sup>1)</sup></h2>
