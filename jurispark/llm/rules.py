@@ -9,6 +9,7 @@ nests them so that a rule is evaluated only where the earlier ones passed.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,19 +45,30 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.length(F.regexp_replace(t, SYMBOL, "")).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     })
+    return out.withColumn("n_repeat_words", _let(F.col("__words"), _repeat_words).cast("long")).drop("__words", "__lines")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which stands once in the plan however often body names it: filters on measures are pushed down by copying them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeat_words(words: Column) -> Column:
+    """How many words lie in windows of REPEAT_WINDOW words that occur twice or more."""
+    n = F.size(words)
     windows = F.when(n >= REPEAT_WINDOW, F.sequence(F.lit(0), n - REPEAT_WINDOW)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(windows, lambda i: F.struct(F.xxhash64(F.slice("__words", i + 1, REPEAT_WINDOW)).alias("h"), i.alias("i")))
-    out = out.withColumn("__windows", F.sort_array(hashed))
-    last = F.size("__windows")
+    hashed = F.transform(windows, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, REPEAT_WINDOW)).alias("h"), i.alias("i")))
+
+    def repeated(ordered: Column) -> Column:
+        def twice(x: Column, k: Column) -> Column:
+            before, behind = F.get(ordered, k - 1).getField("h"), F.get(ordered, k + 1).getField("h")
+            return F.coalesce(x.getField("h") == before, F.lit(False)) | F.coalesce(x.getField("h") == behind, F.lit(False))
 
-    def twice(x: Column, k: Column) -> Column:
-        before = F.when(k > 0, F.get("__windows", k - 1).getField("h"))
-        return x.getField("h").eqNullSafe(before) | x.getField("h").eqNullSafe(F.when(k + 1 < last, F.get("__windows", k + 1).getField("h")))
+        return F.sort_array(F.transform(F.filter(ordered, twice), lambda x: x.getField("i")))
 
-    out = out.withColumn("__at", F.sort_array(F.transform(F.filter("__windows", twice), lambda x: x.getField("i"))))
-    covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, i: F.struct(
-        (s["n"] + i + REPEAT_WINDOW - F.greatest(i, s["to"])).alias("n"), (i + REPEAT_WINDOW).alias("to")), lambda s: s["n"])
-    return out.withColumn("n_repeat_words", covered.cast("long")).drop("__words", "__lines", "__windows", "__at")
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    step = lambda s, i: F.struct((s["n"] + i + REPEAT_WINDOW - F.greatest(i, s["to"])).alias("n"), (i + REPEAT_WINDOW).alias("to"))
+    return F.aggregate(_let(F.sort_array(hashed), repeated), begin, step, lambda s: s["n"])
 
 
 def base_failed() -> Column:
@@ -110,7 +122,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text: str = "text", sample_
     The sample sets the order alone. Without rows that pass, rules stay as they are.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = cut(measures(docs.select(text).sample(share, seed), text).where(~base_failed()))
+    sample = cut(measures(docs.select(text).sample(share, seed), text)).where(~base_failed())
     flags = [F.coalesce(rule.rejects, F.lit(False)) for rule in rules]
     rejected = {tuple(r["hit"]): r["count"] for r in sample.groupBy(F.array(*flags).alias("hit")).count().collect()} if rules else {}
     if not rejected:

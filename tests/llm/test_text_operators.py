@@ -125,6 +125,8 @@ def test_quality_measures_and_order(spark, documents, empty):
         again = rules.measures(df).select("doc_id", rules.cascade(order).alias("k"))
         assert Counter((r["doc_id"], r["k"]) for r in rows(again)) == Counter((r["doc_id"], r["k"]) for r in rows(rules.measures(df).select("doc_id", rules.cascade(every).alias("k"))))
     assert rows(rules.quality_rules(empty)) == []
+    kept = {r["doc_id"] for r in rows(rules.quality_rules(df).where("kept AND n_repeat_words = 0"))}
+    assert kept == {r["doc_id"] for r in found if r["kept"] and not r["n_repeat_words"]}
 
 
 def best_score(p, scores, text):
