@@ -20,7 +20,7 @@ from jurispark.llm.shared import cut
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[^#*$%&|<>]+"
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-SAMPLE_ROWS, REPEATS = 2000, 20
+SAMPLE_ROWS, REPEATS = 2000, 4
 
 
 @dataclass(frozen=True)
