@@ -24,7 +24,7 @@ BUCKETS = 1 << 17
 SHIFT = np.uint64(64 - 17)
 SAMPLE_PER_GRADE = 2500
 FORM = ("log_words", "word_bytes", "upper", "digits", "signs", "repeated_words", "repeated_runs", "short_lines")
-RUN = 8
+RUN, GAP = 8, 1e-3
 
 
 def _kinds() -> np.ndarray:
@@ -94,6 +94,25 @@ def tails(s: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _sigmoid(s[:, None] - thresholds[None, :])
 
 
+def slopes(s: float, y: int, theta: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """The loss -log P(grade = y) at a score, and its slopes by the score and by each threshold."""
+    low = _sigmoid(theta[y - 1] - s) if y else 0.0
+    high = _sigmoid(theta[y] - s) if y < len(theta) else 1.0
+    p = max(high - low, 1e-9)
+    dh, dl, by = high * (1 - high), low * (1 - low), np.zeros(len(theta))
+    if y < len(theta):
+        by[y] -= dh / p
+    if y:
+        by[y - 1] += dl / p
+    return -np.log(p), (dh - dl) / p, by
+
+
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """Thresholds of which each is above the one before by GAP at least."""
+    rise = GAP * np.arange(len(theta))
+    return np.maximum.accumulate(theta - rise) + rise
+
+
 def fit(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], top: int, epochs: int = 12, rate: float = 0.1, penalty: float = 1e-5, scale: float = 30.0, seed: int = 3) -> Model:
     """Weights and thresholds by adaptive gradient steps on single examples (buckets, shares, form, grade), each grade weighing alike."""
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
@@ -107,24 +126,16 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], top: int
             ids, x, form, y = examples[k]
             x = scale * x
             s = x @ w[ids] + form @ v
-            low = _sigmoid(theta[y - 1] - s) if y else 0.0
-            high = _sigmoid(theta[y] - s) if y < top else 1.0
-            p = max(high - low, 1e-9)
-            dh, dl = high * (1 - high), low * (1 - low)
-            gs = weight[y] * (dh - dl) / p
-            g = gs * x + penalty * w[ids]
+            _, gs, by = slopes(s, y, theta)
+            g = weight[y] * gs * x + penalty * w[ids]
             g2[ids] += g * g
             w[ids] -= rate * g / np.sqrt(g2[ids])
-            g = gs * form
+            g = weight[y] * gs * form
             v2 += g * g
             v -= rate * g / np.sqrt(v2)
-            g = np.zeros(top)
-            if y < top:
-                g[y] -= weight[y] * dh / p
-            if y:
-                g[y - 1] += weight[y] * dl / p
+            g = weight[y] * by
             t2 += g * g
-            theta = np.maximum.accumulate(theta - rate * g / np.sqrt(t2))
+            theta = ordered(theta - rate * g / np.sqrt(t2))
     return Model((scale * w).astype(np.float32), v, theta, top)
 
 

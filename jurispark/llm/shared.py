@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jurispark.session import shared_path
+
+__all__ = ["components", "cut", "give_back", "join_heavy", "remove", "shared_path", "shuffle_partitions", "small", "text_batches"]
+
 BROADCAST_BYTES = 32 << 20
 HEAVY_SHARE = 1000
 ROWS_PER_TASK = 100_000
@@ -17,29 +20,28 @@ TEXT_ROWS = 500
 TEXT_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a folder of the warehouse where none is set."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored as a table in the shared folder, so that later reads survive a lost executor.
+    """df computed once and stored as a table in the shared folder, so that later reads survive a lost executor; it goes when the application ends.
 
     Unlike a checkpoint's, a stored table's size is its files' size. A checkpoint inherits the estimate of its plan, in which each
     join multiplies, and after some rounds of joins the planner would spend its time on numbers of millions of digits.
     """
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    file_system, place = _hadoop(df.sparkSession, path)
+    file_system.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that is read no more."""
+    file_system, place = _hadoop(spark, path)
+    file_system.delete(place, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

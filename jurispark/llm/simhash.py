@@ -103,14 +103,14 @@ def links(distinct: DataFrame, fp: str = "fp", bands: int = BANDS, distance: int
     return a.join(b, on).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, distance: int = DISTANCE) -> DataFrame:
-    """One row a row of docs: doc_id, fingerprint (long), component_id (smallest doc_id that links reach, itself included).
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a row of docs: doc_id, fingerprint (long), component_id (smallest doc_id that links reach, itself included), and the columns of `carry`.
 
     Null and empty texts have fingerprint zero and link like others. Copies, and rows that repeat, share a fingerprint. Rows
     with a null doc_id link others but name no component unless all of it is null, which gives null. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
+    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), F.struct(*(carry or (doc_id,))).alias("carried")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     distinct = cut(distinct)
     reach = components(links(distinct, "fp", bands, distance))
@@ -120,4 +120,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     distinct = distinct.join(named, "fp", "left").select("fp", "copies", F.coalesce("name", "rep").alias("component_id"))
     total = prints.count()
     out = join_heavy(prints, cut(distinct), ["fp"], "copies", max(1, total), F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id")
+    return out.select(F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id", *(F.col("carried")[c].alias(c) for c in carry))

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
+import pytest
 import xxhash
 
 from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity
@@ -29,7 +30,7 @@ def brute_repeats(texts, window=35):
     return out
 
 
-def test_repeats_equal_brute_force(spark, documents):
+def test_repeats_equal_brute_force(spark, documents, monkeypatch):
     rng = random.Random(4)
     base = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 130))) for _ in range(60)]
     shared = " ".join(rng.choice("abcdefgh") for _ in range(50))
@@ -39,6 +40,14 @@ def test_repeats_equal_brute_force(spark, documents):
     assert [(r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found] == brute_repeats(texts)
     for r in found:
         assert sum(s["end"] - s["begin"] for s in r["removed_spans"]) == r["n_removed"]
+    monkeypatch.setattr(repeats, "MANY", 2)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
+    again = df.union(df.where("doc_id IN (3, 81)")).union(df.where("doc_id = 81")).withColumn("kept_text", repeats.F.lit(1))
+    expected = Counter(zip([r["doc_id"] for r in rows(again)], brute_repeats([r["text"] for r in rows(again)])))
+    assert Counter((r["doc_id"], (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest())) for r in rows(repeats.remove_repeats(again))) == expected
+    monkeypatch.setattr(repeats, "MOST_CHUNKS", 4)
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(df)
 
 
 def test_repeats_carry_columns_and_keep_space(documents, empty):
@@ -327,8 +336,6 @@ def mixture(spark, sizes):
 
 
 def test_mixing_keeps_its_limit_under_a_budget(spark):
-    import pytest
-
     df = mixture(spark, {"a": 600, "b": 150, "c": 40})
     total = sum(len(r["text"].split()) for r in rows(df))
     for budget in (total // 2, 2 * total):
