@@ -1,7 +1,8 @@
 """Statute pages: HTML to title, chapters, articles and paragraphs.
 
-A page is first flattened into events in reading order (anchors, marks of articles and paragraphs, bold and italic runs, text), which
-are then folded into articles. Python, one page at a time, run by Arrow batches.
+A page is flattened into events in reading order (anchors, marks of articles and paragraphs, bold and italic runs, text). The events are cut
+into segments where a chapter or an article begins, and each segment is read by itself, an article's again cut where its paragraphs
+begin. Python, one page at a time, run by Arrow batches; nothing recurs into a page's elements, however deep they are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jurispark.functions.judgment import reflowed
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset(("script", "style", "form", "select"))
 # Class names of the page's box and its body, images that mark articles and paragraphs, forms of anchors and headings.
@@ -41,13 +44,23 @@ class Node:
     children: list = field(default_factory=list)
 
     def text(self, without: str = "") -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag == without else c.text(without) for c in self.children)
+        parts, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            elif x is self or x.tag != without:
+                stack += reversed(x.children)
+        return "".join(parts)
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """The elements inside, in reading order."""
+        stack = list(reversed(self.children))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, Node):
+                yield x
+                stack += reversed(x.children)
 
     def classes(self) -> set:
         return set((self.attrs.get("class") or "").split())
@@ -66,7 +79,7 @@ class _Tree(HTMLParser):
         if tag == "p" and self.open[-1].tag == "p":
             self.open.pop()
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -97,29 +110,94 @@ def _clean(node: Node) -> str:
     return normal(node.text("sup").replace("[", "").replace("]", ""))
 
 
+# What an element stands for: its tag, what else has to hold, the event's kind and value. Without a kind it is left out; of other elements, what is inside counts.
+ELEMENTS = [
+    ("span", lambda n: ANCHOR.fullmatch(n.attrs.get("id") or ""), "anchor", lambda n: n.attrs["id"]),
+    ("img", lambda n: ARTICLE_MARK in (n.attrs.get("src") or ""), "article", lambda n: None),
+    ("img", lambda n: PARAGRAPH_MARK in (n.attrs.get("src") or "") and PARAGRAPH_ID.fullmatch(n.attrs.get("id") or ""), "paragraph", lambda n: n.attrs["id"]),
+    ("i", lambda n: any(s.tag == "small" and _find(s, lambda m: m.tag == "sup") for s in n.walk()), "footnote", lambda n: normal(n.text())),
+    ("b", None, "bold", lambda n: n),
+    ("em", None, "italic", lambda n: n),
+    ("br", None, "text", lambda n: "\n"),
+    ("hr", None, "text", lambda n: "\n"),
+    *((tag, None, None, None) for tag in ("img", "sup", *sorted(SKIPPED))),
+]
+
+
 def events(node: Node):
     """(kind, value) in reading order."""
-    for c in node.children:
-        if isinstance(c, str):
-            yield "text", c
-        elif c.tag == "span" and ANCHOR.fullmatch(c.attrs.get("id") or ""):
-            yield "anchor", c.attrs["id"]
-        elif c.tag == "img":
-            src, own = c.attrs.get("src") or "", c.attrs.get("id") or ""
-            if ARTICLE_MARK in src:
-                yield "article", ""
-            elif PARAGRAPH_MARK in src and PARAGRAPH_ID.fullmatch(own):
-                yield "paragraph", own
-        elif c.tag == "i" and any(s.tag == "small" and _find(s, lambda n: n.tag == "sup") for s in c.walk()):
-            yield "footnote", normal(c.text())
-        elif c.tag == "b":
-            yield "bold", c
-        elif c.tag == "em":
-            yield "italic", c
-        elif c.tag in ("br", "hr"):
-            yield "text", "\n"
-        elif c.tag not in SKIPPED and c.tag != "sup":
-            yield from events(c)
+    stack = list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            yield "text", x
+            continue
+        rule = next((r for r in ELEMENTS if r[0] == x.tag and (r[1] is None or r[1](x))), None)
+        if rule is None:
+            stack += reversed(x.children)
+        elif rule[2]:
+            yield rule[2], rule[3](x)
+
+
+def _segments(stream) -> list[tuple[str, str | None, list]]:
+    """(kind, anchor or label, events) from one chapter's or article's beginning to the next; an anchor belongs to the article behind it."""
+    out, anchor = [], None
+    for kind, value in stream:
+        label = _clean(value) if kind == "bold" else ""
+        if kind == "anchor":
+            anchor = value
+        elif kind == "article":
+            out.append(("article", anchor, []))
+            anchor = None
+        elif CHAPTER.fullmatch(label) or TEMPORARY.match(label):
+            out.append(("chapter", label, []))
+        elif out:
+            out[-1][2].append((kind, value))
+    return out
+
+
+def _chapter(label: str, inside: list) -> dict:
+    """A chapter; the bold run behind its numeral is its title."""
+    m = CHAPTER.fullmatch(label)
+    title = next((_clean(v).removesuffix(".") for k, v in inside if k == "bold"), "") if m else ""
+    return {"numeral": m and m[1], "letter": (m and m[2]) or None, "label": label if m else label.removesuffix("."), "title": title or None}
+
+
+def _article(anchor: str | None, inside: list, chapter: int) -> dict:
+    """An article: its first bold run is the label, its first italic one before any paragraph the heading, the rest what its paragraphs hold."""
+    labelled = next((k for k, (kind, v) in enumerate(inside) if kind == "bold" and _clean(v)), None)
+    begins = [k for k, (kind, _) in enumerate(inside) if kind == "paragraph"] + [len(inside)]
+    headings = (_clean(v).removesuffix(".") for kind, v in inside[: begins[0]] if kind == "italic")
+    paragraphs = []
+    for a, b in zip(begins, begins[1:]):
+        runs = (v if kind == "text" else v.text() for k, (kind, v) in enumerate(inside[a + 1 : b], a + 1) if kind in ("text", "bold", "italic") and k != labelled)
+        paragraphs.append((inside[a][1], normal("".join(runs))))
+    if not anchor and paragraphs:
+        anchor = PARAGRAPH_ID.fullmatch(paragraphs[0][0])[1]
+    m = ANCHOR.fullmatch(anchor or "")
+    kept = [{"anchor": i, "number": k, "text": t} for k, (i, t) in enumerate(((i, t) for i, t in paragraphs if t), 1)]
+    full = "\n\n".join(p["text"] for p in kept)
+    return {
+        "anchor": anchor or "", "kind": "temporary" if re.match(r"B\d", anchor or "") else "article" if anchor else "annex", "article_number": int(m[1]) if m else None, "article_letter": (m and m[2].lower()) or None,
+        "chapter": chapter, "label": _clean(inside[labelled][1]) if labelled is not None else "", "heading": next((h for h in headings if h), None), "footnotes": [v for kind, v in inside if kind == "footnote"],
+        "paragraphs": kept, "full_text": full, "is_repealed": not re.sub(r"[\s….]", "", full),
+    }
+
+
+def _articles(segments: list):
+    """The articles in order; those without an anchor get one, those without a label the number or the anchor for one."""
+    chapters = annexes = 0
+    for kind, name, inside in segments:
+        if kind == "chapter":
+            chapters += 1
+            continue
+        a = _article(name, inside, chapters - 1)
+        if a["kind"] == "annex":
+            a["anchor"], annexes = f"X{annexes}", annexes + 1
+        letter = f" {a['article_letter']}." if a["article_letter"] else ""
+        a["label"] = a["label"] or (a["anchor"] if a["article_number"] is None else f"{a['article_number']}. gr.{letter}")
+        if a["label"] or a["full_text"]:
+            yield a
 
 
 def parse(html: str | None) -> dict | None:
@@ -133,66 +211,17 @@ def parse(html: str | None) -> dict | None:
     numbers = (NUMBER.match(n.text()) for p in body.walk() if p.tag == "p" for n in p.walk() if n.tag in ("strong", "b"))
     number = next((m for m in numbers if m), None)
     version = VERSION.search(body.text())
-    chapters, articles, article, untitled, pending = [], [], None, False, None
-    for kind, value in events(body):
-        reading = article["paragraphs"][-1] if article and article["paragraphs"] else None
-        if kind == "anchor":
-            pending = value
-        elif kind == "article":
-            m = ANCHOR.fullmatch(pending or "")
-            article = {"anchor": pending or "", "kind": "article", "article_number": int(m[1]) if m else None, "article_letter": (m[2].lower() or None) if m else None, "chapter": len(chapters) - 1,
-                       "label": "", "heading": None, "paragraphs": [], "footnotes": []}
-            articles.append(article)
-            pending = None
-        elif kind == "paragraph" and article:
-            article["anchor"] = article["anchor"] or PARAGRAPH_ID.fullmatch(value)[1]
-            article["paragraphs"].append([value, ""])
-        elif kind == "footnote" and article:
-            article["footnotes"].append(value)
-        elif kind == "bold":
-            text = _clean(value)
-            chapter = CHAPTER.fullmatch(text)
-            if chapter or TEMPORARY.match(text):
-                chapters.append({"numeral": chapter[1] if chapter else None, "letter": (chapter[2] or None) if chapter else None, "label": text if chapter else text.removesuffix("."), "title": None})
-                article, untitled = None, bool(chapter)
-            elif untitled and not article:
-                chapters[-1]["title"] = text.removesuffix(".") or None
-                untitled = False
-            elif article and not article["label"] and text:
-                article["label"] = text
-            elif reading:
-                reading[1] += value.text()
-        elif kind == "italic" and article and article["heading"] is None and not reading:
-            article["heading"] = _clean(value).removesuffix(".") or None
-        elif kind in ("text", "italic") and reading:
-            reading[1] += value if kind == "text" else value.text()
+    segments = _segments(events(body))
     return {
         "title": _clean(heading) if heading else "",
         "act_number": int(number[2]) if number else None,
         "year": int(number[1]) if number else None,
         "codex_version": version[1] if version else None,
-        "chapters": [c | {"ordering": k} for k, c in enumerate(chapters)],
-        "provisions": list(_finished(articles)),
+        "chapters": [_chapter(name, inside) | {"ordering": k} for k, (name, inside) in enumerate((n, e) for kind, n, e in segments if kind == "chapter")],
+        "provisions": list(_articles(segments)),
     }
 
 
-def _finished(articles: list[dict]):
-    annexes = 0
-    for a in articles:
-        filled = [(i, normal(t)) for i, t in a.pop("paragraphs") if normal(t)]
-        paragraphs = [{"anchor": i, "number": k, "text": t} for k, (i, t) in enumerate(filled, 1)]
-        kind = "temporary" if re.match(r"B\d", a["anchor"]) else "article" if a["anchor"] else "annex"
-        if kind == "annex":
-            a["anchor"], annexes = f"X{annexes}", annexes + 1
-        if kind != "article":
-            a |= {"article_number": None, "article_letter": None}
-        full = "\n\n".join(p["text"] for p in paragraphs)
-        letter = f" {a['article_letter']}." if a["article_letter"] else ""
-        label = a["label"] or (f"{a['article_number']}. gr.{letter}" if a["article_number"] is not None else a["anchor"])
-        if label or full:
-            yield a | {"kind": kind, "label": label, "paragraphs": paragraphs, "full_text": full, "is_repealed": not re.sub(r"[\s….]", "", full)}
-
-
 _S, _I = T.StringType(), T.IntegerType()
 
 
@@ -220,23 +249,32 @@ def parsed_act(html: Column) -> Column:
     return F.pandas_udf(run, ACT)(html)
 
 
-def page_text(html: Column) -> Column:
-    """The reading text of a page: its main part without navigation, on reflowed lines."""
-    from jurispark.functions.judgment import reflow
+# Elements around a page's text, and those that stand on lines of their own.
+CHROME = frozenset(("nav", "header", "footer", "script", "style", "noscript", "form", "aside"))
+LINES = frozenset(("p", "div", "br", "li", "h1", "h2", "h3", "h4", "article", "section", "tr"))
 
-    chrome = frozenset(("nav", "header", "footer", "script", "style", "noscript", "form", "aside"))
 
-    def body(node: Node) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag in chrome else ("\n" + body(c) + "\n" if c.tag in ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "article", "section", "tr") else body(c)) for c in node.children)
+def main_text(html: str | None) -> str | None:
+    """The text of a page's main part, without what is around it."""
+    if html is None:
+        return None
+    root = tree(html)
+    main = _find(root, lambda n: n.tag in ("main", "article")) or _find(root, lambda n: n.tag == "body") or root
+    parts, stack = [], list(reversed(main.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag not in CHROME:
+            edge = ["\n"] if x.tag in LINES else []
+            stack += edge + list(reversed(x.children)) + edge
+    return "".join(parts)
+
 
-    def one(page: str | None) -> str | None:
-        if page is None:
-            return None
-        root = tree(page)
-        main = _find(root, lambda n: n.tag in ("main", "article")) or _find(root, lambda n: n.tag == "body") or root
-        return reflow(body(main))
+def page_text(html: Column) -> Column:
+    """The reading text of a page: its main part without navigation, on reflowed lines."""
 
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(one)
+        return pages.map(main_text)
 
-    return F.pandas_udf(run, T.StringType())(html)
+    return reflowed(F.pandas_udf(run, T.StringType())(html))

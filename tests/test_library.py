@@ -121,6 +121,13 @@ def test_arrival_stream(spark, tmp_path):
     arrive("1.json", [{"source": "a", "url": "u", "text": "one", "seq": 1}, {"source": "a", "url": "u", "text": "two", "seq": 2}])
     arrive("2.json", [{"source": "a", "url": "u", "text": "two", "seq": 3}, {"source": "a", "url": "v", "text": "new", "seq": 4}])
     assert sorted((r["url"], r["text"], r["seq"]) for r in arrival.current(spark, store).collect()) == [("u", "two", 2), ("v", "new", 4)]
+    for k in (5, 6, 7):
+        arrive(f"{k}.json", [{"source": "a", "url": "u", "text": f"text {k}", "seq": k}])
+    assert sorted((r["url"], r["text"]) for r in arrival.current(spark, store).collect()) == [("u", "text 7"), ("v", "new")]
+    assert all(len(v) <= 2 for v in arrival._versions(spark, store).values())
+    again = spark.createDataFrame([("a", "u", "text 7", 7)], schema)
+    arrival.merge_batch(store, ["source", "url"], "seq")(again, 4)  # a batch that is run again
+    assert sorted((r["url"], r["text"], r["seq"]) for r in arrival.current(spark, store).collect()) == [("u", "text 7", 7), ("v", "new", 4)]
 
 
 CITED = [

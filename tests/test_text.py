@@ -124,6 +124,14 @@ def test_statute_page():
     assert (c["kind"], c["anchor"], c["article_number"], c["chapter"]) == ("temporary", "B0", None, 1)
     assert (d["kind"], d["anchor"], d["label"]) == ("annex", "X0", "Viðauki.")
     assert S.parse(None) is None and S.parse("<p>x")["provisions"] == []
+    deep = "<div>" * 3000 + HTML.split("<body>")[1].split("</body>")[0]
+    assert [p["anchor"] for p in S.parse(deep)["provisions"]] == ["G1", "G2A", "B0", "X0"]
+
+
+def test_page_text(spark):
+    page = "<html><body><nav>menu</nav><main><h1>Case</h1><p>One line that\nis wrapped.</p><script>x</script><div>Two</div></main></body></html>"
+    assert value(spark, S.page_text, t=page).split("\n") == ["Case", "One line that is wrapped.", "Two"]
+    assert value(spark, S.page_text, t=None) is None and value(spark, S.page_text, t="") == ""
 
 
 def test_citation_patterns_do_not_backtrack(spark):
