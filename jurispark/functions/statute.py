@@ -33,7 +33,7 @@ VERSION = re.compile(r"Útgáfa\s+(\w+)\.")
 
 
 def normal(text: str) -> str:
-    text = re.sub("[   ]", " ", unicodedata.normalize("NFC", text))
+    text = re.sub("[\u00a0\u2007\u202f\u2009\u2002-\u2006]", " ", unicodedata.normalize("NFC", text))
     return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t]+", " ", text)).strip()
 
 
