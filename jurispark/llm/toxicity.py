@@ -238,7 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, at any size of the data. Counts cover all labelled rows,
     a text and its copies counting once a label, and only entries with these odds leave Spark. Two-word phrases with a hit in MIN_DOCUMENTS clean texts, and no larger
     a share of the toxic than of the clean ones, become exceptions, next to those given. Slope and bias are
-    fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic rows the lexicon is empty.
+    fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic or without clean rows, as with an
+    empty table, the lexicon is empty. Rows without a text, label or id are not learned from. Entries are whole words of any length, and
+    beginnings of MIN_PREFIX to MAX_PREFIX letters.
     """
     text_batches(docs.sparkSession)
     rows = distinct_texts(attach(docs.select(doc_id, text), labels.select(doc_id, label), doc_id, label), text, label)
@@ -249,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return Lexicon({})
     counted = rows.mapInPandas(_counts(text, label), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = counted.where(F.col("bad") >= MIN_DOCUMENTS).select("entry", _log_odds(F.col("bad"), F.col("good"), totals).alias("w"))
-    likely = {r["entry"]: r["w"] for r in odds.where(F.col("w") >= MIN_LOG_ODDS).collect()}
+    likely = without_implied({r["entry"]: r["w"] for r in odds.where(F.col("w") >= MIN_LOG_ODDS).collect()})  # a shorter beginning stands in all contexts of a longer one
     bad = rows.where(F.col(label) == 1).select(text)
     met = bad.mapInPandas(_contexts(text, Lexicon(likely)), "entry string, context string").groupBy("entry").agg(F.count_distinct("context").alias("n"))
     varied = {r["entry"]: r["n"] for r in met.collect()}  # a row an entry at most
@@ -299,6 +301,9 @@ def score(text: Column, docs: DataFrame, lexicon: Lexicon) -> Column:
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score and predicted (1 if score >= threshold); columns of these names are replaced, others kept."""
+    """docs with score and predicted (1 if score >= threshold); columns of these names are replaced, others kept.
+
+    Null and empty texts score as a text without hits, copies and rows that repeat score alike; an empty table stays empty.
+    """
     out = docs.withColumn("score", score(F.col(text), docs, lexicon))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
