@@ -74,7 +74,9 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     values = [c for c in right.columns if c not in (*keys, weight)]
     hot = right.where(F.col(weight) * HEAVY_SHARE >= total)
     hot = hot.select(*keys, F.struct(*values).alias("__hot"))
-    cold = right.where(F.col(weight) * HEAVY_SHARE < total).select(*keys, F.lit(0).alias("__salt"), F.struct(*values).alias("__cold"))
+    # a plain 0 would be folded into the join's condition, and the salt would be no key of the shuffle
+    zero = F.least(F.col(weight), F.lit(0)).cast("int")
+    cold = right.where(F.col(weight) * HEAVY_SHARE < total).select(*keys, zero.alias("__salt"), F.struct(*values).alias("__cold"))
     salted = left.join(F.broadcast(hot), keys, "left")
     nulls = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     salted = salted.withColumn("__salt", F.when(F.col("__hot").isNotNull() | nulls, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))

@@ -150,3 +150,13 @@ def test_join_heavy_keeps_every_row(spark):
     right = left.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", shared.F.concat("k", shared.F.lit("!")))
     out = rows(shared.join_heavy(left, right, ["k"], "n", 300, shared.F.col("i")))
     assert len(out) == 300 and all(r["v"] == (r["k"] and r["k"] + "!") for r in out)
+
+
+def test_join_heavy_deals_hot_rows_by_their_salt(spark):
+    left = spark.createDataFrame([(i, "hot") for i in range(300)], "i long, k string")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", shared.F.lit("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = shared.join_heavy(left, right, ["k"], "n", 300, shared.F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("hashpartitioning(k" in line and "__salt" in line for line in plan.splitlines())
