@@ -111,7 +111,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "judgment_pages": r"""SELECT doc_id, CASE WHEN t <> '' THEN length(t) END AS n_chars, CASE WHEN t <> '' THEN sha256(t) END AS sha
 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""",
-    "court_sources": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'haestirettur' WHEN 1 THEN 'landsrettur' WHEN 4 THEN NULL ELSE 'heradsdomstolar' END AS source FROM documents",
+    "court_sources": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'haestirettur' WHEN 1 THEN 'landsrettur' WHEN 4 THEN NULL ELSE 'heradsdomar' END AS source FROM documents",
     "statute_index_pages": """SELECT s_nationkey AS page, s_suppkey % 7 AS number, 1900 + s_suppkey % 40 AS year, s_name AS title, '154b' AS version FROM supplier
 QUALIFY row_number() OVER (PARTITION BY s_suppkey % 7, s_suppkey % 40 ORDER BY s_nationkey, s_suppkey) = 1""",
     "case_link_pages": """SELECT '/case/' || p_partkey % 50 AS href, 'E-' || (p_partkey % 90 + 1) || '/2' || p_partkey % 8 AS case_number, p_name || ' E-' || (p_partkey % 90 + 1) || '/2' || p_partkey % 8 AS text FROM part

@@ -17,7 +17,7 @@ from jurispark.functions.judgment import reflowed
 from jurispark.operators.merge import first_of
 
 # The courts' names with and without accents and their keys; node types that end a line; the least length of a judgment.
-COURTS = (("hæstirétt", "haestarett", "haestirettur"), ("landsrétt", "landsrett", "landsrettur"), ("héraðsdóm", "heradsdom", "heradsdomstolar"))
+COURTS = (("hæstirétt", "haestarett", "haestirettur"), ("landsrétt", "landsrett", "landsrettur"), ("héraðsdóm", "heradsdom", "heradsdomar"))
 BLOCK_NODES = frozenset(
     "document paragraph heading-1 heading-2 heading-3 heading-4 heading-5 heading-6 ordered-list unordered-list list-item blockquote hr table table-row table-cell".split()
 )

@@ -13,6 +13,7 @@ from jurispark.operators import linking as L
 from jurispark.operators import merge as M
 from jurispark.operators.runner import Pipeline, Store
 from jurispark.sources import landing
+from jurispark.sources.seed import seed_tables
 from jurispark.streaming import arrival
 
 
@@ -91,7 +92,7 @@ def test_landing(spark):
     rows = spark.createDataFrame([(payload,), ("{",), (None,)], "p string").select(landing.rich_text(F.col("p"), "Html").alias("t")).collect()
     assert [r["t"] for r in rows] == ["one\ntwo", None, None]
     keys = spark.createDataFrame([("Hæstiréttur Íslands",), ("Landsréttur",), ("Héraðsdómur Reykjavíkur",), ("Annað",)], "c string").select(landing.source_key(F.col("c")).alias("k")).collect()
-    assert [r["k"] for r in keys] == ["haestirettur", "landsrettur", "heradsdomstolar", None]
+    assert [r["k"] for r in keys] == ["haestirettur", "landsrettur", "heradsdomar", None]
 
 
 def test_decoded_pages(spark, tmp_path):
@@ -222,6 +223,22 @@ def test_runner(spark, tmp_path):
     assert status == {"a": (1, False, ["success"]), "b": (1, True, ["failed"])}
 
 
+def test_seed_and_citation_pipeline(spark, cited, tmp_path):
+    _, acts, provisions = cited
+    store = Store(spark, str(tmp_path / "seeded"))
+    empty = spark.createDataFrame([], "document_id long, provision_id string, char_offset int"), spark.createDataFrame([], "document_id long, act_id string, char_offset int")
+    store.seed(seed_tables(spark) | {"acts": acts, "provisions": provisions, "provision_links": empty[0], "act_links": empty[1]})
+
+    def link(t):
+        done = citation_job.run(t["documents"], t["acts"], t["provisions"], t["provision_links"], t["act_links"])
+        return {"documents": done.documents, "provision_links": done.provision_links, "act_links": done.act_links, "acts": done.acts}, done.stats
+
+    store.pipelines["citations"] = Pipeline(link, tuple(r["source"] for r in store.tables()["sources"].collect()))
+    assert store.run("citations")["provision_links"].count() == 4
+    store.run("citations")
+    assert [r["indexed"] for r in store.runs().orderBy("run_id").collect()] == [0, 4, 0] and store.source_stamps().count() == 4
+
+
 def test_filters_and_addresses(spark, lib):
     assert ids(api.filter_acts(lib.acts, "HEGNINGAR"), "act_id") == ["a3"] and ids(api.filter_acts(lib.acts, "46/19"), "act_id") == ["a2"] and api.filter_acts(lib.acts, " ").count() == 2
     row = api.with_addresses(lib.acts.where("act_id = 'a3'")).first()
