@@ -28,7 +28,7 @@ from jurispark.llm.shared import give_back, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 60_000
+MEMO = 30_000
 
 
 class Pieces:

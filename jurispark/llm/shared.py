@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,11 +58,23 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Returns a Python worker's freed memory to the system: workers live on, and what each once needed adds up on an executor."""
+    """Returns a Python worker's freed memory to the system: workers live on, and what each once needed adds up on an executor.
+
+    Blocks of 4 MB and more are mapped by themselves, so they go back as soon as they are freed, also behind a worker's last batch.
+    """
+    system = _system()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    if system is not None:
+        system.malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _system():
+    system = ctypes.CDLL(None)
+    if not hasattr(system, "malloc_trim"):
+        return None
+    system.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; a set one no longer grows with what was freed
+    return system
 
 
 def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column, how: str = "left") -> DataFrame:
