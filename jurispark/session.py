@@ -49,12 +49,18 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str = "stored") -> DataFrame:
-    """df computed once and kept as a table in the shared folder, so that later reads survive a lost executor."""
+    """df computed once and kept as a table in the shared folder, so that later reads survive a lost executor; it goes when the application ends."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    _remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 _BUILT: dict[tuple[str, str], str] = {}
 
 
@@ -64,6 +70,7 @@ def built_once(spark: SparkSession, name: str, write: Callable[[str], None]) ->
     if key not in _BUILT:
         path = shared_path(spark, "built")
         write(path)
+        _remove_at_end(spark, path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
 
