@@ -40,4 +40,17 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
 SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact FROM m"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS t FROM p),
+g AS (SELECT lang, k AS size, array_to_string(t[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM w, range(1, 4) r(k))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS t FROM f WHERE size > 1 AND f >= 10),
+s AS (SELECT c.lang, c.phrase, c.size, a, t, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score FROM c, range(1, 3) z(k)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(t[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(t[k + 1:], ' ') WHERE k < c.size),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 50 * b.a))
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM d JOIN n USING (lang) WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
+
+ORACLES = {"op11_collocations": OP11, "op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
+from jurispark.llm import collocations, langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
 from jurispark.llm.oracles import ORACLES
 
 
@@ -69,12 +69,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_quality_rules, op4_simhash, op5_toxicity, op6_quality_classifier, op7_language_id,
-        op8_source_mixing, op9_warc, op10_embedding_near_dedup,
+        op8_source_mixing, op9_warc, op10_embedding_near_dedup, op11_collocations,
     )
 }
\ No newline at end of file
