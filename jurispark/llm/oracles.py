@@ -53,4 +53,41 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 50 * b.a))
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM d JOIN n USING (lang) WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
 
-ORACLES = {"op11_collocations": OP11, "op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+
+
+def _levels(name: str, n: int = 4) -> str:
+    """Common tables of the levels above {name}0 (tree, i, n, d), and what stands before and behind each node in its run."""
+    out = []
+    for k in range(n):
+        out.append(f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, (n + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16, n)")
+        out.append(f"{name}s{k} AS (SELECT tree, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY tree, i // 16 ORDER BY i))")
+    out.append(f"{name}r AS ({' UNION ALL '.join(f'SELECT tree, d FROM {name}{k} WHERE n = 1' for k in range(n + 1))})")
+    return ",\n".join(out)
+
+
+def _way(at: str, name: str, tree: str, i: str, n: int = 4) -> str:
+    """Common tables {at}1 to {at}n from {at}0: the proof p and the folded f grow by a level each."""
+    return ",\n".join(f"{at}{k + 1} AS (SELECT x.* REPLACE (p || coalesce(b || e, '') AS p, CASE WHEN b IS NULL THEN f ELSE sha256(b || f || e) END AS f) FROM {at}{k} x LEFT JOIN {name}s{k} s ON s.tree = x.{tree} AND s.i = x.{i} // {16**k})" for k in range(n))
+
+
+def _encoded(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda j: ascii({0}[j])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+LEAF = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+LOWERED = f"CASE WHEN {CRC32.format('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+OP12 = f"""
+WITH d AS (SELECT doc_id, source, {_encoded('source')} AS tree, sha256({LEAF} || {_encoded('text')}) AS d, sha256({LEAF} || {_encoded('lowered')}) AS f FROM (SELECT *, {LOWERED} AS lowered FROM documents)),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_levels('n')},
+t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY nullif(tree, '-') IS NOT NULL, substring(tree, strpos(tree, ':') + 1)) - 1 AS i, count(*) OVER () AS n, d, tree AS own FROM nr),
+{_levels('t')},
+a0 AS (SELECT n0.doc_id, n0.tree, n0.i, n0.d AS leaf, t0.d AS subroot, t0.i AS j, '' AS top, '' AS p, f FROM n0 JOIN t0 ON t0.own = n0.tree),
+{_way('a', 'n', 'tree', 'i')},
+b0 AS (SELECT * FROM a4),
+{_way('b', 't', 'top', 'j')}
+SELECT doc_id, leaf, subroot, tr.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = tr.d AS verified FROM b4, tr"""
+
+ORACLES = {"op12_merkle_manifest": OP12, "op11_collocations": OP11, "op1_substring_dedup": OP1, "op3_quality_rules": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}

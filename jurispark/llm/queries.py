@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import collocations, langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
+from jurispark.llm import collocations, langid, merkle, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
 from jurispark.llm.oracles import ORACLES
 
 
@@ -73,12 +75,22 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what verification says of rows a fifth of which are altered afterwards."""
+    docs = _read(spark, sf_dir, "documents")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    fields = (*(merkle.encoded(F.col(c)) for c in merkle.FIELDS[:-1]), merkle.encoded(altered))
+    made = merkle.manifest(docs, carry={"doc_id": F.col("doc_id"), "altered": merkle.digest(*fields)})
+    out = merkle.proofs(spark, made).withColumns({"proof_sha256": merkle.proof_digest(), "folded_root": merkle.folded(F.col("altered"))})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_quality_rules, op4_simhash, op5_toxicity, op6_quality_classifier, op7_language_id,
-        op8_source_mixing, op9_warc, op10_embedding_near_dedup, op11_collocations,
+        op8_source_mixing, op9_warc, op10_embedding_near_dedup, op11_collocations, op12_merkle_manifest,
     )
 }
\ No newline at end of file

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jurispark.session import shared_path
 
-__all__ = ["components", "cut", "give_back", "join_heavy", "remove", "shared_path", "shuffle_partitions", "small", "text_batches"]
+__all__ = ["components", "cut", "give_back", "join_heavy", "remove", "remove_at_end", "shared_path", "shuffle_partitions", "small", "text_batches"]
 
 BROADCAST_BYTES = 32 << 20
 HEAVY_SHARE = 1000
@@ -28,11 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    file_system, place = _hadoop(df.sparkSession, path)
-    file_system.deleteOnExit(place)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Removes a table when the application ends."""
+    file_system, place = _hadoop(spark, path)
+    file_system.deleteOnExit(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a table that is read no more."""
     file_system, place = _hadoop(spark, path)
