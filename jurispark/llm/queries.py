@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.llm import collocations, langid, merkle, mixing, ordinal, pieces, repeats, rules, simhash, toxicity, vectors, warc
+from jurispark.llm import collocations, langid, merkle, mixing, ordinal, pieces, repeats, rules, simhash, token_files, toxicity, vectors, warc
 from jurispark.llm.oracles import ORACLES
 
 
@@ -85,12 +85,20 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True)
+    out = token_files.read_documents(spark, files)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_quality_rules, op4_simhash, op5_toxicity, op6_quality_classifier, op7_language_id,
-        op8_source_mixing, op9_warc, op10_embedding_near_dedup, op11_collocations, op12_merkle_manifest,
+        op8_source_mixing, op9_warc, op10_embedding_near_dedup, op11_collocations, op12_merkle_manifest, op13_token_files,
     )
 }
\ No newline at end of file
