@@ -7,11 +7,12 @@ single pass, and what a phrase's parts count is joined afterwards.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,164 +22,218 @@ from jurispark.llm.shared import cut, give_back, join_heavy, shuffle_partitions,
 MAX_N, LEAST, KEEP, ABSORBED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 FILTER_BITS = 1 << 25
-HELD = 600_000  # suffixes that a worker counts before it hands them on
+HELD = 3_000_000  # words that a worker holds as numbers before it counts their suffixes and hands them on
 SLICE = 1 << 20
 BREAK = b"\n"
 # What ends a piece of text.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", BREAK * 9)
 
 
-def _slices(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, breaks among them, in slices of about SLICE bytes; a word is never cut."""
-    data, at = text.encode("utf-8", "replace").lower().translate(ENDS).replace(b"\t", b" "), 0
-    while at < len(data):
-        end = data.find(b" ", at + SLICE)
-        end = len(data) if end < 0 else end
-        yield data[at:end].replace(BREAK, b" \n ").split(b" ")
-        at = end
+class Codes(dict):
+    """Words as numbers in the order in which they are met: 0 for a break and for a word that is surely rare, 1 for no word.
 
+    Which words of a language are rare is told by a bitmap of hashes: a rare word may pass, but no frequent one is lost. Without one all pass."""
 
-def _rows(columns: list[list], schema: pa.Schema, most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), most):
-        arrays = [pa.array(c[i : i + most], pa.binary()).cast(t) if pa.types.is_string(t) and c and isinstance(c[i], bytes) else pa.array(c[i : i + most], t) for c, t in zip(columns, schema.types)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def __init__(self, lang: str, bitmap: bytes | None = None):
+        super().__init__({BREAK: 0, b"": 1})
+        self.words, self.seed, self.bitmap = [BREAK, b""], xxhash.xxh64_intdigest(lang.encode(), 42), bitmap
+
+    def __missing__(self, word: bytes) -> int:
+        found = 0
+        if self.bitmap is not None:
+            at = xxhash.xxh64_intdigest(word, self.seed) % FILTER_BITS
+        if self.bitmap is None or self.bitmap[at >> 3] >> (at & 7) & 1:
+            found = len(self.words)
+            self.words.append(word)
+        self[word] = found
+        return found
+
+    def of(self, text: str) -> Iterator[np.ndarray]:
+        """The numbers of a text's words, breaks among them, in slices of about SLICE bytes; a word is never cut."""
+        data, at = text.encode("utf-8", "replace").lower().translate(ENDS).replace(b"\t", b" "), 0
+        while at < len(data):
+            end = data.find(b" ", at + SLICE)
+            end = len(data) if end < 0 else end
+            words = data[at:end].replace(BREAK, b" \n ").split(b" ")
+            codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            yield codes[codes != 1]
+            at = end
+
+    def column(self, codes: np.ndarray) -> pa.Array:
+        if not hasattr(self, "array") or len(self.array) < len(self.words):
+            self.array = pa.array(self.words, pa.binary())
+        return self.array.take(pa.array(codes))
 
 
 def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
     for part in parts:
-        for row in range(part.num_rows):
-            text = part["text"][row].as_py()
+        for lang, text in zip(part["lang"].to_pylist(), part["text"]):
+            text = text.as_py()
             if text:
-                yield part["lang"][row].as_py(), text
+                yield lang, text
 
 
-WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+def _batches(lang: str, n: int, columns: Callable[[slice], list[pa.Array]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, n, 50_000):
+        arrays = [a.cast(pa.string()) if pa.types.is_binary(a.type) else a for a in columns(slice(i, min(n, i + 50_000)))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(arrays[0])), *arrays], names=["lang", *names])
 
 
 def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of a part of the texts."""
-    found: dict[str, Counter] = {}
+    found: dict[str, tuple[Codes, list[np.ndarray]]] = {}
 
     def table() -> Iterator[pa.RecordBatch]:
-        for lang, own in found.items():
-            own.pop(b"", None), own.pop(BREAK, None)
-            yield from _rows([[lang] * len(own), list(own), list(own.values())], WORDS)
+        for lang, (codes, held) in found.items():
+            n = np.bincount(np.concatenate(held), minlength=len(codes.words))
+            yield from _batches(lang, len(n) - 2, lambda rows: [codes.column(np.arange(len(n))[2:][rows]), pa.array(n[2:][rows])], ["word", "n"])  # noqa: B023
         found.clear()
         give_back()
 
+    size = 0
     for lang, text in _texts(parts):
-        own = found.setdefault(lang, Counter())
-        for words in _slices(text):
-            own.update(words)
-        if sum(map(len, found.values())) > HELD:
+        if lang not in found:
+            found[lang] = Codes(lang), []
+        codes, held = found[lang]
+        for own in codes.of(text):
+            held.append(own)
+            size += len(own)
+        if size > HELD or sum(len(c.words) for c, _ in found.values()) > HELD // 4:
             yield from table()
+            size = 0
     yield from table()
 
 
-class Frequent(dict):
-    """word: itself if it may be frequent in a language, else a break. A bitmap of hashes decides, so a rare word may pass but no frequent one is lost."""
-
-    def __init__(self, lang: str, bitmap: bytes):
-        super().__init__({BREAK: BREAK})
-        self.seed, self.bitmap = xxhash.xxh64_intdigest(lang.encode(), 42), bitmap
-
-    def __missing__(self, word: bytes) -> bytes:
-        at = xxhash.xxh64_intdigest(word, self.seed) % FILTER_BITS
-        if len(self) > HELD // 2:
-            self.clear()
-            self[BREAK] = BREAK
-        self[word] = found = word if self.bitmap[at >> 3] >> (at & 7) & 1 else BREAK
-        return found
-
-
-SUFFIXES = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("salt", pa.int32())])
-
-
 def _suffixes(shared, max_n: int, salts: int):
     """(lang, suffix, n, salt): the suffixes of a part of the texts with how many there are of each; every word ends in a blank."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = shared.value
-        found: dict[str, Counter] = {}
-        frequent: dict[str, Frequent] = {}
+        coded: dict[str, Codes] = {}
+        found: dict[str, list[np.ndarray]] = {}
 
         def table() -> Iterator[pa.RecordBatch]:
             for lang in list(found):
-                own, heavy = Counter(), hot.get(lang, ())
-                for s, n in found.pop(lang).items():
-                    own[s[: s.index(BREAK)] if BREAK in s else s + b" "] += n
-                own.pop(b"", None)
-                yield from _rows([[lang] * len(own), list(own), list(own.values()), [_salt(s, heavy, salts) for s in own]], SUFFIXES)
+                codes = coded[lang]
+                words, n = _distinct(np.concatenate([*found.pop(lang), np.zeros(max_n - 1, np.int64)]), max_n, len(codes.words))
+                heavy = np.array([codes.get(w, 0) for w in sorted(hot.get(lang, ()))], np.int64)
+                salt = _salts(words, heavy[heavy > 0], salts)
+
+                def columns(rows: slice) -> list[pa.Array]:
+                    own = [codes.column(w[rows]) for w in words]  # noqa: B023
+                    ended = [pa.compute.if_else(pa.array(w[rows] > 0), pa.compute.binary_join_element_wise(c, b"", b" "), b"") for w, c in zip(words, own)]  # noqa: B023
+                    return [pa.compute.binary_join_element_wise(*ended, b""), pa.array(n[rows]), pa.array(salt[rows])]  # noqa: B023
+
+                yield from _batches(lang, len(n), columns, ["suffix", "n", "salt"])
+            coded.clear()
             give_back()
 
+        size = 0
         for lang, text in _texts(parts):
-            own, known = found.setdefault(lang, Counter()), frequent.get(lang)
-            if known is None:
-                known = frequent[lang] = Frequent(lang, bitmap)
-            held: list[bytes] = []
-            for words in _slices(text):
-                held += [known[w] for w in words if w]
-                own.update(map(b" ".join, zip(*(held[k:] for k in range(max_n)))))
-                held = held[max(0, len(held) - max_n + 1) :]
-            held += [BREAK] * (max_n - 1)
-            own.update(map(b" ".join, zip(*(held[k:] for k in range(max_n)))))
-            if sum(map(len, found.values())) > HELD:
+            if lang not in coded:
+                coded[lang] = Codes(lang, bitmap)
+            for own in coded[lang].of(text):
+                found.setdefault(lang, []).append(own)
+                size += len(own)
+            found.setdefault(lang, []).append(np.zeros(max_n - 1, np.int64))
+            if size > HELD or sum(map(len, coded.values())) > HELD // 4:
                 yield from table()
+                size = 0
         yield from table()
 
     return run
 
 
-def _salt(suffix: bytes, hot, salts: int) -> int:
+def _distinct(codes: np.ndarray, max_n: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct suffixes of a run of words as a column a word, 0 behind the end, and how many there are of each."""
+    columns = [codes[k : len(codes) - max_n + 1 + k] for k in range(max_n)]
+    columns = [c[columns[0] > 0] for c in columns]
+    for k in range(1, max_n):
+        columns[k] = np.where(columns[k - 1] > 0, columns[k], 0)
+    bits = max(1, int(size - 1).bit_length())
+    if bits * max_n > 63:
+        rows, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        return list(rows.T), n
+    packed = columns[0]
+    for c in columns[1:]:
+        packed = packed << bits | c
+    packed.sort()
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])) if len(packed) else np.zeros(0, bool))
+    n, packed = np.diff(np.append(first, len(packed))), packed[first]
+    return [packed >> bits * (max_n - 1 - k) & ((1 << bits) - 1) for k in range(max_n)], n
+
+
+def _salts(words: list[np.ndarray], hot: np.ndarray, salts: int) -> np.ndarray:
     """0 unless the first word is hot; then by the second word, or by it and the third if the second is hot too."""
-    first, _, rest = suffix.partition(b" ")
-    if first not in hot:
-        return 0
-    words = rest.split(b" ", 2)
-    return 1 + xxhash.xxh64_intdigest(b" ".join(words[:2]) if words[0] in hot else words[0], 7) % salts
-
-
-COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
-
-
-def _counted(shared, least: int):
-    """(lang, phrase, size, n) of the beginnings of suffixes in reverse order: one stack a language, in which each beginning holds what it counts so far.
-
-    Beginnings of one or two words whose words are all hot may lie in several parts: they are given whatever they count."""
+    if not len(hot) or len(words) < 2:
+        return np.zeros(len(words[0]), np.int32)
+    spread = (words[1] + 1) * 0x9E3779B1
+    if len(words) > 2:
+        spread = np.where(np.isin(words[1], hot), spread ^ (words[2] + 1) * 0x85EBCA77, spread)
+    return np.where(np.isin(words[0], hot), 1 + (spread >> 7) % salts, 0).astype(np.int32)
+
+
+class Stack:
+    """What the beginnings of the last suffix count so far, one number a depth, while suffixes of a language come in order.
+
+    A batch is taken in at once: where neighbours' first words agree is where their beginnings go on, so a depth's counts are sums between places where they do not."""
+
+    def __init__(self, max_n: int, hot: set[str]):
+        self.hot, self.max_n = pa.array(sorted(hot), pa.string()), max_n
+        self.last, self.open = None, [0] * max_n
+
+    def push(self, suffixes: pa.Array, n: np.ndarray, least: int, end: bool = False) -> tuple[list[str], list[int], list[int]]:
+        """Takes in the next suffixes; (phrases, sizes, counts) of the beginnings that are complete: those that count enough, and those of hot words that other parts count too."""
+        if self.last is not None:
+            suffixes, n = pa.concat_arrays([pa.array([self.last], suffixes.type), suffixes]), np.append(0, n)
+        if not len(suffixes):
+            return [], [], []
+        split = pa.compute.split_pattern(suffixes, " ")
+        offsets, words = split.offsets.to_numpy(), split.values
+        sizes = np.diff(offsets) - 1
+        goes_on, hot = np.ones(len(n) - 1, bool), np.ones(len(n), bool)
+        phrases, depths, counts = [], [], []
+        for d in range(self.max_n):
+            both = np.flatnonzero(goes_on & (sizes[1:] > d) & (sizes[:-1] > d))
+            same = pa.compute.equal(words.take(pa.array(offsets[both + 1] + d)), words.take(pa.array(offsets[both] + d))).to_numpy(zero_copy_only=False)
+            goes_on = np.zeros(len(n) - 1, bool)
+            goes_on[both[same]] = True
+            first = np.flatnonzero(np.append(True, ~goes_on))
+            total = np.add.reduceat(n, first)
+            total[0] += self.open[d] if self.last is not None else 0
+            self.open[d] = int(total[-1])
+            keep = sizes[first] > d
+            hot = hot & (sizes > d) & pa.compute.is_in(words.take(pa.array(offsets[:-1] + np.minimum(d, sizes))), value_set=self.hot).to_numpy(zero_copy_only=False) if d < 2 else hot & False
+            keep &= (total >= least) | hot[first]
+            if not end:
+                keep[-1] = False
+            for s, t in zip(suffixes.take(pa.array(first[keep])).to_pylist(), total[keep].tolist()):
+                phrases.append(" ".join(s.split(" ", d + 1)[: d + 1]))
+                depths.append(d + 1)
+                counts.append(t)
+        self.last = suffixes[-1].as_py()
+        return phrases, depths, counts
+
+
+def _counted(shared, max_n: int, least: int):
+    """(lang, phrase, size, n) of the beginnings of suffixes in reverse order. Beginnings of one or two words that are all hot may lie in several parts: they are given whatever they count."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = {lang: {w.decode() for w in words} for lang, words in shared.value[1].items()}
-        stacks: dict[str, tuple[list[str], list[int]]] = {}
-        out: list[list] = [[], [], [], []]
+        stacks: dict[str, Stack] = {}
 
-        def pop(lang: str, begins: list[str], counts: list[int]) -> None:
-            s, n, size = begins.pop(), counts.pop(), len(begins) + 1
-            if counts:
-                counts[-1] += n
-            if n >= least or size < 3 and hot.get(lang, frozenset()).issuperset(s.split()):
-                for column, value in zip(out, (lang, s[:-1], size, n)):
-                    column.append(value)
+        def table(lang: str, suffixes: pa.Array, n: np.ndarray, end: bool = False) -> pa.RecordBatch:
+            phrases, sizes, counts = stacks[lang].push(suffixes, n, least, end)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "n"])
 
         for part in parts:
-            for lang, s, n in zip(part["lang"].to_pylist(), part["suffix"].to_pylist(), part["n"].to_pylist()):
+            for lang in pa.compute.unique(part["lang"]).to_pylist():
+                own = part.filter(pa.compute.equal(part["lang"], lang))
                 if lang not in stacks:
-                    stacks[lang] = [], []
-                begins, counts = stacks[lang]
-                while begins and not s.startswith(begins[-1]):
-                    pop(lang, begins, counts)
-                at = len(begins[-1]) if begins else 0
-                while at < len(s):
-                    at = s.index(" ", at) + 1
-                    begins.append(s[:at])
-                    counts.append(0)
-                counts[-1] += n
-            if len(out[0]) >= 50_000:
-                yield from _rows(out, COUNTS)
-                out = [[], [], [], []]
-        for lang, (begins, counts) in stacks.items():
-            while begins:
-                pop(lang, begins, counts)
-        yield from _rows(out, COUNTS)
+                    stacks[lang] = Stack(max_n, hot.get(lang, set()))
+                yield table(lang, own["suffix"], own["n"].to_numpy())
+        for lang in stacks:
+            yield table(lang, pa.array([], pa.string()), np.zeros(0, np.int64), True)
 
     return run
 
@@ -208,7 +263,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
     parts = shuffle_partitions(spark)
     suffixes = rows.mapInArrow(_suffixes(shared, max_n, parts), "lang string, suffix string, n long, salt int")
     suffixes = suffixes.repartition(parts, "lang", F.substring_index("suffix", " ", 1), "salt").sortWithinPartitions(F.desc("suffix"))
-    counted = suffixes.mapInArrow(_counted(shared, least), "lang string, phrase string, size int, n long")
+    counted = suffixes.mapInArrow(_counted(shared, max_n, least), "lang string, phrase string, size int, n long")
     return cut(counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)), sizes
 
 
