@@ -117,7 +117,7 @@ def _suffixes(shared, max_n: int, salts: int):
                 codes = coded[lang]
                 words, n = _distinct(np.concatenate([*found.pop(lang), np.zeros(max_n - 1, np.int64)]), max_n, len(codes.words))
                 heavy = np.array([codes.get(w, 0) for w in sorted(hot.get(lang, ()))], np.int64)
-                salt = _salts(words, heavy[heavy > 0], salts)
+                salt = _salts(words, heavy[heavy > 0], codes.words, salts)
 
                 def columns(rows: slice) -> list[pa.Array]:
                     own = [codes.column(w[rows]) for w in words]  # noqa: B023
@@ -163,14 +163,17 @@ def _distinct(codes: np.ndarray, max_n: int, size: int) -> tuple[list[np.ndarray
     return [packed >> bits * (max_n - 1 - k) & ((1 << bits) - 1) for k in range(max_n)], n
 
 
-def _salts(words: list[np.ndarray], hot: np.ndarray, salts: int) -> np.ndarray:
-    """0 unless the first word is hot; then by the second word, or by it and the third if the second is hot too."""
-    if not len(hot) or len(words) < 2:
-        return np.zeros(len(words[0]), np.int32)
-    spread = (words[1] + 1) * 0x9E3779B1
-    if len(words) > 2:
-        spread = np.where(np.isin(words[1], hot), spread ^ (words[2] + 1) * 0x85EBCA77, spread)
-    return np.where(np.isin(words[0], hot), 1 + (spread >> 7) % salts, 0).astype(np.int32)
+def _salts(words: list[np.ndarray], hot: np.ndarray, names: list[bytes], salts: int) -> np.ndarray:
+    """0 unless the first word is hot; then by the second word, or by it and the third if the second is hot too. Numbers are a worker's own, so names are hashed."""
+    out = np.zeros(len(words[0]), np.int32)
+    rows = np.flatnonzero(np.isin(words[0], hot))
+    if len(rows) and len(words) > 1:
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, names), np.int64, len(names))
+        spread = hashes[words[1][rows]]
+        if len(words) > 2:
+            spread = np.where(np.isin(words[1][rows], hot), spread * 31 + hashes[words[2][rows]], spread)
+        out[rows] = 1 + (spread >> 3) % salts
+    return out
 
 
 class Stack:
