@@ -10,6 +10,7 @@ folder is local.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,35 +40,79 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), parsed.path) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
 
 
+WHITE = bytes.maketrans(b"\n\t\r", b"   ")
+ASCII_LETTER, ASCII_MARK = np.zeros(256, bool), np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+ASCII_MARK[list(b".,;:!?\"()")] = True
+LETTERS = re.compile(b"[a-z]+")
+
+
 class Encoder:
-    """Texts as bytes of ids. `by_word` is for tokenizers that drop blanks and never look across them: words between blanks are then encoded once and remembered."""
+    """Texts as bytes of ids.
 
-    def __init__(self, model: str, end_id: int | None, by_word: bool):
+    `by_word` is for tokenizers that drop blanks, lower-case, and cut letters from marks: text between blanks is then encoded by itself and remembered, as is a word in front
+    of a mark. The words met last are kept in two generations, so frequent ones stay and memory is bounded."""
+
+    def __init__(self, model: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.kind = np.dtype(id_type(self.tokenizer.get_vocab_size(with_added_tokens=True)))
-        self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.by_word, self.memo = by_word, {"": b""}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.by_word, self.memo, self.older = by_word, {b"": b""}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remembers words. Words of plain small letters are left as they are by all that stands before the model, so the model alone reads them."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {b"": b""}, self.memo
+        memo, older, others = self.memo, self.older, []
+        tokenize = self.tokenizer.model.tokenize
+        for w in words - memo.keys():
+            found = older.get(w)
+            if found is not None:
+                memo[w] = found
+            elif LETTERS.fullmatch(w):
+                memo[w] = array(self.code, [t.id for t in tokenize(w.decode())]).tobytes()
+            else:
+                others.append(w)
+        memo.update(zip(others, self._ids([w.decode() for w in others])))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text with the end id behind; a null text is an empty one."""
+        """The ids of each text; a null text is an empty one."""
         if not self.by_word:
-            yield from (ids + self.end for ids in self._ids([t or "" for t in texts]))
+            yield from self._ids([t or "" for t in texts])
             return
         for some in _few(texts):
-            words = [(t or "").replace("\n", " ").split(" ") for t in some]
-            if len(self.memo) > MEMO:
-                self.memo = {"": b""}
-            fresh = list(set(chain.from_iterable(words)) - self.memo.keys())
-            self.memo.update(zip(fresh, self._ids(fresh)))
+            words = [parted(t or "").split(b" ") for t in some]
+            self._learn(set(chain.from_iterable(words)))
             for own in words:
-                yield b"".join(map(self.memo.__getitem__, own)) + self.end
+                yield b"".join(map(self.memo.__getitem__, own))
+
+
+def parted(text: str) -> bytes:
+    """The text with blanks for line ends and a blank between a plain letter and a mark behind it; small letters if all is plain and no special token can be in it."""
+    data = text.encode("utf-8", "replace").translate(WHITE)
+    if text.isascii() and b"<|" not in data:
+        data = data.lower()
+    values = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(ASCII_LETTER[values[:-1]] & ASCII_MARK[values[1:]]) + 1
+    if not len(at):
+        return data
+    out = np.full(len(values) + len(at), 32, np.uint8)
+    kept = np.ones(len(out), bool)
+    kept[at + np.arange(len(at))] = False
+    out[kept] = values
+    return out.tobytes()
+
+
+@lru_cache(maxsize=1)
+def _encoder(model: str, by_word: bool) -> Encoder:
+    """A worker's encoder, which lives on from task to task."""
+    return Encoder(model, by_word)
 
 
 def _few(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -205,12 +250,13 @@ def write(docs: DataFrame, model: str, end_id: int | None = None, text: str = "t
             if not part.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(shared.value, end_id, by_word)
+                encoder = _encoder(shared.value, by_word)
+                end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
                 writer = ShardWriter(f"{name}.arrow", encoder.kind, length)
                 schema = pa.schema([("doc_id", part.schema.field(0).type), ("begin", pa.int64()), ("n_tokens", pa.int64())])
                 file = _open(f"{name}.docs.arrow")
                 listed = pa.ipc.new_file(file, schema)
-            sizes = np.fromiter(map(writer.add, encoder.encode(part["text"].to_pylist())), np.int64, part.num_rows)
+            sizes = np.fromiter((writer.add(ids + end) for ids in encoder.encode(part["text"].to_pylist())), np.int64, part.num_rows)
             begins = begin + np.concatenate(([0], np.cumsum(sizes)[:-1]))
             begin, n = begin + int(sizes.sum()), n + part.num_rows
             listed.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(begins), pa.array(sizes)], schema=schema))
