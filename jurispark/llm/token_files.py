@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, KeysView
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -29,7 +30,7 @@ from jurispark.llm.shared import cut, remove_at_end, shared_path, shuffle_partit
 
 LENGTH = 2048
 ROWS = 64
-MEMO = 300_000
+MEMO = 500_000
 SLICE = 1 << 20
 READ_BYTES = 4 << 20
 
@@ -41,10 +42,13 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 WHITE = bytes.maketrans(b"\n\t\r", b"   ")
-ASCII_LETTER, ASCII_MARK = np.zeros(256, bool), np.zeros(256, bool)
-ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
-ASCII_MARK[list(b".,;:!?\"()")] = True
-LETTERS = re.compile(b"[a-z]+")
+LETTER, MARK, SECOND, CAPITAL = (np.zeros(256, bool) for _ in range(4))
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[list(string.punctuation.encode())] = True
+SECOND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # behind a byte C3: the letters from U+00C0 to U+00FF
+CAPITAL[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True  # those of them that are capitals; the small ones are 32 on
+LETTERS = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a to z, and the small letters from U+00DF to U+00FF
+COMBINING = (b"\xcc", b"\xcd")  # what combining marks of Latin letters begin with
 
 
 class Encoder:
@@ -56,27 +60,31 @@ class Encoder:
     def __init__(self, model: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(model)
         self.kind = np.dtype(id_type(self.tokenizer.get_vocab_size(with_added_tokens=True)))
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.by_word, self.memo, self.older = by_word, {b"": b""}, {}
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # how a model over bytes spells these letters
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Remembers words. Words of plain small letters are left as they are by all that stands before the model, so the model alone reads them."""
+    def _learn(self, words: KeysView[bytes]) -> None:
+        """Remembers words. Words of small letters are left as they are by all that stands before the model but for their bytes' spelling, so the model alone reads them."""
         if len(self.memo) > MEMO:
             self.memo, self.older = {b"": b""}, self.memo
         memo, older, others = self.memo, self.older, []
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, spelt = self.tokenizer.model.tokenize, self.spelt
         for w in words - memo.keys():
             found = older.get(w)
             if found is not None:
                 memo[w] = found
             elif LETTERS.fullmatch(w):
-                memo[w] = array(self.code, [t.id for t in tokenize(w.decode())]).tobytes()
+                word = w.decode() if w.isascii() else w.decode().translate(spelt)
+                memo[w] = array(self.code, [t.id for t in tokenize(word)]).tobytes()
             else:
                 others.append(w)
         memo.update(zip(others, self._ids([w.decode() for w in others])))
@@ -88,20 +96,28 @@ class Encoder:
             return
         for some in _few(texts):
             words = [parted(t or "").split(b" ") for t in some]
-            self._learn(set(chain.from_iterable(words)))
-            for own in words:
-                yield b"".join(map(self.memo.__getitem__, own))
+            own = dict.fromkeys(chain.from_iterable(words))  # small enough to stay in a processor's cache
+            self._learn(own.keys())
+            for w in own:
+                own[w] = self.memo[w]
+            for row in words:
+                yield b"".join(map(own.__getitem__, row))
 
 
 def parted(text: str) -> bytes:
-    """The text with blanks for line ends and a blank between a plain letter and a mark behind it; small letters if all is plain and no special token can be in it."""
-    data = text.encode("utf-8", "replace").translate(WHITE)
-    if text.isascii() and b"<|" not in data:
-        data = data.lower()
-    values = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(ASCII_LETTER[values[:-1]] & ASCII_MARK[values[1:]]) + 1
-    if not len(at):
-        return data
+    """The text with blanks for line ends, and a blank between a letter up to U+00FF and an ASCII mark behind it; these letters as small ones unless a special token,
+    or a combining mark, which may join with one case alone, can be in it."""
+    values = np.frombuffer(text.encode("utf-8", "replace").translate(WHITE), np.uint8)
+    if len(values) < 2:
+        return values.tobytes().lower()
+    two = (values[:-1] == 0xC3) & SECOND[values[1:]]
+    ends = LETTER[values]
+    ends[1:] |= two
+    data = values.tobytes()
+    if not any(c in data for c in (b"<|", *COMBINING)):
+        values = np.frombuffer(data.lower(), np.uint8).copy()
+        values[1:][two & CAPITAL[values[1:]]] += 32
+    at = np.flatnonzero(ends[:-1] & MARK[values[1:]]) + 1
     out = np.full(len(values) + len(at), 32, np.uint8)
     kept = np.ones(len(out), bool)
     kept[at + np.arange(len(at))] = False
