@@ -7,6 +7,7 @@ single pass, and what a phrase's parts count is joined afterwards.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -17,18 +18,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jurispark.llm.shared import cut, give_back, join_heavy, shuffle_partitions, small, text_batches
+from jurispark.llm.shared import cut, give_back, join_heavy, shuffle_partitions, small
 
 MAX_N, LEAST, KEEP, ABSORBED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 FILTER_BITS = 1 << 25
-HELD = 3_000_000  # words that a worker holds as numbers before it counts their suffixes and hands them on
+HELD = 6_000_000  # words that a worker holds as numbers before it counts their suffixes and hands them on
 SLICE = 1 << 20
 BREAK = b"\n"
 # What ends a piece of text.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", BREAK * 9)
 
 
+def slices(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, breaks and empty ones among them, in slices of about SLICE bytes; a word is never cut."""
+    data, at = text.encode("utf-8", "replace").lower().translate(ENDS).replace(b"\t", b" "), 0
+    while at < len(data):
+        end = data.find(b" ", at + SLICE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].replace(BREAK, b" \n ").split(b" ")
+        at = end
+
+
 class Codes(dict):
     """Words as numbers in the order in which they are met: 0 for a break and for a word that is surely rare, 1 for no word.
 
@@ -49,15 +60,10 @@ class Codes(dict):
         return found
 
     def of(self, text: str) -> Iterator[np.ndarray]:
-        """The numbers of a text's words, breaks among them, in slices of about SLICE bytes; a word is never cut."""
-        data, at = text.encode("utf-8", "replace").lower().translate(ENDS).replace(b"\t", b" "), 0
-        while at < len(data):
-            end = data.find(b" ", at + SLICE)
-            end = len(data) if end < 0 else end
-            words = data[at:end].replace(BREAK, b" \n ").split(b" ")
+        """The numbers of a text's words, breaks among them, in slices."""
+        for words in slices(text):
             codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
             yield codes[codes != 1]
-            at = end
 
     def column(self, codes: np.ndarray) -> pa.Array:
         if not hasattr(self, "array") or len(self.array) < len(self.words):
@@ -81,26 +87,22 @@ def _batches(lang: str, n: int, columns: Callable[[slice], list[pa.Array]], name
 
 def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of a part of the texts."""
-    found: dict[str, tuple[Codes, list[np.ndarray]]] = {}
+    found: dict[str, Counter] = {}
 
     def table() -> Iterator[pa.RecordBatch]:
-        for lang, (codes, held) in found.items():
-            n = np.bincount(np.concatenate(held), minlength=len(codes.words))
-            yield from _batches(lang, len(n) - 2, lambda rows: [codes.column(np.arange(len(n))[2:][rows]), pa.array(n[2:][rows])], ["word", "n"])  # noqa: B023
+        for lang, own in found.items():
+            own.pop(b"", None), own.pop(BREAK, None)
+            words, n = pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())
+            yield from _batches(lang, len(own), lambda rows: [words[rows], n[rows]], ["word", "n"])  # noqa: B023
         found.clear()
         give_back()
 
-    size = 0
     for lang, text in _texts(parts):
-        if lang not in found:
-            found[lang] = Codes(lang), []
-        codes, held = found[lang]
-        for own in codes.of(text):
-            held.append(own)
-            size += len(own)
-        if size > HELD or sum(len(c.words) for c, _ in found.values()) > HELD // 4:
+        own = found.setdefault(lang, Counter())
+        for words in slices(text):
+            own.update(words)
+        if sum(map(len, found.values())) > HELD // 4:
             yield from table()
-            size = 0
     yield from table()
 
 
@@ -218,6 +220,19 @@ class Stack:
         return phrases, depths, counts
 
 
+def _joined(parts: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at least, in order."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _counted(shared, max_n: int, least: int):
     """(lang, phrase, size, n) of the beginnings of suffixes in reverse order. Beginnings of one or two words that are all hot may lie in several parts: they are given whatever they count."""
 
@@ -229,7 +244,7 @@ def _counted(shared, max_n: int, least: int):
             phrases, sizes, counts = stacks[lang].push(suffixes, n, least, end)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "n"])
 
-        for part in parts:
+        for part in _joined(parts):
             for lang in pa.compute.unique(part["lang"]).to_pylist():
                 own = part.filter(pa.compute.equal(part["lang"], lang))
                 if lang not in stacks:
@@ -249,7 +264,6 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
     hot: their suffixes are dealt out by the words behind, and what short beginnings count in each part is summed.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     words = cut(rows.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
     sizes = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
