@@ -29,6 +29,7 @@ MIN_DOCUMENTS = 5
 MIN_LOG_ODDS = 3.0
 EXCEPTION_LOG_ODDS = 0.0
 SAMPLE_ROWS = 20_000
+MOST = 200_000
 
 # Signs and digits read as letters between letters, and look-alike letters of other scripts.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}
@@ -142,7 +143,22 @@ def hits(folded: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
             spared.append((begin, end))
         elif weight > words.get(begin, (0.0, 0))[0]:
             words[begin] = (weight, end)
-    return [(b, e, w) for b, (w, e) in sorted(words.items()) if not any(x <= b and b < y for x, y in spared)]
+    spared.sort()
+    out, k, reach = [], 0, -1
+    for b, (w, e) in sorted(words.items()):
+        while k < len(spared) and spared[k][0] <= b:
+            reach, k = max(reach, spared[k][1]), k + 1
+        if b >= reach:
+            out.append((b, e, w))
+    return out
+
+
+def neighbours(folded: str, begin: int) -> tuple[str, str, str]:
+    """The word before the blank at begin, the one behind it, and the next; "" where there is none."""
+    end = folded.find(" ", begin + 1)
+    end = len(folded) if end < 0 else end
+    last = folded.find(" ", end + 1)
+    return folded[folded.rfind(" ", 0, begin) + 1 : begin], folded[begin + 1 : end], folded[end + 1 : len(folded) if last < 0 else last]
 
 
 def density(text: str | None, lexicon: Lexicon) -> float:
@@ -174,9 +190,12 @@ def _counts(text: str, label: str):
     return run
 
 
-def without_implied(weights: dict[str, float]) -> dict[str, float]:
-    """weights without entries that never count: a shorter beginning of the same word has as large a weight."""
-    return {e: w for e, w in weights.items() if not any(weights.get(e[:k], 0.0) >= w for k in range(1 + MIN_PREFIX, len(e)))}
+def without_implied(entries: DataFrame) -> DataFrame:
+    """(entry, w, ...) without entries that never count: a shorter beginning of the same word has as large a weight."""
+    shorter = F.filter(F.transform(F.sequence(F.lit(1 + MIN_PREFIX), F.lit(1 + MAX_PREFIX)), lambda k: F.when(k < F.length("entry"), F.substring("entry", F.lit(1), k))), lambda e: e.isNotNull())
+    asked = entries.select("entry", "w", F.explode(shorter).alias("shorter"))
+    implied = asked.join(entries.select(F.col("entry").alias("shorter"), F.col("w").alias("v")), "shorter").where("v >= w").select("entry").distinct()
+    return entries.join(implied, "entry", "left_anti")
 
 
 def _contexts(text: str, lexicon: Lexicon):
@@ -189,8 +208,7 @@ def _contexts(text: str, lexicon: Lexicon):
                 folded = fold(t) if t else " "
                 for end, (_, size, _) in lexicon.automaton().iter(folded) if lexicon.weights else ():
                     begin = end - size + 1
-                    before = folded[folded.rfind(" ", 0, max(0, begin)) + 1 : begin]
-                    behind = folded[folded.find(" ", begin + 1) + 1 :].split(" ", 1)[0] if folded.find(" ", begin + 1) >= 0 else ""
+                    before, _, behind = neighbours(folded, begin)
                     found.add((folded[begin : end + 1], f"{before} {behind}"))
             yield pd.DataFrame(sorted(found), columns=["entry", "context"])
 
@@ -206,8 +224,7 @@ def _phrases(text: str, label: str, lexicon: Lexicon):
             for t, y in zip(part[text], part[label]):
                 folded, own = fold(t) if t else " ", set()
                 for begin, *_ in hits(folded, lexicon):
-                    before = folded[folded.rfind(" ", 0, begin) + 1 : begin] if begin else ""
-                    hit, behind = folded[begin + 1 :].split(" ", 2)[:2]
+                    before, hit, behind = neighbours(folded, begin)
                     own.update(f"{a} {b}" for a, b in ((before, hit), (hit, behind)) if a and b)
                 found[int(y)].update(own)
             every = sorted(found[1].keys() | found[0].keys())
@@ -221,6 +238,11 @@ def _log_odds(bad: Column, good: Column, totals: tuple[int, int]) -> Column:
     return F.log((bad + 0.5) / (totals[1] + 1)) - F.log((good + 0.5) / (totals[0] + 1))
 
 
+def _commonest(rows: DataFrame, n: str, name: str, most: int) -> dict[str, float]:
+    """{name: w} of at most `most` rows, those with the largest n first."""
+    return {r[name]: r["w"] for r in rows.orderBy(F.desc(n), name).limit(most).select(name, "w").collect()}
+
+
 def attach(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     """docs with the labels of their ids, the largest of several; a broadcast only if the counted labels are small."""
     one = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias(label))
@@ -232,14 +254,15 @@ def distinct_texts(rows: DataFrame, text: str, label: str) -> DataFrame:
     return cut(rows.select(text, label, F.sha2(text, 256).alias("__hash")).dropDuplicates(["__hash", label]).select(text, label))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, most: int = MOST) -> Lexicon:
     """A lexicon of all labelled rows: entries of at least MIN_DOCUMENTS toxic texts and log odds of MIN_LOG_ODDS.
 
     An entry must also stand between MIN_DOCUMENTS different pairs of neighbours, at any size of the data. Counts cover all labelled rows,
     a text and its copies counting once a label, and only entries with these odds leave Spark. Two-word phrases with a hit in MIN_DOCUMENTS clean texts, and no larger
     a share of the toxic than of the clean ones, become exceptions, next to those given. Slope and bias are
     fitted to about `sample_rows` distinct labelled texts drawn by a hash of the text. Without toxic or without clean rows, as with an
-    empty table, the lexicon is empty. Rows without a text, label or id are not learned from. Entries are whole words of any length, and
+    empty table, the lexicon is empty. Rows without a text, label or id are not learned from; a text of any length is read whole, in time that grows with it. The lexicon is sent to every worker, so
+    `most` bounds its entries and its exceptions each: of more, those in the most texts stand in it, of equal ones the first by their letters. Entries are whole words of any length, and
     beginnings of MIN_PREFIX to MAX_PREFIX letters.
     """
     text_batches(docs.sparkSession)
@@ -250,19 +273,19 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if not totals[0] or not totals[1]:
         return Lexicon({})
     counted = rows.mapInPandas(_counts(text, label), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = counted.where(F.col("bad") >= MIN_DOCUMENTS).select("entry", _log_odds(F.col("bad"), F.col("good"), totals).alias("w"))
-    likely = without_implied({r["entry"]: r["w"] for r in odds.where(F.col("w") >= MIN_LOG_ODDS).collect()})  # a shorter beginning stands in all contexts of a longer one
+    odds = counted.where(F.col("bad") >= MIN_DOCUMENTS).select("entry", "bad", _log_odds(F.col("bad"), F.col("good"), totals).alias("w"))
+    strong = cut(without_implied(cut(odds.where(F.col("w") >= MIN_LOG_ODDS))))  # a shorter beginning stands in all contexts of a longer one
+    likely = _commonest(strong, "bad", "entry", most)
     bad = rows.where(F.col(label) == 1).select(text)
     met = bad.mapInPandas(_contexts(text, Lexicon(likely)), "entry string, context string").groupBy("entry").agg(F.count_distinct("context").alias("n"))
-    varied = {r["entry"]: r["n"] for r in met.collect()}  # a row an entry at most
-    likely = {e: w for e, w in likely.items() if varied.get(e, 0) >= MIN_DOCUMENTS}
-    weights = without_implied(likely)
+    varied = {r["entry"] for r in met.where(F.col("n") >= MIN_DOCUMENTS).select("entry").collect()}  # a row an entry at most
+    weights = {e: w for e, w in likely.items() if e in varied}
     lexicon = Lexicon(weights, frozenset(" ".join(fold(e).split()) for e in exceptions))
     share = min(1 << 20, (sample_rows << 20) // max(1, sum(totals)) + 1)
     around = rows.mapInPandas(_phrases(text, label, lexicon), "phrase string, bad long, good long")
     around = around.groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    spared = around.where((F.col("good") >= MIN_DOCUMENTS) & (_log_odds(F.col("bad"), F.col("good"), totals) <= EXCEPTION_LOG_ODDS)).select("phrase")
-    lexicon = Lexicon(weights, lexicon.exceptions | {r["phrase"] for r in spared.collect()})
+    spared = around.where((F.col("good") >= MIN_DOCUMENTS) & (_log_odds(F.col("bad"), F.col("good"), totals) <= EXCEPTION_LOG_ODDS)).select("phrase", "good", F.lit(0.0).alias("w"))
+    lexicon = Lexicon(weights, lexicon.exceptions | set(_commonest(spared, "good", "phrase", most)))
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -303,7 +326,8 @@ def score(text: Column, docs: DataFrame, lexicon: Lexicon) -> Column:
 def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 if score >= threshold); columns of these names are replaced, others kept.
 
-    Null and empty texts score as a text without hits, copies and rows that repeat score alike; an empty table stays empty.
+    Null and empty texts score as a text without hits, copies and rows that repeat score alike; an empty table stays empty. Long texts are read whole. Of several entries that begin
+    one word the heaviest counts; a score equal to the threshold is predicted 1.
     """
     out = docs.withColumn("score", score(F.col(text), docs, lexicon))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -249,9 +249,9 @@ def test_rare_toxic_words_stay_behind_common_neutral_ones(spark, monkeypatch):
     assert not toxicity.hits(toxicity.fold(" ".join(words)), lexicon)
 
 
-def test_implied_beginnings_leave_scores_alone():
+def test_implied_beginnings_leave_scores_alone(spark):
     weights = {" vile": 4.0, " vilet": 4.0, " vileth": 5.0, " vilething ": 4.5, " vile ": 3.5, " nasty ": 3.0}
-    kept = toxicity.without_implied(weights)
+    kept = {r["entry"]: r["w"] for r in toxicity.without_implied(spark.createDataFrame(list(weights.items()), "entry string, w double")).collect()}
     assert kept == {" vile": 4.0, " vileth": 5.0, " nasty ": 3.0}
     text = toxicity.fold("vile vilet vilething nasty vileness")
     a, b = (toxicity.hits(text, toxicity.Lexicon(w)) for w in (weights, kept))
