@@ -66,6 +66,7 @@ class Encoder:
         self.kind = np.dtype(id_type(self.tokenizer.get_vocab_size(with_added_tokens=True)))
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.by_word, self.memo, self.older = by_word, {b"": b""}, {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelt = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # how a model over bytes spells these letters
 
@@ -95,7 +96,7 @@ class Encoder:
             yield from self._ids([t or "" for t in texts])
             return
         for some in _few(texts):
-            words = [parted(t or "").split(b" ") for t in some]
+            words = [parted(t or "", self.special).split(b" ") for t in some]
             own = dict.fromkeys(chain.from_iterable(words))  # small enough to stay in a processor's cache
             self._learn(own.keys())
             for w in own:
@@ -104,18 +105,19 @@ class Encoder:
                 yield b"".join(map(own.__getitem__, row))
 
 
-def parted(text: str) -> bytes:
-    """The text with blanks for line ends, and a blank between a letter up to U+00FF and an ASCII mark behind it; these letters as small ones unless a special token,
-    or a combining mark, which may join with one case alone, can be in it."""
-    values = np.frombuffer(text.encode("utf-8", "replace").translate(WHITE), np.uint8)
-    if len(values) < 2:
-        return values.tobytes().lower()
+def parted(text: str, special: list[bytes]) -> bytes:
+    """The text with blanks for line ends, and a blank between a letter up to U+00FF and an ASCII mark behind it; these letters as small ones unless a combining mark, which may
+    join with one case alone, can be in it. A text that holds a special token, in whatever case, has its line ends replaced only."""
+    data = text.encode("utf-8", "replace").translate(WHITE)
+    lowered = data.lower()
+    if len(data) < 2 or any(s in lowered for s in special):
+        return data
+    values = np.frombuffer(data, np.uint8)
     two = (values[:-1] == 0xC3) & SECOND[values[1:]]
     ends = LETTER[values]
     ends[1:] |= two
-    data = values.tobytes()
-    if not any(c in data for c in (b"<|", *COMBINING)):
-        values = np.frombuffer(data.lower(), np.uint8).copy()
+    if not any(c in data for c in COMBINING):
+        values = np.frombuffer(lowered, np.uint8).copy()
         values[1:][two & CAPITAL[values[1:]]] += 32
     at = np.flatnonzero(ends[:-1] & MARK[values[1:]]) + 1
     out = np.full(len(values) + len(at), 32, np.uint8)
