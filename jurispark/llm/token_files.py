@@ -13,14 +13,14 @@ import os
 import re
 import string
 from array import array
-from collections.abc import Iterator, KeysView
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +31,7 @@ from jurispark.llm.shared import cut, remove_at_end, shared_path, shuffle_partit
 LENGTH = 2048
 ROWS = 64
 MEMO = 500_000
-SLICE = 1 << 20
+SLICE = 4 << 20
 READ_BYTES = 4 << 20
 
 
@@ -73,22 +73,27 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: KeysView[bytes]) -> None:
-        """Remembers words. Words of small letters are left as they are by all that stands before the model but for their bytes' spelling, so the model alone reads them."""
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words. Words of small letters are left as they are by all that stands before the model but for their bytes' spelling, so the model alone reads them."""
         if len(self.memo) > MEMO:
             self.memo, self.older = {b"": b""}, self.memo
-        memo, older, others = self.memo, self.older, []
-        tokenize, spelt = self.tokenizer.model.tokenize, self.spelt
-        for w in words - memo.keys():
-            found = older.get(w)
-            if found is not None:
-                memo[w] = found
-            elif LETTERS.fullmatch(w):
-                word = w.decode() if w.isascii() else w.decode().translate(spelt)
-                memo[w] = array(self.code, [t.id for t in tokenize(word)]).tobytes()
-            else:
-                others.append(w)
-        memo.update(zip(others, self._ids([w.decode() for w in others])))
+        memo, older, others, spelt = self.memo, self.older, [], self.spelt
+        tokenize, code, letters = self.tokenizer.model.tokenize, self.code, LETTERS.fullmatch
+        out = list(map(memo.get, words))
+        for k, found in enumerate(out):
+            if found is None:
+                w = words[k]
+                found = older.get(w)
+                if found is None and letters(w):
+                    word = w.decode() if w.isascii() else w.decode().translate(spelt)
+                    found = array(code, [t.id for t in tokenize(word)]).tobytes()
+                if found is None:
+                    others.append(k)
+                else:
+                    out[k] = memo[w] = found
+        for k, found in zip(others, self._ids([words[k].decode() for k in others])):
+            out[k] = memo[words[k]] = found
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; a null text is an empty one."""
@@ -96,13 +101,17 @@ class Encoder:
             yield from self._ids([t or "" for t in texts])
             return
         for some in _few(texts):
-            words = [parted(t or "", self.special).split(b" ") for t in some]
-            own = dict.fromkeys(chain.from_iterable(words))  # small enough to stay in a processor's cache
-            self._learn(own.keys())
-            for w in own:
-                own[w] = self.memo[w]
-            for row in words:
-                yield b"".join(map(own.__getitem__, row))
+            words = pa.compute.split_pattern(pa.array([parted(t or "", self.special) for t in some], pa.large_binary()), b" ")
+            coded = words.values.dictionary_encode()
+            known = self._known(coded.dictionary.to_pylist())
+            values, sizes = np.frombuffer(b"".join(known), self.kind), np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+            which = coded.indices.to_numpy()
+            n = sizes[which]
+            ends = np.append(0, np.cumsum(n))
+            out = values[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
+            rows = ends[words.offsets.to_numpy()]
+            for begin, end in zip(rows[:-1], rows[1:]):
+                yield out[begin:end].tobytes()
 
 
 def parted(text: str, special: list[bytes]) -> bytes:
