@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.functions.judgment import SUMMARY_WINDOW, snippet, summary_of
@@ -139,12 +140,17 @@ def filter_provisions(provisions: DataFrame, q: str) -> DataFrame:
 def hit_count(text: Column, query: str) -> Column:
     """How often any word of the query occurs in a text, as a pattern and whatever its case; 0 for a blank query or one that is no pattern."""
     words = query.replace('"', "").split()
+    if not words:
+        return F.lit(0)
     pattern = "(?iu)" + "|".join(words)
+    java = SparkSession.active().sparkContext._jvm.java.util.regex
     try:
-        re.compile("|".join(words))
-    except re.error:
+        java.Pattern.compile(pattern)  # the engine that will run it has to say whether it is a pattern
+    except Py4JJavaError as e:
+        if "PatternSyntaxException" not in e.java_exception.toString():
+            raise
         return F.lit(0)
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) if words else F.lit(0)
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
 def list_acts(lib: Library, sort: str = "title", cited_only: bool = False, page: int = 1, page_size: int = 100) -> DataFrame:

@@ -78,12 +78,34 @@ def _numbered(text: Column, pattern: str, groups: int) -> Column:
     return let(F.split(text, NUMBERED, -1), cut)
 
 
+def running_sum(values: Column, run: int = 128) -> Column:
+    """array<int> of the sums of an array of ints up to each place: sums of runs first, so that no place adds up all before it."""
+
+    def sums(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / run).cast("int")), lambda k: _sum(F.slice(values, k * run + 1, F.lit(run))))
+
+    def before(sums: Column) -> Column:
+        step = lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))
+        return F.aggregate(sums, F.array(F.lit(0)), step)
+
+    def all_of(values: Column) -> Column:
+        def at(before: Column) -> Column:
+            return F.transform(values, lambda _, k: F.get(before, F.floor(k / run).cast("int")) + _sum(F.slice(values, F.floor(k / run).cast("int") * run + 1, k % run + 1)))
+
+        return let(let(sums(values), before), at)
+
+    return F.when(F.size(values) > 0, let(values, all_of)).otherwise(F.array().cast("array<int>"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """array<struct<offset, length, text, g1, ..., number, year>> of all matches; a group that took no part is null."""
 
     def ends(rows: Column) -> Column:
-        step = lambda s, r: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.length(r["gap"]) + F.length(r["number"])))
-        return F.aggregate(rows, F.array().cast("array<int>"), step)
+        return running_sum(F.transform(rows, lambda r: F.length(r["gap"]) + F.length(r["number"])))
 
     def one(r: Column, end: Column) -> Column:
         piece = lambda k: F.get(r["found"], F.lit(k))

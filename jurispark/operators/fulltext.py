@@ -1,13 +1,16 @@
 """Full-text search over weighted postings: boolean and phrase matching, and rank.
 
-Terms are lower-cased runs of letters and digits; nothing is stemmed or dropped. Postings are one row a document, field and term
-with the positions, built once and stored ordered by term, so that a query reads the row groups of its terms only.
+Terms are lower-cased runs of letters and digits; nothing is stemmed or dropped. Postings are one row a document, field and term with the
+positions; `search_index` stores them in the order of terms, so that a query reads the pages of its terms only, and keeps them up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from jurispark.functions.query import Node
 
 # What a term in a field of class A, B, C or D weighs.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+ROWS = 100_000
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -24,21 +28,38 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: dict[str, str], doc_id: str = "document_id") -> DataFrame:
-    """(document_id, term, weight, positions) for columns and their classes. Positions of a later field follow the earlier ones', with
-    one left out between, so that no phrase runs from field to field."""
+    """(document_id, term, weight, positions) for columns and their classes, one row a document, field and term. Positions of a later field follow the earlier ones', with
+    one left out between, so that no phrase runs from field to field. A document's occurrences lie in its row and are gathered there, a batch of documents at once;
+    documents have an id of their own each."""
     rows = docs.select(F.col(doc_id).alias("document_id"), *(terms(F.col(c)).alias(f"terms{k}") for k, c in enumerate(fields)))
-    parts, begin = [], F.lit(0)
-    for k, weight in enumerate(fields.values()):
-        parts.append(F.struct(F.lit(weight).alias("weight"), begin.alias("begin"), F.col(f"terms{k}").alias("terms")))
-        begin = begin + F.size(f"terms{k}") + 1
-    rows = rows.select("document_id", F.inline(F.array(*parts)))
-    rows = rows.select("document_id", "weight", "begin", F.posexplode("terms").alias("pos", "term"))
-    return rows.groupBy("document_id", "term", "weight").agg(F.array_sort(F.collect_list(F.col("begin") + F.col("pos"))).alias("positions"))
-
-
-def write_postings(found: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Stores postings ordered by term, so that a query reads the pages of its terms."""
-    found.repartitionByRange(*([partitions] if partitions else []), "term").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(path)
+    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == "document_id")
+    return rows.mapInArrow(_gathered(list(fields.values())), f"document_id {kind}, term string, weight string, positions array<int>")
+
+
+def _gathered(weights: list[str]):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            begin = np.zeros(part.num_rows, np.int64)
+            for k, weight in enumerate(weights):
+                lists = part.column(k + 1)
+                offsets, coded = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+                sizes = np.diff(offsets)
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                coded = coded.slice(offsets[0], offsets[-1] - offsets[0])
+                place = np.arange(len(row)) + offsets[0] - offsets[:-1][row] + begin[row]
+                key = row * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(order) else order
+                found, ends = order[first], np.append(first, len(order)).astype(np.int32)
+                for i in range(0, len(found), ROWS):
+                    own = found[i : i + ROWS]
+                    at = ends[i : i + len(own) + 1]
+                    positions = pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(place[order[at[0] : at[-1]]].astype(np.int32)))
+                    term = coded.dictionary.take(coded.indices.take(pa.array(own)))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[own])), term, pa.array([weight] * len(own)), positions], names=["document_id", "term", "weight", "positions"])
+                begin += sizes + 1
+
+    return run
 
 
 def matching(index: DataFrame, query: Node, documents: DataFrame | None = None) -> DataFrame:

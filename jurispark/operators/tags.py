@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented letters and their plain ones, and letters that become two.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
+# Letters with marks and what is left without them, by canonical decomposition of all code points up to the Greek and Cyrillic blocks and of the extended Latin and Greek ones.
+_BARE = {chr(c): "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x)) for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000))}
+_BARE = {c: bare for c, bare in _BARE.items() if bare != c and len(bare) == 1}
+ACCENTED, PLAIN = "".join(_BARE), "".join(_BARE.values())
+MARKS = "".join(chr(c) for c in range(0x300, 0x370))
+# Letters that become two, that is, how they are written in plain ones.
 DOUBLED = {"þ": "th", "æ": "ae", "ð": "d"}
 
 
 def fold(column: Column) -> Column:
-    """Lower case without accents, with þ, æ and ð in Latin letters."""
-    out = F.translate(F.lower(column), ACCENTED, PLAIN)
+    """Lower case without accents, written as one character or as marks, with þ, æ and ð in Latin letters."""
+    out = F.translate(F.lower(column), ACCENTED + MARKS, PLAIN)
     for a, b in DOUBLED.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def fold_text(text: str) -> str:
-    text = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    text = text.lower().translate(str.maketrans(ACCENTED, PLAIN, MARKS))
     for a, b in DOUBLED.items():
         text = text.replace(a, b)
     return text

@@ -10,9 +10,13 @@ from jurispark.operators import fulltext as X
 from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval as R
 from jurispark.operators import tags as T
+from jurispark.operators import trigram_index as Y
 from jurispark.plans import views as V
 from jurispark.plans.graph_queries import JUDGMENTS_SQL
-from jurispark.session import built_once, shared_path, table
+from jurispark.operators.search_index import SearchIndex
+from jurispark.operators.trigram_index import TrigramIndex
+from jurispark.operators.typos import Dictionary
+from jurispark.session import built_once, remove_at_end, shared_path, table
 
 
 def filter_source_date_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def tag_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents and how many there are of each, stored once an application, as a search page keeps its tags."""
     words = table(spark, sf_dir, "documents").select(F.split("text", r"[^\p{L}]+").alias("tags"))
-    return built_once(spark, f"vocabulary {sf_dir}", lambda path: T.vocabulary(words).write.parquet(path))
+    return spark.read.parquet(built_once(spark, f"vocabulary {sf_dir}", f"{sf_dir}/documents.parquet", lambda path: T.vocabulary(words).write.parquet(path)))
 
 
 def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,18 +84,55 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLASSES = {"title": "A", "source": "B", "lang": "C", "text": "D"}
 
 
+INDEX_BUCKETS = 8
+_OPEN: dict[str, SearchIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The postings of all documents, stored once an application in the order of terms, and the documents without their texts."""
+    """The postings of all documents, stored once an application, and the documents without their texts."""
     docs = _fields(spark, sf_dir)
-    index = built_once(spark, f"postings {sf_dir}", lambda path: X.write_postings(X.postings(docs, CLASSES), path))
-    return index, docs.select("document_id", "lang", "source")
+    path = built_once(spark, f"postings {sf_dir}", f"{sf_dir}/documents.parquet", lambda path: SearchIndex(spark, path, CLASSES, INDEX_BUCKETS).build(docs))
+    index = _OPEN.setdefault(path, SearchIndex(spark, path, CLASSES, INDEX_BUCKETS))
+    return index.postings(), docs.select("document_id", "lang", "source")
 
 
 def fts_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds and stores an index of its own; (weight, postings, places)."""
-    path = shared_path(spark, "postings")
-    X.write_postings(X.postings(_fields(spark, sf_dir), CLASSES), path)
-    return spark.read.parquet(path).groupBy("weight").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+    path = shared_path(spark, "index")
+    remove_at_end(spark, path)
+    index = SearchIndex(spark, path, CLASSES, INDEX_BUCKETS).build(_fields(spark, sf_dir))
+    return index.postings().groupBy("weight").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("places"))
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """A third of the documents changed, a seventh gone, an eleventh again under new ids."""
+    k = F.col("document_id")
+    changed = docs.where("document_id % 7 <> 3").withColumn("text", F.when(k % 3 == 0, F.concat(F.lit("Breytt thing. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    return changed.unionByName(docs.where("document_id % 11 = 0").withColumns({"document_id": k + 10_000_000, "title": F.lit("Nýtt thing"), "text": F.lit("Nýtt thing")}))
+
+
+def _updated(spark: SparkSession, sf_dir: str, compacted: bool) -> DataFrame:
+    docs, path = _fields(spark, sf_dir), shared_path(spark, "index")
+    remove_at_end(spark, path)
+    index = SearchIndex(spark, path, CLASSES, INDEX_BUCKETS).build(docs)
+    if compacted:
+        index.refresh(docs.where("document_id % 5 <> 0"))
+    edited = _edited(docs)
+    index.refresh(edited)
+    if compacted:
+        index.compact()
+    found = X.search(index.postings(), edited.select("document_id"), query_tree('"breytt thing" OR nýtt OR (leaux -the)'))
+    return found.select("document_id", F.round("rank", 6).alias("rank"))
+
+
+def fts_after_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search after documents were changed, removed and added: the index is refreshed, not built again."""
+    return _updated(spark, sf_dir, False)
+
+
+def fts_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after two refreshes, in which documents go and come back, and a compaction."""
+    return _updated(spark, sf_dir, True)
 
 
 def fts_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +186,52 @@ def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.similar(rows, "p_type", "standard anodized stel").select("p_partkey", F.round("similarity", 6).alias("similarity"))
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> TrigramIndex:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    path = built_once(spark, f"trigrams {sf_dir}", f"{sf_dir}/part.parquet", lambda path: TrigramIndex(spark, path, INDEX_BUCKETS).build(rows, "p_partkey", "p_type"))
+    return TrigramIndex(spark, path)
+
+
+def fuzzy_title_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar titles from stored trigrams: of these, only the query's are read."""
+    found = _titles(spark, sf_dir).similar("standard anodized stel")
+    return found.select(F.col("id").alias("p_partkey"), F.round("similarity", 6).alias("similarity"))
+
+
+def type_ahead_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type-ahead over all titles from stored trigrams of titles and aliases."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("act_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.array("p_brand", F.lower("p_name")).alias("aliases"), F.col("p_size").alias("year"))
+    indexes = []
+    for name, text in (("titles", F.col("title")), ("aliases", F.array_join("aliases", " "))):
+        rows = parts.select("act_id", text.alias("text"))
+        path = built_once(spark, f"{name} {sf_dir}", f"{sf_dir}/part.parquet", lambda path, rows=rows: TrigramIndex(spark, path, INDEX_BUCKETS).build(rows, "act_id", "text"))
+        indexes.append(TrigramIndex(spark, path))
+    found = [Y.type_ahead_indexed(parts, *indexes, q, 25).select(F.lit(q).alias("q"), "act_id", "bucket", F.round("similarity", 6).alias("similarity")) for q in ("anodized steel", "37", "smal econmy tin")]
+    return found[0].union(found[1]).union(found[2])
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    index, _ = _index(spark, sf_dir)
+    path = built_once(spark, f"dictionary {sf_dir}", f"{sf_dir}/documents.parquet", lambda path: Dictionary(spark, path, INDEX_BUCKETS).build(index))
+    return Dictionary(spark, path)
+
+
+def typo_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that mistyped words of several lengths may stand for, with their distance."""
+    words = _dictionary(spark, sf_dir)
+    found = [words.near(w).withColumn("word", F.lit(w)) for w in ("thiing", "leaux", "withe", "reration", "thereation", "zzzzz")]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.union(rows)
+    return out.select("word", "term", "documents", F.col("distance").cast("long").alias("distance"))
+
+
+def fts_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that match a query with two typos: each word stands for the terms near to it."""
+    index, docs = _index(spark, sf_dir)
+    return X.matching(index, _dictionary(spark, sf_dir).expanded(query_tree("thaat thereatoin -leaux")), docs)
+
+
 def fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("title"))
     exact = rows.where(R.containing("title", "econmy")).withColumn("similarity", F.lit(1.0))
@@ -170,7 +257,7 @@ FTS = {"fts_and": "the and thing", "fts_or": "inati OR zzz OR leaux", "fts_not":
 QUERIES = {f.__name__: f for f in (
     filter_source_date_year, filter_oldest_page, tags_contain_all, tag_vocabulary, tag_lookup, capped_count, exact_count_below_cap, home_newest, home_counts,
     random_featured, case_number_lookup, fts_ranked_page, fts_browse, provision_search, null_safe_letter, act_typeahead, fuzzy_title, fuzzy_fallback, similar_titles,
-    similar_names, fts_index_build, fts_class_weights,
+    similar_names, fts_index_build, fts_after_update, fts_after_compaction, fts_class_weights, fuzzy_title_indexed, type_ahead_indexed, typo_terms, fts_typo,
 )} | {k: _fts(v) for k, v in FTS.items()}
 
 TERMS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -191,6 +278,19 @@ def _phrase_sql(*words: str) -> str:
     return f"len(list_filter(range(1, len(t) + 1), lambda i: {conditions})) > 0"
 
 
+ONE_BYTE = "translate({}, 'áàâäãåéèêëíìîïóòôöõúùûüýÿñçßþæð', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#$%&()')"  # DuckDB's distance counts bytes
+NEAR = f"""v AS (SELECT term, count(DISTINCT document_id) AS documents FROM (SELECT document_id, unnest(t) AS term FROM w UNION ALL SELECT document_id, unnest(h) FROM w UNION ALL SELECT document_id, unnest({TERMS.format('source')}) FROM w
+UNION ALL SELECT document_id, unnest({TERMS.format('lang')}) FROM w) GROUP BY term),
+near AS (SELECT q AS word, term, documents, levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('q')}) AS distance FROM v, (VALUES ('thiing'), ('leaux'), ('withe'), ('reration'), ('thereation'), ('zzzzz'), ('thaat'), ('thereatoin')) x(q)
+WHERE levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('q')}) <= CASE WHEN length(q) >= 9 THEN 2 WHEN length(q) >= 5 THEN 1 ELSE 0 END)"""
+AFTER_UPDATE = f"""WITH e AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN 'Breytt thing. ' || coalesce(text, '') ELSE text END AS text, split_part(text, chr(10), 1) AS title FROM documents WHERE doc_id % 7 <> 3
+UNION ALL SELECT doc_id + 10000000, lang, source, 'Nýtt thing', 'Nýtt thing' FROM documents WHERE doc_id % 11 = 0),
+w AS (SELECT doc_id AS document_id, {TERMS.format('text')} AS t, {TERMS.format('title')} AS h FROM e),
+m AS (SELECT * FROM w WHERE {_phrase_sql('breytt', 'thing')} OR list_contains(t, 'nýtt') OR list_contains(t, 'leaux') AND NOT list_contains(t, 'the')),
+c AS (SELECT document_id, q, len(list_filter(h, lambda x: x = q)) AS a, len(list_filter(t, lambda x: x = q)) AS d FROM m, (VALUES ('breytt'), ('thing'), ('nýtt'), ('leaux')) v(q)),
+s AS (SELECT document_id, list_sum(list_transform(range(1, a + d + 1), lambda k: CASE WHEN k <= a THEN 1.0 ELSE 0.1 END / (k * k))) AS x FROM c WHERE a + d > 0)
+SELECT document_id, round(sum(x) / 4, 6) AS rank FROM s GROUP BY document_id"""
+
 ORACLES = {
     "filter_source_date_year": f"""SELECT * FROM {JUDGMENTS_SQL} WHERE source IN ('F', 'O') AND date >= TIMESTAMP '1994-02-01' AND date <= TIMESTAMP '1996-06-30' AND year = 1995
 ORDER BY date DESC NULLS LAST, document_id LIMIT 50 OFFSET 50""",
@@ -228,13 +328,23 @@ b AS (SELECT act_id, year, CASE WHEN act_id::VARCHAR = 'nation_1' THEN 0 WHEN co
 SELECT act_id, bucket, round(s, 6) AS similarity FROM b WHERE bucket IS NOT NULL ORDER BY bucket, s DESC, year DESC NULLS LAST, act_id LIMIT 25""",
     "fuzzy_title": f"""SELECT p_partkey, round(s, 6) AS similarity FROM (SELECT p_partkey, {_sim('x', 'g')} AS s FROM (SELECT p_partkey, {_grams('p_type')} AS x, {_grams("'standard anodized stel'")} AS g FROM part)) WHERE s >= 0.3""",
     "fuzzy_fallback": f"""SELECT p_partkey, round(s, 6) AS similarity FROM (SELECT p_partkey, {_sim('x', 'g')} AS s FROM (SELECT p_partkey, {_grams('p_type')} AS x, {_grams("'econmy'")} AS g FROM part)) WHERE s >= 0.3""",
-    "similar_titles": f"""WITH a AS (SELECT c_custkey AS left_id, {_grams("concat_ws(' ', c_name, c_mktsegment)")} AS x FROM customer), b AS (SELECT s_suppkey AS right_id, {_grams("'Customer ' || s_name")} AS y FROM supplier)
-SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity, 1 AS left_rows, 1 AS right_rows FROM a, b WHERE {_sim('x', 'y')} >= 0.4""",
+    "similar_titles": f"""WITH a AS (SELECT min(c_custkey) AS left_id, list_sort({_grams("concat_ws(' ', c_name, c_mktsegment)")}) AS x, count(*) AS left_rows FROM customer GROUP BY x),
+b AS (SELECT min(s_suppkey) AS right_id, list_sort({_grams("'Customer ' || s_name")}) AS y, count(*) AS right_rows FROM supplier GROUP BY y)
+SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity, left_rows, right_rows FROM a, b WHERE {_sim('x', 'y')} >= 0.4""",
     "similar_names": f"""WITH a AS (SELECT min(p_partkey) AS left_id, list_sort({_grams('p_name')}) AS x, count(*) AS left_rows FROM part GROUP BY x),
 b AS (SELECT min(p_partkey) AS right_id, list_sort({_grams("substring(p_name, 3, 20) || ' ' || p_type")}) AS y, count(*) AS right_rows FROM part GROUP BY y)
 SELECT left_id, right_id, round({_sim('x', 'y')}, 6) AS similarity, left_rows, right_rows FROM a, b WHERE {_sim('x', 'y')} >= 0.3""",
     "fts_index_build": f"""WITH {WORDS}, f AS (SELECT document_id, 'A' AS weight, unnest(h) AS term FROM w UNION ALL SELECT document_id, 'B', unnest({TERMS.format('source')}) FROM w UNION ALL SELECT document_id, 'C', unnest({TERMS.format('lang')}) FROM w UNION ALL SELECT document_id, 'D', unnest(t) FROM w),
 g AS (SELECT document_id, weight, term, count(*) AS n FROM f GROUP BY ALL) SELECT weight, count(*) AS postings, CAST(sum(n) AS BIGINT) AS places FROM g GROUP BY weight""",
+    "fuzzy_title_indexed": f"""SELECT p_partkey, round(s, 6) AS similarity FROM (SELECT p_partkey, {_sim('x', 'g')} AS s FROM (SELECT p_partkey, {_grams('p_type')} AS x, {_grams("'standard anodized stel'")} AS g FROM part)) WHERE s >= 0.3""",
+    "type_ahead_indexed": f"""WITH a AS (SELECT p_partkey AS act_id, p_size AS year, p_name || ' ' || p_type AS title, p_brand || ' ' || lower(p_name) AS flat FROM part),
+s AS (SELECT q, act_id, year, title, flat, greatest({_sim('x', 'g')}, {_sim('y', 'g')}) AS s FROM (SELECT *, {_grams('title')} AS x, {_grams('flat')} AS y FROM a), (SELECT q, {_grams('q')} AS g FROM (VALUES ('anodized steel'), ('37'), ('smal econmy tin')) v(q))),
+b AS (SELECT *, CASE WHEN act_id::VARCHAR = q THEN 0 WHEN contains(lower(title), q) THEN 1 WHEN contains(lower(flat), q) THEN 2 WHEN s >= 0.3 THEN 3 END AS bucket FROM s)
+SELECT q, act_id, bucket, round(s, 6) AS similarity FROM b WHERE bucket IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY bucket, s DESC, year DESC NULLS LAST, act_id) <= 25""",
+    "typo_terms": f"WITH {WORDS}, {NEAR} SELECT word, term, documents, distance FROM near WHERE word NOT IN ('thaat', 'thereatoin')",
+    "fts_typo": f"""WITH {WORDS}, {NEAR} SELECT document_id FROM w WHERE list_has_any(t, (SELECT list(term) FROM near WHERE word = 'thaat')) AND list_has_any(t, (SELECT list(term) FROM near WHERE word = 'thereatoin')) AND NOT list_contains(t, 'leaux')""",
+    "fts_after_update": AFTER_UPDATE,
+    "fts_after_compaction": AFTER_UPDATE,
     "fts_class_weights": f"""WITH {WORDS}, x AS (SELECT document_id, q, len(list_filter(h, lambda x: x = q)) AS a, CASE WHEN source = q THEN 1 ELSE 0 END AS b, CASE WHEN lang = q THEN 1 ELSE 0 END AS c, len(list_filter(t, lambda x: x = q)) AS d
 FROM w, (VALUES ('src2'), ('fr'), ('leaux')) v(q)), s AS (SELECT document_id, list_sum(list_transform(range(1, a + b + c + d + 1), lambda k: CASE WHEN k <= a THEN 1.0 WHEN k <= a + b THEN 0.4 WHEN k <= a + b + c THEN 0.2 ELSE 0.1 END / (k * k))) AS x FROM x WHERE a + b + c + d > 0)
 SELECT document_id, round(sum(x) / 3, 6) AS rank FROM s GROUP BY document_id""",

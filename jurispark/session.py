@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -52,27 +53,53 @@ def stored(df: DataFrame, what: str = "stored") -> DataFrame:
     """df computed once and kept as a table in the shared folder, so that later reads survive a lost executor; it goes when the application ends."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    _remove_at_end(df.sparkSession, path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_end(spark: SparkSession, path: str) -> None:
+def _hadoop(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the application ends."""
+    system, place = _hadoop(spark, path)
+    system.deleteOnExit(place)
 
 
-def built_once(spark: SparkSession, name: str, write: Callable[[str], None]) -> DataFrame:
-    """The table that write(path) makes, written at the first call of an application and read at later ones."""
-    key = spark.sparkContext.applicationId, name
-    if key not in _BUILT:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    system, place = _hadoop(spark, path)
+    system.delete(place, True)
+
+
+def version_of(spark: SparkSession, path: str) -> str:
+    """What tells whether a table's files have changed: their names, sizes and times, in one digest; "" where there are none."""
+    system, place = _hadoop(spark, path)
+    if not system.exists(place):
+        return ""
+    files, found = system.listFiles(place, True), hashlib.sha256()
+    lines = []
+    while files.hasNext():
+        f = files.next()
+        lines.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for line in sorted(lines):
+        found.update(line.encode())
+    return found.hexdigest()
+
+
+_BUILT: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def built_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of what write(path) makes of a source table, written at the first call of an application, and again when the source's files have changed."""
+    key, version = (spark.sparkContext.applicationId, name), version_of(spark, source)
+    if _BUILT.get(key, ("", ""))[0] != version:
         path = shared_path(spark, "built")
         write(path)
-        _remove_at_end(spark, path)
-        _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+        remove_at_end(spark, path)
+        _BUILT[key] = version, path
+    return _BUILT[key][1]
 
 
 def ship(spark: SparkSession) -> None:

@@ -39,23 +39,38 @@ def feed_items(spark: SparkSession, path: str, schema: str = "id string, court s
     return spark.read.schema(schema).json(path)
 
 
-def decoded_pages(spark: SparkSession, path: str, default: str = "utf-8") -> DataFrame:
-    """(path, text) of stored pages, decoded by the charset that their first bytes declare; utf-8 for unknown ones."""
-    import codecs
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w-]+)|encoding\s*=\s*[\"']([\w-]+)", re.I)
 
-    def one(raw: bytes) -> str:
-        m = re.search(rb"charset\s*=\s*[\"']?([\w-]+)|encoding\s*=\s*[\"']([\w-]+)", raw[:4096], re.I)
-        name = (m.group(1) or m.group(2)).decode() if m else default
-        try:
-            codecs.lookup(name)
-        except LookupError:
-            name = default
-        return raw.decode(name, "replace")
 
-    def run(raws: pd.Series) -> pd.Series:
-        return raws.map(one)
+def decode(raw: bytes | None, content_type: str | None = None, default: str = "utf-8") -> str | None:
+    """A stored page by the charset of its response header, else by that which its first bytes declare, else by the default; a charset that
+    is unknown, or no charset of texts, is passed over. Bytes that are none of it become U+FFFD; null stays null."""
+    if raw is None:
+        return None
+    for head in ((content_type or "").encode(), raw[:4096]):
+        m = CHARSET.search(head)
+        if m:
+            try:
+                return raw.decode((m.group(1) or m.group(2)).decode(), "replace")
+            except LookupError:
+                break
+    return raw.decode(default, "replace")
+
+
+def decoded(raw: Column, content_type: Column, default: str = "utf-8") -> Column:
+    """The text of stored pages' bytes, by their response headers first."""
+
+    def run(raws: pd.Series, types: pd.Series) -> pd.Series:
+        return pd.Series([decode(r, t, default) for r, t in zip(raws, types)], dtype="object")
+
+    return F.pandas_udf(run, T.StringType())(raw, content_type)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", F.pandas_udf(run, T.StringType())("content").alias("text"))
+def decoded_pages(spark: SparkSession, path: str, default: str = "utf-8", headers: DataFrame | None = None) -> DataFrame:
+    """(path, text) of stored pages. `headers` has (path, content_type) of the responses they came in, where these were kept."""
+    pages = spark.read.format("binaryFile").load(path).select("path", "content")
+    pages = pages.withColumn("content_type", F.lit(None).cast("string")) if headers is None else pages.join(headers.select("path", "content_type").dropDuplicates(["path"]), "path", "left")
+    return pages.select("path", decoded(F.col("content"), F.col("content_type"), default).alias("text"))
 
 
 def _by_type(node, name: str):

@@ -26,3 +26,8 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """The test with a JVM of its own comes first, before the session that the others share takes its memory."""
+    items.sort(key=lambda item: item.path.name != "test_cluster.py")
