@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ def search_documents(lib: Library, req: SearchRequest) -> Page:
     allowed = G.with_citations(allowed, list(req.provision_ids), list(req.act_ids), lib.provision_links, lib.provisions, lib.act_links)
     parsed = parse_query(req.query)
     tree = query_tree(parsed.web)
-    words = tree.positive_terms() if tree else []
+    items = tree.positive_items() if tree else []
     found = allowed.withColumn("rank", F.lit(0.0)) if not req.query.strip() else _matching(lib, allowed, parsed, tree)
     if req.query.strip() and found.isEmpty():
         near = F.lit(False)
@@ -87,7 +87,7 @@ def search_documents(lib: Library, req: SearchRequest) -> Page:
     count = R.capped_count(found.select("document_id")).first()
     page = R.page(found.drop("text"), req.sort, req.page, req.page_size)
     shown = page.join(lib.documents.select("document_id", "text"), "document_id")
-    rows = shown.withColumns({"snippet": snippet(F.col("text"), words), "summary": summary_of(F.substring("text", 1, SUMMARY_WINDOW))}).drop("text").orderBy(*R.ORDERS[req.sort]())
+    rows = shown.withColumns({"snippet": snippet(F.col("text"), items), "summary": summary_of(F.substring("text", 1, SUMMARY_WINDOW))}).drop("text").orderBy(*R.ORDERS[req.sort]())
     size = min(R.MOST_PER_PAGE, max(1, req.page_size))
     return Page(rows, count["total"], count["capped"], R.total_pages(count["total"], size))
 
@@ -146,9 +146,7 @@ def hit_count(text: Column, query: str) -> Column:
     java = SparkSession.active().sparkContext._jvm.java.util.regex
     try:
         java.Pattern.compile(pattern)  # the engine that will run it has to say whether it is a pattern
-    except Py4JJavaError as e:
-        if "PatternSyntaxException" not in e.java_exception.toString():
-            raise
+    except IllegalArgumentException:
         return F.lit(0)
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 

@@ -27,6 +27,14 @@ class Node:
         return own + [t for n in self.nodes for t in n.positive_terms()]
 
 
+    def positive_items(self) -> list[str]:
+        """The terms and phrases outside negations, in order; a phrase is its words between blanks."""
+        if self.kind == "not":
+            return []
+        own = [self.term] if self.term else [" ".join(self.terms)] if self.terms else []
+        return own + [t for n in self.nodes for t in n.positive_items()]
+
+
 @dataclass(frozen=True)
 class ParsedQuery:
     raw: str

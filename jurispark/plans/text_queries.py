@@ -171,7 +171,14 @@ def snippet_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = R.page(X.search(index, docs.select("document_id", F.lit(None).cast("date").alias("date")), query), "relevance", 1, 15)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     found = texts.join(F.broadcast(page.select("document_id", F.round("rank", 6).alias("rank"))), "document_id")
-    return found.select("document_id", "rank", J.snippet(F.col("text"), query.positive_terms()).alias("snippet"))
+    return found.select("document_id", "rank", J.snippet(F.col("text"), query.positive_items()).alias("snippet"))
+
+
+def snippet_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of whole documents whose first hit is not where the query's words stand together, with signs that HTML would read."""
+    text = F.concat(F.lit("Fjara stendur ein. "), "text", F.lit(" Loks mætast fjara og svartur <steinn> & haf við sjó."))
+    items = query_tree('fjara "svartur steinn" -haf').positive_items()
+    return table(spark, sf_dir, "documents").select("doc_id", J.snippet(text, items).alias("snippet"))
 
 
 def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +189,7 @@ def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cited_case_numbers, act_citations, provision_citations, citation_links, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
-    citation_job_unknown, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, official_citations,
+    citation_job_unknown, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
 )}
 
 MONTHS = "['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember']"
@@ -222,6 +229,11 @@ SELECT p_partkey, label FROM f, (VALUES ('small'), ('brand#2'), ('small')) v(q)
 FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2))) AS x FROM pages) y,
 LATERAL (SELECT x[1] AS h, x[2] AS t) u WHERE u.h <> ''""",
     "html_title_links": r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<a [^>]*?href=')) AS anchors FROM pages""",
+    "snippet_covers": r"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace('Fjara stendur ein. ' || text || ' Loks mætast fjara og svartur <steinn> & haf við sjó.', '\s+', ' ', 'g')), ' ') AS t FROM documents),
+b AS (SELECT *, len(t) AS size, greatest(len(t) - 8 - 12, 0) AS b FROM t), s AS (SELECT *, CASE WHEN b > 0 THEN least(b, CASE WHEN size - 28 < 8 THEN size ELSE 28 END) ELSE 0 END AS e FROM b),
+x AS (SELECT doc_id, CASE WHEN e > 0 THEN array_to_string(t[1:e], ' ') END AS first, array_to_string(t[b + 1:size], ' ') AS last FROM s),
+y AS (SELECT doc_id, first, replace(replace(replace(coalesce(first || ' … ', '') || last, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM x WHERE last IS NOT NULL)
+SELECT doc_id, replace(regexp_replace(html, '^Fjara', '<mark>Fjara</mark>'), 'fjara og svartur &lt;steinn', '<mark>fjara</mark> og <mark>svartur &lt;steinn</mark>') AS snippet FROM y UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""",
     "official_citations": f"""SELECT o_orderkey AS document_id, 'Landsréttur ' || day(o_orderdate) || '. ' || ({MONTHS})[month(o_orderdate)] || ' ' || year(o_orderdate) || ', mál nr. E-' || o_orderkey || '/' || year(o_orderdate)
 || CASE WHEN o_orderkey % 2 = 0 THEN ', ' || o_orderpriority ELSE '' END AS citation FROM orders""",
 }

@@ -1,7 +1,9 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from jurispark.functions import citations as C
 from jurispark.functions import judgment as J
 from jurispark.functions import query as Q
 from jurispark.functions import statute as S
@@ -153,3 +155,28 @@ def test_mask_keeps_length(spark):
 
     df = spark.createDataFrame([("laga nr. 91/1991 og E-1/2020 😀 rg. 1165/2016",), ("",), ("ekkert",)], "text string")
     assert all(r["same"] for r in df.select((F.length(C.mask_legislation(F.col("text"))) == F.length("text")).alias("same")).collect())
+
+
+def test_snippets_show_where_words_stand_together_and_escape(spark):
+    far = " ".join(f"w{k}" for k in range(60))
+    text = f"alpha {far} alpha beta <b onclick=x> {far} of the gamma {far} the of"
+    shown = value(spark, lambda t: J.snippet(t, ["alpha", "beta", "of the"]), t=text)
+    assert "<mark>alpha</mark> <mark>beta</mark> &lt;b onclick=x&gt;" in shown and "<mark>of the</mark> gamma" in shown and shown.count("<mark>") == 3
+    assert value(spark, lambda t: J.snippet(t, ["amp"]), t="a & amp <script>") == "a &amp; <mark>amp</mark> &lt;script&gt;"
+    assert value(spark, lambda t: J.snippet(t, []), t="<i>") == value(spark, lambda t: J.snippet(t, ["zz"]), t="<i>") == "&lt;i&gt;"
+    assert value(spark, lambda t: J.snippet(t, ["hit"]), t=None) is None and value(spark, lambda t: J.snippet(t, ["hit"]), t="") == ""
+    assert "<mark>last</mark>" in value(spark, lambda t: J.snippet(t, ["last"]), t=f"{'word ' * 60_000}last words")
+    many = value(spark, lambda t: J.snippet(t, ["word", "rare"]), t=f"{'word ' * 3000}rare {'word ' * 3000}")
+    assert "<mark>word</mark> <mark>rare</mark>" in many or "<mark>rare</mark> <mark>word</mark>" in many
+
+
+def test_long_lines_take_time_that_grows_with_them(spark):
+    took = []
+    for n in (15_000, 60_000):
+        began = time.perf_counter()
+        blocks = value(spark, J.text_blocks, t="Dómurinn segir það vera rétt hér. " * n)
+        took.append(time.perf_counter() - began)
+        assert all(600 <= len(b["text"]) < 640 for b in blocks[:-1]) and sum(len(b["text"]) + 1 for b in blocks) == 34 * n
+    assert took[1] < 8 * took[0] + 2
+    sums = spark.createDataFrame([([1] * 1000,), ([],), ([5],), ([2] * 128,), ([3] * 129,)], "v array<int>").select(C.running_sum(F.col("v")).alias("s")).collect()
+    assert [r["s"] for r in sums] == [list(range(1, 1001)), [], [5], list(range(2, 258, 2)), list(range(3, 390, 3))]
