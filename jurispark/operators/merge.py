@@ -80,14 +80,30 @@ def act_hash(provisions: DataFrame, title: str = "title", run: int = 4096) -> Da
     return found.select("act_id", F.sha2(F.concat("title", F.lit("\u0001"), "all"), 256).alias("source_hash"))
 
 
-def merge_statutes(acts: DataFrame, provisions: DataFrame, parsed: DataFrame, fetched_at: Column) -> dict[str, DataFrame]:
-    """The statutes, articles, chapters and paragraphs after re-reading some statutes.
+def keep_ids(stored: DataFrame, fresh: DataFrame, within: str, content: list[str], name: str) -> DataFrame:
+    """fresh (within, ordering, ...) with the ids of stored rows that say the same: of rows of one parent with equal content the first ones meet, then the second ones, in their order.
+
+    So a row keeps its id wherever it moves in its parent and whatever is put in, taken out or changed beside it. Others get an id from their parent, content and count.
+    """
+    place = F.row_number().over(Window.partitionBy(within, *content).orderBy("ordering"))
+    known = stored.select("id", within, *content, place.alias("__n"))
+    same = [known[c].eqNullSafe(F.col(f"f.{c}")) for c in (within, *content, "__n")]
+    met = fresh.withColumn("__n", place).alias("f").join(known, same, "left")
+    new = F.xxhash64(F.lit(name), f"f.{within}", *(F.coalesce(F.col(f"f.{c}").cast("string"), F.lit("\u0000")) for c in content), "f.__n")
+    return met.select(F.coalesce(known["id"], new).alias("id"), *(F.col(f"f.{c}") for c in fresh.columns))
+
+
+CHAPTER = ["numeral", "letter", "label", "title"]
+
+
+def merge_statutes(acts: DataFrame, provisions: DataFrame, chapters: DataFrame, paragraphs: DataFrame, parsed: DataFrame, fetched_at: Column) -> dict[str, DataFrame]:
+    """The statutes, articles, chapters and paragraphs after re-reading some statutes, each table whole: what belongs to other statutes stays as it is.
 
     parsed has a row a statute: act_number, year, title, codex_version, source_hash, chapters (array<struct<numeral, letter, label, title>>) and
     provisions (array<struct<anchor, kind, article_number, article_letter, label, heading, full_text, is_repealed, chapter, paragraphs>>). A statute is
     known by number and year and keeps its id and aliases; of one read twice the row with the larger source_hash counts. Articles are merged
-    on (act_id, anchor), so links to them live on; chapters and paragraphs have no names of their own and are made anew. Ids of new rows
-    come from what they are, so a job that is run again gives the same.
+    on (act_id, anchor), so links to them live on. Chapters (id, act_id, numeral, letter, label, title, ordering) and paragraphs (id, provision_id, ordering, text) have no names
+    of their own: those that say what they said keep their ids (`keep_ids`). Ids of new rows come from what they are, so a job that is run again gives the same.
     """
     key = ["act_number", "year"]
     read = first_of(parsed, key, [F.desc("source_hash")])
@@ -98,15 +114,19 @@ def merge_statutes(acts: DataFrame, provisions: DataFrame, parsed: DataFrame, fe
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("known_title"), F.lit("")).alias("title")
     updated = read.select("act_id", *key, title, "codex_version", "source_hash", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), fetched_at.alias("fetched_at"), "outcome")
     untouched = acts.join(read.select("act_id"), "act_id", "left_anti").withColumn("outcome", F.lit("kept"))
+    named = read.select("act_id", F.posexplode("chapters").alias("ordering", "c")).select("act_id", *(F.col(f"c.{c}") for c in CHAPTER), "ordering")
+    named = keep_ids(chapters, named, "act_id", CHAPTER, "chapter")
+    all_chapters = chapters.join(read.select("act_id"), "act_id", "left_anti").unionByName(named)
     parts = read.select("act_id", F.posexplode("provisions").alias("ordering", "p")).select("act_id", "ordering", "p.*")
     parts = first_of(parts, ["act_id", "anchor"], [F.desc("ordering")])
-    chapter_id = F.when(F.col("chapter").isNotNull(), F.xxhash64(F.lit("chapter"), "act_id", "chapter"))
-    cols = ["kind", "article_number", "article_letter", "label", "heading", "full_text", "is_repealed", "ordering"]
-    met = merge_anchors(provisions.select("id", "act_id", "anchor", *cols, "chapter_id"), parts.select("act_id", "anchor", *cols, chapter_id.alias("chapter_id")), F.xxhash64(F.lit("provision"), "act_id", "anchor"), read)
-    chapters = read.select("act_id", F.posexplode("chapters").alias("ordering", "c")).select(F.xxhash64(F.lit("chapter"), "act_id", "ordering").alias("id"), "act_id", "c.*", "ordering")
-    paragraphs = met.where("outcome <> 'kept'").select("id", "act_id", "anchor").join(parts.select("act_id", "anchor", "paragraphs"), ["act_id", "anchor"])
-    paragraphs = paragraphs.select(F.col("id").alias("provision_id"), F.posexplode("paragraphs").alias("ordering", "text"))
-    return {"acts": untouched.unionByName(updated, allowMissingColumns=True), "provisions": met, "chapters": chapters, "paragraphs": paragraphs}
+    parts = parts.join(named.select("act_id", F.col("ordering").alias("chapter"), F.col("id").alias("chapter_id")), ["act_id", "chapter"], "left")
+    cols = ["kind", "article_number", "article_letter", "label", "heading", "full_text", "is_repealed", "ordering", "chapter_id"]
+    met = merge_anchors(provisions.select("id", "act_id", "anchor", *cols), parts.select("act_id", "anchor", *cols), F.xxhash64(F.lit("provision"), "act_id", "anchor"), read)
+    texts = met.where("outcome <> 'kept'").select("id", "act_id", "anchor").join(parts.select("act_id", "anchor", "paragraphs"), ["act_id", "anchor"])
+    texts = texts.select(F.col("id").alias("provision_id"), F.posexplode("paragraphs").alias("ordering", "text"))
+    reread = provisions.join(read.select("act_id"), "act_id", "left_semi").select(F.col("id").alias("provision_id"))
+    all_paragraphs = paragraphs.join(reread, "provision_id", "left_anti").unionByName(keep_ids(paragraphs, texts, "provision_id", ["text"], "paragraph"))
+    return {"acts": untouched.unionByName(updated, allowMissingColumns=True), "provisions": met, "chapters": all_chapters, "paragraphs": all_paragraphs}
 
 
 def reset_watermarks(documents: DataFrame, merged_acts: DataFrame, scanned: str = "citation_scan_hash") -> DataFrame:

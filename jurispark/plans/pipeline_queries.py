@@ -40,8 +40,8 @@ def anchor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_anchors(store, parsed, 1_000_000 + F.col("act_id").cast("long"))
 
 
-def statute_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statutes read again, whole: their articles after merging, with how many paragraphs each now has and which chapter it is in."""
+def _merged_tree(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All statutes after some were read again. Stored articles have two chapters a statute and their label's parts as paragraphs, one of which is there twice."""
     store, parsed = _anchors(spark, sf_dir)
     acts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("act_id"), F.col("n_nationkey").alias("act_number"), F.lit(2000).alias("year"), F.col("n_name").alias("title"),
         F.lit("1a").alias("codex_version"), F.lit("old").alias("source_hash"), F.array(F.lit("short")).alias("aliases"), F.lit(None).cast("timestamp").alias("fetched_at"))
@@ -49,11 +49,30 @@ def statute_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     provisions = store.select("id", "act_id", "anchor", F.lit("article").alias("kind"), F.lit(1).alias("article_number"), none.alias("article_letter"), F.col("s_name").alias("label"), none.alias("heading"), none.alias("full_text"),
         F.lit(False).alias("is_repealed"), F.lit(0).alias("ordering"), F.lit(None).cast("long").alias("chapter_id"))
     part = F.struct("anchor", F.lit("article").alias("kind"), F.lit(1).alias("article_number"), none.alias("article_letter"), F.col("s_name").alias("label"), none.alias("heading"), none.alias("full_text"), F.lit(False).alias("is_repealed"),
-        F.when(F.col("anchor") != "X0", 0).alias("chapter"), F.filter(F.split("s_name", "#"), lambda t: t != "").alias("paragraphs"))
+        F.when(F.col("anchor") != "X0", 0).alias("chapter"), F.filter(F.split(F.concat("s_name", F.lit("#sami#viðbót#sami")), "#"), lambda t: t != "").alias("paragraphs"))
     chapter = F.struct(F.lit("I").alias("numeral"), none.alias("letter"), F.lit("I. kafli").alias("label"), F.lit("Almennt").alias("title"))
     read = parsed.groupBy(F.col("act_id").alias("act_number")).agg(F.array_sort(F.collect_list(part)).alias("provisions"))
     read = read.select("act_number", F.lit(2000).alias("year"), F.lit("").alias("title"), F.lit("1b").alias("codex_version"), F.lit("new").alias("source_hash"), F.array(chapter).alias("chapters"), "provisions")
-    out = M.merge_statutes(acts, provisions, read, F.lit(None).cast("timestamp"))
+    held = acts.select((F.col("act_id") * 10).cast("long").alias("id"), "act_id", F.lit("I").alias("numeral"), none.alias("letter"), F.lit("I. kafli").alias("label"), F.lit("Almennt").alias("title"), F.lit(0).alias("ordering"))
+    held = held.unionByName(held.withColumns({"id": F.col("id") + 1, "numeral": F.lit("II"), "label": F.lit("II. kafli"), "title": F.lit("Annað"), "ordering": F.lit(1)}))
+    texts = F.filter(F.split(F.concat("s_name", F.lit("#sami#sami")), "#"), lambda t: t != "")
+    texts = store.select(F.col("id").alias("provision_id"), F.posexplode(texts).alias("ordering", "text")).select((F.col("provision_id") * 10 + F.col("ordering")).cast("long").alias("id"), "provision_id", "ordering", "text")
+    return M.merge_statutes(acts, provisions, held, texts, read, F.lit(None).cast("timestamp"))
+
+
+def statute_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chapters and paragraphs after some statutes were read again, with the ids that unchanged ones keep."""
+    out = _merged_tree(spark, sf_dir)
+    owner = out["provisions"].select(F.col("id").alias("provision_id"), "act_id", "anchor")
+    kept = F.when((F.col("id") >= 0) & (F.col("id") < 10_000_000), F.col("id"))  # new ids are hashes
+    rows = out["paragraphs"].join(owner, "provision_id").select(F.lit("paragraph").alias("kind"), kept.alias("id"), "act_id", "anchor", F.col("ordering").cast("int").alias("ordering"), "text")
+    none = F.lit(None).cast("string")
+    return rows.union(out["chapters"].select(F.lit("chapter"), kept, "act_id", none, F.col("ordering").cast("int"), "title")).union(out["acts"].select(F.lit("act"), F.lit(None).cast("long"), "act_id", none, F.lit(0), "outcome"))
+
+
+def statute_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statutes read again, whole: their articles after merging, with how many paragraphs each now has and which chapter it is in."""
+    out = _merged_tree(spark, sf_dir)
     counts = out["paragraphs"].groupBy(F.col("provision_id").alias("id")).agg(F.count("*").alias("paragraphs"))
     met = out["provisions"].join(counts, "id", "left").join(out["chapters"].select(F.col("id").alias("chapter_id"), F.col("numeral").alias("chapter")), "chapter_id", "left")
     titles = out["acts"].select("act_id", "title", "codex_version")
@@ -150,7 +169,7 @@ def unknown_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    upsert_merge, known_skip, anchor_merge, statute_tree_merge, watermark_reset, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, run_status,
+    upsert_merge, known_skip, anchor_merge, statute_tree_merge, statute_tree_whole, watermark_reset, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, run_status,
     recent_runs, progress_totals, source_progress, remaining_totals, alias_harvest, unknown_acts,
 )}
 
@@ -170,9 +189,17 @@ FROM {OLD} o FULL OUTER JOIN {NEW} n ON o.doc_id = n.doc_id AND o.source = n.sou
     "known_skip": f"SELECT doc_id FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE o.doc_id = n.doc_id AND o.source = n.source)",
     "anchor_merge": f"""WITH {ANCHORS} SELECT id, act_id, anchor, s_name, 'kept' AS outcome FROM store WHERE act_id NOT IN (SELECT act_id FROM parsed)
 UNION ALL SELECT coalesce(s.id, 1000000 + p.act_id), p.act_id, p.anchor, p.s_name, CASE WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END FROM parsed p LEFT JOIN store s USING (act_id, anchor)""",
-    "statute_tree_merge": f"""WITH {ANCHORS} SELECT id, act_id, anchor, 'kept' AS outcome, s_name AS label, NULL AS chapter, 0 AS paragraphs, n_name AS title, '1a' AS codex_version FROM store JOIN nation ON n_nationkey = act_id WHERE act_id NOT IN (SELECT act_id FROM parsed)
-UNION ALL SELECT s.id, p.act_id, p.anchor, CASE WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END, p.s_name, CASE WHEN p.anchor <> 'X0' THEN 'I' END, len(list_filter(string_split(p.s_name, '#'), lambda t: t <> '')), n_name, '1b'
+    "statute_tree_merge": f"""WITH {ANCHORS} SELECT id, act_id, anchor, 'kept' AS outcome, s_name AS label, NULL AS chapter, len(list_filter(string_split(s_name, '#'), lambda t: t <> '')) + 2 AS paragraphs, n_name AS title, '1a' AS codex_version FROM store JOIN nation ON n_nationkey = act_id WHERE act_id NOT IN (SELECT act_id FROM parsed)
+UNION ALL SELECT s.id, p.act_id, p.anchor, CASE WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END, p.s_name, CASE WHEN p.anchor <> 'X0' THEN 'I' END, len(list_filter(string_split(p.s_name, '#'), lambda t: t <> '')) + 3, n_name, '1b'
 FROM parsed p LEFT JOIN store s USING (act_id, anchor) JOIN nation ON n_nationkey = p.act_id""",
+    "statute_tree_whole": f"""WITH {ANCHORS}, o AS (SELECT id, act_id, anchor, unnest(t) AS text, unnest(range(0, len(t))) AS k FROM (SELECT *, list_filter(string_split(s_name || '#sami#sami', '#'), lambda x: x <> '') AS t FROM store)),
+f AS (SELECT act_id, anchor, unnest(t) AS text, unnest(range(0, len(t))) AS k FROM (SELECT *, list_filter(string_split(s_name || '#sami#viðbót#sami', '#'), lambda x: x <> '') AS t FROM parsed)),
+p AS (SELECT id * 10 + k AS id, act_id, anchor, k, text, row_number() OVER (PARTITION BY act_id, anchor, text ORDER BY k) AS n FROM o), q AS (SELECT *, row_number() OVER (PARTITION BY act_id, anchor, text ORDER BY k) AS n FROM f),
+a AS (SELECT n_nationkey AS act_id, n_nationkey IN (SELECT act_id FROM parsed) AS again FROM nation)
+SELECT 'paragraph' AS kind, id, act_id, anchor, k::INT AS ordering, text FROM p WHERE act_id NOT IN (SELECT act_id FROM parsed)
+UNION ALL SELECT 'paragraph', p.id, q.act_id, q.anchor, q.k, q.text FROM q LEFT JOIN p USING (act_id, anchor, text, n)
+UNION ALL SELECT 'chapter', act_id * 10, act_id, NULL, 0, 'Almennt' FROM a UNION ALL SELECT 'chapter', act_id * 10 + 1, act_id, NULL, 1, 'Annað' FROM a WHERE NOT again
+UNION ALL SELECT 'act', NULL, act_id, NULL, 0, CASE WHEN again THEN 'updated' ELSE 'kept' END FROM a""",
     "watermark_reset": "SELECT doc_id, 'new' AS case FROM documents",
     "vanished_anchors": f"WITH {ANCHORS} SELECT id, act_id, anchor FROM store s WHERE act_id IN (SELECT act_id FROM parsed) AND NOT EXISTS (SELECT 1 FROM parsed p WHERE p.act_id = s.act_id AND p.anchor = s.anchor)",
     "changed_watermark": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
