@@ -1,4 +1,4 @@
-"""The incremental citation job: documents that are new or changed are scanned, and only their links and marks are replaced."""
+"""The incremental citation job over whole tables: documents that are new or changed are scanned, once, and their links and marks replaced. `link_store` keeps the tables in buckets and writes only some."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurispark.operators import ingest, linking, merge
+from jurispark.operators.link_store import BROADCAST_ROWS
+from jurispark.session import stored
 
 
 @dataclass(frozen=True)
@@ -36,11 +38,13 @@ def run(documents: DataFrame, acts: DataFrame, provisions: DataFrame, provision_
     due = due.orderBy("document_id").limit(most) if most is not None else due
     due = due.select("document_id", "text", "text_hash")
     scanned = due.where("text IS NOT NULL")
-    to_provisions, to_acts, mentions = linking.link(scanned, acts, provisions)
+    found = stored(linking.scan(scanned))  # once for all that follows from it
+    to_provisions, to_acts, mentions = linking.resolve(found, acts, provisions)
     own = ["document_id", "provision_id", "char_offset"], ["document_id", "act_id", "char_offset"]
     links = merge.replace_links(provision_links, scanned, to_provisions.select(*provision_links.columns), own[0])
     bare = merge.replace_links(act_links, scanned, to_acts.select(*act_links.columns), own[1])
-    marks = scanned.select("document_id", F.col("text_hash").alias("__mark"))
+    marks = stored(scanned.select("document_id", F.col("text_hash").alias("__mark")))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks  # the marks go to the documents, with their texts, not these to them
     marked = documents.join(marks, "document_id", "left").withColumn("citation_scan_hash", F.coalesce("__mark", "citation_scan_hash")).drop("__mark")
     named = ingest.harvest_aliases(mentions.where("act_id IS NOT NULL").select("act_id", "alias")).withColumnRenamed("aliases", "__found")
     with_names = acts.join(named, "act_id", "left").withColumn("aliases", F.coalesce("__found", "aliases")).drop("__found")

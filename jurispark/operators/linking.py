@@ -10,16 +10,25 @@ from jurispark.functions.judgment import sentence_around
 
 
 def link(documents: DataFrame, acts: DataFrame, provisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links to articles, links to statutes, and all mentions of statutes, of documents (document_id, text).
+    """Links to articles, links to statutes, and all mentions of statutes, of documents (document_id, text)."""
+    return resolve(scan(documents), acts, provisions)
+
+
+def scan(documents: DataFrame) -> DataFrame:
+    """(document_id, found, bare): the citations of articles and of statutes in each text, with the sentences around them."""
+    text = F.coalesce("text", F.lit(""))
+    docs = documents.select("document_id", text.alias("text")).withColumns({"found": C.provision_citations(F.col("text")), "bare": C.act_citations(F.col("text"))})
+    return docs.withColumns({"found": _with_excerpts("found"), "bare": _with_excerpts("bare")}).drop("text")
+
+
+def resolve(docs: DataFrame, acts: DataFrame, provisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to articles, links to statutes, and all mentions of statutes, of what scan has found.
 
     Citations resolve to statutes by (act_number, year) and to articles by number and letter; of several articles with equal keys the one
     that comes last by `ordering` counts. Unresolved articles are dropped; statutes cited inside an article's citation are not linked again.
     Each passage counts once. Which statutes lie inside an article's citation is decided within the document, where both lists are at
     hand; the joins are by equal keys, and only citations are shuffled.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = documents.select("document_id", text.alias("text")).withColumns({"found": C.provision_citations(F.col("text")), "bare": C.act_citations(F.col("text"))})
-    docs = docs.withColumns({"found": _with_excerpts("found"), "bare": _with_excerpts("bare")}).drop("text")
     found = docs.select("document_id", F.inline("found"))
     targets = provisions.where("kind = 'article' AND article_number IS NOT NULL").groupBy("act_id", F.col("article_number").alias("article"), F.coalesce("article_letter", F.lit("")).alias("key"))
     targets = targets.agg(F.max_by("provision_id", F.struct("ordering", "provision_id")).alias("provision_id"))

@@ -15,9 +15,10 @@ from jurispark.operators import fulltext as X
 from jurispark.operators import linking as L
 from jurispark.operators import merge as M
 from jurispark.operators import retrieval as R
+from jurispark.operators.link_store import LinkStore
 from jurispark.plans import views as V
 from jurispark.plans.search_queries import _index
-from jurispark.session import table
+from jurispark.session import remove_at_end, shared_path, table
 from jurispark.sources import landing
 
 UNKNOWN = 28  # statutes are planted by a number modulo this, of which 25 are in the tables
@@ -111,6 +112,36 @@ def citation_job_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).unknown
 
 
+def _kept_links(spark: SparkSession, sf_dir: str) -> LinkStore:
+    """A store after three runs: all documents; then a quarter without their citations and a tenth gone; then half of that quarter as it was."""
+    path = shared_path(spark, "links")
+    remove_at_end(spark, path)
+    acts, provisions = _acts(spark, sf_dir), _provisions(spark, sf_dir)
+    store = LinkStore(spark, path, span=50)
+    first = _planted(spark, sf_dir).select("document_id", "text")
+    gone, bare = first.where("document_id % 10 <> 1"), F.col("document_id") % 4 == 0
+    plain = F.when(F.col("text").isNotNull(), F.lit("Engar tilvitnanir."))
+    second = gone.withColumn("text", F.when(bare, plain).otherwise(F.col("text")))
+    third = gone.withColumn("text", F.when(bare & (F.col("document_id") % 8 != 0), plain).otherwise(F.col("text")))
+    for docs in (first, second, third):
+        store.run(docs.withColumn("text_hash", M.text_hash(F.col("text"))), acts, provisions)
+    return store
+
+
+def link_store_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that a store of buckets holds after three runs over documents that were edited between them."""
+    store = _kept_links(spark, sf_dir)
+    links = store.provision_links().select(F.lit("article").alias("kind"), "document_id", F.col("provision_id").alias("target"), "char_offset")
+    return links.union(store.act_links().select(F.lit("statute").alias("kind"), "document_id", F.col("act_id").alias("target"), "char_offset"))
+
+
+def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct judgments and passages as the store keeps them up, over the same three runs."""
+    store = _kept_links(spark, sf_dir)
+    counts = store.provision_counts().select(F.lit("article").alias("kind"), F.col("provision_id").alias("target"), "judgments", "passages")
+    return counts.union(store.act_counts().select(F.lit("statute").alias("kind"), F.col("act_id").alias("target"), "judgments", F.lit(None).cast("long")))
+
+
 def act_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = _acts(spark, sf_dir)
     return api.filter_acts(acts, " Nation_1").union(api.filter_acts(acts, "8/1991")).union(api.filter_acts(acts, "nr. 15/")).select("act_id", "title")
@@ -189,7 +220,7 @@ def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cited_case_numbers, act_citations, provision_citations, citation_links, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
-    citation_job_unknown, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
+    citation_job_unknown, link_store_links, maintained_counts, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
 )}
 
 MONTHS = "['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember']"
@@ -202,6 +233,7 @@ c AS (SELECT document_id, a AS n, NULL AS alias, o1 AS o, true AS covered FROM p
 t AS (SELECT s_nationkey AS act_id, s_suppkey % 40 + 1 AS article, CASE WHEN s_suppkey % 3 = 0 THEN 'b' ELSE '' END AS letter, max(s_suppkey) AS provision_id FROM supplier WHERE s_acctbal >= 0 GROUP BY ALL)"""
 LINKS = "(SELECT document_id, provision_id, 5 AS char_offset, paragraph FROM p JOIN t ON t.act_id = p.a AND t.article = p.article AND t.letter = coalesce(p.letter, ''))"
 KNOWN = "n IN (SELECT n_nationkey FROM nation)"
+LEFT = "document_id % 10 <> 1 AND (document_id % 4 <> 0 OR document_id % 8 = 0)"
 ORACLES = {
     "cited_case_numbers": f"WITH {PLANTED} SELECT document_id, first_case || CASE WHEN document_id % 4 = 0 THEN '' ELSE ',' || second_case END AS cited FROM p",
     "act_citations": f"WITH {PLANTED} SELECT document_id, CAST(n * 7 + 1 AS INT) AS act_number, CAST(1990 + n % 6 AS INT) AS year, alias, CAST(o AS INT) AS \"offset\" FROM c",
@@ -218,6 +250,9 @@ g AS (SELECT n, string_agg(alias, ',' ORDER BY f DESC, alias) AS aliases FROM u
     "citation_job_stats": """SELECT count(text) AS indexed, count(*) FILTER (WHERE text IS NULL) AS errors, count(*) FILTER (WHERE text IS NULL) AS still_due FROM documents WHERE doc_id % 3 > 0""",
     "citation_job_unknown": f"""WITH {PLANTED} SELECT n * 7 + 1 AS act_number, 1990 + n % 6 AS year, count(DISTINCT document_id) AS documents FROM c WHERE document_id % 3 > 0 AND NOT {KNOWN}
 GROUP BY n ORDER BY documents DESC, year, act_number LIMIT 10""",
+    "link_store_links": f"""WITH {PLANTED} SELECT 'article' AS kind, document_id, provision_id AS target, char_offset FROM {LINKS} WHERE {LEFT} UNION ALL SELECT 'statute', document_id, n, o FROM c WHERE NOT covered AND {KNOWN} AND {LEFT}""",
+    "maintained_counts": f"""WITH {PLANTED}, x AS (SELECT * FROM {LINKS} WHERE {LEFT}) SELECT 'article' AS kind, provision_id AS target, count(DISTINCT document_id) AS judgments, count(*) AS passages FROM x GROUP BY provision_id
+UNION ALL SELECT 'statute', act, count(DISTINCT document_id), NULL FROM (SELECT document_id, s_nationkey AS act FROM x JOIN supplier ON s_suppkey = provision_id UNION ALL SELECT document_id, n FROM c WHERE NOT covered AND {KNOWN} AND {LEFT}) GROUP BY act""",
     "act_filter": """WITH a AS (SELECT n_nationkey AS act_id, n_name AS title, (n_nationkey * 7 + 1) || '/' || (1990 + n_nationkey % 6) AS number FROM nation)
 SELECT act_id, title FROM a WHERE contains(lower(title), 'nation_1') UNION ALL SELECT act_id, title FROM a WHERE contains(number, '8/1991') UNION ALL SELECT act_id, title FROM a WHERE contains('lög nr. ' || number, 'nr. 15/')""",
     "act_addresses": """SELECT n_nationkey AS act_id, 'lög nr. ' || n || '/' || y AS citation, '/log/' || n || '-' || y AS path, 'https://www.althingi.is/lagas/nuna/' || y || lpad(n::VARCHAR, 3, '0') || '.html' AS official_url
