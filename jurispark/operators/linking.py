@@ -16,7 +16,7 @@ def link(documents: DataFrame, acts: DataFrame, provisions: DataFrame) -> tuple[
 
 def scan(documents: DataFrame) -> DataFrame:
     """(document_id, found, bare): the citations of articles and of statutes in each text, with the sentences around them."""
-    text = F.coalesce("text", F.lit(""))
+    text = C.plain_spaces(F.coalesce("text", F.lit("")))
     docs = documents.select("document_id", text.alias("text")).withColumns({"found": C.provision_citations(F.col("text")), "bare": C.act_citations(F.col("text"))})
     return docs.withColumns({"found": _with_excerpts("found"), "bare": _with_excerpts("bare")}).drop("text")
 

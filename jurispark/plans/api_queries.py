@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark import api
 from jurispark.plans import text_queries as Q
-from jurispark.plans.search_queries import WORDS, _index
+from jurispark.operators import fulltext as X
+from jurispark.plans.search_queries import TERMS, WORDS, _grams, _index, _sim
 from jurispark.session import table
 
 SOURCES = {f"src{k}": (f"Source {k}", "courts", "pilot" if k % 3 == 0 else "live") for k in range(20)}
@@ -45,11 +48,39 @@ def api_provision_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("document_id", "case_number", F.size("collapsed").alias("passages"), F.lit(counts["total"]).cast("long").alias("total"), F.lit(counts["citations"]).cast("long").alias("citations"))
 
 
+ASKED = ("4. gr. nation_12", "2. mgr. 9. gr. b laga nation_7", "17. gr.", "nation_2", "x")
+
+
+def api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What citation-like queries mean: (q, label, needs_act, kind, id, place)."""
+    lib = _library(spark, sf_dir, linked=False)
+    rows = []
+    for q in ASKED:
+        found = api.lookup(lib, q)
+        hits = [("article", r["provision_id"], k) for k, r in enumerate(found["provisions"])] + [("statute", r["act_id"], k) for k, r in enumerate(found["acts"])]
+        rows += [(q, found["label"], found["needs_act"], *hit) for hit in hits or [(None, None, None)]]
+    return spark.createDataFrame(rows, "q string, label string, needs_act boolean, kind string, id long, place long")
+
+
+def api_provision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by words, by number, and by number within a statute; the first page of each."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k.alias("provision_id"), (k % 25).alias("act_id"), F.lit("article").alias("kind"), F.col("p_size").alias("article_number"), F.when(k % 3 == 0, "b").alias("article_letter"),
+        F.col("p_name").alias("label"), F.col("p_brand").alias("heading"), F.col("p_type").alias("full_text"), k.alias("ordering"))
+    lib = _library(spark, sf_dir, linked=False)
+    lib = replace(lib, provisions=parts, provision_postings=X.postings(parts, {"label": "A", "heading": "B", "full_text": "D"}, "provision_id"))
+    out = None
+    for q, act in (("steel bolt", None), ("7. gr. b", None), ("7", 3)):
+        found = api.search_provisions(lib, q, act).select(F.lit(q).alias("q"), "provision_id", "by_number", F.round("rank", 6).alias("rank"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def api_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.progress(_library(spark, sf_dir, linked=False))
 
 
-QUERIES = {f.__name__: f for f in (api_search_page, api_search_by_case_number, api_act_detail, api_provision_cases, api_progress)}
+QUERIES = {f.__name__: f for f in (api_search_page, api_search_by_case_number, api_act_detail, api_provision_cases, api_lookup, api_provision_search, api_progress)}
 
 DATED = "DATE '2020-01-01' + CAST(document_id % 700 AS INT)"
 ORACLES = {
@@ -61,5 +92,20 @@ SELECT s_suppkey AS provision_id, count(DISTINCT document_id) AS judgments, coun
 (SELECT count(DISTINCT provision_id) FROM x JOIN supplier ON s_suppkey = provision_id WHERE s_nationkey = 1) AS cited_provisions FROM supplier LEFT JOIN x ON provision_id = s_suppkey WHERE s_nationkey = 1 GROUP BY s_suppkey""",
     "api_provision_cases": f"""WITH {Q.PLANTED}, x AS (SELECT * FROM {Q.LINKS} WHERE provision_id = 1) SELECT document_id, 'E-' || document_id || '/2020' AS case_number, 1 AS passages, (SELECT count(DISTINCT document_id) FROM x) AS total, (SELECT count(*) FROM x) AS citations
 FROM x ORDER BY {DATED} DESC, case_number, document_id LIMIT 15""",
+    "api_lookup": f"""WITH q AS (SELECT q, a, g, {_grams('a')} AS grams FROM (VALUES ('4. gr. nation_12', 'nation_12', 4), ('2. mgr. 9. gr. b laga nation_7', 'nation_7', 9), ('nation_2', 'nation_2', NULL)) v(q, a, g)),
+a AS (SELECT n_nationkey AS act_id, n_name AS title, lower(n_name) AS flat, n_nationkey * 7 + 1 AS number, 1990 + n_nationkey % 6 AS year, {_grams('n_name')} AS x FROM nation),
+s AS (SELECT *, {_sim('x', 'grams')} AS s FROM a, q), b AS (SELECT *, CASE WHEN number::VARCHAR = a THEN 0 WHEN contains(lower(title), a) THEN 1 WHEN contains(flat, a) THEN 2 WHEN s >= 0.3 THEN 3 END AS bucket FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bucket, s DESC, year DESC, number) AS n FROM b WHERE bucket IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bucket, s DESC, year DESC) - 1 AS place FROM r WHERE n <= 10),
+p AS (SELECT q, s_suppkey AS id, row_number() OVER (PARTITION BY q ORDER BY place, s_suppkey) - 1 AS place FROM t JOIN supplier ON s_nationkey = act_id WHERE s_acctbal >= 0 AND s_suppkey % 40 + 1 = g AND CASE WHEN s_suppkey % 3 = 0 THEN 'b' ELSE '' END = CASE WHEN g = 9 THEN 'b' ELSE '' END),
+l AS (SELECT q, CASE g WHEN 4 THEN '4. gr.' WHEN 9 THEN '2. mgr. 9. gr. b' ELSE '' END AS label FROM q)
+SELECT q, label, false AS needs_act, 'article' AS kind, id, place FROM p JOIN l USING (q) UNION ALL SELECT t.q, label, false, 'statute', act_id, place FROM t JOIN l USING (q) WHERE g IS NULL OR t.q NOT IN (SELECT q FROM p) AND place < 3
+UNION ALL SELECT '17. gr.', '17. gr.', true, NULL, NULL, NULL UNION ALL SELECT 'x', '', false, NULL, NULL, NULL""",
+    "api_provision_search": f"""WITH w AS (SELECT p_partkey, p_size, p_partkey % 25 AS act, p_partkey % 3 = 0 AS b, {TERMS.format('p_name')} AS x, {TERMS.format('p_brand')} AS y, {TERMS.format('p_type')} AS z FROM part),
+c AS (SELECT w.*, term, len(list_filter(x, lambda t: t = term)) AS i, len(list_filter(y, lambda t: t = term)) AS j, len(list_filter(z, lambda t: t = term)) AS k, q FROM w, (VALUES ('steel bolt', 'steel'), ('steel bolt', 'bolt'), ('7. gr. b', '7'), ('7. gr. b', 'gr'), ('7. gr. b', 'b')) v(q, term)),
+s AS (SELECT q, p_partkey, p_size, act, b, count(*) FILTER (WHERE i + j + k > 0) AS met, count(*) AS terms, sum(coalesce(list_sum(list_transform(range(1, i + j + k + 1), lambda n: CASE WHEN n <= i THEN 1.0 WHEN n <= i + j THEN 0.4 ELSE 0.1 END / (n * n))), 0)) AS x FROM c GROUP BY ALL),
+f AS (SELECT q, p_partkey, act, CASE WHEN q = '7. gr. b' AND p_size <> 7 THEN 1 ELSE 0 END AS by_number, x / terms AS rank FROM s WHERE met = terms OR q = '7. gr. b' AND p_size = 7 AND b
+UNION ALL SELECT '7', p_partkey, act, 0, 0.0 FROM w WHERE act = 3 AND p_size = 7 AND NOT b)
+SELECT q, p_partkey AS provision_id, by_number::INT AS by_number, round(rank, 6) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY by_number, rank DESC, 1990 + act % 6 DESC, p_partkey) <= 20""",
     "api_progress": """SELECT 'src' || i AS source, 'Source ' || i AS name, 'courts' AS group, count(doc_id) AS documents FROM range(20) r(i) LEFT JOIN documents ON source = 'src' || i WHERE i % 3 > 0 GROUP BY i""",
 }

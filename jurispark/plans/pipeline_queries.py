@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jurispark.operators import backfill as B
 from jurispark.operators import ingest as I
 from jurispark.operators import merge as M
 from jurispark.operators import retrieval as R
 from jurispark.plans import views as V
-from jurispark.session import table
+from jurispark.plans.graph_queries import JUDGMENTS_SQL
+from jurispark.session import stored, table
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +128,37 @@ def ingest_until_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.until_known(feed, "event_id", 3).select("event_id")
 
 
+def backfill_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of a budget each round an index of events, with what each fetched: what is known with its version costs nothing, a run that broke off is walked again, and a round after the last fetches nothing."""
+    index = V.feed(spark, sf_dir).select("event_id", F.col("event_id").alias("position"), "event_type", F.when(F.col("user_id") % 10 != 0, F.floor("value").cast("string")).alias("version"))
+    known = index.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("version")).otherwise("old").alias("version"))
+    budget, cursor, out, run = index.count() // 6 + 1, None, None, 0
+    while run < 20:
+        B.walk(index, known, ["event_id"], budget, cursor)  # broke off before its cursor was stored
+        done = B.walk(index, known, ["event_id"], budget, cursor)
+        due = done.due.select(F.lit(run).alias("run"), "event_id", "version")
+        out = due if out is None else out.union(due)
+        known = stored(known.join(due, "event_id", "left_anti").unionByName(due.select("event_id", "version")))
+        cursor, run = done.cursor, run + 1
+        if cursor is None:
+            break
+    after = B.walk(index.where("version IS NOT NULL"), known, ["event_id"], budget)
+    return out.select("run", "event_id").union(after.due.select(F.lit(99), "event_id"))
+
+
+def backfill_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of a budget of pages each over judgments by year, the newest first, as (run, year, page, items)."""
+    row = F.row_number().over(Window.partitionBy("year").orderBy("document_id"))
+    items = V.judgments(spark, sf_dir).withColumn("page", F.ceil(row / 500).cast("int"))
+    pages = items.select("year", "page").distinct().count()
+    budget, cursor, out, run = pages // 5 + 1, B.YearCursor(2100), None, 0
+    while cursor.year >= B.FIRST_YEAR:
+        found, cursor = B.walk_years(items, budget, cursor)
+        counts = found.groupBy("year", "page").agg(F.count("*").alias("items")).select(F.lit(run).alias("run"), "year", "page", "items")
+        out, run = counts if out is None else out.union(counts), run + 1
+    return out
+
+
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("value") < 10, "error").when(F.col("value") < 40, "skipped").otherwise("indexed")
     rows = V.feed(spark, sf_dir).select("event_type", F.col("event_id").alias("seq"), outcome.alias("outcome"), F.col("props").alias("message"))
@@ -169,7 +202,7 @@ def unknown_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    upsert_merge, known_skip, anchor_merge, statute_tree_merge, statute_tree_whole, watermark_reset, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, run_status,
+    upsert_merge, known_skip, anchor_merge, statute_tree_merge, statute_tree_whole, watermark_reset, vanished_anchors, changed_watermark, replaced_links, act_content_hash, first_index_entries, cursor_moves, ingest_until_known, backfill_walk, backfill_years, run_status,
     recent_runs, progress_totals, source_progress, remaining_totals, alias_harvest, unknown_acts,
 )}
 
@@ -213,6 +246,11 @@ SELECT s_nationkey AS act_id, sha256('Act ' || s_nationkey || chr(1) || string_a
 f AS (SELECT event_id, known, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS fresh FROM c WHERE relevant),
 k AS (SELECT event_id, row_number() OVER (PARTITION BY fresh ORDER BY event_id) AS n FROM f WHERE known)
 SELECT event_id FROM events WHERE event_id <= coalesce((SELECT min(event_id) FROM k WHERE n = 3), 1e18)""",
+    "backfill_walk": """WITH i AS (SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN CAST(floor(value) AS BIGINT)::VARCHAR END AS version FROM events),
+c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM i WHERE event_id % 3 <> 0 OR event_id % 2 <> 0 OR version IS NULL)
+SELECT CAST(n // ((SELECT count(*) FROM events) // 6 + 1) AS INT) AS run, event_id FROM c""",
+    "backfill_years": f"""WITH p AS (SELECT year, CAST(ceil(row_number() OVER (PARTITION BY year ORDER BY document_id) / 500) AS INT) AS page FROM {JUDGMENTS_SQL}),
+g AS (SELECT year, page, count(*) AS items, row_number() OVER (ORDER BY year DESC, page) - 1 AS n, count(*) OVER () AS pages FROM p GROUP BY year, page) SELECT CAST(n // (pages // 5 + 1) AS INT) AS run, year, page, items FROM g""",
     "run_status": """SELECT event_type, count(*) FILTER (WHERE value >= 40) AS indexed, count(*) FILTER (WHERE value >= 10 AND value < 40) AS skipped, count(*) FILTER (WHERE value < 10) AS errors,
 min_by(props, event_id) FILTER (WHERE value < 10) AS error_sample, CASE WHEN count(*) FILTER (WHERE value < 10) = count(*) THEN 'failed' ELSE 'success' END AS status FROM events GROUP BY event_type""",
     "recent_runs": "SELECT event_type, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 5",

@@ -69,6 +69,28 @@ def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir)[0].select("document_id", "provision_id", "char_offset", "paragraph_number")
 
 
+def citation_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole excerpts of citations planted before and behind each document's text, in sentences with abbreviations and ordinals in them."""
+    k = F.col("doc_id")
+    number = F.concat((k % 25 * 7 + 1).cast("string"), F.lit("/"), (1990 + k % 25 % 6).cast("string"))
+    lead = F.concat(F.lit("Upphaf var. Krafan er reist á 2. mgr. "), (k % 40 + 1).cast("string"), F.lit(". gr. laga um próf nr. "), number, F.lit(", sbr. dóm hans o.fl. atriði hér. Síðan segir: "))
+    tail = F.concat(F.lit(" Endir kom. Vísað er, skv. bls. 3. hér, til vaxtalaga nr. "), number, F.lit(",\u00a0þ.e. þeirra. Lok."))
+    docs = table(spark, sf_dir, "documents").select(k.alias("document_id"), F.concat(lead, "text", tail).alias("text"))
+    to_provisions, to_acts, _ = L.link(docs, _acts(spark, sf_dir), _provisions(spark, sf_dir).withColumn("article_letter", F.lit(None).cast("string")))
+    links = to_provisions.select(F.lit("article").alias("kind"), "document_id", "char_offset", "citation_text", "excerpt")
+    return links.union(to_acts.select(F.lit("statute"), "document_id", "char_offset", F.lit(None).cast("string"), "excerpt"))
+
+
+def masked_legislation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case numbers of whole documents in which constitutions, regulations and statutes, with blanks of several kinds, have numbers that look like theirs."""
+    k = F.col("doc_id")
+    year = (1950 + k % 50).cast("string")
+    lead = F.concat(F.lit("Stjórnarskrá lýðveldisins\u00a0Íslands nr.\u202f33/"), year, F.lit(", dómur í máli nr. "), (k % 900 + 1).cast("string"), F.lit("/"), year, F.lit(" og reglugerð um próf (ESB), nr. 12/"), year, F.lit(". "))
+    tail = F.concat(F.lit(" Auglýsingu nr. 5/"), year, F.lit(", sbr. lögum um ávana- og fíkniefni\u00a0nr. 65/"), year, F.lit("; Mál nr. E-"), (k % 70).cast("string"), F.lit("/2021 og rg. nr. 7/"), year, F.lit("."))
+    cited = C.cited_cases(F.concat(lead, "text", tail))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(cited, ",").alias("cited"))
+
+
 def citation_act_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.col("excerpt").rlike("(vaxta|barna)laga nr")
     return _linked(spark, sf_dir)[1].select("document_id", "act_id", "char_offset", named.alias("excerpt_names_it"))
@@ -219,7 +241,7 @@ def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cited_case_numbers, act_citations, provision_citations, citation_links, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
+    cited_case_numbers, act_citations, provision_citations, citation_links, citation_excerpts, masked_legislation, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
     citation_job_unknown, link_store_links, maintained_counts, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
 )}
 
@@ -239,6 +261,11 @@ ORACLES = {
     "act_citations": f"WITH {PLANTED} SELECT document_id, CAST(n * 7 + 1 AS INT) AS act_number, CAST(1990 + n % 6 AS INT) AS year, alias, CAST(o AS INT) AS \"offset\" FROM c",
     "provision_citations": f"""WITH {PLANTED} SELECT document_id, paragraph, article, letter, a * 7 + 1 AS act_number, 1990 + a % 6 AS year, 5 AS "offset", place || gap || first_act AS text FROM p""",
     "citation_links": f"WITH {PLANTED} SELECT document_id, provision_id, char_offset, paragraph AS paragraph_number FROM {LINKS}",
+    "citation_excerpts": """WITH d AS (SELECT doc_id AS document_id, doc_id % 25 AS a, doc_id % 40 + 1 AS g, (doc_id % 25 * 7 + 1) || '/' || (1990 + doc_id % 25 % 6) AS n, length(text) AS size FROM documents WHERE text IS NOT NULL),
+x AS (SELECT *, '2. mgr. ' || g || '. gr. laga um próf nr. ' || n AS cited FROM d), t AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 40 + 1 AS g FROM supplier WHERE s_acctbal >= 0)
+SELECT 'article' AS kind, document_id, CAST(length('Upphaf var. Krafan er reist á ') AS INT) AS char_offset, cited AS citation_text, 'Krafan er reist á ' || cited || ', sbr. dóm hans o.fl. atriði hér.' AS excerpt FROM x JOIN t USING (a, g)
+UNION ALL SELECT 'statute', document_id, length('Upphaf var. Krafan er reist á ' || cited || ', sbr. dóm hans o.fl. atriði hér. Síðan segir:  Endir kom. Vísað er, skv. bls. 3. hér, ') + size, NULL, 'Vísað er, skv. bls. 3. hér, til vaxtalaga nr. ' || n || ', þ.e. þeirra.' FROM x""",
+    "masked_legislation": """SELECT doc_id, (doc_id % 900 + 1) || '/' || (1950 + doc_id % 50) || ',E-' || (doc_id % 70) || '/2021' AS cited FROM documents WHERE text IS NOT NULL""",
     "citation_act_links": f"WITH {PLANTED} SELECT document_id, n AS act_id, o AS char_offset, true AS excerpt_names_it FROM c WHERE NOT covered AND {KNOWN}",
     "citation_unknown_acts": f"WITH {PLANTED} SELECT DISTINCT document_id, n * 7 + 1 AS act_number, 1990 + n % 6 AS year FROM c WHERE NOT {KNOWN}",
     "corpus_cited_cases": f"WITH {PLANTED} SELECT cited, count(*) AS documents FROM (SELECT first_case AS cited FROM p UNION ALL SELECT second_case FROM p) GROUP BY cited",
