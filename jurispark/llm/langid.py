@@ -205,8 +205,8 @@ PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructF
 def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the calibrated probability of lang_pred.
 
-    A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Columns of docs with
-    these names are replaced; copies get equal results; an empty table stays empty.
+    A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Of equally likely languages the first by name is taken. Long texts are read
+    whole, in time that grows with them. Columns of docs with these names are replaced; copies get equal results; an empty table stays empty.
     """
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})

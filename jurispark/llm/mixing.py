@@ -176,6 +176,20 @@ def _with_copies(rows: DataFrame, has_words, mix: Mix) -> DataFrame:
     return out.withColumn("copies", copies.cast("long")).drop("epochs", "rest", "end_turn", "end_block", "low")
 
 
+def reads(planned: DataFrame, mix: Mix | None) -> DataFrame:
+    """The planned rows with `reads`, array<struct<epoch, place>>: in which epochs each is read, as often as it has copies, and where its block then stands in the mixed stream.
+
+    A source's blocks stand elsewhere in each epoch. Rows of sources without words are read at the start. Blocks, not rows, are joined.
+    """
+    none = F.array(F.struct(F.lit(0).alias("epoch"), F.lit(0.0).alias("place")))
+    if mix is None:
+        return planned.withColumn("reads", none)
+    turns = mix.schedule.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "place"))).alias("turns"))
+    keyed = planned.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+    placed = keyed.join(small(turns, SOURCE_BYTES), ["key", "block"], "left").drop("key")
+    return placed.withColumn("reads", F.slice(F.coalesce("turns", none), F.lit(1), F.col("copies").cast("int"))).drop("turns")
+
+
 def realise(docs: DataFrame, mix: Mix | None, text: str = "text", doc_id: str = "doc_id", source: str = "source", places: bool = False) -> DataFrame:
     """docs, each row as often as planned; with places also key, epoch, block and place, in whose order the mixed stream is read.
 

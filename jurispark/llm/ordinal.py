@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,8 +174,8 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str =
 def graded(docs: DataFrame, model: Model | None, text: str = "text", tail: int | None = None, least: float = 0.5) -> DataFrame:
     """docs with expected_grade, tail_probability of reaching grade `tail` (the highest if None) and selected (at least `least` likely).
 
-    Null and empty texts have the score of an empty text. Without a model all three are null. Columns with these names are
-    replaced; copies get equal results; an empty table stays empty.
+    Null and empty texts have the score of an empty text; long ones are read whole, in time that grows with them. Without a model all three are null. Columns with these names are
+    replaced; copies get equal results; a tail probability equal to `least` selects; an empty table stays empty.
     """
     names = ("expected_grade", "tail_probability", "selected")
     if model is None:

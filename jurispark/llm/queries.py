@@ -57,8 +57,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned, _ = mixing.plan(_read(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "source", "n_words", F.round("weight", 9).alias("weight"), "copies", "block")
+    planned, mix = mixing.plan(_read(spark, sf_dir, "documents"))
+    return mixing.reads(planned, mix).select("doc_id", "source", "n_words", F.round("weight", 9).alias("weight"), "copies", "block", "reads")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

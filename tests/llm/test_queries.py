@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from jurispark.llm import langid, mixing, ordinal, pieces, queries, toxicity
+from jurispark.llm import words as W
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -199,3 +200,149 @@ def test_op8_equals_brute_force(spark, texts):
             read, longest = sum(r["copies"] * r["n_words"] for r in own), max(r["n_words"] for r in own)
             assert epochs * words[s] - longest - 1 <= read <= epochs * words[s] + 1
             assert {r["copies"] for r in own if r["n_words"]} <= {math.floor(epochs + 1e-6), math.ceil(epochs - 1e-6)}
+    schedules = {}
+    for r in found:
+        assert len(r["reads"]) == r["copies"] and [x["epoch"] for x in r["reads"]] == list(range(r["copies"])) and all(0 <= x["place"] <= 1 for x in r["reads"])
+        for x in r["reads"]:
+            assert schedules.setdefault((r["source"], x["epoch"]), {}).setdefault(r["block"], x["place"]) == x["place"]
+    for (s, epoch), places in schedules.items():
+        if s not in p:
+            continue
+        total, of = words[s] * round(p[s] ** (high - 1) / least, 9), Counter()
+        for r in by_source[s]:
+            of[r["block"]] += r["n_words"]
+        rest = {b: n for b, n in of.items() if b not in places}
+        order = sorted(places, key=lambda b: (places[b], of[b] > 0))
+        upto = epoch * words[s]
+        if not rest:  # whole epochs: each block begins where those before it end
+            for b in order:
+                assert abs(places[b] - upto / total) < 1e-6
+                upto += of[b]
+        if epoch and len(of) > 5:
+            assert order != sorted(schedules[s, 0], key=lambda b: schedules[s, 0][b])
+
+
+def naive_grams(text):
+    """The n-gram buckets of a text, one character at a time."""
+    c = [32]
+    for x in (text or "").lower():
+        if x.isalpha():
+            c.append(ord(x))
+        elif len(c) > 1 and c[-1] != 32:
+            c.append(32)
+    if len(c) > 1 and c[-1] != 32:
+        c.append(32)
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            if n > 1 or c[i] != 32:
+                h = n
+                for x in c[i : i + n]:
+                    h = (h ^ x) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                out.append(h * 0x85EBCA77 % 2**32 >> 16)
+    return out
+
+
+def test_op7_equals_brute_force(spark, texts):
+    _, found = run(spark, "op7_language_id")
+    grams = {k: Counter(naive_grams(r["text"])) for k, r in texts.items()}
+    known = sorted(k for k, r in texts.items() if not held(k, 5, 0) and r["lang"] is not None and r["text"] is not None)
+    df = Counter(b for k in known for b in grams[k])
+    idf = lambda b: math.log((1 + len(known)) / (1 + df[b])) + 1
+    value = lambda k: {b: n / max(1, grams[k].total()) * idf(b) for b, n in grams[k].items()}
+    names = sorted({texts[k]["lang"] for k in known})
+    examples = [(np.array(sorted(v)), np.array([np.float32(20.0) * np.float32(grams[k][b] / max(1, grams[k].total())) * idf(b) for b in sorted(v)]), names.index(texts[k]["lang"])) for k in known for v in [value(k)]]
+    w, bias = naive_ftrl([e for k, e in enumerate(examples) if k % 5], len(names), 4, 0.5, 1.0, 1e-3, 1e-3, 7)
+    score = lambda v: [sum(20 * x * w.get((b, c), 0.0) for b, x in v.items()) + bias[c] for c in range(len(names))]
+    t = langid.temperature(np.array([[sum(x * w.get((b, c), 0.0) for b, x in zip(ids, xs)) + bias[c] for c in range(len(names))] for ids, xs, _ in examples[::5]]), np.array([y for *_, y in examples[::5]]))
+    for r in found:
+        if not grams[r["doc_id"]]:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        z = [x / t for x in score(value(r["doc_id"]))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert abs(r["score"] - max(e) / sum(e)) < 2e-3 and names[int(np.argmax(z))] == r["lang_pred"]
+
+
+M64 = 2**64
+
+
+def naive_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % M64
+    return x ^ x >> 31
+
+
+def naive_sum(values, odd):
+    return naive_mix(sum(v * pow(odd, k, M64) for k, v in enumerate(values)) % M64)
+
+
+def naive_features(text):
+    """The shares of a text's word and pair buckets, and the measures of its form, a word at a time."""
+    data = (text or "").encode()
+    words = WORD.findall(data)
+    values = [int(x) for x in W.BYTE_VALUES]
+    seen = {}
+    h = [seen.setdefault(w, naive_sum([values[c] for c in w], W.ODD["byte"])) for w in words]
+    buckets = Counter(x >> 47 for x in h) + Counter(naive_sum(p, W.ODD["gram"]) >> 47 for p in zip(h, h[1:]))
+    again = lambda xs: len(xs) - len(set(xs))
+    runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    n, size, plain = max(1, len(words)), max(1, len(data)), data.decode("latin1")
+    upper, lower = (sum(c < 128 and f(chr(c)) for c in data) for f in (str.isupper, str.islower))
+    signs = sum(ord(c) < 128 and not c.isalnum() and not c.isspace() and c not in ".,;:'\"-()?" for c in plain)
+    form = [math.log1p(len(words)) / 5, sum(map(len, words)) / n / 6, upper / max(upper + lower, 1), sum(48 <= c < 58 for c in data) / size, 10 * signs / size, again(words) / n, again(runs) / n, 5 * data.count(b"\n") / n]
+    total = max(1, buckets.total())
+    return {b: c / total for b, c in buckets.items()}, form
+
+
+def naive_grader(examples, top):
+    """Cumulative-link weights by single steps over plain dictionaries."""
+    w, g2, v, v2 = {}, {}, [0.0] * 8, [1e-6] * 8
+    theta, t2 = list(np.linspace(-1, 1, top)), [1e-6] * top
+    per = Counter(y for *_, y in examples)
+    logistic = lambda x: 1 / (1 + math.exp(-min(35, max(-35, x))))
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        for k in rng.permutation(len(examples)):
+            shares, form, y = examples[k]
+            s = sum(30 * x * w.get(b, 0.0) for b, x in shares.items()) + sum(a * b for a, b in zip(form, v))
+            below = [0.0] + [logistic(t - s) for t in theta] + [1.0]
+            p = max(below[y + 1] - below[y], 1e-9)
+            slope = [b * (1 - b) / p for b in below]
+            weight = len(examples) / (top + 1) / max(1, per[y])
+            gs = slope[y + 1] - slope[y]
+            for b, x in shares.items():
+                g = weight * gs * 30 * x + 1e-5 * w.get(b, 0.0)
+                g2[b] = g2.get(b, 1e-6) + g * g
+                w[b] = w.get(b, 0.0) - 0.1 * g / math.sqrt(g2[b])
+            for j, x in enumerate(form):
+                g = weight * gs * x
+                v2[j] += g * g
+                v[j] -= 0.1 * g / math.sqrt(v2[j])
+            for j, sign in ((y, -1), (y - 1, 1)):
+                if 0 <= j < top:
+                    g = weight * sign * slope[j + 1]
+                    t2[j] += g * g
+                    theta[j] -= 0.1 * g / math.sqrt(t2[j])
+            for j in range(1, top):
+                theta[j] = max(theta[j], theta[j - 1] + 1e-3)
+    return w, v, theta
+
+
+def test_op6_equals_brute_force(spark, texts):
+    _, found = run(spark, "op6_quality_classifier")
+    own = {k: naive_features(r["text"]) for k, r in texts.items()}
+    grades = {}
+    for r in pq.read_table(f"{SF}/labels.parquet").to_pylist():
+        if not held(r["doc_id"], 3, 1) and r["quality"] is not None and r["doc_id"] in texts:
+            g = r["quality"] * (2 - (r["toxic"] or 0))
+            grades[r["doc_id"]] = min(g, grades.get(r["doc_id"], g))
+    order = sorted(grades, key=lambda k: (k, np.array(sorted(own[k][0]), np.int32).tobytes()))
+    w, v, theta = naive_grader([(*own[k], grades[k]) for k in order], max(grades.values()))
+    for r in found:
+        shares, form = own[r["doc_id"]]
+        s = sum(30 * x * w.get(b, 0.0) for b, x in shares.items()) + sum(a * b for a, b in zip(form, v))
+        tails = [1 / (1 + math.exp(t - s)) for t in theta]
+        assert abs(r["expected_grade"] - sum(tails)) < 5e-3 and abs(r["tail_probability"] - tails[-1]) < 5e-3
+        assert r["held_out"] == held(r["doc_id"], 3, 1) and r["kept"] == (r["tail_probability"] >= 0.5)
