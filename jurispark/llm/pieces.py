@@ -12,8 +12,9 @@ the parts. Texts are cut before blanks and behind letters if the vocabulary allo
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from jurispark.llm.shared import give_back, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 30_000
+MEMO, WORD_MEMO = 120_000, 50_000  # of parts between marks and of whole words
 
 
 class Pieces:
@@ -50,15 +51,15 @@ class Pieces:
             self.automaton.make_automaton()
         self.text = [b"" if gone else bytes([int(n[3:5], 16)]) if byte else n.replace(BLANK, " ").encode() for n, (gone, byte) in zip(names, kinds)]
         self.sizes = [len(n) for n in names]
-        self.newline = (self.bytes.get(10, self.unknown),) if "\n" not in "".join(plain) else None
+        self.newline = _packed((self.bytes.get(10, self.unknown),)) if "\n" not in "".join(plain) else None
         pairs = {x for p in plain for x in zip(p, p[1:])}
         blank_inside = any(b == BLANK != a for a, b in pairs)
         letter_before = any(a.isalpha() and not b.isalpha() for a, b in pairs)
         letters, others = r"[^\W\d_]", r"[\W\d_]"
         self.parts = re.compile("(?s).+" if blank_inside else f"(?s){BLANK}*[^{BLANK}]+|{BLANK}+" if letter_before else f"{others}*{letters}+|{others}+")
-        self.part = Memo(self.segment)
-        self.word = Memo(lambda w: self.whole(BLANK + w))
-        self.bare = Memo(self.whole)
+        self.part = Memo(lambda s: _packed(self.segment(s)), MEMO)
+        self.word = Memo(lambda w: self.whole(BLANK + w), WORD_MEMO)
+        self.bare = Memo(self.whole, WORD_MEMO)
         self.simple = not blank_inside and self.newline is not None
 
     def segment(self, s: str) -> tuple[int, ...]:
@@ -101,17 +102,20 @@ class Pieces:
                 best[end + 1], back[end + 1] = total, i
         settle(len(s))
 
-    def whole(self, s: str) -> tuple[int, ...]:
+    def whole(self, s: str) -> bytes:
         """The pieces of a string, part by part: no piece reaches over where parts meet."""
-        found = list(map(self.part.__getitem__, self.parts.findall(s)))
-        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+        return b"".join(map(self.part.__getitem__, self.parts.findall(s)))
 
     def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The pieces of a text in order; a BLANK that stands in the text itself is spelt in bytes, so that decoding is exact."""
+        """The pieces of a text in order, word by word."""
+        return [tuple(array("i", span)) for span in self.spans(text)]
+
+    def spans(self, text: str) -> list[bytes]:
+        """The pieces of a text, word by word, as bytes of 32-bit numbers; a BLANK that stands in the text itself is spelt in bytes, so that decoding is exact."""
         if not text:
             return []
         if BLANK in text and self.bytes:
-            spelt = tuple(self.bytes.get(b, self.unknown) for b in BLANK.encode())
+            spelt = _packed(self.bytes.get(b, self.unknown) for b in BLANK.encode())
             out, (first, *rest) = [], text.split(BLANK)
             out.append(self.whole(BLANK + first.replace(" ", BLANK)))
             for part in rest:
@@ -138,19 +142,23 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Memo(dict):
-    """Results of a function of strings: the latest MEMO and the MEMO before them; those of long strings are not kept."""
+    """Results of a function of strings: the latest `most` and as many before them; those of long strings are not kept."""
 
-    def __init__(self, f):
+    def __init__(self, f, most: int):
         super().__init__()
-        self.f, self.before = f, {}
+        self.f, self.before, self.most = f, {}, most
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         found = self.before.get(key)
         if found is None:
             found = self.f(key)
         if len(key) <= 48:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[key] = found
@@ -177,8 +185,7 @@ def encode(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         p, parts, sizes = pieces(shared.value), [], [0]
         for t in texts:
-            found = p.encode(t.as_py() or "")
-            parts.append(np.fromiter(chain.from_iterable(found), np.int32))
+            parts.append(np.frombuffer(b"".join(p.spans(t.as_py() or "")), np.int32))
             sizes.append(len(parts[-1]))
         offsets = pa.array(np.cumsum(sizes).astype(np.int32), mask=np.append(texts.is_null().to_numpy(False), False))
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
@@ -212,9 +219,9 @@ def round_trips(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
         p, parts, same, sizes = pieces(shared.value), [], [], [0]
         for t in texts:
             plain = t.as_py() or ""
-            ids = list(chain.from_iterable(p.encode(plain)))
-            same.append(p.decode(ids) == plain)
-            parts.append(np.array(ids, np.int32))
+            ids = np.frombuffer(b"".join(p.spans(plain)), np.int32)
+            same.append(p.decode(ids.tolist()) == plain)
+            parts.append(ids)
             sizes.append(len(ids))
         give_back()
         offsets = pa.array(np.cumsum(sizes).astype(np.int32), mask=np.append(texts.is_null().to_numpy(False), False))
