@@ -1,9 +1,9 @@
 """Citations of statutes, articles and cases as built-in column expressions with exact offsets.
 
-Every citation of legislation ends in a number and a year, so a text is cut at these: what stands between them, and of that the REACH
-characters before a number, is all that is searched, once, by a pattern bound to the number. Lengths of the pieces before it add up to
-a citation's offset. All offsets count code points. Word runs are possessive: text that begins like a citation and is none costs no
-backtracking. A citation of more than REACH characters before its number is not seen.
+Every citation of legislation ends in a number and a year, so a text is cut at these: what stands between them, and of that the last
+MOST_WORDS words before a number, however long, is all that is searched, once, by a pattern bound to the number; no citation has more words.
+Lengths of the pieces before it add up to a citation's offset. All offsets count code points. Word runs are possessive: text that begins
+like a citation and is none costs no backtracking.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jurispark.functions.judgment import let
 from jurispark.functions.query import CASE_NUMBER
 
-REACH = 800
+MOST_WORDS = 32  # three qualifiers and an article of two words each, its letter, sbr., a statute of four words, um, eight words, nr.: 25
 MARK = "\u0001"
 
 # The declined forms of the words for a statute, for a case and for a judgment, the names of regulations, the order of an article's qualifiers.
@@ -56,6 +56,10 @@ ACT = rf"(?<!\p{{L}})({STATUTE}|l\.){SUBJECT}{BEFORE_NUMBER}"
 PROVISION = rf"{ARTICLE}\s*,?\s*(?:sbr\.\s*)?(?:{STATUTE}|l\.){SUBJECT}{BEFORE_NUMBER}"
 
 
+# In a text read backwards: the last words and what stands around them.
+LAST_WORDS = rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{MOST_WORDS}}}[^\p{{L}}\p{{N}}]*+"
+
+
 def plain_spaces(text: Column) -> Column:
     """Non-breaking blanks as blanks, one for one."""
     return F.translate(text, "\u00a0\u2007\u202f" + MARK, "    ")
@@ -70,7 +74,8 @@ def _numbered(text: Column, pattern: str, groups: int) -> Column:
     def cut(gaps: Column) -> Column:
         def one(number: Column, k: Column) -> Column:
             gap = F.get(gaps, k)
-            window = F.substring(gap, F.greatest(F.length(gap) - (REACH - 1), F.lit(1)), F.lit(REACH))
+            behind = F.length(F.regexp_extract(F.reverse(gap), LAST_WORDS, 0))
+            window = F.substring(gap, F.length(gap) - behind + 1, behind)
             return F.struct(gap.alias("gap"), number.alias("number"), F.split(F.regexp_replace(window, bound, replaced), MARK).alias("found"))
 
         return F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), 0), one)

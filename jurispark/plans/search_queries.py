@@ -14,6 +14,7 @@ from jurispark.operators import trigram_index as Y
 from jurispark.plans import views as V
 from jurispark.plans.graph_queries import JUDGMENTS_SQL
 from jurispark.operators.search_index import SearchIndex
+from jurispark.operators.top_documents import TopDocuments
 from jurispark.operators.trigram_index import TrigramIndex
 from jurispark.operators.typos import Dictionary
 from jurispark.session import built_once, remove_at_end, shared_path, table
@@ -156,6 +157,15 @@ def fts_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page(found, "relevance", 1, 50).select("document_id", "lang", F.round("rank", 6).alias("rank"))
 
 
+def fts_top_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from weights in bands: documents that cannot be on it are not read."""
+    index, docs = _index(spark, sf_dir)
+    path = built_once(spark, f"weights {sf_dir}", f"{sf_dir}/documents.parquet", lambda path: TopDocuments(spark, path, INDEX_BUCKETS).build(index))
+    allowed = docs.where("source <> 'src1'")
+    found = TopDocuments(spark, path).search(["thing", "hati"], 50, index, allowed)
+    return R.page(allowed.join(found, "document_id").withColumn("date", F.lit(None).cast("date")), "relevance", 1, 50).select("document_id", "lang", F.round("rank", 6).alias("rank"))
+
+
 def fts_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, docs = _index(spark, sf_dir)
     return X.search(index, docs.where("lang = 'fr'"), query_tree("  ")).select("document_id", "rank")
@@ -256,7 +266,7 @@ FTS = {"fts_and": "the and thing", "fts_or": "inati OR zzz OR leaux", "fts_not":
 
 QUERIES = {f.__name__: f for f in (
     filter_source_date_year, filter_oldest_page, tags_contain_all, tag_vocabulary, tag_lookup, capped_count, exact_count_below_cap, home_newest, home_counts,
-    random_featured, case_number_lookup, fts_ranked_page, fts_browse, provision_search, null_safe_letter, act_typeahead, fuzzy_title, fuzzy_fallback, similar_titles,
+    random_featured, case_number_lookup, fts_ranked_page, fts_top_page, fts_browse, provision_search, null_safe_letter, act_typeahead, fuzzy_title, fuzzy_fallback, similar_titles,
     similar_names, fts_index_build, fts_after_update, fts_after_compaction, fts_class_weights, fuzzy_title_indexed, type_ahead_indexed, typo_terms, fts_typo,
 )} | {k: _fts(v) for k, v in FTS.items()}
 
@@ -283,6 +293,9 @@ NEAR = f"""v AS (SELECT term, count(DISTINCT document_id) AS documents FROM (SEL
 UNION ALL SELECT document_id, unnest({TERMS.format('lang')}) FROM w) GROUP BY term),
 near AS (SELECT q AS word, term, documents, levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('q')}) AS distance FROM v, (VALUES ('thiing'), ('leaux'), ('withe'), ('reration'), ('thereation'), ('zzzzz'), ('thaat'), ('thereatoin')) x(q)
 WHERE levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('q')}) <= CASE WHEN length(q) >= 9 THEN 2 WHEN length(q) >= 5 THEN 1 ELSE 0 END)"""
+RANKED_PAGE = f"""WITH {WORDS}, c AS (SELECT document_id, lang, q, len(list_filter(h, lambda x: x = q)) AS a, len(list_filter(t, lambda x: x = q)) AS d FROM w, (VALUES ('thing'), ('hati')) v(q) WHERE source <> 'src1'),
+s AS (SELECT document_id, lang, coalesce(list_sum(list_transform(range(1, a + d + 1), lambda k: CASE WHEN k <= a THEN 1.0 ELSE 0.1 END / (k * k))), 0) AS x FROM c WHERE a + d > 0)
+SELECT document_id, lang, round(sum(x) / 2, 6) AS rank FROM s GROUP BY ALL ORDER BY sum(x) / 2 DESC, document_id LIMIT 50"""
 AFTER_UPDATE = f"""WITH e AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN 'Breytt thing. ' || coalesce(text, '') ELSE text END AS text, split_part(text, chr(10), 1) AS title FROM documents WHERE doc_id % 7 <> 3
 UNION ALL SELECT doc_id + 10000000, lang, source, 'Nýtt thing', 'Nýtt thing' FROM documents WHERE doc_id % 11 = 0),
 w AS (SELECT doc_id AS document_id, {TERMS.format('text')} AS t, {TERMS.format('title')} AS h FROM e),
@@ -312,9 +325,8 @@ SELECT tag, n, CASE WHEN starts_with(x, 'ea') THEN 0 ELSE 1 END AS bucket FROM f
     "fts_phrase": f"WITH {WORDS} SELECT document_id FROM w WHERE {_phrase_sql('of', 'the')}",
     "fts_mixed": f"WITH {WORDS} SELECT document_id FROM w WHERE {_phrase_sql('the', 'the')} OR {_phrase_sql('and', 'and')} AND NOT list_contains(t, 'leaux')",
     "fts_only_not": f"WITH {WORDS} SELECT document_id FROM w WHERE NOT list_contains(t, 'the') AND NOT list_contains(t, 'and')",
-    "fts_ranked_page": f"""WITH {WORDS}, c AS (SELECT document_id, lang, q, len(list_filter(h, lambda x: x = q)) AS a, len(list_filter(t, lambda x: x = q)) AS d FROM w, (VALUES ('thing'), ('hati')) v(q) WHERE source <> 'src1'),
-s AS (SELECT document_id, lang, coalesce(list_sum(list_transform(range(1, a + d + 1), lambda k: CASE WHEN k <= a THEN 1.0 ELSE 0.1 END / (k * k))), 0) AS x FROM c WHERE a + d > 0)
-SELECT document_id, lang, round(sum(x) / 2, 6) AS rank FROM s GROUP BY ALL ORDER BY sum(x) / 2 DESC, document_id LIMIT 50""",
+    "fts_ranked_page": RANKED_PAGE,
+    "fts_top_page": RANKED_PAGE,
     "fts_browse": "SELECT doc_id AS document_id, 0.0::DOUBLE AS rank FROM documents WHERE lang = 'fr'",
     "provision_search": r"""WITH w AS (SELECT p_partkey AS document_id, p_size, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda t: t = 'steel') AS a,
 list_filter(regexp_split_to_array(lower(p_brand), '[^\p{L}\p{N}]+'), lambda t: t = 'steel') AS b, list_filter(regexp_split_to_array(lower(p_type), '[^\p{L}\p{N}]+'), lambda t: t = 'steel') AS d FROM part)
