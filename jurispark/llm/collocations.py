@@ -65,10 +65,12 @@ class Codes(dict):
             codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
             yield codes[codes != 1]
 
-    def column(self, codes: np.ndarray) -> pa.Array:
-        if not hasattr(self, "array") or len(self.array) < len(self.words):
-            self.array = pa.array(self.words, pa.binary())
-        return self.array.take(pa.array(codes))
+    def in_order(self) -> tuple[np.ndarray, list[bytes]]:
+        """For each number the word's place in the order of bytes, 0 and 1 staying as they are, and the words in that order."""
+        order = np.append([0, 1], pa.compute.sort_indices(pa.array(self.words[2:], pa.binary())).to_numpy().astype(np.int64) + 2)
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        return places, [self.words[k] for k in order]
 
 
 def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
@@ -117,12 +119,14 @@ def _suffixes(shared, max_n: int, salts: int):
         def table() -> Iterator[pa.RecordBatch]:
             for lang in list(found):
                 codes = coded[lang]
-                words, n = _distinct(np.concatenate([*found.pop(lang), np.zeros(max_n - 1, np.int64)]), max_n, len(codes.words))
-                heavy = np.array([codes.get(w, 0) for w in sorted(hot.get(lang, ()))], np.int64)
-                salt = _salts(words, heavy[heavy > 0], codes.words, salts)
+                places, names = codes.in_order()
+                words, n = _distinct(places[np.concatenate([*found.pop(lang), np.zeros(max_n - 1, np.int64)])], max_n, len(names))
+                words, n, column = [w[::-1] for w in words], n[::-1], pa.array(names, pa.binary())  # the order of the sort to come, which then has sorted runs to merge
+                heavy = np.array([places[codes[w]] for w in sorted(hot.get(lang, ())) if w in codes], np.int64)
+                salt = _salts(words, heavy[heavy > 0], names, salts)
 
                 def columns(rows: slice) -> list[pa.Array]:
-                    own = [codes.column(w[rows]) for w in words]  # noqa: B023
+                    own = [column.take(pa.array(w[rows])) for w in words]  # noqa: B023
                     ended = [pa.compute.if_else(pa.array(w[rows] > 0), pa.compute.binary_join_element_wise(c, b"", b" "), b"") for w, c in zip(words, own)]  # noqa: B023
                     return [pa.compute.binary_join_element_wise(*ended, b""), pa.array(n[rows]), pa.array(salt[rows])]  # noqa: B023
 
