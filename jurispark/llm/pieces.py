@@ -29,7 +29,7 @@ from jurispark.llm.shared import give_back, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO, WORD_MEMO = 120_000, 50_000  # of parts between marks and of whole words
+MEMO, WORD_MEMO = 80_000, 30_000  # of parts between marks and of whole words
 
 
 class Pieces:
