@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.llm import langid, mixing, pieces, repeats, simhash
-from jurispark.llm.shared import remove, shared_path
+from jurispark.llm.shared import remove, remove_at_end, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -84,10 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each result written to the shared folder and read back; one that the next stage has read is removed."""
+    """The stages one after another, each result written to the shared folder and read back; one that the next stage has read is removed, the last one when the application ends."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
+        remove_at_end(spark, path)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurispark.llm.shared import cut, join_heavy, shared_path, text_batches
+from jurispark.llm.shared import cut, join_heavy, remove_at_end, shared_path, text_batches
 
 CHUNK_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -103,7 +103,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> str:
-    """Writes the archives of pages as a record table and returns its path, by default a new one in the shared folder.
+    """Writes the archives of pages as a record table and returns its path, by default a new one in the shared folder, which goes when the application ends.
 
     A null html is an empty payload; other columns are left out; an empty table gives a table without records. Every row is a record of
     its own, also where rows repeat or have no page_id: an id is the page_id and the payload's digest, and for all but a response
@@ -111,7 +111,9 @@ def write(pages: DataFrame, path: str | None = None, page_id: str = "page_id", u
     page_id, or all have none, are all responses; a revisit of repeated responses names what their ids begin with.
     """
     text_batches(pages.sparkSession)
-    path = path or shared_path(pages.sparkSession, "warc")
+    if path is None:
+        path = shared_path(pages.sparkSession, "warc")
+        remove_at_end(pages.sparkSession, path)
     planned = plan_records(pages, page_id, html)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.sha1(_payload(html)).alias("sha1"))
     total = planned.agg(F.sum("held")).first()[0] or 1
