@@ -53,6 +53,7 @@ class Library:
     postings: DataFrame
     provision_postings: DataFrame
     sources: dict = field(default_factory=dict)  # key: (name, group, status)
+    vocabulary: DataFrame | None = None  # (tag, n) of the documents' tags, as `tags.vocabulary` counts them
 
 
 @dataclass(frozen=True)
@@ -233,7 +234,8 @@ def lookup(lib: Library, q: str, most: int = 3) -> dict:
 
 
 def search_tags(lib: Library, q: str, most: int = 12) -> DataFrame:
-    return T.lookup(T.vocabulary(lib.documents), q, most)
+    """Tags for what has been typed, from the library's stored vocabulary; without one it is counted anew."""
+    return T.lookup(lib.vocabulary if lib.vocabulary is not None else T.vocabulary(lib.documents), q, most)
 
 
 def document_with_related(lib: Library, document_id, cited) -> tuple[dict, DataFrame]:

@@ -139,7 +139,7 @@ def _kept_links(spark: SparkSession, sf_dir: str) -> LinkStore:
     path = shared_path(spark, "links")
     remove_at_end(spark, path)
     acts, provisions = _acts(spark, sf_dir), _provisions(spark, sf_dir)
-    store = LinkStore(spark, path, span=50)
+    store = LinkStore(spark, path, span=200)
     first = _planted(spark, sf_dir).select("document_id", "text")
     gone, bare = first.where("document_id % 10 <> 1"), F.col("document_id") % 4 == 0
     plain = F.when(F.col("text").isNotNull(), F.lit("Engar tilvitnanir."))

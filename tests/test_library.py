@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -75,6 +76,13 @@ def test_documents_tags_home(lib):
     doc, related = api.document_with_related(lib, 1, C.cited_cases)
     assert doc["case_number"] == "E-1/2020" and ids(related, "related_id") == [2]
     assert ids(api.search_tags(lib, "Bæ"), "tag") == ["bætur"]
+    kept = replace(lib, vocabulary=lib.documents.sparkSession.createDataFrame([("bæklingur", 3), ("Ba\u0304ll", 2), ("šőčñ", 1)], "tag string, n long"))
+    assert ids(api.search_tags(kept, "BAE"), "tag") == ["bæklingur"] and ids(api.search_tags(kept, "bal"), "tag") == ["Ba\u0304ll"] and ids(api.search_tags(kept, "ocn"), "tag") == ["šőčñ"]
+    spark = lib.documents.sparkSession
+    counts = spark.createDataFrame([("the The cat (x)",)], "t string").select(*(api.hit_count(F.col("t"), q).alias(f"c{k}") for k, q in enumerate(('"the" cat', "(?P<x>the)", "(", "(x)", " ")))).first()
+    assert tuple(counts) == (3, 0, 0, 1, 0)
+    assert landing.decode("þ".encode("latin-1"), "text/html; charset=iso-8859-1") == "þ" and landing.decode(b'<meta charset="latin-1">\xfe', "text/html") == '<meta charset="latin-1">þ'
+    assert landing.decode(b'<meta charset="hex">ab', None) == '<meta charset="hex">ab' and landing.decode("þ".encode(), "text/html; charset=rot13") == "þ" and landing.decode(None) is None
     featured, newest = api.home_cases(lib, 3)
     assert featured["document_id"] not in ids(newest) and newest.count() == 2
     assert [r["documents"] for r in api.progress(lib).collect()] == [2]
