@@ -13,8 +13,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurispark.functions.judgment import SUMMARY_WINDOW, snippet, summary_of
-from jurispark.functions.query import article_label, parse_provision_query, parse_query, query_tree
+from jurispark.functions.judgment import SUMMARY_WINDOW, escaped, marked, snippet, summary_of
+from jurispark.functions.query import article_label, highlight_terms, parse_provision_query, parse_query, query_tree
 from jurispark.operators import citation_graph as G
 from jurispark.operators import fulltext as X
 from jurispark.operators import fuzzy as Z
@@ -152,6 +152,12 @@ def hit_count(text: Column, query: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
+def highlighted(text: Column, query: str) -> Column:
+    """HTML of a whole text with the query's phrases and words marked, whatever their case; nothing else of it is read as HTML. Null stays null."""
+    terms = highlight_terms(query)
+    return marked(text, f"(?iu)({'|'.join(map(re.escape, terms))})") if terms else escaped(text)
+
+
 def list_acts(lib: Library, sort: str = "title", cited_only: bool = False, page: int = 1, page_size: int = 100) -> DataFrame:
     size = min(1000, max(1, page_size))
     return G.catalogue(lib.acts, lib.provision_links, lib.provisions, lib.act_links, sort, cited_only).offset((max(1, page) - 1) * size).limit(size)

@@ -182,6 +182,20 @@ def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", api.hit_count(F.col("text"), '"the and" thing').cast("long").alias("hits"))
 
 
+def highlighted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with a query's phrases and words marked and all else escaped."""
+    text = F.concat(F.lit("<i>The & and</i> "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(api.highlighted(text, '"of the" AND thing -the x'), 256).alias("sha"))
+
+
+def decoded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they were before they were stored in several encodings, told by their response headers, some of which name none."""
+    k = F.col("page_id") % 4
+    raw = F.when(k == 0, F.encode("html", "UTF-16BE")).when(k == 1, F.encode("html", "UTF-16LE")).otherwise(F.encode("html", "UTF-8"))
+    kind = F.when(k == 0, "text/html; charset=utf-16be").when(k == 1, 'text/html; charset="UTF-16LE"').when(k == 2, "text/html; charset=hex").otherwise("text/html; charset=utf-8")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(landing.decoded(raw, kind), 256).alias("sha"))
+
+
 def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     title = F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
@@ -242,7 +256,7 @@ def official_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cited_case_numbers, act_citations, provision_citations, citation_links, citation_excerpts, masked_legislation, citation_act_links, citation_unknown_acts, corpus_cited_cases, citation_job_links, citation_job_aliases, citation_job_stats,
-    citation_job_unknown, link_store_links, maintained_counts, act_filter, act_addresses, provision_filter, hit_counts, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
+    citation_job_unknown, link_store_links, maintained_counts, act_filter, act_addresses, provision_filter, hit_counts, highlighted_texts, decoded_html, html_title_links, html_structure, html_page_text, html_links, text_blocks, summary_extract, reflow, snippet_page, snippet_covers, official_citations,
 )}
 
 MONTHS = "['janúar', 'febrúar', 'mars', 'apríl', 'maí', 'júní', 'júlí', 'ágúst', 'september', 'október', 'nóvember', 'desember']"
@@ -287,6 +301,8 @@ FROM (SELECT n_nationkey, n_nationkey * 7 + 1 AS n, 1990 + n_nationkey % 6 AS y
     "provision_filter": """WITH f AS (SELECT p_partkey, p_name AS label, lower(p_name) AS x, lower(CASE WHEN p_size > 5 THEN p_brand ELSE '' END) AS y, lower(p_type) AS z FROM part)
 SELECT p_partkey, label FROM f, (VALUES ('small'), ('brand#2'), ('small')) v(q) WHERE contains(x, q) OR contains(y, q) OR contains(z, q)""",
     "hit_counts": "SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)the|and|thing')), 0) AS hits FROM documents",
+    "highlighted_texts": """SELECT doc_id, sha256(regexp_replace(replace(replace(replace('<i>The & and</i> ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(of the|thing|the)', '<mark>\\1</mark>', 'g')) AS sha FROM documents""",
+    "decoded_html": "SELECT page_id, sha256(html) AS sha FROM pages",
     "html_links": r"""SELECT page_id, u.h AS href, trim(regexp_replace(regexp_replace(u.t, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
 FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2))) AS x FROM pages) y,
 LATERAL (SELECT x[1] AS h, x[2] AS t) u WHERE u.h <> ''""",
