@@ -45,6 +45,10 @@ def _remove_replaced(spark: SparkSession, store: str) -> None:
     for versions in _versions(spark, store).values():
         for _, old in versions[2:]:
             fs.delete(path(old), True)
+    for version in fs.listStatus(path(store)) if fs.exists(path(store)) else []:
+        own = version.getPath()
+        if fs.exists(own.suffix("/_SUCCESS")) and not any(p.getPath().getName().startswith(f"{BUCKET}=") for p in fs.listStatus(own)):
+            fs.delete(own, True)  # all its buckets have been replaced
 
 
 def merge_batch(store: str, keys: list[str], order: str, buckets: int = BUCKETS):

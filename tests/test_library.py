@@ -134,6 +134,7 @@ def test_arrival_stream(spark, tmp_path):
         arrive(f"{k}.json", [{"source": "a", "url": "u", "text": f"text {k}", "seq": k}])
     assert sorted((r["url"], r["text"]) for r in arrival.current(spark, store).collect()) == [("u", "text 7"), ("v", "new")]
     assert all(len(v) <= 2 for v in arrival._versions(spark, store).values())
+    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {f"v{n}" for v in arrival._versions(spark, store).values() for n, _ in v}
     again = spark.createDataFrame([("a", "u", "text 7", 7)], schema)
     arrival.merge_batch(store, ["source", "url"], "seq")(again, 4)  # a batch that is run again
     assert sorted((r["url"], r["text"], r["seq"]) for r in arrival.current(spark, store).collect()) == [("u", "text 7", 7), ("v", "new", 4)]
