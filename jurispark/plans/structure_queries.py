@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jurispark.functions import judgment as J
 from jurispark.functions import statute as S
-from jurispark.session import table
+from jurispark.session import spread, table
 from jurispark.sources import landing
 
 SENTENCE = "Setning sem er nokkuð löng og endar hér."
@@ -72,7 +72,8 @@ def statute_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str, *pieces) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(*pieces).alias("text"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")  # the short rows, before texts are made of them
+    return rows.select("p_partkey", F.concat(*pieces).alias("text"))
 
 
 def judgment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of whole documents around a planted word: its place decides what is shown."""
     words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("o"), k.cast("string")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_insert(words, (F.col("p_partkey") % 50 + 1).cast("int"), F.lit("Leitarorð")), " ").alias("text"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.array_join(F.array_insert(words, (F.col("p_partkey") % 50 + 1).cast("int"), F.lit("Leitarorð")), " ").alias("text"))
     return rows.select("p_partkey", J.snippet(F.col("text"), ["leitarorð"]).alias("snippet"))
 
 

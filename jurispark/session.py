@@ -33,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, least: int = 0) -> DataFrame:
+    """rows dealt out by key to some tasks a core, for work whose cost is in what each row becomes: a small file is read by one task, however much is made of its rows.
+    At least `least` tasks; their number is fixed, as otherwise tasks with few bytes to read would be put together again."""
+    return rows.repartition(tasks(rows.sparkSession, least), key)
+
+
+def tasks(spark: SparkSession, least: int = 0) -> int:
+    """Some tasks a core, and as many as a shuffle has, or `least`."""
+    return max(least, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; on one machine, where none is set, a folder of the warehouse."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
