@@ -57,8 +57,10 @@ def total_pages(total: int, size: int = PAGE_SIZE) -> int:
     return max(1, ceil(total / size))
 
 
-def capped_count(rows: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
-    """One row: total, at most cap, and whether there are more; no more than cap + 1 rows are looked at."""
+def capped_count(rows: DataFrame, cap: int | None = COUNT_CAP) -> DataFrame:
+    """One row: total, at most cap, and whether there are more; no more than cap + 1 rows are looked at. Without a cap all rows are counted."""
+    if cap is None:
+        return rows.agg(F.count("*").alias("total")).withColumn("capped", F.lit(False))
     n = rows.limit(cap + 1).agg(F.count("*").alias("n"))
     return n.select(F.least(F.col("n"), F.lit(cap).cast("long")).alias("total"), (F.col("n") > cap).alias("capped"))
 

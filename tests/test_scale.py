@@ -2,6 +2,7 @@
 
 import pytest
 
+from jurispark.operators import retrieval
 from jurispark.plans import registry
 
 SMOKE = "/root/testdata/sf0.001"
@@ -10,3 +11,10 @@ SMOKE = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["long_paragraphs", "judgment_blocks", "summaries", "reflowed_pages", "snippets"])
 def test_texts_made_of_a_small_table_are_read_by_all_cores(spark, name):
     assert registry.QUERIES[name](spark, SMOKE).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_exact_count_goes_past_the_cap(spark, tmp_path):
+    rows = retrieval.COUNT_CAP + 5
+    spark.range(rows).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert registry.QUERIES["exact_count_below_cap"](spark, str(tmp_path)).collect() == [(rows, False)]
+    assert retrieval.capped_count(spark.range(rows)).collect() == [(retrieval.COUNT_CAP, True)]
