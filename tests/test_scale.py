@@ -1,7 +1,11 @@
 """Work is spread over tasks whose number grows with cores or with the input, and whole at every size."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval
 from jurispark.plans import registry
 
@@ -18,3 +22,24 @@ def test_exact_count_goes_past_the_cap(spark, tmp_path):
     spark.range(rows).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     assert registry.QUERIES["exact_count_below_cap"](spark, str(tmp_path)).collect() == [(rows, False)]
     assert retrieval.capped_count(spark.range(rows)).collect() == [(retrieval.COUNT_CAP, True)]
+
+
+@pytest.mark.parametrize("most_in_twos", [64, 0])
+def test_similar_rows_are_those_of_all_comparisons(spark, monkeypatch, most_in_twos):
+    monkeypatch.setattr(Z, "MOST_IN_TWOS", most_in_twos)
+    r = random.Random(5)
+    words = ["a", "b", "ab", "abab", "ababab", "lög", "laga", "um vexti", "0101", "01010", "barnalaga", ""]
+    rows = lambda n: spark.createDataFrame([(k, " ".join(r.choices(words, k=r.randint(1, 4)))) for k in range(n)], "id long, t string")
+    left, right = rows(60), rows(50)
+    for threshold in (0.3, 0.4, 0.8):
+        found = {(x, y, round(z, 6)) for x, y, z in Z.similar_rows(left, right, "id", "t", "id", "t", threshold).collect()}
+        a, b = (d.select(F.col("id").alias(n), Z.trigrams(F.col("t")).alias(f"{n}_grams")).where(F.size(f"{n}_grams") > 0) for d, n in ((left, "a"), (right, "b")))
+        every = a.crossJoin(b).select("a", "b", Z.similarity(F.col("a_grams"), F.col("b_grams")).alias("s")).where(F.col("s") >= threshold)
+        assert found == {(x, y, round(z, 6)) for x, y, z in every.collect()}
+
+
+def test_different_titles_with_equal_trigrams_are_all_linked(spark, tmp_path):
+    spark.createDataFrame([(1, "Supplier#ababab", "X"), (2, "Supplier#abab", "X")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, "Supplier#ababab"), (8, "Supplier#abab")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.QUERIES["similar_titles"](spark, str(tmp_path)).select("left_id", "right_id").collect()
+    assert sorted(map(tuple, found)) == [(1, 7), (1, 8), (2, 7), (2, 8)]
