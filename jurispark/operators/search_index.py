@@ -20,6 +20,7 @@ from jurispark.session import remove_folder, stored, version_of
 BUCKETS = 16
 BROADCAST_ROWS = 1_000_000  # of some 24 bytes
 PAGE_ROWS = 4096
+TASK_CHARS = 16_000_000  # of documents whose postings a task sorts and writes
 
 
 @dataclass(frozen=True)
@@ -34,22 +35,22 @@ class SearchIndex:
 
     def build(self, docs: DataFrame) -> SearchIndex:
         """The first segment, of all documents."""
-        listed = stored(docs.select("document_id", self._hash().alias("hash")))
-        self._write(postings(docs, self.fields), 0)
+        listed = stored(docs.select("document_id", self._hash().alias("hash"), self._chars().alias("chars")))
+        self._write(postings(docs, self.fields), 0, listed)
         self._list(listed, 0)
         return self
 
     def refresh(self, docs: DataFrame) -> dict[str, int]:
         """Brings the index up to docs, all of the documents there are; how many were inserted, updated and deleted. Documents with equal fields cost a hash; only the
         buckets of others are written. Without any nothing is."""
-        new = docs.select("document_id", self._hash().alias("hash"))
+        new = docs.select("document_id", self._hash().alias("hash"), self._chars().alias("chars"))
         old = self.documents().select("document_id", F.col("hash").alias("old"))
         diff = stored(new.join(old, "document_id", "full_outer").where(~F.col("hash").eqNullSafe(F.col("old"))))
         outcome = F.when(F.col("old").isNull(), "inserted").when(F.col("hash").isNull(), "deleted").otherwise("updated")
         counts = {r["outcome"]: r["n"] for r in diff.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n")).collect()}
         if counts:
             segment = max(self._segments()) + 1
-            self._write(postings(docs.join(diff.where("hash IS NOT NULL").select("document_id"), "document_id", "left_semi"), self.fields), segment)
+            self._write(postings(docs.join(diff.where("hash IS NOT NULL").select("document_id"), "document_id", "left_semi"), self.fields), segment, diff)
             self._list(diff.select("document_id", "hash"), segment)
         return {k: counts.get(k, 0) for k in ("inserted", "updated", "deleted")}
 
@@ -62,7 +63,8 @@ class SearchIndex:
             old = self._segments()
             mine = F.col("bucket").isin(buckets)
             alive = stored(self.documents().where(mine).select("document_id", "hash"))
-            self._write(self.postings(bucket=True).where(mine).drop("bucket"), max(old) + 1)
+            rows = self.postings(bucket=True).where(mine).drop("bucket")
+            self._write(rows, max(old) + 1, rows.select((6 * F.size("positions")).alias("chars")))
             self._list(alive, max(old) + 1)
             for segment in old:
                 for bucket in buckets:
@@ -93,12 +95,18 @@ class SearchIndex:
     def _hash(self) -> Column:
         return F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.fields)), 256)
 
+    def _chars(self) -> Column:
+        return sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in self.fields), F.lit(0).cast("long"))
+
     def _bucket(self) -> Column:
-        """As repartition deals rows by document_id, so that a task writes one bucket."""
+        """As repartition deals rows by document_id, so that a task writes one bucket, also where a bucket has several tasks."""
         return F.pmod(F.hash("document_id"), F.lit(self.buckets))
 
-    def _write(self, rows: DataFrame, segment: int) -> None:
-        rows = rows.repartition(self.buckets, "document_id").withColumn("bucket", self._bucket()).sortWithinPartitions("bucket", "term", "document_id")
+    def _write(self, rows: DataFrame, segment: int, sizes: DataFrame | None = None) -> None:
+        """rows in tasks of about TASK_CHARS of their documents' `chars`, as many to each bucket: what a task sorts does not grow with the documents."""
+        chars = sizes.agg(F.sum("chars").alias("n")).first()["n"] or 0 if sizes is not None else 0
+        each = -(-chars // (TASK_CHARS * self.buckets)) or 1
+        rows = rows.repartition(self.buckets * each, "document_id").withColumn("bucket", self._bucket()).sortWithinPartitions("bucket", "term", "document_id")
         rows.write.mode("overwrite").partitionBy("bucket").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/postings/segment={segment}")
 
     def _list(self, rows: DataFrame, segment: int) -> None:

@@ -22,6 +22,7 @@ BANDS = 200  # to a weight of 1
 MOST = max(WEIGHTS.values()) * 1.65  # no term weighs more: the sum of 1 / k^2 is below 1.645
 CLOSE = 1e-9  # what sums in another order may differ by
 LISTED = 1000
+TASK_ROWS = 2_000_000  # weights that a task sorts and writes
 
 
 def band(weight: Column) -> Column:
@@ -43,14 +44,15 @@ class TopDocuments:
     read: dict = field(default_factory=dict, compare=False, repr=False)  # what the last search read
 
     def build(self, postings: DataFrame) -> TopDocuments:
+        tasks = max(self.buckets, -(-postings.count() // TASK_ROWS))  # what a task sorts does not grow with the documents
         weight = F.create_map(*(F.lit(x) for k, w in WEIGHTS.items() for x in (k, w)))
         each = F.array_repeat(F.element_at(weight, F.col("weight")), F.size("positions"))
         found = postings.groupBy("document_id", "term").agg(F.sort_array(F.flatten(F.collect_list(each)), asc=False).alias("w"))
         found = found.select("document_id", "term", F.aggregate(F.transform("w", lambda x, k: x / ((k + 1) * (k + 1))), F.lit(0.0), lambda a, b: a + b).alias("weight"))
-        found = found.withColumn("band", band(F.col("weight"))).repartition(self.buckets, "document_id").sortWithinPartitions("term", "band", "document_id")
+        found = found.withColumn("band", band(F.col("weight"))).repartition(tasks, "document_id").sortWithinPartitions("term", "band", "document_id")
         found.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/weights")
         counts = self.weights().groupBy("term", "band").agg(F.count("*").alias("n"))
-        counts.repartition(self.buckets, "term").sortWithinPartitions("term", "band").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/counts")
+        counts.repartition(tasks, "term").sortWithinPartitions("term", "band").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/counts")
         return self
 
     def weights(self) -> DataFrame:

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.functions.query import Node
+from jurispark.session import stored
 
 # From how many letters on a word may have one typo, and two.
 ONE_TYPO, TWO_TYPOS = 5, 9
 BEGINNING = 7
 BUCKETS = 16
 PAGE_ROWS = 4096
+TASK_TERMS = 100_000  # of up to 29 rests each, that a task sorts and writes
 
 
 def allowed(word: str) -> int:
@@ -48,12 +50,13 @@ class Dictionary:
 
     def build(self, postings: DataFrame) -> Dictionary:
         """The dictionary of an index's terms with the number of documents that have each. A rest of few letters is common: its rows are spread by their terms."""
-        terms = postings.groupBy("term").agg(F.count_distinct("document_id").alias("documents"))
+        terms = stored(postings.groupBy("term").agg(F.count_distinct("document_id").alias("documents")))
+        tasks = max(self.buckets, -(-terms.count() // TASK_TERMS))
         begin, size = F.array(F.substring("term", 1, BEGINNING)), F.length("term")
         one, two = F.when(size >= ONE_TYPO - 1, _dropped(begin)), F.when(size >= TWO_TYPOS - 2, _dropped(_dropped(begin)))
         none = F.array().cast("array<string>")
         found = terms.where(size >= ONE_TYPO - 1).select("term", "documents", F.explode(F.array_distinct(F.concat(begin, F.coalesce(one, none), F.coalesce(two, none)))).alias("rest"))
-        found = found.repartition(self.buckets, "term").sortWithinPartitions("rest", "term")
+        found = found.repartition(tasks, "term").sortWithinPartitions("rest", "term")
         found.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(self.path)
         return self
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jurispark.operators import fulltext, search_index, top_documents, trigram_index, typos
 from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval
 from jurispark.plans import registry
@@ -43,3 +44,29 @@ def test_different_titles_with_equal_trigrams_are_all_linked(spark, tmp_path):
     spark.createDataFrame([(7, "Supplier#ababab"), (8, "Supplier#abab")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     found = registry.QUERIES["similar_titles"](spark, str(tmp_path)).select("left_id", "right_id").collect()
     assert sorted(map(tuple, found)) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+
+
+def _files(path):
+    return [f for f in path.rglob("*.parquet")]
+
+
+def test_what_a_task_of_an_index_writes_does_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "TASK_CHARS", 100)
+    monkeypatch.setattr(top_documents, "TASK_ROWS", 100)
+    monkeypatch.setattr(typos, "TASK_TERMS", 20)
+    monkeypatch.setattr(trigram_index, "TASK_TEXTS", 4)
+    docs = spark.createDataFrame([(k, " ".join(f"word{k * j % 71}" for j in range(20))) for k in range(80)], "document_id long, text string")
+    key = lambda rows: sorted((r["document_id"], r["term"], r["weight"], tuple(r["positions"])) for r in rows.collect())
+    expected = key(fulltext.postings(docs, {"text": "D"}))
+    index = search_index.SearchIndex(spark, f"{tmp_path}/i", {"text": "D"}, 2).build(docs)
+    assert len(_files(tmp_path / "i" / "postings")) > 10 and key(index.postings()) == expected
+    index.refresh(docs.where("document_id > 3"))
+    index.refresh(docs)
+    assert sorted(index.compact()) == [0, 1] and key(index.postings()) == expected
+    assert len(_files(tmp_path / "i" / "postings")) > 10
+    top_documents.TopDocuments(spark, f"{tmp_path}/t", 2).build(index.postings())
+    assert len(_files(tmp_path / "t" / "weights")) > 10
+    typos.Dictionary(spark, f"{tmp_path}/d", 2).build(index.postings())
+    assert len(_files(tmp_path / "d")) > 2
+    trigram_index.TrigramIndex(spark, f"{tmp_path}/g", 2).build(docs, "document_id", "text")
+    assert len(_files(tmp_path / "g")) > 12
