@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.operators import backfill as B
@@ -148,8 +148,12 @@ def backfill_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backfill_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs of a budget of pages each over judgments by year, the newest first, as (run, year, page, items)."""
-    row = F.row_number().over(Window.partitionBy("year").orderBy("document_id"))
-    items = V.judgments(spark, sf_dir).withColumn("page", F.ceil(row / 500).cast("int"))
+    rows = V.judgments(spark, sf_dir).where("year IS NOT NULL").select("year", "document_id", F.struct("year", "document_id").alias("place"))
+    placed = I.running_sum(rows, "place", F.lit(1).cast("long"), "n")  # by ranges, of which a year has many
+    ends = placed.groupBy((F.col("year") + 1).alias("next")).agg(F.max("n").alias("end"))
+    others = ends.agg(F.array_sort(F.collect_list(F.struct(F.col("next"), F.col("end")))).alias("ends"))  # a struct a year
+    before = F.coalesce(F.array_max(F.transform(F.filter("ends", lambda e: e["next"] <= F.col("year")), lambda e: e["end"])), F.lit(0))
+    items = stored(placed.crossJoin(F.broadcast(others)).select("year", "document_id", F.ceil((F.col("n") - before) / 500).cast("int").alias("page")))
     pages = items.select("year", "page").distinct().count()
     budget, cursor, out, run = pages // 5 + 1, B.YearCursor(2100), None, 0
     while cursor.year >= B.FIRST_YEAR:

@@ -70,3 +70,8 @@ def test_what_a_task_of_an_index_writes_does_not_grow(spark, tmp_path, monkeypat
     assert len(_files(tmp_path / "d")) > 2
     trigram_index.TrigramIndex(spark, f"{tmp_path}/g", 2).build(docs, "document_id", "text")
     assert len(_files(tmp_path / "g")) > 12
+
+
+def test_no_year_is_numbered_by_one_task(spark):
+    plan = registry.QUERIES["backfill_years"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
