@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurispark.operators.fuzzy import THRESHOLD, trigrams, type_ahead
+from jurispark.session import spread
 
 BUCKETS = 16
 PAGE_ROWS = 4096
+TASK_TEXTS = 100_000  # whose trigrams a task makes, sorts and writes
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,10 @@ class TrigramIndex:
 
     def build(self, rows: DataFrame, key: str, text: str) -> TrigramIndex:
         """Postings of a row an id; a common trigram's are spread over the buckets by id."""
-        sets = rows.select(F.col(key).alias("id"), trigrams(F.col(text)).alias("grams"))
+        texts = spread(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", max(self.buckets, -(-rows.count() // TASK_TEXTS)))
+        sets = texts.select("id", trigrams(F.col("text")).alias("grams"))
         found = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-        found = found.repartition(self.buckets, "id").sortWithinPartitions("gram", "size", "id")
+        found = found.sortWithinPartitions("gram", "size", "id")
         found.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(self.path)
         return self
 
@@ -70,7 +73,7 @@ class TrigramIndex:
 def type_ahead_indexed(acts: DataFrame, titles: TrigramIndex, names: TrigramIndex, query: str, most: int = 10, number: str = "act_id", key: str = "act_id", **columns: str) -> DataFrame:
     """type_ahead from indexes of titles and of aliases joined by blanks: only rows that an index gives, or that have the number typed, are looked at.
     A query without a word of three letters looks at all rows."""
-    q = query.strip()
+    q, acts = query.strip(), spread(acts, key)
     held = [index.may_contain(q) for index in (titles, names)]
     if any(h is None for h in held):
         return type_ahead(acts, query, most, number, **columns)
