@@ -9,6 +9,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ BLOCK_NODES = frozenset(
     "document paragraph heading-1 heading-2 heading-3 heading-4 heading-5 heading-6 ordered-list unordered-list list-item blockquote hr table table-row table-cell".split()
 )
 LEAST_CHARS = 800
+SLICE = 64
 CASE = r"E-\d{1,3}/\d{2,4}"
 
 
@@ -114,10 +116,12 @@ def rich_text(payload: Column, typename: str) -> Column:
         inner = found and (found.get("richText") or found)
         return None if found is None else _flat(inner.get("document") or inner.get("content") or [])
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+    def run(s: pa.Array) -> pa.Array:
+        """Some texts at a time are Python strings, not a whole batch's."""
+        parts = (s.slice(i, SLICE) for i in range(0, len(s), SLICE))
+        return pa.concat_arrays([pa.array(map(one, part.to_pylist()), pa.string()) for part in parts] or [pa.array([], pa.string())])
 
-    return F.pandas_udf(run, T.StringType())(payload)
+    return F.arrow_udf(run, T.StringType())(payload)
 
 
 # The element of a judgment's page that holds its data, and the type of the object with the text.
