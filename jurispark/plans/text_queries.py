@@ -21,6 +21,7 @@ from jurispark.plans.search_queries import _index
 from jurispark.session import remove_at_end, shared_path, table
 from jurispark.sources import landing
 
+MOST_BUCKETS = 64  # of links: more documents make larger buckets, not more folders
 UNKNOWN = 28  # statutes are planted by a number modulo this, of which 25 are in the tables
 
 
@@ -139,8 +140,9 @@ def _kept_links(spark: SparkSession, sf_dir: str) -> LinkStore:
     path = shared_path(spark, "links")
     remove_at_end(spark, path)
     acts, provisions = _acts(spark, sf_dir), _provisions(spark, sf_dir)
-    store = LinkStore(spark, path, span=200)
     first = _planted(spark, sf_dir).select("document_id", "text")
+    last = first.agg(F.max("document_id").alias("last")).first()["last"] or 0
+    store = LinkStore(spark, path, span=max(200, last // MOST_BUCKETS + 1))
     gone, bare = first.where("document_id % 10 <> 1"), F.col("document_id") % 4 == 0
     plain = F.when(F.col("text").isNotNull(), F.lit("Engar tilvitnanir."))
     second = gone.withColumn("text", F.when(bare, plain).otherwise(F.col("text")))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from jurispark.operators import fulltext, search_index, top_documents, trigram_index, typos
 from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval
-from jurispark.plans import registry
+from jurispark.functions import citations
+from jurispark.plans import registry, text_queries
+from jurispark.sources import landing
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -75,3 +77,23 @@ def test_what_a_task_of_an_index_writes_does_not_grow(spark, tmp_path, monkeypat
 def test_no_year_is_numbered_by_one_task(spark):
     plan = registry.QUERIES["backfill_years"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_more_documents_do_not_make_more_buckets_of_links(spark, monkeypatch):
+    monkeypatch.setattr(text_queries, "_planted", lambda spark, sf_dir: spark.createDataFrame([(k * 1000, "Sbr. 1. gr. laga um próf nr. 8/1991.") for k in range(100)], "document_id long, text string"))
+    store = text_queries._kept_links(spark, SMOKE)
+    assert store.marks(bucket=True).select("bucket").distinct().count() <= text_queries.MOST_BUCKETS
+
+
+def test_texts_without_wide_blanks_are_not_gone_through(spark):
+    rows = spark.createDataFrame([("a b",), ("a\u00a0b\u2007c\u202fd\u0001e",), (None,), ("",)], "t string")
+    found = rows.select(citations.plain_spaces(F.col("t")).alias("t"))
+    assert [r["t"] for r in found.collect()] == ["a b", "a b c d e", None, ""]
+    assert "CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rich_text_reads_batches_in_slices(spark, monkeypatch):
+    text = '{"__typename": "V", "richText": {"document": {"nodeType": "document", "content": [{"nodeType": "text", "value": "v%d"}]}}}'
+    rows = spark.createDataFrame([(k, text % k if k % 10 else None) for k in range(3 * landing.SLICE + 1)], "k int, t string").coalesce(1)
+    found = {r["k"]: r["x"] for r in rows.select("k", landing.rich_text(F.col("t"), "V").alias("x")).collect()}
+    assert {k: x.strip() if x else x for k, x in found.items()} == {k: f"v{k}" if k % 10 else None for k in range(3 * landing.SLICE + 1)}
