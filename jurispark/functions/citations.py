@@ -8,6 +8,8 @@ like a citation and is none costs no backtracking.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +64,9 @@ LAST_WORDS = rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{MOST_WORDS}}}[^\p
 
 def plain_spaces(text: Column) -> Column:
     """Non-breaking blanks as blanks, one for one."""
-    return F.translate(text, "\u00a0\u2007\u202f" + MARK, "    ")
+    wide = "\u00a0\u2007\u202f" + MARK
+    met = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in wide))
+    return F.when(met, F.translate(text, wide, "    ")).otherwise(text)  # looking for them costs less than going through a text that has none
 
 
 def _numbered(text: Column, pattern: str, groups: int) -> Column:
