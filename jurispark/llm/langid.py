@@ -221,7 +221,9 @@ def detect(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
         best = np.where(found > 0, p.argmax(1), len(model.languages))
         return pd.DataFrame({"lang_pred": names[best], "score": np.where(found > 0, p.max(1), 0.0)})
 
-    out = docs.withColumn("__lang", F.pandas_udf(predict, PREDICTION)(F.col(text)))
+    # a filter on the results would otherwise be pushed below them with a second evaluation, in a second worker a task
+    once = F.pandas_udf(predict, PREDICTION).asNondeterministic()
+    out = docs.withColumn("__lang", once(F.col(text)))
     return out.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
 
 

@@ -31,6 +31,7 @@ from jurispark.llm.shared import give_back, shuffle_partitions, small, text_batc
 
 WINDOW = 35
 CHUNK_BYTES, MOST_CHUNKS, MANY = 12 << 20, 1 << 24, 10_000
+SLICE_BYTES = 1 << 18  # of text at a time: what a worker keeps of powers, and holds for its bytes, grows with it
 KEY_BITS = 38
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 ONE = np.uint64(1)
@@ -38,10 +39,10 @@ RESULTS = {"n_words": "long", "n_removed": "long", "kept_text": "string", "remov
 
 
 def _rows(table: pa.Table, text: str):
-    """(column part, first row, last row, data, offsets) of about a MiB each."""
+    """(column part, first row, last row, data, offsets) of about SLICE_BYTES each."""
     for part in W.chunks(table.column(text)):
         data, offsets = W.text_bytes(part)
-        for i, j in W.slices(offsets):
+        for i, j in W.slices(offsets, SLICE_BYTES):
             yield part, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
@@ -82,7 +83,6 @@ ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("step", pa.int32()), ("bucket
 
 def _anchors(buckets: int, block: int, text: str, chunk: str):
     def run(table: pa.Table) -> pa.Table:
-        give_back()
         found = [np.zeros(0, np.uint64)]
         for *_, data, offsets in _rows(table, text):
             _, firsts, at, h = _short(data, offsets, block)
@@ -102,7 +102,6 @@ def _anchors(buckets: int, block: int, text: str, chunk: str):
 
 
 def _meet_anchors(table: pa.Table) -> pa.Table:
-    give_back()
     chunk, data = table.column("chunk"), table.column("data")
     bucket, parts = table.column("bucket")[0].as_py(), []
     for k in range(table.num_rows):
@@ -160,7 +159,6 @@ def _hits(answers: pa.Table) -> np.ndarray:
 
 def _extend(buckets: int, block: int, window: int, text: str, chunk: str):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        give_back()
         if not table.num_rows or not answers.num_rows:
             return _send(0, np.zeros(0, np.uint64), np.zeros((0, 12), np.uint8))
         found = list(_candidates(table, _hits(answers), buckets, block, window, text))
@@ -175,7 +173,6 @@ def _extend(buckets: int, block: int, window: int, text: str, chunk: str):
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    give_back()
     data, bucket = table.column("data"), table.column("bucket")[0].as_py()
     raws = [_blob(data, k, np.uint8).reshape(-1, 12) for k in range(table.num_rows)]
     raw = np.concatenate(raws)
@@ -219,7 +216,6 @@ def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 
 def _remove(buckets: int, block: int, window: int, text: str, doc_id: str, carry: list[str], keep_space: bool, keep_one: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        give_back()
         found = list(_candidates(table, _hits(answers), buckets, block, window, text)) if table.num_rows else []
         order, starts, h, _ = _sorted_windows(found)
         repeated, owned = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
@@ -276,6 +272,30 @@ def _remove(buckets: int, block: int, window: int, text: str, doc_id: str, carry
     return run
 
 
+def _trimmed(run):
+    """run, a function of a group, with freed memory given back behind it too: workers that wait for their next task hold little."""
+
+    def call(table: pa.Table) -> pa.Table:
+        give_back()
+        out = run(table)
+        give_back()
+        return out
+
+    return call
+
+
+def _trimmed_pair(run):
+    """As _trimmed, for a function of two groups."""
+
+    def call(table: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
+        out = run(table, answers)
+        give_back()
+        return out
+
+    return call
+
+
 def _dealt(docs: DataFrame, text: str, doc_id: str, chunk: str) -> tuple[DataFrame, int]:
     """docs with their chunks, and how many there are: one for CHUNK_BYTES of text, and enough for every shuffle partition."""
     key = F.xxhash64(doc_id, text)
@@ -308,9 +328,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     chunk = "__chunk"
     rows, chunks = _dealt(docs.select(*carry), text, doc_id, chunk)
     parts = max(shuffle_partitions(docs.sparkSession), chunks // 2)
-    sent = rows.groupBy(chunk).applyInArrow(_anchors(parts, block, text, chunk), SENT)
-    hits = sent.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
-    grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_extend(parts, block, window, text, chunk), SENT)
-    answers = hits.unionByName(grown.groupBy("bucket").applyInArrow(_meet_windows, ANSWER))
+    sent = rows.groupBy(chunk).applyInArrow(_trimmed(_anchors(parts, block, text, chunk)), SENT)
+    hits = sent.groupBy("bucket").applyInArrow(_trimmed(_meet_anchors), ANSWER)
+    grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_trimmed_pair(_extend(parts, block, window, text, chunk)), SENT)
+    answers = hits.unionByName(grown.groupBy("bucket").applyInArrow(_trimmed(_meet_windows), ANSWER))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + [f"{k} {v}" for k, v in RESULTS.items()])
-    return rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_remove(parts, block, window, text, doc_id, carry, keep_space, keep_one), schema)
+    return rows.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_trimmed_pair(_remove(parts, block, window, text, doc_id, carry, keep_space, keep_one)), schema)

@@ -35,6 +35,12 @@ def test_language_stage(spark, docs):
     assert rows(corpus_pipeline.language_id(spark, docs.where("doc_id < 0"), SF)) == []
 
 
+def test_language_stage_reads_each_text_once(spark, docs):
+    """A second evaluation would keep a second worker a task, which lies idle through the stages to come."""
+    plan = corpus_pipeline.language_id(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_near_dedup_stage(spark, docs):
     out = rows(corpus_pipeline.near_dedup(spark, docs, SF))
     source = rows(docs)
