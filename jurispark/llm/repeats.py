@@ -3,22 +3,28 @@
 Any 35 consecutive words hold a whole aligned block of 18 (blocks start at words 0, 18, 36, ... of a row), so a 35-word passage that occurs
 twice has a block that some rolling 18-word window elsewhere equals.
 
-1. Every row belongs to a chunk by the hash of its id and text; there is a chunk for every CHUNK_BYTES of text. A chunk sends the distinct
-   hashes of all its rolling 18-word windows, with a mark on those of aligned blocks, in one packed row a bucket.
+1. Every row belongs to a chunk by the hash of its id and text. A chunk sends the distinct hashes of all its rolling 18-word windows, with
+   a mark on those of aligned blocks, in one packed row a bucket.
 2. A bucket answers each chunk with the hashes that are an indexed block and occur more than once.
 3. A chunk extends its hits left and right to all 35-word windows around them and sends the distinct 96-bit hashes of these.
 4. A bucket answers two bits for each: whether it occurs more than once, and whether the chunk is the first that holds it. Overlapping
    windows join to maximal repeats; to keep one occurrence, the first chunk spares the window of its smallest id.
 
 A hash crosses the shuffle once a chunk however often it occurs, so a passage in a third of all rows costs a few bytes a chunk,
-and pairs are never formed. The rows are shuffled once; the three steps that read them reuse that exchange. Chunks and
-answers depend on the rows alone, so a lost executor's part is computed again alike. Only rows that repeat MANY times, id and text, are dealt out
-by their place in the table; they are told from no others, so that table has to be a stored one.
+and pairs are never formed. Chunks grow in number and in size with the root of the text, and there is a bucket for every two of them: a step
+makes one packed row at most for every ROW_BYTES of text, whatever the session's shuffle partitions. Above 576 GiB chunks would pass
+CHUNK_BYTES; there are more of them then, so that a worker's memory stays bounded, and packed rows grow faster than the text, though there
+are never more than hashes in them.
+
+The rows are shuffled once; the three steps that read them reuse that exchange. Chunks and answers depend on the rows alone, so a lost
+executor's part is computed again alike. Only rows that repeat MANY times, id and text, are dealt out by their place in the table; they are
+told from no others, so that table has to be a stored one.
 """
 
 from __future__ import annotations
 
 from itertools import compress
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurispark.llm import words as W
-from jurispark.llm.shared import give_back, shuffle_partitions, small, text_batches
+from jurispark.llm.shared import give_back, small, text_batches
 
 WINDOW = 35
-CHUNK_BYTES, MOST_CHUNKS, MANY = 12 << 20, 1 << 24, 10_000
+CHUNK_BYTES, MOST_CHUNKS, MANY = 48 << 20, 1 << 24, 10_000
+ROW_BYTES = 1 << 13  # of text for each packed row that a step makes
 SLICE_BYTES = 1 << 18  # of text at a time: what a worker keeps of powers, and holds for its bytes, grows with it
 KEY_BITS = 38
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
@@ -297,11 +304,12 @@ def _trimmed_pair(run):
 
 
 def _dealt(docs: DataFrame, text: str, doc_id: str, chunk: str) -> tuple[DataFrame, int]:
-    """docs with their chunks, and how many there are: one for CHUNK_BYTES of text, and enough for every shuffle partition."""
+    """docs with their chunks, and how many there are: their square is twice the text's bytes by ROW_BYTES, or more if chunks would pass CHUNK_BYTES."""
     key = F.xxhash64(doc_id, text)
     groups = docs.groupBy(key.alias("__key")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
     total = groups.agg(F.sum("bytes").alias("bytes"), F.max("n").alias("most")).first()
-    chunks = max(2 * shuffle_partitions(docs.sparkSession), -(-(total["bytes"] or 0) // CHUNK_BYTES))
+    size = total["bytes"] or 0
+    chunks = max(1, isqrt(2 * size // ROW_BYTES), -(-size // CHUNK_BYTES))
     if chunks >= MOST_CHUNKS:
         raise ValueError(f"{chunks} chunks of text, more than {MOST_CHUNKS - 1}: raise CHUNK_BYTES")
     salt = F.lit(0).cast("long")
@@ -327,7 +335,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     carry = [c for c in docs.columns if c not in RESULTS]
     chunk = "__chunk"
     rows, chunks = _dealt(docs.select(*carry), text, doc_id, chunk)
-    parts = max(shuffle_partitions(docs.sparkSession), chunks // 2)
+    parts = max(1, chunks // 2)
     sent = rows.groupBy(chunk).applyInArrow(_trimmed(_anchors(parts, block, text, chunk)), SENT)
     hits = sent.groupBy("bucket").applyInArrow(_trimmed(_meet_anchors), ANSWER)
     grown = rows.groupBy(chunk).cogroup(hits.groupBy("chunk")).applyInArrow(_trimmed_pair(_extend(parts, block, window, text, chunk)), SENT)

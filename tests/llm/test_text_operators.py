@@ -59,6 +59,34 @@ def test_repeats_carry_columns_and_keep_space(documents, empty):
     assert rows(repeats.remove_repeats(empty)) == []
 
 
+def rows_into_python(plan):
+    """Rows that each node of a plan that has run sent to its Python workers."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    metrics = plan.metrics()
+    own = [metrics.apply("pythonNumRowsReceived").value()] if name.startswith("FlatMapGroupsInArrow") else []
+    return own + list(chain.from_iterable(map(rows_into_python, inner)))
+
+
+def test_packed_rows_of_repeats_grow_with_the_text(spark, monkeypatch):
+    rng = random.Random(12)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(20)]
+    texts = [f"{' '.join(rng.choice('abcdefgh') for _ in range(40))} {passages[i % 20]}" for i in range(800)]
+    monkeypatch.setattr(repeats, "ROW_BYTES", 400)
+    partitions, made = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n, parts in ((200, 4), (200, 64), (800, 4)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string"))
+            out = sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found.collect())
+            assert [r[1:] for r in out] == brute_repeats(texts[:n])
+            made[n, parts] = max(rows_into_python(found._jdf.queryExecution().executedPlan()))
+            assert 4 < made[n, parts] <= sum(map(len, texts[:n])) / 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert made[200, 64] == made[200, 4] and made[800, 4] < 5 * made[200, 4]
+
+
 def plain_fingerprint(text):
     w = WORD.findall((text or "").encode().lower())
     parts = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
