@@ -12,7 +12,7 @@ twice has a block that some rolling 18-word window elsewhere equals.
 
 A hash crosses the shuffle once a chunk however often it occurs, so a passage in a third of all rows costs a few bytes a chunk,
 and pairs are never formed. Chunks grow in number and in size with the root of the text, and there is a bucket for every two of them: a step
-makes one packed row at most for every ROW_BYTES of text, whatever the session's shuffle partitions. Above 576 GiB chunks would pass
+makes one packed row at most for every ROW_BYTES of text, whatever the session's shuffle partitions. Above 144 GiB chunks would pass
 CHUNK_BYTES; there are more of them then, so that a worker's memory stays bounded, and packed rows grow faster than the text, though there
 are never more than hashes in them.
 
@@ -36,7 +36,7 @@ from jurispark.llm import words as W
 from jurispark.llm.shared import give_back, small, text_batches
 
 WINDOW = 35
-CHUNK_BYTES, MOST_CHUNKS, MANY = 48 << 20, 1 << 24, 10_000
+CHUNK_BYTES, MOST_CHUNKS, MANY = 24 << 20, 1 << 24, 10_000
 ROW_BYTES = 1 << 13  # of text for each packed row that a step makes
 SLICE_BYTES = 1 << 18  # of text at a time: what a worker keeps of powers, and holds for its bytes, grows with it
 KEY_BITS = 38
@@ -226,10 +226,11 @@ def _remove(buckets: int, block: int, window: int, text: str, doc_id: str, carry
         found = list(_candidates(table, _hits(answers), buckets, block, window, text)) if table.num_rows else []
         order, starts, h, _ = _sorted_windows(found)
         repeated, owned = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-        home = _bucket(h[starts], buckets)
+        # bounds of the hashes' own type: others would have all hashes converted for each bucket
+        home = np.searchsorted(_bucket(h[starts], buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
         steps, of, data = answers.column("step").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data")
         for k in (k for k, s in enumerate(steps) if s == 1):
-            a, b = np.searchsorted(home, [of[k], of[k] + 1])
+            a, b = home[of[k]], home[of[k] + 1]
             many, first = _blob(data, k, np.uint8).reshape(2, -1)
             repeated[a:b] = np.unpackbits(many, count=b - a).astype(bool)
             owned[a:b] = np.unpackbits(first, count=b - a).astype(bool)
