@@ -86,7 +86,8 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     """left joined with right, which has one row a key and in `weight` the number of left rows of that key.
 
     Keys with a thousandth of the rows or more are at most a thousand, so they are broadcast; the left rows of these and of null
-    keys are dealt out by `spread` in the shuffle that joins the others. No key's rows have to meet in one task.
+    keys are dealt out by `spread` in the shuffle that joins the others. No key's rows have to meet in one task. The others are
+    merged where there are many rows: stored columns of numbers are small in their files, by which Spark would broadcast them.
     """
     values = [c for c in right.columns if c not in (*keys, weight)]
     hot = right.where(F.col(weight) * HEAVY_SHARE >= total)
@@ -94,6 +95,7 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     # a plain 0 would be folded into the join's condition, and the salt would be no key of the shuffle
     zero = F.least(F.col(weight), F.lit(0)).cast("int")
     cold = right.where(F.col(weight) * HEAVY_SHARE < total).select(*keys, zero.alias("__salt"), F.struct(*values).alias("__cold"))
+    cold = cold.hint("merge") if total > ROWS_PER_TASK else cold
     salted = left.join(F.broadcast(hot), keys, "left")
     nulls = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     salted = salted.withColumn("__salt", F.when(F.col("__hot").isNotNull() | nulls, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))

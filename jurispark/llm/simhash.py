@@ -100,7 +100,8 @@ def links(distinct: DataFrame, fp: str = "fp", bands: int = BANDS, distance: int
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance)
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     on = (a["grid"] == b["grid"]) & (a["cell"] == b["cell"]) & near & exact & (a["grid"] == earliest)
-    return a.join(b, on).select("a", "b")
+    # Spark takes the cells for as small as their fingerprints, though they are 35 times as many, and would broadcast them
+    return a.hint("merge").join(b.hint("merge"), on).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -117,7 +118,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     linked = cut(distinct.join(reach.withColumnRenamed("node", "fp"), "fp").select("fp", "rep", "root"))
     names = linked.groupBy("root").agg(F.min("rep").alias("name"), F.count("*").alias("held"))
     named = join_heavy(linked, names, ["root"], "held", max(1, linked.count()), F.col("fp")).select("fp", "name")
-    distinct = distinct.join(named, "fp", "left").select("fp", "copies", F.coalesce("name", "rep").alias("component_id"))
+    distinct = distinct.join(named.hint("merge"), "fp", "left").select("fp", "copies", F.coalesce("name", "rep").alias("component_id"))
     total = prints.count()
     out = join_heavy(prints, cut(distinct), ["fp"], "copies", max(1, total), F.col("doc_id"))
     return out.select(F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id", *(F.col("carried")[c].alias(c) for c in carry))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, simhash, toxicity
+from jurispark.llm import langid, mixing, ordinal, pieces, repeats, rules, shared, simhash, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -441,3 +441,15 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     each = [rules.Rule("slow", slow | rules.F.contains("text", rules.F.lit("bad"))), rules.Rule("never", rules.F.contains("text", rules.F.lit("#"))), rules.Rule("fast", rules.F.contains("text", rules.F.lit("bad")))]
     assert [r.name for r in rules.plan_cascade(df, each)][0] == "fast"
     assert [r.name for r in rules.plan_cascade(df.where("text = ''"), each)] == ["slow", "never", "fast"]
+
+
+def test_cells_of_the_grid_and_keys_of_many_rows_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    few = spark.range(50)
+    grid = plan(simhash.links(few.withColumnRenamed("id", "fp")))
+    assert "SortMergeJoin" in grid and "Broadcast" not in grid
+    right = few.selectExpr("id", "id + 1 AS value", "1 AS held")
+    merged = plan(shared.join_heavy(few, right, ["id"], "held", shared.ROWS_PER_TASK + 1, few["id"]))
+    assert "SortMergeJoin" in merged and "BroadcastHashJoin" not in merged
+    found = shared.join_heavy(few, right, ["id"], "held", shared.ROWS_PER_TASK + 1, few["id"])
+    assert sorted(map(tuple, found.collect())) == [(k, k + 1) for k in range(50)]
