@@ -10,31 +10,36 @@ from pyspark.sql import functions as F
 from jurispark import api
 from jurispark.plans import text_queries as Q
 from jurispark.operators import fulltext as X
+from jurispark.operators import linking as L
 from jurispark.plans.search_queries import TERMS, WORDS, _grams, _index, _sim
-from jurispark.session import table
+from jurispark.session import stored, table
 
 SOURCES = {f"src{k}": (f"Source {k}", "courts", "pilot" if k % 3 == 0 else "live") for k in range(20)}
 
 
-def _library(spark: SparkSession, sf_dir: str, linked: bool = True) -> api.Library:
+def _library(spark: SparkSession, sf_dir: str, linked: bool = True, indexed: bool = False) -> api.Library:
+    """What is asked for: links, for which all texts are gone through once and what was found is stored, as each use would go through them again; and the index."""
     k = F.col("doc_id")
     day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 700).cast("int"))
     docs = table(spark, sf_dir, "documents").select(k.alias("document_id"), "source", F.concat(F.lit("E-"), k.cast("string"), F.lit("/2020")).alias("case_number"), F.substring_index("text", "\n", 1).alias("title"),
         F.lit(None).cast("string").alias("case_name"), day.alias("date"), F.year(day).alias("year"), F.array("lang", F.concat(F.lit("t"), (k % 4).cast("string"))).alias("tags"), "text")
     acts, provisions = Q._acts(spark, sf_dir), Q._provisions(spark, sf_dir).withColumns({"label": F.col("article_number").cast("string"), "heading": F.lit(None).cast("string")})
-    to_provisions, to_acts, _ = Q._linked(spark, sf_dir) if linked else (spark.createDataFrame([], "document_id long, provision_id long, char_offset int, excerpt string"), spark.createDataFrame([], "document_id long, act_id long"), None)
-    index = _index(spark, sf_dir)[0]
+    none = lambda columns: spark.createDataFrame([], columns)
+    to_provisions, to_acts = none("document_id long, provision_id long, char_offset int, excerpt string"), none("document_id long, act_id long")
+    if linked:
+        to_provisions, to_acts, _ = L.resolve(stored(L.scan(Q._planted(spark, sf_dir).select("document_id", "text")), "citations"), Q._acts(spark, sf_dir), Q._provisions(spark, sf_dir))
+    index = _index(spark, sf_dir)[0] if indexed else none("document_id long, term string, weight string, positions array<int>")
     return api.Library(docs, acts, provisions, to_provisions, to_acts, index, index, SOURCES)
 
 
 def api_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = api.SearchRequest("thing AND the", ("src1", "src2", "src3", "unknown"), date_from="2020-02-01", tags=("t1",), sort="newest", page=1)
-    page = api.search_documents(_library(spark, sf_dir, linked=False), asked)
+    page = api.search_documents(_library(spark, sf_dir, linked=False, indexed=True), asked)
     return page.rows.select("document_id", "date", F.lit(page.total).cast("long").alias("total"), F.lit(page.pages).alias("pages"))
 
 
 def api_search_by_case_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = api.search_documents(_library(spark, sf_dir, linked=False), api.SearchRequest("mál e-77/2020", tuple(SOURCES)))
+    page = api.search_documents(_library(spark, sf_dir, linked=False, indexed=True), api.SearchRequest("mál e-77/2020", tuple(SOURCES)))
     return page.rows.select("document_id", "case_number")
 
 

@@ -9,7 +9,7 @@ from jurispark.operators import fulltext, search_index, top_documents, trigram_i
 from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval
 from jurispark.functions import citations
-from jurispark.plans import registry, text_queries
+from jurispark.plans import api_queries, registry, text_queries
 from jurispark.sources import landing
 
 SMOKE = "/root/testdata/sf0.001"
@@ -97,3 +97,17 @@ def test_rich_text_reads_batches_in_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(k, text % k if k % 10 else None) for k in range(3 * landing.SLICE + 1)], "k int, t string").coalesce(1)
     found = {r["k"]: r["x"] for r in rows.select("k", landing.rich_text(F.col("t"), "V").alias("x")).collect()}
     assert {k: x.strip() if x else x for k, x in found.items()} == {k: f"v{k}" if k % 10 else None for k in range(3 * landing.SLICE + 1)}
+
+
+def test_texts_behind_a_statute_are_gone_through_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        seen.add(1)
+        return "Sbr. 1. gr. laga um próf nr. 8/1991."
+
+    texts = spark.range(10).select(F.col("id").alias("document_id"), F.udf(text, "string").asNondeterministic()("id").alias("text"))
+    monkeypatch.setattr(text_queries, "_planted", lambda spark, sf_dir: texts)
+    monkeypatch.setattr(api_queries, "_index", None)  # not built where nothing is searched
+    registry.QUERIES["api_act_detail"](spark, SMOKE).collect()
+    assert seen.value == 10
