@@ -37,6 +37,7 @@ class SearchRequest:
     sort: str = "relevance"
     page: int = 1
     page_size: int = R.PAGE_SIZE
+    count_cap: int | None = None  # without one all documents found are counted
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ def search_documents(lib: Library, req: SearchRequest) -> Page:
         for c in ("title", "case_name"):
             near = near | (Z.similarity(Z.trigrams(F.col(c)), Z.trigrams(F.lit(parsed.raw))) >= Z.THRESHOLD)
         found = allowed.where(F.coalesce(near, F.lit(False))).withColumn("rank", F.lit(0.0))
-    count = R.capped_count(found.select("document_id")).first()
+    count = R.capped_count(found.select("document_id"), req.count_cap).first()
     page = R.page(found.drop("text"), req.sort, req.page, req.page_size)
     shown = page.join(lib.documents.select("document_id", "text"), "document_id")
     rows = shown.withColumns({"snippet": snippet(F.col("text"), items), "summary": summary_of(F.substring("text", 1, SUMMARY_WINDOW))}).drop("text").orderBy(*R.ORDERS[req.sort]())

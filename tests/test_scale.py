@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jurispark import api
 from jurispark.operators import fulltext, search_index, top_documents, trigram_index, typos
 from jurispark.operators import fuzzy as Z
 from jurispark.operators import retrieval
@@ -111,3 +112,14 @@ def test_texts_behind_a_statute_are_gone_through_once(spark, monkeypatch):
     monkeypatch.setattr(api_queries, "_index", None)  # not built where nothing is searched
     registry.QUERIES["api_act_detail"](spark, SMOKE).collect()
     assert seen.value == 10
+
+
+def test_a_search_counts_all_it_finds(spark):
+    rows = retrieval.COUNT_CAP + 5
+    docs = spark.range(rows).select(F.col("id").alias("document_id"), F.lit("a").alias("source"), F.lit("E-1/2020").alias("case_number"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("case_name"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("date"), F.lit(2020).alias("year"), F.array(F.lit("x")).alias("tags"), F.lit("texti").alias("text"))
+    lib = api.Library(docs, *[docs.limit(0)] * 6)
+    found = api.search_documents(lib, api.SearchRequest("", ("a",)))
+    assert (found.total, found.capped, found.pages) == (rows, False, -(-rows // retrieval.PAGE_SIZE))
+    capped = api.search_documents(lib, api.SearchRequest("", ("a",), count_cap=100))
+    assert (capped.total, capped.capped) == (100, True)
