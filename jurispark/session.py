@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run in it leaves no shuffle files behind, which otherwise stay until the driver happens to collect its garbage; for writes, whose plans nothing else reads."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def version_of(spark: SparkSession, path: str) -> str:
     """What tells whether a table's files have changed: their names, sizes and times, in one digest; "" where there are none."""
     system, place = _hadoop(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jurispark.functions.query import Node, query_tree
 from jurispark.operators import fulltext as X
 from jurispark.operators import fuzzy as Z
+from jurispark.operators import search_index
 from jurispark.operators.search_index import SearchIndex
 from jurispark.operators.trigram_index import TrigramIndex, type_ahead_indexed
 from jurispark.operators.typos import Dictionary, allowed, rests
@@ -163,3 +164,26 @@ def test_queries_are_expanded_word_by_word(spark, tmp_path):
     found = lambda q: sorted(r["document_id"] for r in X.matching(postings, words.expanded(query_tree(q)), docs_of(spark, rows)).collect())
     assert found("hestamaður kýr") == [1, 4] and found("hestamaður -kýr") == [2] and found('"hestamaður og"') == [1] and found("kyr") == []
     assert words.expanded(None) is None and words.expanded(Node("term", "og")) == Node("term", "og")
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_buckets_are_compacted_one_after_another(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(search_index, "BROADCAST_ROWS", broadcast_rows)
+    path = tmp_path / "index"
+    rows = [(k, f"title{k % 3}", f"word{k % 5} common text{k}") for k in range(60)]
+    index = SearchIndex(spark, f"file://{path}", FIELDS, 4).build(docs_of(spark, rows))
+    index.refresh(docs_of(spark, rows[5:]))
+    rows = [(k, title, f"{text} again" if k % 2 else text) for k, title, text in rows]
+    index.refresh(docs_of(spark, rows))
+    expected, seen, write = plain_postings(rows), [], index._write
+    found = lambda: [(r["document_id"], r["term"], r["weight"], tuple(r["positions"])) for r in SearchIndex(spark, f"file://{path}", FIELDS, 4).postings().collect()]
+
+    def watched(self, made, *rest, **more):
+        assert len(found()) == len(expected) and set(found()) == expected  # also while it is compacted
+        write(made, *rest, **more)
+        seen.append(len({r[0] for r in made.select(self._bucket()).distinct().collect()}))
+
+    monkeypatch.setattr(SearchIndex, "_write", watched)
+    assert index.compact() == [0, 1, 2, 3] and seen == [1, 1, 1, 1]
+    assert len(found()) == len(expected) and set(found()) == expected and index.compact() == []
+    assert len([f for f in path.glob("postings/segment=*/bucket=*")]) == 4
