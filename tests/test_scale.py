@@ -123,3 +123,13 @@ def test_a_search_counts_all_it_finds(spark):
     assert (found.total, found.capped, found.pages) == (rows, False, -(-rows // retrieval.PAGE_SIZE))
     capped = api.search_documents(lib, api.SearchRequest("", ("a",), count_cap=100))
     assert (capped.total, capped.capped) == (100, True)
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_pairs_of_rows_with_equal_titles_are_made_by_all_cores(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(Z, "BROADCAST_ROWS", broadcast_rows, raising=False)
+    left = spark.range(90).select("id", F.when(F.col("id") % 10 > 0, F.concat(F.lit("Lög um vexti "), F.col("id") % 3)).otherwise(" .-").alias("t"))
+    right = spark.range(40).select("id", F.concat(F.lit("lög, um vexti "), F.col("id") % 2).alias("t"))
+    found = Z.similar_rows(left, right, "id", "t", "id", "t", 0.9)
+    assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert sorted((x, y, z) for x, y, z in found.collect()) == [(x, y, 1.0) for x in range(90) for y in range(40) if x % 10 and x % 3 == y % 2]
